@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .encoding import op7_rank_array_bpe
+from .media import op4_wav_peaks
+from .sharding import op9_histogram_sort
 
 QUERIES = {
+    "op4_wav_peaks": op4_wav_peaks,
     "op7_rank_array_bpe": op7_rank_array_bpe,
+    "op9_histogram_sort": op9_histogram_sort,
 }
 
 ORACLE: dict[str, str] = {}
