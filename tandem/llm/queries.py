@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .encoding import op7_rank_array_bpe
 from .media import op4_wav_peaks
+from .packing import op1_column_generation
 from .sharding import op9_histogram_sort
+from .warc import op8_indexed_warc
 
 QUERIES = {
+    "op1_column_generation": op1_column_generation,
     "op4_wav_peaks": op4_wav_peaks,
     "op7_rank_array_bpe": op7_rank_array_bpe,
+    "op8_indexed_warc": op8_indexed_warc,
     "op9_histogram_sort": op9_histogram_sort,
 }
 
