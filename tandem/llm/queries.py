@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .dedup import op3_setsketch_dedup
 from .encoding import op7_rank_array_bpe
+from .langid import op6_subword_language
 from .media import op4_wav_peaks
 from .packing import op1_column_generation
+from .pii import op2_weak_supervision
 from .sharding import op9_histogram_sort
 from .warc import op8_indexed_warc
 
 QUERIES = {
     "op1_column_generation": op1_column_generation,
+    "op2_weak_supervision": op2_weak_supervision,
+    "op3_setsketch_dedup": op3_setsketch_dedup,
     "op4_wav_peaks": op4_wav_peaks,
+    "op6_subword_language": op6_subword_language,
     "op7_rank_array_bpe": op7_rank_array_bpe,
     "op8_indexed_warc": op8_indexed_warc,
     "op9_histogram_sort": op9_histogram_sort,
