@@ -146,7 +146,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(at, 512)
             sets = [shingles(t) for t in some.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
-            rows = iter(registers(full).tobytes()[i * M : (i + 1) * M] for i in range(len(full))) if full else iter(())
+            raw = registers(full).tobytes() if full else b""
+            rows = iter([raw[i : i + M] for i in range(0, len(raw), M)])
             digests = [np.frombuffer(hashlib.md5(s.tobytes()).digest(), "<i8") for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.array([next(rows) if len(s) else None for s in sets], pa.binary())],
