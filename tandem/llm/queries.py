@@ -6,9 +6,12 @@ from .dedup import op3_setsketch_dedup
 from .encoding import op7_rank_array_bpe
 from .langid import op6_subword_language
 from .media import op4_wav_peaks
+from .neighbours import op10_multi_index_hashing
 from .packing import op1_column_generation
 from .pii import op2_weak_supervision
 from .sharding import op9_histogram_sort
+from .urlfilter import ORACLE as URL_ORACLE
+from .urlfilter import op5_redirect_equivalence
 from .warc import op8_indexed_warc
 
 QUERIES = {
@@ -16,10 +19,14 @@ QUERIES = {
     "op2_weak_supervision": op2_weak_supervision,
     "op3_setsketch_dedup": op3_setsketch_dedup,
     "op4_wav_peaks": op4_wav_peaks,
+    "op5_redirect_equivalence": op5_redirect_equivalence,
     "op6_subword_language": op6_subword_language,
     "op7_rank_array_bpe": op7_rank_array_bpe,
     "op8_indexed_warc": op8_indexed_warc,
     "op9_histogram_sort": op9_histogram_sort,
+    "op10_multi_index_hashing": op10_multi_index_hashing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_redirect_equivalence": URL_ORACLE,
+}
