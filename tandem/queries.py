@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import effects, procedures
+
+QUERIES: dict = effects.QUERIES | procedures.QUERIES
+ORACLE: dict[str, str] = effects.ORACLE | procedures.ORACLE
