@@ -141,7 +141,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model learned from text and lang of documents that are not held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None

@@ -81,7 +81,7 @@ def fit(x: np.ndarray, k: int = 20, most_bits: int = 64, rounds: int = 30, seed:
     lifted = np.column_stack([x / norm, np.sqrt(np.maximum(0, 1 - ((x / norm) ** 2).sum(axis=1)))])
     bits = min(most_bits, max(SUBSTRING, x.shape[1] // SUBSTRING * SUBSTRING))
     mean = lifted.mean(axis=0)
-    _, axes = np.linalg.eigh(np.cov((lifted - mean).T).reshape(lifted.shape[1], -1))
+    _, axes = np.linalg.eigh((lifted - mean).T @ (lifted - mean))
     axes = axes[:, ::-1][:, :bits]  # directions of largest variance first
     if axes.shape[1] < bits:  # fewer components than a byte of bits: random directions fill up
         axes = np.column_stack([axes, np.random.default_rng(seed).normal(size=(axes.shape[0], bits - axes.shape[1]))])
