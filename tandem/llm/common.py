@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,3 +48,24 @@ def runs(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Bits of a membership bitmap: 2 ** 26 bits are 8 MB, however many ids it holds.
+BITMAP_BITS, BUCKET_BITS = 26, 15
+
+
+def possible_members(rows: DataFrame, column: str, ids: DataFrame, mark: str = "possible") -> DataFrame:
+    """``rows`` with a column ``mark``: false only where ``column`` is certainly not among ``ids`` (one column).
+
+    A hashed bitmap of bounded size is broadcast, so wide rows that no id names need not be
+    moved by the exact join that follows. Null ids are not members.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    named = ids.select(place(F.col(ids.columns[0])).alias("p"))
+    bits = named.groupBy(F.shiftright("p", BUCKET_BITS).alias("__bitmap_bucket")).agg(F.bitmap_construct_agg(F.col("p") % (1 << BUCKET_BITS)).alias("__bitmap_bits"))
+    at = place(F.col(column))
+    found = rows.withColumn("__bitmap_bucket", F.shiftright(at, BUCKET_BITS)).join(F.broadcast(bits), "__bitmap_bucket", "left")
+    low = (at % (1 << BUCKET_BITS)).cast("int")
+    byte = F.conv(F.hex(F.col("__bitmap_bits").substr(F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, low % 8) == 1
+    return found.withColumn(mark, F.coalesce(bit & F.col(column).isNotNull(), F.lit(False))).drop("__bitmap_bucket", "__bitmap_bits")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import possible_members, written
 from .components import connected
 
 WORDS, LEAST = 5, 85  # shingle length; similarity in hundredths
@@ -181,12 +181,17 @@ class Forest:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
         self.up[max(i, j)] = min(i, j)
-        return True
+
+    def stars(self, names: list[int]) -> list[tuple[int, int]]:
+        """An edge from each joined position to the smallest name of its tree."""
+        roots = [self.root(i) for i in range(len(names))]
+        least: dict[int, int] = {}
+        for r, name in zip(roots, names):
+            least[r] = min(name, least.get(r, name))
+        return [(name, least[r]) for r, name in zip(roots, names) if name != least[r]]
 
 
 def _likely(regs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,8 +268,8 @@ def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         right = left if i == j else np.flatnonzero(blocks == j)
         forest = Forest(len(reps))
         for a, b in zip(*(x.tolist() for x in _likely(regs, sizes, left, right)[:2])):
-            if forest.join(a, b):
-                pairs.append((reps[a], reps[b]))
+            forest.join(a, b)
+        pairs += forest.stars(reps)
         if len(pairs) > 10_000:
             yield _edges(pairs)
             pairs = []
@@ -292,7 +297,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if 100 * both >= LEAST * (len(sets[x]) + len(sets[y]) - both):
                 forest.join(x, y)
-                pairs.append((reps[x], reps[y]))
+        pairs += forest.stars(reps)
         if len(pairs) > 10_000:
             yield _edges(pairs)
             pairs = []
@@ -318,8 +323,9 @@ def similar_classes(docs: DataFrame, told: DataFrame) -> DataFrame:
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     family = connected(cells.mapInArrow(_bucket_forests, "a long, b long"))
     members = written(family.select(F.col("component").alias("family"), F.col("node").alias("rep")).union(family.select(F.col("component").alias("family"), F.col("component").alias("rep")).distinct()), "families")
-    # families are small against the corpus: the texts of their members alone are read again and moved
+    # of the texts, read again, only those that may be members' are moved
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
+    texts = possible_members(texts, "rep", members.select("rep")).where("possible").drop("possible")
     cells = _in_blocks(members, "family", FAMILY_BLOCK).select("family", "i", "j", "block", "rep").join(texts, "rep")
     cells = cells.select("family", "i", "j", "block", "rep", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return connected(cells.mapInArrow(_confirm, "a long, b long"))
@@ -340,8 +346,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that another one of their component stands for."""
-    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    dropped = written(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__dropped_id")).distinct(), "dropped")
+    mark = "__possible"
+    told = possible_members(docs, "doc_id", dropped, mark)
+    sure = told.where(~F.col(mark)).drop(mark)  # not moved
+    rest = told.where(F.col(mark)).drop(mark)
+    return sure.unionByName(rest.join(dropped, rest["doc_id"] == dropped["__dropped_id"], "left_anti"))
 
 
 def op3_setsketch_dedup(spark, sf_dir: str) -> DataFrame:
