@@ -50,6 +50,36 @@ def runs(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class Memo:
+    """Packed ids of chunks, in two generations of about ``entries`` each: what is asked for again stays."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def lacking(self, chunks: set) -> list:
+        """The chunks of neither generation; those of the old one become young."""
+        out = []
+        for c in chunks:
+            if c not in self.young:
+                if (ids := self.old.get(c)) is None:
+                    out.append(c)
+                else:
+                    self.young[c] = ids
+        return out
+
+    def age(self, drop: list) -> None:
+        """Forget ``drop`` and, when the young generation is full, the old one."""
+        for c in drop:
+            self.young.pop(c, None)
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+
+    def joined(self, chunks: list) -> bytes:
+        return b"".join(map(self.young.__getitem__, chunks))
+
+
 #: Bits of a membership bitmap: 2 ** 26 bits are 8 MB, however many ids it holds.
 BITMAP_BITS, BUCKET_BITS = 26, 15
 

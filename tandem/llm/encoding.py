@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import runs
+from .common import Memo, runs
 
 #: Unicode's White_Space characters, and the pre-tokenization pattern of byte-level vocabularies.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -32,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Chunks of characters below this one are cut here; other chunks by the library's own pre-tokenizer.
 PLAIN_BELOW = "\u0250"
-MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 48
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -55,7 +55,7 @@ class ByteLevelBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.piece = regex.compile(PIECES)
         self.id_names = {i: str(i) for i in self.token_bytes}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_ENTRIES)
         self.long: list[str] = []
         self.library = None
 
@@ -84,35 +84,30 @@ class ByteLevelBPE:
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that the memo lacks, in one batch."""
         words: dict[bytes, bytes] = {}
-        whole, parts = [], []
-        for c in chunks:
-            if c in self.memo:
-                continue
+        whole, parts, memo = [], [], self.memo.young
+        for c in self.memo.lacking(chunks):
             if len(c) > MEMO_CHARS:
                 self.long.append(c)
             if (c[1:] if c[0] == " " else c).isalpha() and max(c) < PLAIN_BELOW:
                 whole.append(c)  # a single piece
             elif c in self.specials:
-                self.memo[c] = np.array([self.specials[c]], dtype=IDS).tobytes()
+                memo[c] = np.array([self.specials[c]], dtype=IDS).tobytes()
             else:
                 parts.append((c, ps := self.pieces(c)))
                 words.update(dict.fromkeys(ps, b""))
         raw = [c.encode() for c in whole]
         words = dict(zip(words, self.ranks.merge([*words], self.byte_ids)))
-        self.memo.update(zip(whole, self.ranks.merge(raw, self.byte_ids)))
+        memo.update(zip(whole, self.ranks.merge(raw, self.byte_ids)))
         for c, ps in parts:
-            self.memo[c] = b"".join([words[p] for p in ps])
+            memo[c] = b"".join([words[p] for p in ps])
 
     def forget(self) -> None:
         """Keep the memo within its bounds."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        for c in self.long:
-            self.memo.pop(c, None)
+        self.memo.age(self.long)
         self.long.clear()
 
     def joined(self, chunks: list[str]) -> list[int]:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), dtype=IDS).tolist()
+        return np.frombuffer(self.memo.joined(chunks), dtype=IDS).tolist()
 
     def encode(self, text: str) -> list[int]:
         chunks = self.chunks(text)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import runs, written
+from .common import Memo, runs, written
 
 CAPACITY, GRAIN, SALTS = 4096, 16, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -40,7 +40,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of printable ASCII and Latin-1 letters are normal forms whose lower case is one character each.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-MEMO_ENTRIES, MEMO_BYTES = 1_000_000, 48
+MEMO_ENTRIES, MEMO_BYTES = 150_000, 48
 
 
 class WordIds:
@@ -67,7 +67,7 @@ class WordIds:
         self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.mark = os_prefix(self.marks)
         self.words = regex.compile(WORDS)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(MEMO_ENTRIES)
         self.long: list[bytes] = []
 
     def chunks(self, text: str) -> list[bytes]:
@@ -76,7 +76,8 @@ class WordIds:
         return (raw if self.mark and self.mark in raw else raw.lower()).split()
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self.memo]
+        new = self.memo.lacking(chunks)
+        memo = self.memo.young
         cut: list[tuple[bytes, list[bytes]]] = []
         words: dict[bytes, bytes] = {}
         other = []
@@ -91,23 +92,20 @@ class WordIds:
             parts = [text.encode()] if text.isalpha() else [p.encode() for p in self.words.findall(text)]
             cut.append((c, parts))
             for p in parts:
-                words[p] = self.memo.get(p, b"") if len(parts) > 1 else b""
+                words[p] = memo.get(p, b"") if len(parts) > 1 else b""
         lack = [w for w, ids in words.items() if not ids]
         words.update(zip(lack, self.ranks.merge(lack, self.first, self.last)))
         for c, parts in cut:
-            self.memo[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
+            memo[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
         for (c, _), e in zip(other, self.library.encode_batch([t for _, t in other], add_special_tokens=False)):
-            self.memo[c] = np.array(e.ids, dtype=IDS).tobytes()
+            memo[c] = np.array(e.ids, dtype=IDS).tobytes()
 
     def forget(self) -> None:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        for c in self.long:
-            self.memo.pop(c, None)
+        self.memo.age(self.long)
         self.long.clear()
 
     def packed_ids(self, chunks: list[bytes]) -> bytes:
-        return b"".join(map(self.memo.__getitem__, chunks))
+        return self.memo.joined(chunks)
 
     def encode(self, text: str) -> list[int]:
         chunks = self.chunks(text)
