@@ -184,13 +184,12 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the documents that language identification rejects; all columns stay as they are."""
     told = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
-    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not judge(told.value, t)[2] for t in batch.column(place).to_pylist()], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def identified(texts: pa.Array) -> pa.Array:
+        return pa.array([not judge(told.value, t)[2] for t in texts.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(identified("text"))  # only texts go to Python, only booleans come back
 
 
 def op6_subword_language(spark, sf_dir: str) -> DataFrame:
