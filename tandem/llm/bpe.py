@@ -168,7 +168,7 @@ class PairRanks:
         for k, word in enumerate(words):
             by_length.setdefault(len(word), []).append(k)
         for n, which in by_length.items():
-            step = max(1, 500_000 // max(n, 1))
+            step = max(1, 200_000 // max(n, 1))
             for at in range(0, len(which), step):
                 some = which[at : at + step]
                 raw = np.frombuffer(b"".join([words[k] for k in some]), dtype=np.uint8).reshape(len(some), n)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def runs(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that a worker holds few Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def runs(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` of about ``limit`` characters, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 BUCKET_BITS, DIM, BLOCK = 14, 16, 1 << 20
 BUCKETS = 1 << BUCKET_BITS
 #: At most this many labelled rows are fitted (expected number; the languages share it evenly).
@@ -126,7 +128,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, n = np.unique(subwords(text), return_counts=True)
@@ -169,7 +171,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [judge(told.value, text) for text in batch.column(2).to_pylist()]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -187,7 +189,7 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFram
 
     @F.arrow_udf("boolean")
     def identified(texts: pa.Array) -> pa.Array:
-        return pa.array([not judge(told.value, t)[2] for t in texts.to_pylist()], pa.bool_())
+        return pa.array([not judge(told.value, t.as_py())[2] for t in texts], pa.bool_())
 
     return docs.where(identified("text"))  # only texts go to Python, only booleans come back
 

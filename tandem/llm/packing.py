@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, runs, written
+from .common import Memo, runs, small, written
 
 CAPACITY, GRAIN, SALTS = 4096, 16, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -130,7 +130,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []

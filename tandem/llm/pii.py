@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "name", "national", "account", "local_phone")
@@ -237,7 +237,7 @@ FOUND = "doc_id long, base array<string>, kinds array<string>, starts array<int>
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         base, rest = [], []
         for text in batch.column(1).to_pylist():
             spans = base_spans(text or "")
@@ -280,7 +280,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(fit(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for _, base, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 more = [f"{k}:{a}:{z}" for k, a, z in accepted(told.value, [*zip(*rest)])]
@@ -299,7 +299,7 @@ def redact(docs: DataFrame) -> DataFrame:
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(place).to_pylist()
             sizes = batch.column(count).to_pylist() if count is not None else []
             for i, text in enumerate(texts):
