@@ -39,6 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_LIMIT, SPARKS_OWN, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB where the session has Spark's default: whole texts are long, and both the
+    JVM's buffers and the Python workers hold several batches for each running task."""
+    if spark.conf.get(BATCH_LIMIT, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
+def mapped(frame: DataFrame, function, schema) -> DataFrame:
+    """``frame.mapInArrow`` over batches bounded in bytes."""
+    bound_batches(frame.sparkSession)
+    return frame.mapInArrow(function, schema)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, so that a worker holds few Python strings at a time."""
     for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import possible_members, written
+from .common import mapped, possible_members, written
 from .components import connected
 
 WORDS, LEAST = 5, 85  # shingle length; similarity in hundredths
@@ -156,7 +156,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, SKETCH)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sketches, SKETCH)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,17 +318,17 @@ def similar_classes(docs: DataFrame, told: DataFrame) -> DataFrame:
     kept = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")
     classes = written(kept.groupBy("d1", "d2").agg(least).select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.registers"), "classes")
-    bands = classes.select("rep", "registers").mapInArrow(_bands, "rep long, band long")
+    bands = mapped(classes.select("rep", "registers"), _bands, "rep long, band long")
     cells = _in_blocks(bands, "band", BUCKET_BLOCK).join(classes, "rep").select("band", "i", "j", "block", "rep", "n", "registers")
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    family = connected(cells.mapInArrow(_bucket_forests, "a long, b long"))
+    family = connected(mapped(cells, _bucket_forests, "a long, b long"))
     members = written(family.select(F.col("component").alias("family"), F.col("node").alias("rep")).union(family.select(F.col("component").alias("family"), F.col("component").alias("rep")).distinct()), "families")
     # of the texts, read again, only those that may be members' are moved
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
     texts = possible_members(texts, "rep", members.select("rep")).where("possible").drop("possible")
     cells = _in_blocks(members, "family", FAMILY_BLOCK).select("family", "i", "j", "block", "rep").join(texts, "rep")
     cells = cells.select("family", "i", "j", "block", "rep", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return connected(cells.mapInArrow(_confirm, "a long, b long"))
+    return connected(mapped(cells, _confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

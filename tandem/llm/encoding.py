@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, runs, small
+from .common import Memo, mapped, runs, small
 
 #: Unicode's White_Space characters, and the pre-tokenization pattern of byte-level vocabularies.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -148,7 +148,7 @@ def _digests(name: str):
 
 def encode_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, number of ids, and the digests of the ids and of the text decoded from them."""
-    return docs.select("doc_id", "text").mapInArrow(_digests(vocabulary), SCHEMA)
+    return mapped(docs.select("doc_id", "text"), _digests(vocabulary), SCHEMA)
 
 
 def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -163,7 +163,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Data
                 bpe.forget()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode_texts(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -175,7 +175,7 @@ def decode_texts(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> D
             texts = [None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def op7_rank_array_bpe(spark, sf_dir: str) -> DataFrame:

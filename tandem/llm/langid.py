@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import bound_batches, mapped, small
 
 BUCKET_BITS, DIM, BLOCK = 14, 16, 1 << 20
 BUCKETS = 1 << BUCKET_BITS
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     spark = docs.sparkSession
     rates = spark.createDataFrame([(g, min(1.0, quota / n)) for g, n in sizes.items()], "lang string, rate double")
     drawn = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < F.col("rate") * 1_000_003)
-    rows = drawn.where(F.col("text").isNotNull()).select("lang", "text").mapInArrow(_counts, "lang string, buckets binary, counts binary").collect()
+    rows = mapped(drawn.where(F.col("text").isNotNull()).select("lang", "text"), _counts, "lang string, buckets binary, counts binary").collect()
     rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows)  # the order of training doesn't depend on partitions
     return train([(g, np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for g, b, c in rows])
 
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"), run, SCHEMA)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -185,6 +185,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the documents that language identification rejects; all columns stay as they are."""
+    bound_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
 
     @F.arrow_udf("boolean")

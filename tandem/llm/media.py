@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 RATE, FRAME, HOP, FAN = 8000, 256, 256, 3
 #: Frequency bins of a frame, in bands of about an octave.
 BANDS = ((1, 9), (9, 17), (17, 33), (33, 65), (65, 129))
@@ -118,7 +120,7 @@ def _features(keep_media: bool):
 
 def wav_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """Digests, fingerprint and, if wanted, the WAV bytes (``media``) of each document."""
-    return docs.select("doc_id", "text").mapInArrow(_features(keep_media), SCHEMA + ", media binary" * keep_media)
+    return mapped(docs.select("doc_id", "text"), _features(keep_media), SCHEMA + ", media binary" * keep_media)
 
 
 def op4_wav_peaks(spark, sf_dir: str) -> DataFrame:

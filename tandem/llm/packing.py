@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, runs, small, written
+from .common import Memo, mapped, runs, small, written
 
 CAPACITY, GRAIN, SALTS = 4096, 16, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -269,7 +269,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
 
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """All documents in sequences of ``capacity`` tokens: a row for each piece."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(vocabulary, end_id, capacity), PIECES)
+    pieces = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pieces(vocabulary, end_id, capacity), PIECES)
     return pack(written(pieces, "pieces"), capacity, grain)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import mapped, small, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "name", "national", "account", "local_phone")
@@ -249,7 +249,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """Base spans and candidates of every document, written: no text, only places, votes and shapes."""
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, FOUND), "span-candidates")
+    return written(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _find, FOUND), "span-candidates")
 
 
 def fit(found: DataFrame, sample: int = SAMPLE) -> SpanClassifier:
@@ -289,7 +289,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return found.mapInArrow(run, RESULT)
+    return mapped(found, run, RESULT)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[count] = pa.array(sizes, batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op2_weak_supervision(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import mapped, shared_folder, written
 
 SMALL, DATE = 100, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     revisits = known.join(firsts, "digest").where(F.col("page_id") != F.col("first")).select("page_id", "digest", "first").distinct()
     told = whole.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "digest", "html", "first")
-    return written(told.mapInArrow(_write(folder), INDEX), "warc-index")
+    return written(mapped(told, _write(folder), INDEX), "warc-index")
 
 
 def _read(folder: str):
@@ -158,7 +158,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` selects, by sorted and joined byte-range reads."""
     stretch = F.expr(f"offset div {READ}")
     dealt = index.select("archive", "offset", "length", "url").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(_read(folder), RECORDS)
+    return mapped(dealt, _read(folder), RECORDS)
 
 
 def archive_folder(spark: SparkSession) -> str:
