@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, mapped, runs, small
+from .common import Memo, mapped, runs
 
 #: Unicode's White_Space characters, and the pre-tokenization pattern of byte-level vocabularies.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -32,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Chunks of characters below this one are cut here; other chunks by the library's own pre-tokenizer.
 PLAIN_BELOW = "\u0250"
-MEMO_ENTRIES, MEMO_CHARS = 150_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -126,7 +126,7 @@ def encoder(name: str) -> ByteLevelBPE:
 def _digests(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(name)
-        for batch in small(batches):
+        for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, ids_sha, text_sha = [], [], []
             for a, z in runs(texts):
@@ -156,7 +156,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in small(batches):
+        for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, z in runs(texts):
                 ids = [bpe.encode(t) for t in texts[a:z]]
@@ -171,7 +171,7 @@ def decode_texts(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
-        for batch in small(batches):
+        for batch in batches:
             texts = [None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

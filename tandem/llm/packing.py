@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, mapped, runs, small, written
+from .common import Memo, mapped, runs, written
 
 CAPACITY, GRAIN, SALTS = 4096, 16, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -40,7 +40,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of printable ASCII and Latin-1 letters are normal forms whose lower case is one character each.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-MEMO_ENTRIES, MEMO_BYTES = 150_000, 48
+MEMO_ENTRIES, MEMO_BYTES = 250_000, 48
 
 
 class WordIds:
@@ -84,8 +84,12 @@ class WordIds:
         for c in new:
             if len(c) > MEMO_BYTES:
                 self.long.append(c)
+            if c.isalpha():  # ASCII letters: one word
+                words[word := c.lower()] = b""
+                cut.append((c, [word]))
+                continue
             text = c.decode()
-            if not PLAIN.fullmatch(text) or any(m in c for m in self.marks):
+            if not PLAIN.fullmatch(text) or (self.mark in c if self.mark else any(m in c for m in self.marks)):
                 other.append((c, text))
                 continue
             text = text.lower()
@@ -130,7 +134,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(vocabulary)
-        for batch in small(batches):
+        for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
