@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"(?U)\w+|[^\w\s]"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
@@ -30,12 +33,43 @@ def token_distance(left: Column, right: Column) -> Column:
     """Exact edit distance of two token arrays, without a join or a loop in Python.
 
     Each distinct token of the pair becomes one private-use character, so the built-in
-    character distance counts tokens. Arrays of more than 6400 distinct tokens in all give
-    null: they have no such code.
+    character distance counts tokens. Arrays of more than 6400 distinct tokens in all have
+    no such code; only they go through ``edit_distance``.
     """
     codes = F.array_distinct(F.concat(left, right))
+    many = F.size(codes) > 6400
     as_text = lambda words: F.array_join(F.transform(words, lambda w: _private(F.array_position(codes, w))), "")
-    return F.when(F.size(codes) <= 6400, F.levenshtein(as_text(left), as_text(right)))
+    return F.coalesce(F.when(~many, F.levenshtein(as_text(left), as_text(right))), _distances(F.when(many, left), F.when(many, right)))
+
+
+def edit_distance(left: list, right: list) -> int:
+    """Exact edit distance of two sequences: a rolling row over what lies between their common ends."""
+    codes: dict = {}
+    a, b = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (left, right))
+    n = min(len(a), len(b))
+    differs = np.flatnonzero(a[:n] != b[:n])
+    at = int(differs[0]) if len(differs) else n
+    a, b = a[at:], b[at:]
+    n = min(len(a), len(b))
+    differs = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    end = int(differs[0]) if len(differs) else n
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if len(a) > len(b):
+        a, b = b, a
+    places = np.arange(len(b) + 1)
+    row = places
+    for i, code in enumerate(a.tolist(), 1):
+        step = np.empty_like(row)
+        step[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (b != code), out=step[1:])
+        # insertions: the least of what stands before, one more for each place passed
+        row = np.minimum.accumulate(step - places) + places
+    return int(row[-1])
+
+
+@F.arrow_udf(T.IntegerType())
+def _distances(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else edit_distance(x.as_py(), y.as_py()) for x, y in ((a if a.is_valid else None, b if b.is_valid else None) for a, b in zip(left, right))], pa.int32())
 
 
 def _private(n: Column) -> Column:
