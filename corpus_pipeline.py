@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that with the smallest doc_id."""
-    return dedup.keep_one_of_each(docs)
+    """One document of each component of similarity 0.8 or more stays: that with the smallest doc_id."""
+    return dedup.keep_one_of_each(docs, dedup.STAGE_LEAST)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

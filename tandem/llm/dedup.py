@@ -13,8 +13,10 @@
    blocks, if large) is checked on the full sets, again giving back a spanning forest.
 5. Connected components of the confirmed links are the result.
 
-Two sets at similarity 0.85 miss every band with a chance below 1e-6, and an estimate lies
-``MARGIN`` below the truth about as rarely.
+The least similarity is a parameter in hundredths: ``LEAST`` is the contract of operator 3,
+``STAGE_LEAST`` the rule of near-duplicate stages. Two sets of equal size miss every band
+with a chance of 2e-7 at 0.85 and of 2.5e-5 at 0.80, and an estimate lies ``MARGIN`` below
+the truth with a chance of about 3e-6 and 3e-5 (one and nine of 300,000 simulated pairs).
 
 Defined results: a null text, or one without words, has no shingles, links with nothing and
 is kept; fewer than five words are one shingle; a null doc_id is kept, has a null
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import mapped, possible_members, written
 from .components import connected
 
-WORDS, LEAST = 5, 85  # shingle length; similarity in hundredths
+WORDS, LEAST, STAGE_LEAST = 5, 85, 80  # shingle length; similarities in hundredths
 M, BAND, BASE, RATE, TOP = 128, 5, 1.1, 20.0, 255
 BANDS = M // BAND
 MARGIN = 0.15
@@ -194,10 +196,10 @@ class Forest:
         return [(name, least[r]) for r, name in zip(roots, names) if name != least[r]]
 
 
-def _likely(regs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely(regs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, wanted: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs (left x right, each once) whose estimate comes near the wanted similarity; their estimates."""
     out_i, out_j, out_e = [], [], []
-    least = LEAST / 100 - MARGIN
+    least = wanted / 100 - MARGIN
     same = left is right
     for k, i in enumerate(left):
         rest = right[k + 1 :] if same else right
@@ -205,7 +207,7 @@ def _likely(regs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.nda
             continue
         # sets of too different sizes can't be similar
         a, b = sizes[i], sizes[rest]
-        rest = rest[100 * np.minimum(a, b) >= LEAST * np.maximum(a, b)]
+        rest = rest[100 * np.minimum(a, b) >= wanted * np.maximum(a, b)]
         equal = (regs[rest] == regs[i]).sum(axis=1)
         rest = rest[equal >= M * (least - 0.05)]
         if len(rest):
@@ -255,7 +257,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_forests(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
     """(band, i, j, block, rep, n, registers) sorted by cell -> edges among likely similar classes."""
     pairs: list[tuple[int, int]] = []
     for cell in _cells(batches, 3):
@@ -267,7 +269,7 @@ def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         left = np.flatnonzero(blocks == i)
         right = left if i == j else np.flatnonzero(blocks == j)
         forest = Forest(len(reps))
-        for a, b in zip(*(x.tolist() for x in _likely(regs, sizes, left, right)[:2])):
+        for a, b in zip(*(x.tolist() for x in _likely(regs, sizes, left, right, least)[:2])):
             forest.join(a, b)
         pairs += forest.stars(reps)
         if len(pairs) > 10_000:
@@ -276,7 +278,7 @@ def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield _edges(pairs)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
     """(family, i, j, block, rep, text) sorted by cell -> links confirmed on the full sets."""
     pairs: list[tuple[int, int]] = []
     for cell in _cells(batches, 3):
@@ -288,14 +290,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = cell[0].column(1)[0].as_py(), cell[0].column(2)[0].as_py()
         left = np.flatnonzero(blocks == i)
         right = left if i == j else np.flatnonzero(blocks == j)
-        a, b, e = _likely(regs, sizes, left, right)
+        a, b, e = _likely(regs, sizes, left, right, least)
         forest = Forest(len(reps))
         for k in np.argsort(-e, kind="stable").tolist():
             x, y = int(a[k]), int(b[k])
             if forest.root(x) == forest.root(y):
                 continue
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= LEAST * (len(sets[x]) + len(sets[y]) - both):
+            if 100 * both >= least * (len(sets[x]) + len(sets[y]) - both):
                 forest.join(x, y)
         pairs += forest.stars(reps)
         if len(pairs) > 10_000:
@@ -313,29 +315,29 @@ def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def similar_classes(docs: DataFrame, told: DataFrame) -> DataFrame:
+def similar_classes(docs: DataFrame, told: DataFrame, least: int = LEAST) -> DataFrame:
     """``node`` and ``component`` of classes of equal sets that link with another class."""
     kept = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")
-    classes = written(kept.groupBy("d1", "d2").agg(least).select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.registers"), "classes")
+    first = F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")
+    classes = written(kept.groupBy("d1", "d2").agg(first).select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.registers"), "classes")
     bands = mapped(classes.select("rep", "registers"), _bands, "rep long, band long")
     cells = _in_blocks(bands, "band", BUCKET_BLOCK).join(classes, "rep").select("band", "i", "j", "block", "rep", "n", "registers")
     cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    family = connected(mapped(cells, _bucket_forests, "a long, b long"))
+    family = connected(mapped(cells, partial(_bucket_forests, least=least), "a long, b long"))
     members = written(family.select(F.col("component").alias("family"), F.col("node").alias("rep")).union(family.select(F.col("component").alias("family"), F.col("component").alias("rep")).distinct()), "families")
     # of the texts, read again, only those that may be members' are moved
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
     texts = possible_members(texts, "rep", members.select("rep")).where("possible").drop("possible")
     cells = _in_blocks(members, "family", FAMILY_BLOCK).select("family", "i", "j", "block", "rep").join(texts, "rep")
     cells = cells.select("family", "i", "j", "block", "rep", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return connected(mapped(cells, _confirm, "a long, b long"))
+    return connected(mapped(cells, partial(_confirm, least=least), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; ``least``: similarity in hundredths."""
     told = written(sketches(docs), "sketches")
     classes = told.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    links = similar_classes(docs, told)
+    links = similar_classes(docs, told, least)
     moved = classes.join(links, classes["rep"] == links["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
     moved = moved.where("size > 1 OR component IS NOT NULL").select("d1", "d2", "component_id")
     found = told.drop("registers").join(moved, ["d1", "d2"], "left")
@@ -344,9 +346,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` without the documents that another one of their component stands for."""
-    dropped = written(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__dropped_id")).distinct(), "dropped")
+    dropped = written(near_duplicates(docs, least).where("NOT kept").select(F.col("doc_id").alias("__dropped_id")).distinct(), "dropped")
     mark = "__possible"
     told = possible_members(docs, "doc_id", dropped, mark)
     sure = told.where(~F.col(mark)).drop(mark)  # not moved
