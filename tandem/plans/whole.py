@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..llm.common import mapped, possible_members, written
 from ..llm.dedup import near_duplicates
-from ..sources.fixtures import table
+from ..operators import cases as C
+from ..operators import resampling as R
+from ..sources.fixtures import cells, context, table
+from .effects import case_values, clusters, r
 
 QUERIES: dict = {}
 
 #: Members of a near-duplicate component that meet one copy of its representative.
 MEMBERS = 256
+#: Fixed values of the reference: bootstrap draws, sign flips, and clusters up to which all flips are tried.
+DRAWS, FLIPS, EXACT = 10_000, 100_000, 20
 
 
 def query(f):
@@ -61,3 +66,36 @@ def edit_features_of(docs: DataFrame) -> DataFrame:
 @query
 def edit_features_whole(spark, sf):
     return edit_features_of(table(spark, sf, "documents"))
+
+
+# resampling
+
+
+@query
+def bootstrap_interval_whole(spark, sf):
+    effects = clusters(spark, sf)
+    return r(R.bootstrap_interval(effects, "cluster_id", R.multiplicities(effects, "cluster_id", DRAWS)), 6, "lower", "upper")
+
+
+@query
+def stratified_bootstrap_whole(spark, sf):
+    v = case_values(spark, sf).withColumn("d", F.col("treat_all") - F.col("base"))
+    times = R.multiplicities(C.cluster_means(v, "cluster_id", "d"), "cluster_id", DRAWS)
+    return r(R.bootstrap_interval(C.cluster_means(v, "cluster_id", "d", ("stratum",)), "cluster_id", times, ("stratum",)), 6, "lower", "upper")
+
+
+@query
+def balanced_accuracy_bootstrap_whole(spark, sf):
+    times = R.multiplicities(clusters(spark, sf), "cluster_id", DRAWS)
+    return r(R.balanced_accuracy_bootstrap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", times, 3), 6, "lower", "upper")
+
+
+@query
+def sign_flip_whole(spark, sf):
+    each = context(spark, sf).where("kind = 'gold'").groupBy("query_id").agg(F.avg(F.col("hit_treat").cast("int") - F.col("hit_base").cast("int")).alias("effect"))
+    return r(R.sign_flip(each, "query_id", FLIPS, exact_up_to=EXACT), 9, "p")
+
+
+@query
+def condition_swap_whole(spark, sf):
+    return r(r(R.condition_swap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", FLIPS), 9, "p"), 6, "difference")

@@ -1,5 +1,6 @@
 """Queries without SQL twins against brute force."""
 
+import itertools
 import random
 import re
 
@@ -70,3 +71,18 @@ def test_stage_drops_pairs_between_80_and_85(spark):
     kept = lambda frame: sorted(r.doc_id for r in frame.collect())
     assert kept(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == sorted(i for i, _, _ in rows if alike.get(i, 0) < 0.8)
     assert kept(corpus_pipeline.dedup.keep_one_of_each(docs)) == sorted(i for i, _, _ in rows if alike.get(i, 0) < 0.85)
+
+
+def test_flips_of_fifteen_clusters_are_exact(spark, monkeypatch):
+    """Users 1 to 15 are above the 14 of the query with SQL."""
+    rng = random.Random(7)
+    rows = [(k, u, "click", float(rng.randint(38, 50))) for k, u in enumerate(u for u in range(15) for _ in range(3))]
+    monkeypatch.setattr(whole, "context", lambda *_: spark.createDataFrame([(u, "gold", v > 40, v > 45) for _, u, _, v in rows], "query_id long, kind string, hit_base boolean, hit_treat boolean"))
+    each = [sum((v > 45) - (v > 40) for _, w, _, v in rows if w == u) / 3 for u in range(15)]
+    k = sum(abs(sum(s * x for s, x in zip(signs, each))) >= abs(sum(each)) - 1e-9 for signs in itertools.product((1, -1), repeat=15))
+    assert tuple(whole.sign_flip_whole(spark, "").first()) == (round(k / 2**15, 9), 2**15, 15)
+
+
+def test_ten_thousand_draws(spark, sf_dir):
+    found = whole.bootstrap_interval_whole(spark, sf_dir).first()
+    assert found.valid_draws == 10_000 and found.lower < found.upper
