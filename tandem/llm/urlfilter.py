@@ -9,18 +9,22 @@ precedence. Components are found by distributed star steps (components.py); neit
 nor components reach the driver.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no aliases
-and is allowed; relative links are resolved against the page where they begin with ``/`` or
-``//`` and left out otherwise; fragments name the same URL; repeated rows give repeated
+and is allowed; entities in links are decoded and relative links resolved against the page
+(RFC 3986, without a <base>); fragments name the same URL; repeated rows give repeated
 results; null html has no links; further columns are ignored; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import html
+import re
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 from .components import connected
@@ -28,11 +32,18 @@ from .components import connected
 #: Fixed values: (verdict, host, path) of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-LINK = r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"
+#: Quoted values may hold ``>``.
+LINK = r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)"
+#: The whole value of an attribute, by its quotes: group 1, 2 or 3.
+VALUE = r"(?is)[\s\"'/]%s\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+#: The rest of a refresh's decoded content, which may have quotes of its own.
+TARGET = r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*(?:\"([^\"]*)|'([^']*)|(.*))"
+
+
+#: Scheme, authority, path and query of a reference; the fragment is left out.
+PARTS = re.compile(r"(?s)(([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?[^#]*)?")
 
 
 def _rest(url: Column) -> Column:
@@ -67,19 +78,74 @@ def node(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), F.concat(scheme, F.lit("://"), host(url), rest))
 
 
+def _captured(text: Column, pattern: str) -> Column:
+    """The first of a pattern's three groups that holds something."""
+    return F.concat(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3)))
+
+
+@F.arrow_udf(T.StringType())
+def whole_url(page: pa.Array, link: pa.Array) -> pa.Array:
+    """A link resolved against its page; null where there is none, it is empty or has no URL."""
+    return pa.array([resolved(a, b) for a, b in zip(page.to_pylist(), link.to_pylist())], pa.string())
+
+
+def resolved(page: str | None, link: str | None) -> str | None:
+    link = (link or "").strip(" \t\r\n\f")
+    if not page or not link:
+        return None
+    # RFC 3986, 5.2: the parts, and the merge of paths; hierarchical whatever the scheme
+    scheme, authority, path, query = PARTS.match(link).group(2, 4, 5, 6)
+    if scheme is not None:
+        path = _without_dots(path) if authority is not None else path
+        return f"{scheme}:{'' if authority is None else '//' + authority}{path}{query or ''}"
+    base_scheme, base_authority, base_path, base_query = PARTS.match(page).group(2, 4, 5, 6)
+    if base_scheme is None or base_authority is None:
+        return None
+    if authority is not None:
+        path = _without_dots(path)
+    else:
+        authority = base_authority
+        if not path:
+            path, query = base_path, base_query if query is None else query
+        elif path.startswith("/"):
+            path = _without_dots(path)
+        else:
+            path = _without_dots((base_path[: base_path.rfind("/") + 1] or "/") + path)
+    return f"{base_scheme}://{authority}{path}{query or ''}"
+
+
+def _without_dots(path: str) -> str:
+    parts = path.split("/")
+    out: list[str] = []
+    for i, part in enumerate(parts):
+        if part == "..":
+            if len(out) > 1:
+                out.pop()
+        elif part != ".":
+            out.append(part)
+        if part in (".", "..") and i == len(parts) - 1:
+            out.append("")
+    return "/".join(out)
+
+
+@F.arrow_udf(T.StringType())
+def decoded(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
+
+
 def declared_links(pages: DataFrame) -> DataFrame:
     """Edges (a, b) from pages to their canonical URLs and refresh targets."""
     tags = F.when(F.col("html").rlike("(?i)canonical|refresh"), F.regexp_extract_all("html", F.lit(LINK), F.lit(0)))
     each = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(tags).alias("tag"))
-    target = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    scheme = F.substring_index("url", "://", 1)
-    link = each.withColumn("to", target)
-    whole = (
-        F.when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("url")), F.col("to")))
-        .otherwise(F.col("to"))
-    )
+    link, meta = F.col("tag").rlike("(?i)^<link"), F.col("tag").rlike("(?i)^<meta")
+    names = F.lower(_captured(F.col("tag"), VALUE % "rel"))
+    canonical = link & F.array_contains(F.split(F.trim(names), r"\s+"), "canonical")
+    refresh = meta & (F.trim(F.lower(_captured(F.col("tag"), VALUE % "http-equiv"))) == "refresh")
+    each = each.where(canonical | refresh)
+    value = decoded(F.when(canonical, _captured(F.col("tag"), VALUE % "href")).otherwise(_captured(F.col("tag"), VALUE % "content")))
+    target = F.when(link, F.col("value")).otherwise(_captured(F.col("value"), TARGET))
+    link = each.withColumn("value", value).withColumn("to", target)
+    whole = whole_url(F.col("url"), F.col("to"))
     return link.select(node(F.col("url")).alias("a"), node(whole).alias("b")).where("a <> b")
 
 
