@@ -76,8 +76,9 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, k: int = 20, most_bits: int = 64, rounds: int = 30, seed: int = 3) -> Coder:
-    norm = float(np.sqrt((x**2).sum(axis=1).max()))
+def fit(x: np.ndarray, k: int = 20, most_bits: int = 64, rounds: int = 30, seed: int = 3, norm: float = 0.0) -> Coder:
+    """``norm``: the largest of the whole table, where ``x`` is a sample of it."""
+    norm = max(norm, float(np.sqrt((x**2).sum(axis=1).max())))
     lifted = np.column_stack([x / norm, np.sqrt(np.maximum(0, 1 - ((x / norm) ** 2).sum(axis=1)))])
     bits = min(most_bits, max(SUBSTRING, x.shape[1] // SUBSTRING * SUBSTRING))
     mean = lifted.mean(axis=0)
@@ -117,20 +118,25 @@ def within(queries: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
             found = np.concatenate([order[starts[v] : starts[v + 1]] for v in probes.tolist()])
             asked = np.flatnonzero(queries[:, t] == value)
             hit[asked[:, None], found[None, :]] = True
-    return hit & (hamming(queries, codes) <= radius)
+    # distances of what the buckets gave alone
+    for at in range(0, len(queries), 64):
+        i, j = np.nonzero(hit[at : at + 64])
+        near = POPCOUNT[queries[at + i] ^ codes[j]].sum(axis=1, dtype=np.int64) <= radius
+        hit[at + i, j] = near
+    return hit
 
 
 def best(query_ids, queries, ids, rows, allowed: np.ndarray, k: int) -> tuple[list, list, list]:
     """The k rows of largest inner product for each query among the allowed ones, ties to smaller ids."""
     out_q, out_v, out_s = [], [], []
-    score = np.where(allowed & (ids[None, :] != query_ids[:, None]), queries @ rows.T, -np.inf)
     for i in range(len(queries)):
-        line = score[i]
-        n = int(np.count_nonzero(line > -np.inf))
+        some = np.flatnonzero(allowed[i] & (ids != query_ids[i]))
+        n = len(some)
         if not n:
             continue
-        least = np.partition(line, len(line) - k)[len(line) - k] if n > k else -np.inf
-        near = np.flatnonzero((line >= least - 1e-9) & (line > -np.inf))
+        line = rows[some] @ queries[i]
+        least = np.partition(line, n - k)[n - k] if n > k else -np.inf
+        near = some[line >= least - 1e-9]
         exact = (rows[near] * queries[i]).sum(axis=1)  # the same order of sums for every row, so that equal vectors tie
         pick = np.lexsort((ids[near], -exact))[:k]
         out_q += [int(query_ids[i])] * len(pick)
@@ -197,10 +203,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     index = usable(vectors).where(F.size("embedding") == dim)
     asked = usable(queries).where(F.size("embedding") == dim)
     n, m = dims["count"], asked.count()
-    drawn = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    coder = fit(np.array([r["embedding"] for r in drawn], dtype=np.float64), k)
     norm = index.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
-    coder.norm = max(coder.norm, norm)
+    drawn = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    coder = fit(np.array([r["embedding"] for r in drawn], dtype=np.float64), k, norm=norm)
     told = spark.sparkContext.broadcast(coder)
     found = written(_ranked(_search(index, asked, told, dim, k, coder.radius, (n, m)), k), "neighbours")
     have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
