@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import text as X
 from ..llm.common import mapped, possible_members, written
 from ..llm.dedup import near_duplicates
 from ..operators import cases as C
+from ..operators import inference as I
 from ..operators import resampling as R
 from ..sources.fixtures import cells, context, table
 from .effects import case_values, clusters, r
@@ -99,3 +101,25 @@ def sign_flip_whole(spark, sf):
 @query
 def condition_swap_whole(spark, sf):
     return r(r(R.condition_swap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", FLIPS), 9, "p"), 6, "difference")
+
+
+# paired tests and choices
+
+
+@query
+def mcnemar_whole(spark, sf):
+    return r(I.mcnemar(cells(spark, sf), F.col("base_pred") == F.col("gold"), F.col("treat_pred") == F.col("gold")), 6, "statistic", "p")
+
+
+@query
+def paired_cases_whole(spark, sf):
+    """A side is missing where its condition has no complete case."""
+    v = case_values(spark, sf)
+    left, right = (v.where(F.col(c).isNotNull()).select("case_id", "stratum", F.col(c).alias("x")) for c in ("base", "treat"))
+    return r(C.pair(left, right, "case_id", ["x"], ("stratum",)), 10, "x_left", "x_right", "x_effect").select("case_id", "x_left", "x_right", "x_effect", "status")
+
+
+@query
+def parse_choice_whole(spark, sf):
+    choice, reason = S.parse_choice(F.col("text"), ["A", "T", "E"])
+    return table(spark, sf, "conversations").select("conv_id", "turn", choice.alias("choice"), reason.alias("reason"))

@@ -86,3 +86,24 @@ def test_flips_of_fifteen_clusters_are_exact(spark, monkeypatch):
 def test_ten_thousand_draws(spark, sf_dir):
     found = whole.bootstrap_interval_whole(spark, sf_dir).first()
     assert found.valid_draws == 10_000 and found.lower < found.upper
+
+
+def test_all_cells_are_paired(spark, sf_dir):
+    cells = whole.cells(spark, sf_dir).collect()
+    only = [sum((c.base_pred == c.gold) == left and (c.treat_pred == c.gold) != left for c in cells) for left in (True, False)]
+    found = whole.mcnemar_whole(spark, sf_dir).first()
+    assert [found.only_left, found.only_right] == only
+    assert found.statistic == round(max(abs(only[0] - only[1]) - 1, 0) ** 2 / sum(only), 6) and 0 <= found.p <= 1
+    status = {r.case_id: r.status for r in whole.paired_cases_whole(spark, sf_dir).collect()}
+    assert status == {c.case_id: "ok" if all(x.treat_ok for x in group) else "only_left" for group in _cases(cells) for c in group[:1]}
+
+
+def _cases(cells):
+    return [list(g) for _, g in itertools.groupby(sorted(cells, key=lambda c: c.case_id), key=lambda c: c.case_id)]
+
+
+def test_choices_of_whole_texts(spark, monkeypatch):
+    rows = [(0, 0, "  a "), (0, 1, "A whole answer"), (1, 0, "Q"), (1, 1, " ")]
+    monkeypatch.setattr(whole, "table", lambda *_: spark.createDataFrame(rows, "conv_id long, turn int, text string"))
+    found = sorted((tuple(r) for r in whole.parse_choice_whole(spark, "").collect()), key=repr)
+    assert found == [(0, 0, "A", None), (0, 1, None, "not_single_letter"), (1, 0, None, "unknown_letter"), (1, 1, None, "empty")]
