@@ -1,221 +1,396 @@
 """Nearest neighbours by inner product with multi-index hashing (operator 10).
 
-A bounded sample (``SAMPLE`` rows) fits a rotation whose signs are the bits of a code:
-principal axes, then iterative quantisation. Vectors get one more component first, so that
-the largest inner product becomes the nearest direction whatever the norms are. A code is
-split into substrings, each with an index of its own from substring value to rows. By the
-pigeonhole principle a code within radius r differs in some substring by at most its share
-of r; probing those buckets of every index therefore retrieves every code within r. The
-retrieved codes within r are ranked by the exact inner product of the original vectors.
-
-The radius is the smallest that finds ``WANTED`` of the true neighbours within the sample.
-A query that finds fewer than k vectors within it is searched again without a radius, so
-every query returns k neighbours if there are as many.
-
-Rows and queries meet in cells, a block of the index and a block of queries; a cell's
-substring indexes live in its task. A cell gives back at most k rows for each query.
-
-Defined results: vectors that are null, zero, empty, or hold null or non-finite components
-take no part, nor do those of another length than most; rows with a null vec_id take no
-part; repeated rows count once; equal scores go to the smaller vec_id; fewer than k
-candidates give all of them; further columns are ignored; an empty table gives an empty
-result.
+1. Equal vectors form a class, and only classes go on. A bounded sample (``SAMPLE`` classes)
+   fits rotations whose signs are the bits of a code: principal axes, then iterative
+   quantisation in blocks of ``WIDTH`` directions. Vectors get one more component first, so
+   that the largest inner product becomes the nearest direction whatever the norms are.
+2. A code is split into ``parts`` substrings of 16 bits, each with an index of its own: a
+   table of (substring number and leading bits of its value, class, code), a row for each
+   substring. A query goes to the cells whose leading bits lie within ``reach`` of its own.
+   That join on cells is the only place where rows and queries meet. In a cell rows stand
+   sorted by value, and a query reads the buckets of the values within ``reach`` bits.
+   By the pigeonhole principle this retrieves every code within the Hamming radius
+   parts * (reach + 1) - 1, and codes beyond it that come near in some substring.
+3. What was retrieved is kept if the whole code lies within ``radius``; each pair comes out
+   of its first substring alone. Kept pairs are joined with both vectors and ranked by the
+   exact inner product.
+
+``reach``, ``parts`` and ``radius`` are fitted to the data: ``TRUTH`` queries are compared
+with all rows once, and the cheapest setting that retrieves ``WANTED`` of their true
+neighbours is taken. If none does, or a query keeps fewer than k candidates, rows and
+queries meet in blocks instead, each giving back its best k: the exact way for the rest.
+Cells with very many rows or queries are dealt as blocks of both.
+
+Vectors of any length take part: codes see the components up to the most frequent length,
+scores all of them, missing components counting as zero.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components
+take no part; rows with a null vec_id take no part; repeated rows count once; rows that
+share a vec_id but not the vector are candidates (and queries) of their own; equal scores
+go to the smaller vec_id; fewer than k candidates give all of them; further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import mapped, written
 
-SAMPLE, SAMPLE_QUERIES, WANTED = 8192, 256, 0.96
-INDEX_BLOCK, QUERY_BLOCK = 4096, 4096
-SUBSTRING = 8
-FOUND = "query_id long, vec_id long, score double"
+#: Rows that fit the rotations; queries whose true neighbours set reach, parts and radius; their wanted share.
+SAMPLE, TRUTH, WANTED, KEPT = 8192, 64, 0.95, 0.97
+#: Bits of a substring; directions of a rotation; substrings and bits of difference at most.
+BITS, WIDTH, MOST, FAR = 16, 64, 48, 5
+#: Rows (or queries) of one cell that a task compares at once; those of a block of the exact way.
+CELL, BLOCK = 1 << 16, 4096
 
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+RESULT = "query_id long, rank int, vec_id long, score double"
+PAIRS = "q long, c long"
 
 
 @dataclass
 class Coder:
-    """Mean, rotation and largest norm: what makes codes; and the radius."""
+    """Mean, rotations and largest norm make codes; reach, parts and radius say what is retrieved."""
 
     mean: np.ndarray
     rotation: np.ndarray
     norm: float
-    radius: int = 0
-
-    @property
-    def bits(self) -> int:
-        return self.rotation.shape[1]
+    reach: int = FAR
+    parts: int = MOST
+    radius: int = MOST * BITS
+    recall: float = 0.0
 
     def _codes(self, lifted: np.ndarray) -> np.ndarray:
-        return np.packbits((lifted - self.mean) @ self.rotation > 0, axis=1)
+        bits = np.packbits((lifted - self.mean) @ self.rotation[:, : self.parts * BITS] > 0, axis=1)
+        return np.ascontiguousarray(bits).view(np.uint16)
 
     def rows(self, x: np.ndarray) -> np.ndarray:
+        """Codes of vectors: an array (rows, parts) of substrings."""
         x = x / self.norm
         return self._codes(np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))]))
 
     def queries(self, q: np.ndarray) -> np.ndarray:
-        q = q / np.sqrt((q**2).sum(axis=1, keepdims=True))
+        q = q / np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-300)
         return self._codes(np.column_stack([q, np.zeros(len(q))]))
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all codes of a (rows) to all of b."""
-    out = np.zeros((len(a), len(b)), np.uint8)
-    for t in range(a.shape[1]):
-        out += POPCOUNT[a[:, t][:, None] ^ b[:, t][None, :]]
-    return out
-
-
-def fit(x: np.ndarray, k: int = 20, most_bits: int = 64, rounds: int = 30, seed: int = 3, norm: float = 0.0) -> Coder:
-    """``norm``: the largest of the whole table, where ``x`` is a sample of it."""
-    norm = max(norm, float(np.sqrt((x**2).sum(axis=1).max())))
-    lifted = np.column_stack([x / norm, np.sqrt(np.maximum(0, 1 - ((x / norm) ** 2).sum(axis=1)))])
-    bits = min(most_bits, max(SUBSTRING, x.shape[1] // SUBSTRING * SUBSTRING))
+def rotations(x: np.ndarray, norm: float, rounds: int = 8, seed: int = 3) -> Coder:
+    """A coder of MOST * BITS bits from a sample of vectors; ``norm``: the largest of the whole table."""
+    rng = np.random.default_rng(seed)
+    y = x / norm
+    lifted = np.column_stack([y, np.sqrt(np.maximum(0, 1 - (y**2).sum(axis=1)))])
     mean = lifted.mean(axis=0)
     _, axes = np.linalg.eigh((lifted - mean).T @ (lifted - mean))
-    axes = axes[:, ::-1][:, :bits]  # directions of largest variance first
-    if axes.shape[1] < bits:  # fewer components than a byte of bits: random directions fill up
-        axes = np.column_stack([axes, np.random.default_rng(seed).normal(size=(axes.shape[0], bits - axes.shape[1]))])
-    flat = (lifted - mean) @ axes
-    turn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.sign(flat @ turn).T @ flat)
-        turn = (u @ w).T
-    coder = Coder(mean, axes @ turn, norm)
-    # the radius that finds the wanted share of true neighbours among the sample itself
-    some = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
-    score = x[some] @ x.T
-    score[np.arange(len(some)), some] = -np.inf
-    top = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
-    far = np.take_along_axis(hamming(coder.queries(x[some]), coder.rows(x)), top, axis=1)
-    coder.radius = int(np.quantile(far, WANTED, method="higher")) if far.size else bits
-    return coder
-
-
-def within(queries: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """Which codes lie within the radius of which queries, by probing an index for each substring."""
-    parts = codes.shape[1]
-    share, rest = divmod(radius, parts)
-    hit = np.zeros((len(queries), len(codes)), bool)
-    for t in range(parts):
-        least = share if t <= rest else share - 1
-        if least < 0:
-            continue
-        order = np.argsort(codes[:, t], kind="stable")
-        starts = np.searchsorted(codes[order, t], np.arange(257))
-        for value in np.unique(queries[:, t]).tolist():
-            probes = np.flatnonzero(POPCOUNT[np.arange(256) ^ value] <= least)
-            found = np.concatenate([order[starts[v] : starts[v + 1]] for v in probes.tolist()])
-            asked = np.flatnonzero(queries[:, t] == value)
-            hit[asked[:, None], found[None, :]] = True
-    # distances of what the buckets gave alone
-    for at in range(0, len(queries), 64):
-        i, j = np.nonzero(hit[at : at + 64])
-        near = POPCOUNT[queries[at + i] ^ codes[j]].sum(axis=1, dtype=np.int64) <= radius
-        hit[at + i, j] = near
-    return hit
-
-
-def best(query_ids, queries, ids, rows, allowed: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k rows of largest inner product for each query among the allowed ones, ties to smaller ids."""
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(queries)):
-        some = np.flatnonzero(allowed[i] & (ids != query_ids[i]))
-        n = len(some)
-        if not n:
+    width = min(WIDTH, max(1, axes.shape[1] - 1))
+    blocks = []
+    for _ in range(-(-MOST * BITS // width)):
+        # the directions of largest variance, or as many mixtures of all if there are more
+        some = axes[:, ::-1] if axes.shape[1] <= WIDTH + 1 else axes @ np.linalg.qr(rng.normal(size=(axes.shape[1], width)))[0]
+        some = some[:, :width]
+        flat = (lifted[rng.permutation(len(lifted))[:2048]] - mean) @ some
+        turn, _ = np.linalg.qr(rng.normal(size=(width, width)))
+        for _ in range(rounds):
+            u, _, w = np.linalg.svd(np.sign(flat @ turn).T @ flat)
+            turn = (u @ w).T
+        blocks.append(some @ turn)
+    return Coder(mean, np.concatenate(blocks, axis=1)[:, : MOST * BITS], norm)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each substring."""
+    return np.bitwise_count(a ^ b)
+
+
+def calibrated(coder: Coder, queries: np.ndarray, near: np.ndarray, n: int, asked: int) -> bool:
+    """Set reach, parts and radius from pairs of queries and true neighbours; False where no setting finds WANTED.
+
+    The cost of a setting: bytes of the index rows, probes, and rows that random codes would retrieve.
+    """
+    far = distances(coder.queries(queries), coder.rows(near))
+    best = None
+    for reach in range(FAR + 1):
+        share = np.logical_or.accumulate(far <= reach, axis=1).mean(axis=0)
+        enough = np.flatnonzero(share >= WANTED)
+        if len(enough):
+            parts = int(enough[0]) + 1
+            probes = sum(comb(BITS, i) for i in range(reach + 1))
+            cost = parts * (n * (16 + 2 * parts) * 2e-8 + asked * probes * (1e-8 + 1e-6 * n / 2**BITS))
+            if best is None or cost < best[0]:
+                best = cost, reach, parts
+    if best is None:
+        return False
+    _, coder.reach, coder.parts = best
+    kept = far[:, : coder.parts]
+    hit = (kept <= coder.reach).any(axis=1)
+    whole = kept.sum(axis=1, dtype=np.int64)
+    coder.radius = max(coder.parts * (coder.reach + 1) - 1, int(np.quantile(whole[hit], KEPT, method="higher")))
+    coder.recall = float((hit & (whole <= coder.radius)).mean())
+    return True
+
+
+def masks(bits: int, reach: int) -> np.ndarray:
+    """All patterns of at most ``reach`` set bits."""
+    return np.array([sum(1 << i for i in some) for k in range(min(reach, bits) + 1) for some in combinations(range(bits), k)], dtype=np.int64)
+
+
+def probed(coder: Coder, part: int, prefix: int, lead: int, rows: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places in queries, places in rows) of one cell: rows in a probed bucket, by runs of queries.
+
+    The cell holds the rows whose substring ``part`` begins with the ``lead`` bits of ``prefix``.
+    """
+    low = BITS - lead
+    values = rows[:, part].astype(np.int64) & ((1 << low) - 1)
+    order = np.argsort(values, kind="stable")
+    starts = np.searchsorted(values[order], np.arange((1 << low) + 1))
+    asked = queries[:, part].astype(np.int64)
+    away = np.bitwise_count((asked >> low) ^ prefix)
+    for gap in np.unique(away).tolist():
+        if gap > coder.reach:
             continue
-        line = rows[some] @ queries[i]
-        least = np.partition(line, n - k)[n - k] if n > k else -np.inf
-        near = some[line >= least - 1e-9]
-        exact = (rows[near] * queries[i]).sum(axis=1)  # the same order of sums for every row, so that equal vectors tie
-        pick = np.lexsort((ids[near], -exact))[:k]
-        out_q += [int(query_ids[i])] * len(pick)
-        out_v += ids[near][pick].tolist()
-        out_s += exact[pick].tolist()
-    return out_q, out_v, out_s
-
-
-def _matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and vectors of a cell's side, repeated rows once, by id."""
-    ids = table.column("vec_id").to_numpy()
-    flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(ids), dim)
-    if not len(ids):
-        return ids, x
-    _, once = np.unique(np.column_stack([ids, x.view(np.int64)]), axis=0, return_index=True)
-    once = once[np.argsort(ids[once], kind="stable")]
-    return ids[once], x[once]
+        some, probes = np.flatnonzero(away == gap), masks(low, coder.reach - gap)
+        step = max(1, (1 << 20) // len(probes))
+        for at in range(0, len(some), step):
+            run = some[at : at + step]
+            wanted = (asked[run] & ((1 << low) - 1))[:, None] ^ probes[None, :]
+            first, size = starts[wanted].ravel(), (starts[wanted + 1] - starts[wanted]).ravel()
+            full = np.flatnonzero(size)
+            first, size, who = first[full], size[full], np.repeat(run, len(probes))[full]
+            # as many pairs at a time as memory allows
+            ends = np.cumsum(size)
+            cuts = np.searchsorted(ends, np.arange(1 << 21, int(ends[-1]) if len(ends) else 0, 1 << 21)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]):
+                n = size[a:z]
+                if len(n):
+                    steps = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    yield np.repeat(who[a:z], n), order[np.repeat(first[a:z], n) + steps]
+
+
+def kept(coder: Coder, part: int, rows: np.ndarray, queries: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which retrieved pairs lie within the radius and were not retrieved by an earlier substring."""
+    far = distances(queries[i], rows[j])
+    return (far.sum(axis=1, dtype=np.int64) <= coder.radius) & (far[:, :part] > coder.reach).all(axis=1)
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The first ``dim`` components of each vector, zeros where there are fewer."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == dim).all():
+        return flat.reshape(len(sizes), dim)
+    out = np.zeros((len(sizes), dim))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row[place < dim], place[place < dim]] = flat[place < dim]
+    return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part."""
+    """vec_id and embedding of the rows that take part, repeated rows once."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return kept.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)).distinct()
 
 
-def _search(index: DataFrame, queries: DataFrame, coder, dim: int, k: int, radius: int | None, sizes: tuple[int, int]) -> DataFrame:
-    """At most k rows for each query and cell."""
-    blocks, asked = (max(1, ceil(n / size)) for n, size in zip(sizes, (INDEX_BLOCK, QUERY_BLOCK)))
+def classes(rows: DataFrame, label: str) -> DataFrame:
+    """Equal vectors as one row: a number of its own, the smallest vec_id, how many, the vector."""
+    found = rows.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    return written(found.select(F.monotonically_increasing_id().alias("number"), "first", "copies", "embedding"), label)
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def some_of(frame: DataFrame, n: int, wanted: int) -> DataFrame:
+    """About ``wanted`` of the n classes, the same in every run over the same vectors."""
+    rate = min(1.0, 1.1 * wanted / max(n, 1))
+    return frame.where(F.pmod(F.xxhash64("first", "embedding"), F.lit(1 << 30)) < int(rate * (1 << 30))).limit(wanted)
+
+
+def true_neighbours(index: DataFrame, queries: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a few queries: pairs of a query and one of its k nearest other vectors, as two matrices."""
+    told = index.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = told.value
+        best, names = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1, np.int64)
+        for batch in batches:
+            x = matrix(batch.column(1), dim)
+            score = asked @ x.T
+            for i, vector in enumerate(asked):
+                score[i, (x == vector).all(axis=1)] = -np.inf
+            score = np.concatenate([best, score], axis=1)
+            all_names = np.concatenate([names, np.tile(batch.column(0).to_numpy(), (len(asked), 1))], axis=1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            best, names = np.take_along_axis(score, top, axis=1), np.take_along_axis(all_names, top, axis=1)
+        i, j = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(names[i, j]), pa.array(best[i, j])], names=["q", "number", "score"])
+
+    found = mapped(index.select("number", "embedding"), run, "q int, number long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "number")
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    rows = found.join(index.select("number", "embedding"), "number").select("q", "embedding").collect()  # TRUTH * k rows at most
+    near = matrix(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())), dim)
+    return queries[[r["q"] for r in rows]], near
+
+
+def _coded(coder, dim: int, lead: int, asking: bool):
+    """Index rows (or the cells that a query visits): cell, number and the whole code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = coder.value
-        ids, rows = _matrix(left, dim)
-        query_ids, q = _matrix(right, dim)
-        out: tuple[list, list, list] = ([], [], [])
-        if len(ids) and len(query_ids):
-            codes = model.rows(rows)
-            for at in range(0, len(q), 512):
-                part = slice(at, at + 512)
-                allowed = np.ones((len(q[part]), len(ids)), bool) if radius is None else within(model.queries(q[part]), codes, radius)
-                for whole, some in zip(out, best(query_ids[part], q[part], ids, rows, allowed, k)):
-                    whole.extend(some)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        near = masks(lead, model.reach) if asking else np.zeros(1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                x = matrix(some.column(1), dim)
+                codes = model.queries(x) if asking else model.rows(x)
+                n, parts = codes.shape
+                prefix = codes.astype(np.int64) >> (BITS - lead)
+                cells = ((np.arange(parts) << lead) | prefix)[:, :, None] ^ near
+                numbers = np.repeat(some.column(0).to_numpy(), parts * len(near))
+                raw = np.repeat(codes, parts * len(near), axis=0)
+                binary = pa.Array.from_buffers(pa.binary(2 * parts), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), pa.array(numbers), binary], names=["cell", "number", "code"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (cell, i, j): cells of very many rows or queries in blocks of both."""
+    large = lambda frame, name: frame.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CELL).select("cell", F.ceil(F.col("n") / CELL).cast("int").alias(name))
+    blocks = large(rows, "r").join(large(asked, "a"), "cell", "full").select("cell", F.coalesce("r", F.lit(1)).alias("r"), F.coalesce("a", F.lit(1)).alias("a"))
+    blocks = written(blocks, "large-cells")
+
+    def side(frame: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        out = frame.join(blocks, "cell", "left")
+        block = F.coalesce(F.pmod(F.xxhash64("number"), F.col(own)).cast("int"), F.lit(0))
+        everywhere = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other) - 1, F.lit(0))))
+        return out.withColumn(mine, block).withColumn(theirs, everywhere).select("cell", "i", "j", "number", "code")
+
+    return side(rows, "r", "a", "i", "j"), side(asked, "a", "r", "j", "i")
+
+
+def retrieved(index: DataFrame, asked: DataFrame, coder, dim: int, n: int) -> DataFrame:
+    """Pairs (q, c) of a query class and an index class that probing retrieves within the radius."""
+    lead = max(0, min(BITS - 4, int(np.ceil(np.log2(max(n, 1) / CELL)))))
+    schema = "cell int, number long, code binary"
+    rows = mapped(index.select("number", "embedding"), _coded(coder, dim, lead, False), schema)
+    queries = mapped(asked.select("number", "embedding"), _coded(coder, dim, lead, True), schema)
+    rows, queries = _dealt(rows, queries)
 
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("q", spread(asked))
-    right = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int")).withColumn("b", spread(blocks))
-    return left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(cell, FOUND)
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, out = coder.value, []
+        if left.num_rows and right.num_rows:
+            name = left.column("cell")[0].as_py()
+            part, prefix = name >> lead, name & ((1 << lead) - 1)
+            codes, wanted = (np.frombuffer(b"".join(side.column("code").to_pylist()), np.uint16).reshape(-1, model.parts) for side in (left, right))
+            for i, j in probed(model, part, prefix, lead, codes, wanted):
+                near = kept(model, part, codes, wanted, i, j)
+                out.append((i[near], j[near]))
+        i, j = (np.concatenate([x[side] for x in out] or [np.empty(0, np.int64)]) for side in (0, 1))
+        q, c = right.column("number").to_numpy(), left.column("number").to_numpy()
+        return pa.table({"q": pa.array(q[i], pa.int64()), "c": pa.array(c[j], pa.int64())})
+
+    return rows.groupBy("cell", "i", "j").cogroup(queries.groupBy("cell", "i", "j")).applyInArrow(cell, PAIRS)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def compared(index: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> DataFrame:
+    """Pairs (q, c) of each query and its best k + 1 classes of every block of rows: the exact way."""
+    rows, queries = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list] = ([], [])
+        if left.num_rows and right.num_rows:
+            sides = [t.column("embedding").combine_chunks() for t in (left, right)]
+            dim = max(int(np.max(s.value_lengths().to_numpy(zero_copy_only=False))) for s in sides)
+            x, asking = (matrix(s, dim) for s in sides)
+            c, q = (t.column("number").to_numpy() for t in (left, right))
+            for at in range(0, len(q), 256):
+                score = asking[at : at + 256] @ x.T
+                least = np.partition(score, max(0, score.shape[1] - k - 1), axis=1)[:, max(0, score.shape[1] - k - 1)]
+                i, j = np.nonzero(score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
+                out[0].append(q[at + i])
+                out[1].append(c[j])
+        return pa.table({name: pa.array(np.concatenate(x or [np.empty(0, np.int64)]), pa.int64()) for name, x in zip(("q", "c"), out)})
+
+    block = lambda of: F.pmod(F.xxhash64("number"), F.lit(of)).cast("int")
+    spread = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = index.select("number", "embedding").withColumn("i", block(rows)).withColumn("j", spread(queries))
+    right = asked.select("number", "embedding").withColumn("j", block(queries)).withColumn("i", spread(rows))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, PAIRS)
+
+
+def product(a: Column, b: Column) -> Column:
+    """Inner product in double precision, components in order; missing ones count as zero."""
+    terms = F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0)))
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+
+def ranked(pairs: DataFrame, index: DataFrame, asked: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest vectors of every query from pairs of classes."""
+    best = lambda frame, tie: frame.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), tie))).where(F.col("place") <= k + 1)
+    right = index.select(F.col("number").alias("c"), "first", "copies", F.col("embedding").alias("x"))
+    left = asked.select(F.col("number").alias("q"), F.col("embedding").alias("y"))
+    scored = pairs.join(right, "c").join(left, "q").select("q", "first", "c", "copies", product(F.col("x"), F.col("y")).alias("score"))
+    scored = best(scored, "first").drop("place")
+    # members of classes of several: the k + 1 smallest ids stand for all
+    several = index.where("copies > 1").select(F.col("number").alias("c"), "embedding")
+    members = rows.join(several, "embedding").select("c", "vec_id")
+    members = members.withColumn("nth", F.row_number().over(Window.partitionBy("c").orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
+    each = scored.join(members, "c", "left").select("q", F.coalesce("vec_id", "first").alias("vec_id"), "score")
+    lists = best(each, "vec_id").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))  # k + 1 at most
+    # queries of one vector share a list; many of them are dealt over several tasks
+    salts = lambda n: F.ceil(n / CELL).cast("int")
+    shared = lists.join(asked.select(F.col("number").alias("q"), "copies"), "q").withColumn("salt", F.explode(F.sequence(F.lit(0), salts(F.col("copies")) - 1))).drop("copies")
+    who = queries.join(asked.select(F.col("number").alias("q"), "copies", "embedding"), "embedding").select("q", F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vec_id"), salts(F.col("copies"))).cast("int").alias("salt"))
+    own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    found = who.join(shared, ["q", "salt"]).select("query_id", F.posexplode(own).alias("rank", "b"))
+    return found.select("query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score")
+
+
+def fitted(index: DataFrame, asked: DataFrame, n: int, m: int, dim: int, k: int, sample: int = SAMPLE) -> Coder | None:
+    """A coder of the whole table, or None where no setting reaches WANTED."""
+    norm = index.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
+    pull = lambda frame, of, wanted: matrix(pa.array([r["embedding"] for r in some_of(frame, of, wanted).select("embedding").collect()], pa.list_(pa.float64())), dim)
+    x, queries = pull(index, n, sample), pull(asked, m, TRUTH)
+    if not len(x) or not len(queries):
+        return None
+    coder = rotations(x, norm)
+    pairs = true_neighbours(index, queries, dim, k)
+    return coder if len(pairs[0]) and calibrated(coder, *pairs, n, m) else None
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest vectors."""
     spark = vectors.sparkSession
-    dims = usable(vectors).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dims["dim"]
-    index = usable(vectors).where(F.size("embedding") == dim)
-    asked = usable(queries).where(F.size("embedding") == dim)
-    n, m = dims["count"], asked.count()
-    norm = index.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
-    drawn = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    coder = fit(np.array([r["embedding"] for r in drawn], dtype=np.float64), k, norm=norm)
-    told = spark.sparkContext.broadcast(coder)
-    found = written(_ranked(_search(index, asked, told, dim, k, coder.radius, (n, m)), k), "neighbours")
-    have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
-    short = asked.join(have, asked["vec_id"] == have["query_id"], "left").where(F.coalesce("have", F.lit(0)) < min(k, n - 1)).select("vec_id", "embedding")
-    short = written(short, "short-queries")
-    few = short.count()
-    if not few:
-        return found
-    rest = _ranked(_search(index, short, told, dim, k, None, (n, few)), k)
-    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+    rows, who = usable(vectors), usable(queries)
+    index, asked = classes(rows, "vector-classes"), classes(who, "query-classes")
+    sizes = index.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).orderBy(F.desc("n"), "dim")
+    m = asked.count()
+    dims = sizes.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(F.struct("n", -F.col("dim"))).alias("most")).first()
+    if not m or not dims["n"]:
+        return spark.createDataFrame([], RESULT)
+    n, dim = dims["n"], -dims["most"][1]
+    coder = fitted(index, asked, n, m, dim, k, sample)
+    if coder is None:
+        pairs = compared(index, asked, n, m, k)
+    else:
+        pairs = written(retrieved(index, asked, spark.sparkContext.broadcast(coder), dim, n), "neighbour-pairs")
+        copies = index.where("copies > 1").select(F.col("number").alias("c"), "copies")
+        have = pairs.join(copies, "c", "left").groupBy("q").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("have"))
+        enough = have.where(F.col("have") >= min(k + 1, dims["rows"])).select(F.col("q").alias("number"))
+        short = written(asked.join(enough, "number", "left_anti"), "short-queries")
+        few = short.count()
+        if few:
+            rest = compared(index, short, n, few, k)
+            pairs = pairs.join(short.select(F.col("number").alias("q")), "q", "left_anti").unionByName(rest)
+    return ranked(pairs, index, asked, rows, who, k)
 
 
 def op10_multi_index_hashing(spark, sf_dir: str) -> DataFrame:

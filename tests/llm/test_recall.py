@@ -1,4 +1,4 @@
-"""Recall of the neighbour search where the sample is a part of the table and norms are uneven."""
+"""Recall of the neighbour search on a table larger than the sample, with uneven norms, and what it costs."""
 
 import numpy as np
 
@@ -9,32 +9,28 @@ def uneven(n=20_000, dim=64, seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(200, dim))
     x = (centres[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, dim))) * rng.uniform(0.5, 2, size=(n, 1))
-    x[neighbours.SAMPLE + 5] *= 12  # an unseen long vector
+    x[neighbours.SAMPLE + 5] *= 12  # a long vector
     return x
 
 
-def recall(coder, x, k=20):
-    asked = x[::100]
-    score = asked @ x.T
-    score[np.arange(len(asked)), np.arange(0, len(x), 100)] = -np.inf
-    top = np.argsort(-score, axis=1)[:, :k]
-    hit = neighbours.within(coder.queries(asked), coder.rows(x), coder.radius)
-    # as in the search: a query with fewer than k hits is searched without a radius
-    return np.where((hit.sum(axis=1) < k + 1)[:, None], True, np.take_along_axis(hit, top, axis=1)).mean()
-
-
-def test_recall_with_an_unseen_long_vector(spark):
+def test_recall_and_probed_share_with_uneven_norms(spark):
     x = uneven()
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:300])], "vec_id long, embedding array<double>")
-    norm = float(np.sqrt((x**2).sum(axis=1).max()))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
     seen = []
-    original = neighbours.fit
+    original = neighbours.fitted
     try:
-        neighbours.fit = lambda *a, **more: seen.append(original(*a, **more)) or seen[-1]
-        neighbours.nearest(frame, frame.where("vec_id < 3"), sample=50)
+        neighbours.fitted = lambda *a, **more: seen.append(original(*a, **more)) or seen[-1]
+        found = neighbours.nearest(frame, frame.where("vec_id % 100 = 0")).select("query_id", "vec_id").toPandas()
     finally:
-        neighbours.fit = original
-    whole = float(np.sqrt((x[:300] ** 2).sum(axis=1).max()))
-    refitted = original(np.array([v.tolist() for v in x[:50]]), norm=whole).norm
-    assert abs(seen[0].norm - whole) < 1e-9 and abs(refitted - whole) < 1e-9
-    assert recall(original(x[: neighbours.SAMPLE], norm=norm), x) >= 0.9
+        neighbours.fitted = original
+    coder = seen[0]
+    assert abs(coder.norm - float(np.sqrt((x**2).sum(axis=1).max()))) < 1e-9
+    got = {q: set(g) for q, g in found.groupby("query_id")["vec_id"]}
+    codes, hits, share = coder.rows(x), [], []
+    for q in range(0, len(x), 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+        share.append((neighbours.distances(coder.queries(x[q : q + 1]), codes) <= coder.reach).any(axis=1).mean())
+    assert np.mean(hits) >= 0.9
+    assert np.mean(share) < 0.25

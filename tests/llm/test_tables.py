@@ -246,8 +246,59 @@ def test_neighbours_of_few_vectors(spark):
     assert neighbours.nearest(one, one).count() == 0
 
 
+def retrieved_pairs(coder, lead, codes, asked):
+    """What all cells of all substrings retrieve, and what of it is kept."""
+    every, kept = set(), []
+    for part in range(coder.parts):
+        for prefix in range(1 << lead):
+            rows = np.flatnonzero(codes[:, part].astype(int) >> (neighbours.BITS - lead) == prefix)
+            for i, j in neighbours.probed(coder, part, prefix, lead, codes[rows], asked):
+                every |= set(zip(i.tolist(), rows[j].tolist()))
+                near = neighbours.kept(coder, part, codes[rows], asked, i, j)
+                kept += zip(i[near].tolist(), rows[j[near]].tolist())
+    return every, kept
+
+
 def test_probing_retrieves_every_code_within_the_radius():
     rng = np.random.default_rng(5)
-    codes, queries = rng.integers(0, 256, (400, 8), dtype=np.uint8), rng.integers(0, 256, (30, 8), dtype=np.uint8)
-    for radius in (0, 5, 7, 8, 15, 22, 28, 40):
-        assert (neighbours.within(queries, codes, radius) == (neighbours.hamming(queries, codes) <= radius)).all()
+    base = rng.integers(0, 1 << 16, (8, 6), dtype=np.uint16)
+    flips = np.packbits(rng.random((400, 6, 16)) < rng.uniform(0, 0.5, (400, 1, 1)), axis=2).view(np.uint16).reshape(400, 6)
+    codes, queries = base[rng.integers(0, 8, 400)] ^ flips, base.copy()
+    far = neighbours.distances(queries[:, None], codes[None])
+    for reach, lead in ((0, 0), (1, 3), (2, 0), (2, 5), (3, 4)):
+        coder = neighbours.Coder(None, None, 1.0, reach, 6, 6 * (reach + 1) + 8)
+        every, kept = retrieved_pairs(coder, lead, codes, queries)
+        assert every == {(i, j) for i, j in np.argwhere((far <= reach).any(axis=2)).tolist()}  # no pair outside the buckets
+        within = {(i, j) for i, j in np.argwhere(far.sum(axis=2) <= 6 * (reach + 1) - 1).tolist()}
+        assert within and within <= set(kept)  # pigeonhole
+        assert len(kept) == len(set(kept)) and set(kept) == {(i, j) for i, j in every if far[i, j].sum() <= coder.radius}
+
+
+def test_large_cells_are_dealt_as_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 1200)] + 0.05 * rng.normal(size=(1200, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    told = lambda: sorted(tuple(r) for r in neighbours.nearest(frame, frame.where("vec_id % 20 = 0")).collect())
+    whole = told()
+    monkeypatch.setattr(neighbours, "CELL", 30)
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    dealt = told()
+    expected = brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], 20)
+    for found in (whole, dealt):
+        assert len(found) == 20 * len(expected)
+        assert sum(v in {w for w, _ in expected[q]} for q, _, v, _ in found) >= 0.9 * len(found)
+
+
+def test_vectors_of_several_lengths_take_part(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5 + i % 2 * 6).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    padded = [(i, (v + [0.0] * 11)[:11]) for i, v in rows]
+    found = defaultdict(list)
+    for r in neighbours.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    expected = brute_nearest(padded, 20)
+    scores = {(q, v): s for q in expected for v, s in ((j, float(np.dot(dict(padded)[q], x))) for j, x in padded)}
+    assert found.keys() == expected.keys()
+    assert all(abs(scores[q, v] - s) < 1e-9 for q, some in found.items() for _, v, s in some)
+    assert sum(v in {w for w, _ in expected[q]} for q, some in found.items() for _, v, _ in some) >= 0.9 * 20 * len(expected)
