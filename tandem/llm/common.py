@@ -123,3 +123,22 @@ def possible_members(rows: DataFrame, column: str, ids: DataFrame, mark: str = "
     byte = F.conv(F.hex(F.col("__bitmap_bits").substr(F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.getbit(byte, low % 8) == 1
     return found.withColumn(mark, F.coalesce(bit & F.col(column).isNotNull(), F.lit(False))).drop("__bitmap_bucket", "__bitmap_bits")
+
+
+#: A key is frequent from this part of all rows on, and from so many rows: there are at most FREQUENT such keys.
+FREQUENT, FREQUENT_ROWS = 4096, 1024
+
+
+def by_key(rows: DataFrame, found: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row for each key and in ``size`` about how many of ``rows`` have it.
+
+    Frequent keys are at most FREQUENT in number, whatever the input, so their side is
+    broadcast and their rows stay where they are; all other keys are joined by a shuffle.
+    """
+    told = found.agg(F.sum(size).alias("all"), F.max(size).alias("most")).first()
+    cut = max(FREQUENT_ROWS, (told["all"] or 0) // FREQUENT)
+    if (told["most"] or 0) <= cut:
+        return rows.join(found.drop(size), keys, how)
+    many = F.broadcast(found.where(F.col(size) > cut).drop(size))
+    rest = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(found.where(F.col(size) <= cut).drop(size), keys, how)
+    return rows.join(many, keys).unionByName(rest)

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Every step is a grouped minimum, combined before the shuffle, and a join back on the same
-key, which adaptive execution splits where a node has very many edges. Nothing about the
-nodes reaches the driver but whether the edges rest.
+key; nodes with very many edges get their minimum by a broadcast of bounded size instead.
+Nothing about the nodes reaches the driver but whether the edges rest, and how many edges
+the busiest node has.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import FREQUENT_ROWS, by_key, written
 
 
 def _lower(edges: DataFrame) -> DataFrame:
@@ -18,15 +19,19 @@ def _lower(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, busy: bool) -> DataFrame:
+    return by_key(rows, least, ["a"], "n") if busy else rows.join(least.drop("n"), "a")
+
+
+def _large_star(edges: DataFrame, busy: bool) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _with_least(both, least, busy).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    near = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, busy: bool) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    near = _with_least(edges, least, busy).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -45,6 +50,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = written(_lower(edges.where("a IS NOT NULL AND b IS NOT NULL")), "edges")
     while not _rests(edges):
-        stars = written(_lower(_large_star(edges)), "edges")
-        edges = written(_lower(_small_star(stars)), "edges")
+        busy = edges.count() > FREQUENT_ROWS
+        stars = written(_lower(_large_star(edges, busy)), "edges")
+        edges = written(_lower(_small_star(stars, busy)), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

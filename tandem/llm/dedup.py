@@ -8,11 +8,16 @@
 3. BAND registers together are a bucket key. Inside a bucket the joint maximum-likelihood
    estimate of the Jaccard similarity (from the numbers of greater, smaller and equal
    registers and the set sizes) leaves out clearly different sets; a bucket gives back a
-   spanning forest of what is left, never all pairs. Large buckets are dealt as blocks.
-4. Connected components of those forests are the families of candidates. Each family (in
-   blocks, if large) is checked on the full sets, again giving back a spanning forest.
+   spanning forest of what is left, never all pairs.
+4. Connected components of those forests are the families of candidates. Each family is
+   checked on the full sets, again giving back a spanning forest.
 5. Connected components of the confirmed links are the result.
 
+Large buckets and families are dealt in blocks, bounded in rows and in shingles, with some
+leaders in every block (see ``spanning``); only members that stay apart from most of their
+family after that are compared with all blocks, so texts of a large group of near copies
+are moved about once.
+
 The least similarity is a parameter in hundredths: ``LEAST`` is the contract of operator 3,
 ``STAGE_LEAST`` the rule of near-duplicate stages. Two sets of equal size miss every band
 with a chance of 2e-7 at 0.85 and of 2.5e-5 at 0.80, and an estimate lies ``MARGIN`` below
@@ -21,7 +26,8 @@ the truth with a chance of about 3e-6 and 3e-5 (one and nine of 300,000 simulate
 Defined results: a null text, or one without words, has no shingles, links with nothing and
 is kept; fewer than five words are one shingle; a null doc_id is kept, has a null
 component_id and links with nothing; rows that share a doc_id are one document in the
-graph; repeated rows give repeated results; further columns are ignored; an empty table
+graph, whose links are those of all its texts; very long texts are hashed in blocks of
+words, whole; repeated rows give repeated results; further columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -35,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mapped, possible_members, written
+from .common import by_key, mapped, possible_members, written
 from .components import connected
 
 WORDS, LEAST, STAGE_LEAST = 5, 85, 80  # shingle length; similarities in hundredths
@@ -44,10 +51,13 @@ M, BAND, BASE, RATE, TOP = 128, 5, 1.1, 20.0, 255
 BANDS = M // BAND
 MARGIN = 0.15
 #: Documents of a bucket or family that one task compares at once.
-BUCKET_BLOCK, FAMILY_BLOCK = 2048, 1024
+BUCKET_BLOCK, FAMILY_BLOCK, LEADERS = 2048, 1024, 16
+#: Shingles of a block's rows together, about; rows of cells that a task has, about.
+BLOCK_SHINGLES, TASK_ROWS = 1 << 20, 8192
 WORD_BLOCK = 1 << 16
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, registers binary"
+CELLS = ("i", "j", "rep", "asks", "part", "n", "registers")
 
 
 @lru_cache(maxsize=1)
@@ -146,19 +156,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             some = batch.slice(at, 512)
-            sets = [shingles(t) for t in some.column(1).to_pylist()]
+            sets = [shingles(t) for t in some.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             raw = registers(full).tobytes() if full else b""
             rows = iter([raw[i : i + M] for i in range(0, len(raw), M)])
             digests = [np.frombuffer(hashlib.md5(s.tobytes()).digest(), "<i8") for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.array([next(rows) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "registers"],
+                [some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()), pa.array([next(rows) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "registers"],
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sketches, SKETCH)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), _sketches, SKETCH)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,63 +177,40 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, M)[:, : BANDS * BAND].reshape(n, BANDS, BAND)
+        regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, M)[:, : BANDS * BAND].reshape(n, BANDS, BAND)
         keys = _mix((regs.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], names=["rep", "band"])
-
-
-class Forest:
-    """Union-find over positions; the smallest root wins."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-    def stars(self, names: list[int]) -> list[tuple[int, int]]:
-        """An edge from each joined position to the smallest name of its tree."""
-        roots = [self.root(i) for i in range(len(names))]
-        least: dict[int, int] = {}
-        for r, name in zip(roots, names):
-            least[r] = min(name, least.get(r, name))
-        return [(name, least[r]) for r, name in zip(roots, names) if name != least[r]]
-
-
-def _likely(regs: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, wanted: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (left x right, each once) whose estimate comes near the wanted similarity; their estimates."""
-    out_i, out_j, out_e = [], [], []
-    least = wanted / 100 - MARGIN
-    same = left is right
-    for k, i in enumerate(left):
-        rest = right[k + 1 :] if same else right
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), BANDS)) for i in range(2)), pa.array(keys.ravel())], names=["c", "rep", "band"])
+
+
+def _linked(regs: np.ndarray, sizes: np.ndarray, asks: np.ndarray, labels: np.ndarray, least: int, confirm=None) -> list[tuple[int, int]]:
+    """Places of linked rows, a spanning forest; ``labels`` name what is connected, before and after.
+
+    A row is compared only with rows that nothing connects it with so far: in a group of near
+    copies the first row connects nearly all. Estimates decide; ``confirm``, if given, after them.
+    """
+    found = []
+    margin = least / 100 - MARGIN
+    left = right = np.arange(len(labels))
+    if asks.any():
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    for k, i in enumerate(left.tolist()):
+        rest = right if asks.any() else right[k + 1 :]
+        rest = rest[labels[rest] != labels[i]]
+        # sets of too different sizes can't be similar
+        rest = rest[100 * np.minimum(sizes[i], sizes[rest]) >= least * np.maximum(sizes[i], sizes[rest])]
         if not len(rest):
             continue
-        # sets of too different sizes can't be similar
-        a, b = sizes[i], sizes[rest]
-        rest = rest[100 * np.minimum(a, b) >= wanted * np.maximum(a, b)]
-        equal = (regs[rest] == regs[i]).sum(axis=1)
-        rest = rest[equal >= M * (least - 0.05)]
-        if len(rest):
-            out_i.append(np.full(len(rest), i))
-            out_j.append(rest)
-    if not out_i:
-        none = np.empty(0, np.int64)
-        return none, none, none.astype(float)
-    i, j = np.concatenate(out_i), np.concatenate(out_j)
-    for at in range(0, len(i), 1 << 14):
-        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-        greater, smaller = (regs[a] > regs[b]).sum(axis=1), (regs[a] < regs[b]).sum(axis=1)
-        out_e.append(estimate(greater, smaller, sizes[a], sizes[b]))
-    e = np.concatenate(out_e)
-    near = e >= least
-    return i[near], j[near], e[near]
+        rest = rest[(regs[rest] == regs[i]).sum(axis=1) >= M * (margin - 0.05)]
+        if not len(rest):
+            continue
+        greater, smaller = (regs[rest] < regs[i]).sum(axis=1), (regs[rest] > regs[i]).sum(axis=1)
+        e = estimate(greater, smaller, np.full(len(rest), sizes[i]), sizes[rest])
+        order = np.argsort(-e, kind="stable")
+        for j in rest[order[e[order] >= margin]].tolist():
+            if labels[i] != labels[j] and (confirm is None or confirm(i, j)):
+                labels[labels == labels[j]] = labels[i]
+                found.append((i, j))
+    return found
 
 
 def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -257,90 +244,120 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _bucket_forests(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
-    """(band, i, j, block, rep, n, registers) sorted by cell -> edges among likely similar classes."""
-    pairs: list[tuple[int, int]] = []
-    for cell in _cells(batches, 3):
-        reps, sizes, blocks = _column(cell, 4), np.array(_column(cell, 5)), np.array(_column(cell, 3))
-        if len(reps) < 2:
-            continue
-        regs = np.frombuffer(b"".join(_column(cell, 6)), np.uint8).reshape(len(reps), M)
-        i, j = cell[0].column(1)[0].as_py(), cell[0].column(2)[0].as_py()
-        left = np.flatnonzero(blocks == i)
-        right = left if i == j else np.flatnonzero(blocks == j)
-        forest = Forest(len(reps))
-        for a, b in zip(*(x.tolist() for x in _likely(regs, sizes, left, right, least)[:2])):
-            forest.join(a, b)
-        pairs += forest.stars(reps)
-        if len(pairs) > 10_000:
-            yield _edges(pairs)
-            pairs = []
-    yield _edges(pairs)
-
+def _forests(batches: Iterator[pa.RecordBatch], least: int = LEAST, exact: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of CELLS (and text), sorted by cell -> edges among similar rows, a spanning forest of each cell.
 
-def _confirm(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
-    """(family, i, j, block, rep, text) sorted by cell -> links confirmed on the full sets."""
+    Rows with ``asks`` are compared with all others; where no row asks, all are compared.
+    Rows of one ``part`` are known to be connected. ``exact``: links are confirmed on the full
+    sets; without it, estimates decide.
+    """
     pairs: list[tuple[int, int]] = []
     for cell in _cells(batches, 3):
-        reps, blocks = _column(cell, 4), np.array(_column(cell, 3))
+        reps = _column(cell, 3)
         if len(reps) < 2:
             continue
-        sets = [shingles(t) for t in _column(cell, 5)]
-        regs, sizes = registers(sets), np.array([len(s) for s in sets])
-        i, j = cell[0].column(1)[0].as_py(), cell[0].column(2)[0].as_py()
-        left = np.flatnonzero(blocks == i)
-        right = left if i == j else np.flatnonzero(blocks == j)
-        a, b, e = _likely(regs, sizes, left, right, least)
-        forest = Forest(len(reps))
-        for k in np.argsort(-e, kind="stable").tolist():
-            x, y = int(a[k]), int(b[k])
-            if forest.root(x) == forest.root(y):
-                continue
+        asks, parts, sizes = (np.array(_column(cell, i)) for i in (4, 5, 6))
+        regs = np.frombuffer(b"".join(_column(cell, 7)), np.uint8).reshape(len(reps), M)
+        texts = [t for part in cell for t in part.column(8)] if exact else []
+        sets: dict[int, np.ndarray] = {}
+
+        def confirm(x: int, y: int) -> bool:
+            for i in (x, y):
+                if i not in sets:
+                    sets[i] = shingles(texts[i].as_py())
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= least * (len(sets[x]) + len(sets[y]) - both):
-                forest.join(x, y)
-        pairs += forest.stars(reps)
+            return 100 * both >= least * (len(sets[x]) + len(sets[y]) - both)
+
+        pairs += [(reps[i], reps[j]) for i, j in _linked(regs, sizes, asks, parts, least, confirm if exact else None)]
         if len(pairs) > 10_000:
             yield _edges(pairs)
             pairs = []
     yield _edges(pairs)
 
 
-def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows with (i, j, block): groups above ``size`` rows are dealt as pairs of blocks, so that any two rows meet once or within a block."""
-    many = rows.groupBy(group).agg(F.count(F.lit(1)).alias("of")).where("of > 1").select(group, F.ceil(F.col("of") / size).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.join(many, group).withColumn("block", block).select("*", other.alias("other"))
-    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+def spanning(rows: DataFrame, group: str, attached, forests, block: int, label: str) -> DataFrame:
+    """Edges (a, b) that connect what ``forests`` links among rows (group, c, rep, n) of one group.
+
+    A group of more than ``block`` rows, or of very many shingles, is dealt in blocks, and
+    LEADERS of its rows join every block: in a group of near copies they connect all blocks,
+    each text is moved about once. Rows that are not connected with most of their group after
+    that are then compared with every block. ``attached`` adds registers (and texts) to cells.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("shingles")).where("of > 1")
+    blocks = F.greatest(F.ceil(F.col("of") / block), F.least("of", F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    sizes = written(sizes.select(group, "of", blocks.alias("blocks")), f"{label}-sizes")
+    placed = by_key(rows, sizes, [group], "of").withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    placed = written(placed.select(group, "i", "c", "rep", "blocks"), f"{label}-rows")
+    total = placed.count()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+
+    def edges(cells: DataFrame) -> DataFrame:
+        cells = attached(cells).repartition(tasks, group, "i", "j").sortWithinPartitions(group, "i", "j")
+        return mapped(cells, forests, "a long, b long")
+
+    alone = placed.select(group, "i", F.lit(0).alias("j"), "c", "rep", F.lit(False).alias("asks"), F.col("c").alias("part"))
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return edges(alone)
+    order = Window.partitionBy(group).orderBy(F.xxhash64("c", F.lit(1)), "c")
+    leaders = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEADERS)
+    guests = leaders.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> i")
+    guests = guests.select(group, F.col("at").alias("i"), F.lit(0).alias("j"), "c", "rep", F.lit(False).alias("asks"), F.col("c").alias("part"))
+    found = written(edges(alone.unionByName(guests)), f"{label}-edges")
+    links = connected(found).select(F.col("node").alias("rep"), "component")
+    large = large.join(links, "rep", "left").select(group, "i", "c", "rep", "blocks", F.coalesce("component", "rep").alias("part"))
+    large = written(large, f"{label}-large")
+    most = large.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("of"))
+    told = written(most.select(group, F.col("most.part").alias("main"), (F.col("of") - F.col("most.n")).alias("left"), "of").where("left > 0"), f"{label}-left")
+    if not told.limit(1).count():
+        return found
+    rest = by_key(large, told.withColumn("turns", F.ceil(F.col("left") / block).cast("int")), [group], "of")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    here = rest.withColumn("j", spread(F.col("turns"))).select(group, "i", "j", "c", "rep", F.lit(False).alias("asks"), "part")
+    asking = rest.where("part <> main").withColumn("j", F.pmod(F.xxhash64("c"), F.col("turns")).cast("int")).withColumn("i", spread(F.col("blocks")))
+    return found.unionByName(edges(here.unionByName(asking.select(group, "i", "j", "c", "rep", F.lit(True).alias("asks"), "part"))))
 
 
 def similar_classes(docs: DataFrame, told: DataFrame, least: int = LEAST) -> DataFrame:
-    """``node`` and ``component`` of classes of equal sets that link with another class."""
+    """Edges (a, b) between documents of classes of equal sets that are similar."""
     kept = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")
-    classes = written(kept.groupBy("d1", "d2").agg(first).select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.registers"), "classes")
-    bands = mapped(classes.select("rep", "registers"), _bands, "rep long, band long")
-    cells = _in_blocks(bands, "band", BUCKET_BLOCK).join(classes, "rep").select("band", "i", "j", "block", "rep", "n", "registers")
-    cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    family = connected(mapped(cells, partial(_bucket_forests, least=least), "a long, b long"))
-    members = written(family.select(F.col("component").alias("family"), F.col("node").alias("rep")).union(family.select(F.col("component").alias("family"), F.col("component").alias("rep")).distinct()), "families")
+    first = F.min(F.struct("doc_id", "text_hash", "n_shingles", "registers")).alias("r")
+    classes = kept.groupBy("d1", "d2").agg(first).select(F.monotonically_increasing_id().alias("c"), F.col("r.doc_id").alias("rep"), "r.text_hash", F.col("r.n_shingles").alias("n"), "r.registers")
+    classes = written(classes, "classes")
+    bands = mapped(classes.select("c", "rep", "registers"), _bands, "c long, rep long, band long")
+    sketch = classes.select("c", "n", "registers")
+    with_registers = lambda cells: cells.join(sketch, "c").select("band", *CELLS)
+    likely = spanning(bands.withColumn("n", F.lit(0)), "band", with_registers, partial(_forests, least=least), BUCKET_BLOCK, "buckets")
+    family = connected(likely)
+    family = written(family.select(F.col("component").alias("family"), F.col("node").alias("rep")).union(family.select("component", "component").distinct()), "families")
+    members = written(family.join(classes.select("c", "rep", "text_hash", "n"), "rep").select("family", "c", "rep", "text_hash", "n"), "members")
     # of the texts, read again, only those that may be members' are moved
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
-    texts = possible_members(texts, "rep", members.select("rep")).where("possible").drop("possible")
-    cells = _in_blocks(members, "family", FAMILY_BLOCK).select("family", "i", "j", "block", "rep").join(texts, "rep")
-    cells = cells.select("family", "i", "j", "block", "rep", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return connected(mapped(cells, partial(_confirm, least=least), "a long, b long"))
+    texts = possible_members(texts, "rep", members.select("rep")).where("possible").withColumn("text_hash", F.xxhash64("text")).drop("possible")
+    texts = written(texts.dropDuplicates(["rep", "text_hash"]).join(members.select("c", "rep", "text_hash"), ["rep", "text_hash"]).select("c", "text"), "member-texts")
+    with_texts = lambda cells: cells.join(sketch, "c").join(texts, "c").select("family", *CELLS, "text")
+    return spanning(members.select("family", "c", "rep", "n"), "family", with_texts, partial(_forests, least=least, exact=True), FAMILY_BLOCK, "families")
+
+
+def shared_ids(told: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes that rows of one doc_id with different texts belong to."""
+    kept = told.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2")
+    ends = kept.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("z"), F.count(F.lit(1)).alias("n"))
+    several = written(ends.where("a <> z").select("doc_id", "n"), "shared-ids")
+    if not several.limit(1).count():
+        return told.sparkSession.createDataFrame([], "a long, b long")
+    reps = kept.groupBy("d1", "d2").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    return by_key(by_key(kept, several, ["doc_id"], "n").distinct(), reps, ["d1", "d2"], "n").select(F.col("doc_id").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; ``least``: similarity in hundredths."""
     told = written(sketches(docs), "sketches")
+    links = connected(similar_classes(docs, told, least).unionByName(shared_ids(told)))
     classes = told.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    links = similar_classes(docs, told, least)
     moved = classes.join(links, classes["rep"] == links["node"], "left").withColumn("component_id", F.coalesce("component", "rep"))
-    moved = moved.where("size > 1 OR component IS NOT NULL").select("d1", "d2", "component_id")
-    found = told.drop("registers").join(moved, ["d1", "d2"], "left")
+    moved = written(moved.where("size > 1 OR component IS NOT NULL").select("d1", "d2", "size", "component_id"), "class-components")
+    found = by_key(told.select("doc_id", "n_shingles", "d1", "d2"), moved, ["d1", "d2"], "size", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 from .common import mapped, written
 
 #: Rows that fit the rotations; queries whose true neighbours set reach, parts and radius; their wanted share.
-SAMPLE, TRUTH, WANTED, KEPT = 8192, 64, 0.95, 0.97
+SAMPLE, TRUTH, WANTED, KEPT = 8192, 64, 0.97, 0.94
 #: Bits of a substring; directions of a rotation; substrings and bits of difference at most.
 BITS, WIDTH, MOST, FAR = 16, 64, 48, 5
 #: Rows (or queries) of one cell that a task compares at once; those of a block of the exact way.
@@ -196,7 +196,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part, repeated rows once."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)).distinct()
 
 
@@ -328,7 +328,7 @@ def compared(index: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> Data
 
 def product(a: Column, b: Column) -> Column:
     """Inner product in double precision, components in order; missing ones count as zero."""
-    terms = F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0)))
+    terms = F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0)))
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
@@ -356,7 +356,7 @@ def ranked(pairs: DataFrame, index: DataFrame, asked: DataFrame, rows: DataFrame
 
 def fitted(index: DataFrame, asked: DataFrame, n: int, m: int, dim: int, k: int, sample: int = SAMPLE) -> Coder | None:
     """A coder of the whole table, or None where no setting reaches WANTED."""
-    norm = index.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()[0] ** 0.5
+    norm = index.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
     pull = lambda frame, of, wanted: matrix(pa.array([r["embedding"] for r in some_of(frame, of, wanted).select("embedding").collect()], pa.list_(pa.float64())), dim)
     x, queries = pull(index, n, sample), pull(asked, m, TRUTH)
     if not len(x) or not len(queries):

@@ -90,12 +90,60 @@ def test_no_documents(spark):
 def test_large_buckets_and_families_are_dealt_as_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BUCKET_BLOCK", 4)
     monkeypatch.setattr(dedup, "FAMILY_BLOCK", 5)
+    monkeypatch.setattr(dedup, "LEADERS", 1)
     rows = near_copies(10)
     found = dedup.near_duplicates(documents(spark, rows)).collect()
     expected = brute_components(rows)
     assert all(r.component_id == expected[r.doc_id] for r in found if r.doc_id is not None)
 
 
+def test_families_that_do_not_hang_together(spark, monkeypatch):
+    """Copies about as far from one another as links allow: many pairs of a family are no links."""
+    monkeypatch.setattr(dedup, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(dedup, "FAMILY_BLOCK", 8)
+    monkeypatch.setattr(dedup, "LEADERS", 2)
+    rng = random.Random(12)
+    base = words(rng, 400).split()
+    rows = []
+    for n in range(120):
+        copy = [*base]
+        for at in rng.sample(range(0, 400, 5), rng.choice([3, 6, 7, 8])):
+            copy[at] = words(rng, 1) + str(n)
+        rows.append((n, " ".join(copy), "en"))
+    found = {r.doc_id: r.component_id for r in dedup.near_duplicates(documents(spark, rows)).collect()}
+    expected = brute_components(rows)
+    assert found == expected and 1 < len(set(expected.values())) < 120
+
+
+def test_a_family_of_thousands_of_near_copies(spark):
+    rng = random.Random(13)
+    base = words(rng, 200).split()
+    rows = [(7 + n, " ".join([*base[: (at := rng.randrange(200))], f"w{n}", *base[at + 1 :]]), "en") for n in range(5000)]
+    rows += [(n, words(rng, 200), "en") for n in range(6000, 6050)] + [(3, rows[70][1], "en")]
+    found = {r.doc_id: r.component_id for r in dedup.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {**{i: 3 for i, _, _ in rows if i < 6000}, **{i: i for i in range(6000, 6050)}}
+
+
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    rng = random.Random(14)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = " ".join([*c.split()[:58], "x", "y"])
+    rows = [(5, a, "en"), (7, a, "en"), (3, b, "en"), (5, b, "en"), (9, c, "en"), (8, near, "en"), (5, near, "en"), (2, words(rng, 60), "en")]
+    found = {(r.doc_id, r.component_id) for r in dedup.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {(i, brute_components(rows)[i]) for i, _, _ in rows} == {(5, 3), (7, 3), (3, 3), (9, 3), (8, 3), (2, 2)}
+
+
+def test_frequent_keys_are_joined_like_others(spark, monkeypatch):
+    from tandem.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT_ROWS", 5)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(100)] + [(None, 100), (50, 101)], "k long, v long")
+    found = rows.where("k < 5").groupBy("k").count().withColumn("w", common.F.col("k") * 2)
+    for how in ("inner", "left"):
+        told = {tuple(r) for r in common.by_key(rows, found, ["k"], "count", how).select("k", "v", "w").collect()}
+        assert told == {tuple(r) for r in rows.join(found, "k", how).select("k", "v", "w").collect()}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
