@@ -5,16 +5,12 @@ They have no SQL; tests compare them with brute force on small fixtures.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..llm.common import mapped, possible_members, written
-from ..llm.dedup import near_duplicates
 from ..operators import cases as C
 from ..operators import inference as I
 from ..operators import resampling as R
@@ -23,8 +19,6 @@ from .effects import case_values, clusters, r
 
 QUERIES: dict = {}
 
-#: Members of a near-duplicate component that meet one copy of its representative.
-MEMBERS = 256
 #: Fixed values of the reference: bootstrap draws, sign flips, and clusters up to which all flips are tried.
 DRAWS, FLIPS, EXACT = 10_000, 100_000, 20
 
@@ -37,37 +31,19 @@ def query(f):
 # texts
 
 
-def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right, x, y = batch.columns
-        distance, longest = [], []
-        for a, b in zip(x, y):
-            a, b = a.as_py(), b.as_py()
-            distance.append(X.edit_distance(a, b))
-            longest.append(max(len(a), len(b), 1))
-        yield pa.RecordBatch.from_arrays([left, right, pa.array(distance, pa.int64()), pa.array(longest, pa.int64())], names=["left_id", "right_id", "distance", "longest"])
-
-
-def edit_features_of(docs: DataFrame) -> DataFrame:
-    """Token edit distances, over whole texts, of documents to the representatives of their near-duplicate components."""
-    pairs = near_duplicates(docs).where("doc_id <> component_id").select(F.col("component_id").alias("left_id"), F.col("doc_id").alias("right_id")).distinct()
-    pairs = written(pairs, "edit-pairs")
-    # a representative of many members is copied, so that no task gets them all
-    of = pairs.groupBy("left_id").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("copies"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
-    wanted = pairs.select(F.col("left_id").alias("id")).union(pairs.select(F.col("right_id").alias("id"))).distinct()
-    texts = written(possible_members(texts, "id", wanted).where("possible").drop("possible").distinct(), "edit-texts")
-    left = texts.join(of, F.col("id") == F.col("left_id")).select("left_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("x"))
-    dealt = pairs.join(of, "left_id").withColumn("copy", F.pmod(F.xxhash64("right_id"), F.col("copies")).cast("int")).drop("copies")
-    right = dealt.join(texts, F.col("right_id") == F.col("id")).select("left_id", "right_id", "copy", F.col("text").alias("y"))
-    both = left.join(right, ["left_id", "copy"]).select("left_id", "right_id", X.tokens(F.col("x")).alias("x"), X.tokens(F.col("y")).alias("y"))
-    told = mapped(both, _edits, "left_id long, right_id long, distance long, longest long")
-    return told.select("left_id", "right_id", "distance", F.round(F.col("distance") / F.col("longest"), 9).alias("normalised"))
+def edit_features_of(texts: DataFrame, group: str, order: str) -> DataFrame:
+    """Token edit distances, over whole texts, of each text to the next one of its group."""
+    following = Window.partitionBy(group).orderBy(order)
+    pairs = texts.withColumn("next", F.lead(order).over(following)).withColumn("y", F.lead("text").over(following)).where(F.col("text").isNotNull() & F.col("y").isNotNull())
+    words = pairs.select(group, F.col(order).alias("left_id"), F.col("next").alias("right_id"), X.tokens(F.col("text")).alias("x"), X.tokens(F.col("y")).alias("y"))
+    told = words.withColumn("distance", X.token_distance(F.col("x"), F.col("y")).cast("long"))
+    return told.select(group, "left_id", "right_id", "distance", F.round(X.normalised_distance(F.col("distance"), F.col("x"), F.col("y")), 9).alias("normalised"))
 
 
 @query
 def edit_features_whole(spark, sf):
-    return edit_features_of(table(spark, sf, "documents"))
+    """Whole texts of consecutive turns of a conversation."""
+    return edit_features_of(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
 # resampling

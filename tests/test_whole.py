@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from tandem.functions import text as X
 from tandem.plans import whole
 
-import corpus_pipeline
-
-from .llm.helpers import documents, words
-
 
 def brute_distance(a, b):
     row = list(range(len(b) + 1))
@@ -37,40 +33,20 @@ def test_distance_of_many_distinct_tokens(spark):
     assert sorted(tuple(r) for r in frame.select("k", X.token_distance(F.col("a"), F.col("b"))).collect()) == [(1, 4), (2, 1), (3, None)]
 
 
-def test_edits_of_whole_texts(spark, monkeypatch):
-    monkeypatch.setattr(whole, "MEMBERS", 2)
+def test_edits_of_whole_texts(spark):
     rng = random.Random(6)
-    base = words(rng, 400).split()
-    rows = [(0, " ".join(base), "en"), (900, " ".join(base[:390]) + " one, two", "en"), (901, " ".join(["x", *base]), "en"), (902, " ".join(base), "en"), (5, words(rng, 400), "en"), (6, None, "en")]
-    texts = {i: t for i, t, _ in rows}
-    found = sorted(tuple(r) for r in whole.edit_features_of(documents(spark, rows)).collect())
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 3)))
+    base = [word() for _ in range(400)]
+    turns = [(0, " ".join(base)), (1, " ".join(base[:390]) + " one, two"), (2, " ".join(["x", *base])), (3, None), (4, "Alone"), (7, "alone !")]
+    rows = [(9, t, text) for t, text in turns] + [(8, 0, "one turn")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, text string")
+    found = sorted(tuple(r) for r in whole.edit_features_of(frame, "conv_id", "turn").collect())
     expected = []
-    for i in (900, 901, 902):
-        x, y = (re.findall(r"\w+|[^\w\s]", texts[k].lower()) for k in (0, i))
-        expected.append((0, i, brute_distance(x, y), round(brute_distance(x, y) / max(len(x), len(y)), 9)))
-    assert found == expected
-    assert [d for _, _, d, _ in found][0] > 0
-
-
-def test_stage_drops_pairs_between_80_and_85(spark):
-    rng = random.Random(3)
-    rows = []
-    for i, (n, changed) in enumerate([(104, 9), (104, 11), (300, 6), (300, 10), (604, 11)]):
-        base = [f"{w}{k}" for k, w in enumerate(words(rng, n).split())]
-        copy = [*base]
-        if n == 104:
-            copy = base[changed:]  # one end gone
-        else:
-            for k in range(changed):
-                copy[5 + k * (n - 10) // changed] = f"new{k}"
-        rows += [(2 * i, " ".join(base), "en"), (2 * i + 1, " ".join(copy), "en")]
-    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t, _ in rows]
-    alike = {2 * i + 1: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(len(rows) // 2)}
-    assert any(0.8 <= x < 0.85 for x in alike.values()) and any(x < 0.8 for x in alike.values())
-    docs = documents(spark, rows)
-    kept = lambda frame: sorted(r.doc_id for r in frame.collect())
-    assert kept(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == sorted(i for i, _, _ in rows if alike.get(i, 0) < 0.8)
-    assert kept(corpus_pipeline.dedup.keep_one_of_each(docs)) == sorted(i for i, _, _ in rows if alike.get(i, 0) < 0.85)
+    for (i, a), (j, b) in zip(turns, turns[1:]):
+        if a is not None and b is not None:
+            x, y = (re.findall(r"\w+|[^\w\s]", t.lower()) for t in (a, b))
+            expected.append((9, i, j, brute_distance(x, y), round(brute_distance(x, y) / max(len(x), len(y)), 9)))
+    assert found == expected and found[0][3] > 0
 
 
 def test_flips_of_fifteen_clusters_are_exact(spark, monkeypatch):
