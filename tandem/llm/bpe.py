@@ -13,7 +13,6 @@ from __future__ import annotations
 import heapq
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 
@@ -31,7 +30,6 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
 def tokenizer_json(name: str) -> dict:
     with open(vocabulary_path(name), encoding="utf-8") as f:
         return json.load(f)

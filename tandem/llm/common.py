@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +19,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and
-    registered as the session's checkpoint folder.
+    Only where that is unset and the master is local (tests) a temporary folder is made and
+    registered as the session's checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -49,10 +56,40 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
 
 
+_kept: list = []
+_stage: list = [None]
+
+
+def kept_for_a_stage(function):
+    """A cache of what ``function`` makes, in a Python worker, until the worker begins a task of another stage."""
+    cached = lru_cache(maxsize=2)(function)
+    _kept.append(cached.cache_clear)
+    return cached
+
+
+def _begin_stage() -> None:
+    """Drop what earlier stages kept: workers live on, and memory of one stage must not add to that of the next."""
+    context = TaskContext.get()
+    if context is None or context.stageId() == _stage[0]:
+        return
+    if _stage[0] is not None:
+        for clear in _kept:
+            clear()
+        gc.collect()
+        with suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+    _stage[0] = context.stageId()
+
+
 def mapped(frame: DataFrame, function, schema) -> DataFrame:
     """``frame.mapInArrow`` over batches bounded in bytes."""
     bound_batches(frame.sparkSession)
-    return frame.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin_stage()
+        return function(batches)
+
+    return frame.mapInArrow(run, schema)
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -85,12 +122,11 @@ class Memo:
     def lacking(self, chunks: set) -> list:
         """The chunks of neither generation; those of the old one become young."""
         out = []
-        for c in chunks:
-            if c not in self.young:
-                if (ids := self.old.get(c)) is None:
-                    out.append(c)
-                else:
-                    self.young[c] = ids
+        for c in chunks.difference(self.young):
+            if (ids := self.old.get(c)) is None:
+                out.append(c)
+            else:
+                self.young[c] = ids
         return out
 
     def age(self, drop: list) -> None:

@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, mapped, runs
+from .common import Memo, kept_for_a_stage, mapped, runs
 
 #: Unicode's White_Space characters, and the pre-tokenization pattern of byte-level vocabularies.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -118,7 +117,7 @@ class ByteLevelBPE:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
+@kept_for_a_stage
 def encoder(name: str) -> ByteLevelBPE:
     return ByteLevelBPE(name)
 

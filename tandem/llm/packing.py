@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, mapped, runs, written
+from .common import Memo, kept_for_a_stage, mapped, runs, written
 
 CAPACITY, GRAIN, SALTS = 4096, 16, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -72,21 +71,21 @@ class WordIds:
 
     def chunks(self, text: str) -> list[bytes]:
         raw = text.encode()
-        # lower case of ASCII comes first where no special token can stand in the text
-        return (raw if self.mark and self.mark in raw else raw.lower()).split()
+        if self.mark and self.mark in raw:  # a special token may stand in the text
+            return raw.split()
+        return raw.lower().split()
 
     def learn(self, chunks: set[bytes]) -> None:
         new = self.memo.lacking(chunks)
         memo = self.memo.young
+        self.long += [c for c in new if len(c) > MEMO_BYTES]
+        plain = [c for c in new if c.isalpha()]  # ASCII letters: one word
+        memo.update(zip(plain, self.ranks.merge([c.lower() for c in plain], self.first, self.last)))
         cut: list[tuple[bytes, list[bytes]]] = []
-        words: dict[bytes, bytes] = {}
+        words: dict[bytes, bytes | None] = {}
         other = []
         for c in new:
-            if len(c) > MEMO_BYTES:
-                self.long.append(c)
-            if c.isalpha():  # ASCII letters: one word
-                words[word := c.lower()] = b""
-                cut.append((c, [word]))
+            if c.isalpha():
                 continue
             text = c.decode()
             if not PLAIN.fullmatch(text) or (self.mark in c if self.mark else any(m in c for m in self.marks)):
@@ -96,8 +95,8 @@ class WordIds:
             parts = [text.encode()] if text.isalpha() else [p.encode() for p in self.words.findall(text)]
             cut.append((c, parts))
             for p in parts:
-                words[p] = memo.get(p, b"") if len(parts) > 1 else b""
-        lack = [w for w, ids in words.items() if not ids]
+                words[p] = memo.get(p)
+        lack = [w for w, ids in words.items() if ids is None]
         words.update(zip(lack, self.ranks.merge(lack, self.first, self.last)))
         for c, parts in cut:
             memo[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
@@ -124,7 +123,7 @@ def os_prefix(marks: list[bytes]) -> bytes:
     return os.path.commonprefix(marks) if marks else b""
 
 
-@lru_cache(maxsize=2)
+@kept_for_a_stage
 def word_ids(name: str) -> WordIds:
     return WordIds(name)
 
