@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import folded
+
 
 def margin(scores: dict[str, Column], positive: str, negative: Column) -> Column:
     """Score of the positive label minus that of the row's negative label; null for an unknown label."""
@@ -40,8 +42,8 @@ def log_softmax(scores: list[Column]) -> list[Column]:
 
 def binary_use(kind: Column, without: Column, with_: Column, target: Column) -> Column:
     """Whether a context was used: for irrelevant contexts an unchanged answer, else the target, case aside."""
-    same = F.lower(F.trim(without)) == F.lower(F.trim(with_))
-    return F.when(kind == "irrelevant", same).otherwise(F.lower(F.trim(with_)) == F.lower(F.trim(target)))
+    plain = lambda c: folded(F.trim(c))
+    return F.when(kind == "irrelevant", plain(without) == plain(with_)).otherwise(plain(with_) == plain(target))
 
 
 def continuous_use(before: Column, after: Column) -> Column:
@@ -61,10 +63,10 @@ def without_bias(probability: Column, bias: Column) -> Column:
 
 
 def stable_probe(values: Column, tolerance: float) -> Column:
-    """Mean of the first two usable probes of an array, if their logarithms agree; else null."""
+    """The first of the first two usable probes of an array, if their logarithms agree; else null."""
     usable = F.slice(F.filter(values, lambda v: (v > 0) & (v < 1)), 1, 2)
     agree = F.abs(F.ln(usable[0]) - F.ln(usable[1])) <= tolerance
-    return F.when((F.size(usable) == 2), F.when(agree, (usable[0] + usable[1]) / 2))
+    return F.when((F.size(usable) == 2), F.when(agree, usable[0]))
 
 
 def parse_choice(raw: Column, letters: list[str]) -> tuple[Column, Column]:
@@ -90,7 +92,7 @@ def stable_rank(seed: int, namespace: str, value: Column) -> Column:
 
 
 def normal_text(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+    return folded(F.regexp_replace(F.trim(text), r"\s+", " "))
 
 
 def text_digest(text: Column) -> Column:

@@ -8,25 +8,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What counts as a token, a number, a date, a contracted negation; the words that negate.
 TOKEN = r"(?U)\w+|[^\w\s]"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}"
-#: The words that negate.
-NEGATIONS = ["no", "not", "never", "none", "nothing", "neither", "nor", "nobody", "nowhere", "without", "cannot"]
+NUMBER = r"(?U)(?<!\w)[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?(?!\w)"
+MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+DATE = rf"(?iU)(?<!\w)(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{2,4}}|(?:{MONTH})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})(?!\w)"
+CONTRACTION = r"(?iU)\b\w+n['’]t\b"
+NEGATIONS = ["no", "not", "never", "neither", "nor", "none", "nobody", "nothing", "nowhere", "without", "否", "不", "没", "没有", "并非", "从未"]
+
+
+def folded(text: Column) -> Column:
+    """Case folded, not only lowered: ß is ss, ſ is s, a final sigma is a sigma; a dotless i stays one."""
+    # what stands between lower and upper also keeps the optimizer from taking one for both
+    mark, dotless = F.lit("\uf8fe"), F.lit("ı")
+    upper = F.upper(F.replace(F.lower(text), dotless, mark))
+    return F.translate(F.lower(F.replace(upper, mark, dotless)), "ς", "σ")
 
 
 def tokens(text: Column) -> Column:
-    """Words and single punctuation marks, in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+    """Words and single punctuation marks, case folded."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), folded)
 
 
 def signature(text: Column, pattern: str) -> Column:
-    """The sorted matches of a pattern: equal signatures are equal multisets."""
-    return F.array_sort(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    """The sorted, case-folded matches of a pattern: equal signatures are equal multisets."""
+    return F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), folded))
+
+
+def negations(text: Column) -> Column:
+    """The sorted negating words and contractions (don't) of a text."""
+    words = F.filter(tokens(text), lambda w: w.isin(NEGATIONS))
+    return F.array_sort(F.concat(words, signature(text, CONTRACTION)))
 
 
-def negations(words: Column) -> Column:
-    return F.array_sort(F.filter(words, lambda w: w.isin(NEGATIONS) | w.endswith("n't")))
+def edit_features(claims: tuple[Column, Column], evidences: tuple[Column, Column]) -> dict[str, Column]:
+    """All edit features of two claims and two evidences: distances, token counts, and what changed."""
+    out: dict[str, Column] = {}
+    for name, (a, b) in (("claim", claims), ("evidence", evidences)):
+        x, y = tokens(a), tokens(b)
+        distance = token_distance(x, y).cast("long")
+        out |= {f"{name}_distance": distance, f"{name}_distance_normalised": normalised_distance(distance, x, y), f"{name}_left_tokens": F.size(x), f"{name}_right_tokens": F.size(y)}
+        out |= {f"{name}_numeric_change": signature(a, NUMBER) != signature(b, NUMBER), f"{name}_date_change": signature(a, DATE) != signature(b, DATE), f"{name}_negation_change": negations(a) != negations(b)}
+    return out
 
 
 def token_distance(left: Column, right: Column) -> Column:

@@ -14,47 +14,61 @@ def first_reason(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def audit_quartets(rows: DataFrame, case: str, kind: str, claim: str, evidence: str, page: str, unit: str, label: str, real: str, positive: str, negatives: list[str]) -> DataFrame:
-    """Each case with its first failing reason, or its accepted two-by-two arrangement.
+def _grids(rows: DataFrame, case: str, kind: str, claim: str, evidence: str, page: str, unit: str, label: str) -> DataFrame:
+    """Of every case of four rows its rows as an array, in order of claim and evidence; of others their number.
 
-    A valid case has four real rows: two claims by two evidences on one page, each cell
-    once, the positive label on one diagonal and a single negative label off it.
+    Only cases of four rows are gathered, so no array grows with the input.
     """
-    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
-    found = rows.groupBy(case).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bool_and(F.col(kind) == real).alias("all_real"),
-        *(F.bool_and(~blank(c)).alias(f"has_{c}") for c in (claim, evidence, page, unit, label)),
-        *(F.countDistinct(c).alias(f"n_{c}") for c in (unit, claim, evidence, page)),
-        F.countDistinct(F.concat_ws("\x1f", claim, evidence)).alias("cells"),
-        F.array_sort(F.collect_list(F.struct(F.col(claim).alias("c"), F.col(evidence).alias("e"), F.col(label).alias("l")))).alias("grid"),
-        F.array_sort(F.collect_set(F.when(F.col(label) != positive, F.col(label)))).alias("negative"),
-        F.count_if(F.col(label) == positive).alias("positives"),
-    )
+    has = F.coalesce(F.col(case).cast("string").rlike(r"(?U)\S"), F.lit(False))
+    each = rows.withColumn("case_", F.when(has, F.col(case)))
+    sizes = each.groupBy(F.col("case_").alias(case)).agg(F.count(F.lit(1)).alias("rows"))
+    four = sizes.where(F.col(case).isNotNull() & (F.col("rows") == 4)).select(F.col(case).alias("case_"))
+    line = F.struct(F.col(claim).alias("claim"), F.col(evidence).alias("evidence"), F.col(label).alias("label"), F.col(page).alias("page"), F.col(unit).cast("string").alias("unit"), F.col(kind).alias("kind"))
+    grids = each.join(four, "case_").groupBy(F.col("case_").alias(case)).agg(F.array_sort(F.collect_list(line)).alias("grid"))
+    return sizes.join(grids, case, "left")
+
+
+def _judged(rows: DataFrame, columns: tuple[str, ...], real: str, positive: str, negatives: list[str]) -> DataFrame:
     g = F.col("grid")
-    at = lambda i: F.try_element_at(g, F.lit(i + 1))["l"] == positive
-    diagonal = (at(0) & at(3) & ~at(1) & ~at(2)) | (at(1) & at(2) & ~at(0) & ~at(3))
+    text = lambda field: F.forall(g, lambda x: F.coalesce(x[field].cast("string").rlike(r"(?U)\S"), F.lit(False)))
+    distinct = lambda f: F.size(F.array_distinct(F.transform(g, f)))
+    l = [F.try_element_at(g, F.lit(i + 1))["label"] for i in range(4)]
+    other = F.when(l[0] == positive, l[1]).otherwise(l[0])
+    # fixed values: the reasons, in the order in which they are tried
     reason = first_reason([
+        ("missing_case_id", F.col(columns[0]).isNotNull()),
         ("row_count", F.col("rows") == 4),
-        ("non_real", F.col("all_real")),
-        ("invalid_claim", F.col(f"has_{claim}")),
-        ("invalid_evidence", F.col(f"has_{evidence}")),
-        ("invalid_page", F.col(f"has_{page}")),
-        ("invalid_unique_id", F.col(f"has_{unit}")),
-        ("invalid_label", F.col(f"has_{label}")),
-        ("duplicate_unique_id", F.col(f"n_{unit}") == 4),
-        ("dimensions", (F.col(f"n_{claim}") == 2) & (F.col(f"n_{evidence}") == 2) & (F.col(f"n_{page}") == 1)),
-        ("incomplete_cartesian", F.col("cells") == 4),
-        ("label_pattern", (F.col("positives") == 2) & diagonal & (F.size("negative") == 1)),
-        ("unsupported_label", F.col("negative")[0].isin(negatives)),
+        ("non_real", F.forall(g, lambda x: x["kind"].eqNullSafe(F.lit(real)))),
+        ("invalid_claim", text("claim")),
+        ("invalid_evidence", text("evidence")),
+        ("invalid_page", text("page")),
+        ("invalid_unique_id", text("unit")),
+        ("invalid_label", text("label")),
+        ("duplicate_unique_id", distinct(lambda x: x["unit"]) == 4),
+        ("dimensions", (distinct(lambda x: x["claim"]) == 2) & (distinct(lambda x: x["evidence"]) == 2) & (distinct(lambda x: x["page"]) == 1)),
+        ("duplicate_cartesian_cell", distinct(lambda x: F.struct(x["claim"], x["evidence"])) == 4),
+        ("label_pattern", (l[0] == l[3]) & (l[1] == l[2]) & (l[0] != l[1]) & ((l[0] == positive) | (l[1] == positive))),
+        ("unsupported_label", other.isin(negatives)),
     ])
-    return found.select(case, "rows", reason.alias("reason"), F.when(reason.isNull(), F.col("negative")[0]).alias("negative_label"))
+    return _grids(rows, *columns).withColumn("reason", reason).withColumn("negative_label", F.when(F.col("reason").isNull(), other))
+
+
+def audit_quartets(rows: DataFrame, case: str, kind: str, claim: str, evidence: str, page: str, unit: str, label: str, real: str, positive: str, negatives: list[str]) -> DataFrame:
+    """Each case with its first failing reason, or null and its negative label.
+
+    A valid case has four real rows: two claims by two evidences on one page, each cell
+    once, the positive label on one diagonal and a single negative label off it. Rows
+    without a case are counted together.
+    """
+    return _judged(rows, (case, kind, claim, evidence, page, unit, label), real, positive, negatives).select(case, "rows", "reason", "negative_label")
 
 
-def oriented(quartets: DataFrame) -> DataFrame:
-    """Accepted grids turned so that the positive label stands on the main diagonal; see ``audit_quartets``."""
+def oriented_quartets(rows: DataFrame, case: str, kind: str, claim: str, evidence: str, page: str, unit: str, label: str, real: str, positive: str, negatives: list[str]) -> DataFrame:
+    """The accepted cases, evidences turned so that the positive label stands on the main diagonal."""
     g = F.col("grid")
-    return quartets.withColumn("grid", F.when(g[0]["l"] == F.lit("positive"), g).otherwise(F.array(g[2], g[3], g[0], g[1])))
+    turned = F.when(g[0]["label"] == positive, g).otherwise(F.array(g[1], g[0], g[3], g[2]))
+    good = _judged(rows, (case, kind, claim, evidence, page, unit, label), real, positive, negatives).where("reason IS NULL").withColumn("grid", turned)
+    return good.select(case, g[0]["page"].alias("page"), "negative_label", F.array(g[0]["claim"], g[2]["claim"]).alias("claims"), F.array(g[0]["evidence"], g[1]["evidence"]).alias("evidences"), F.transform(g, lambda x: x["unit"]).alias("units"), F.transform(g, lambda x: x["label"]).alias("labels"))
 
 
 def overlap(left: DataFrame, right: DataFrame, levels: dict[str, tuple[Column, Column]]) -> DataFrame:

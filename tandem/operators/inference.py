@@ -71,10 +71,13 @@ def direction_summary(clusters: DataFrame, value: str = "effect", by: tuple[str,
 
 
 def mcnemar(rows: DataFrame, left: Column, right: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Discordant counts of two booleans, the continuity-corrected statistic and the exact p."""
+    """Discordant counts of two booleans, the continuity-corrected statistic and the exact p.
+
+    The correction also holds where both counts are equal: (0 - 1) squared over their sum.
+    """
     counts = rows.groupBy(*by).agg(F.count_if(left & ~right).alias("only_left"), F.count_if(~left & right).alias("only_right"))
     n = (F.col("only_left") + F.col("only_right")).cast("double")
-    d = F.greatest(F.abs(F.col("only_left") - F.col("only_right")) - 1, F.lit(0)).cast("double")
+    d = (F.abs(F.col("only_left") - F.col("only_right")) - 1).cast("double")
     return counts.withColumn("statistic", F.coalesce(F.try_divide(d * d, n), F.lit(0.0))).withColumn("p", sign_test(F.least("only_left", "only_right"), F.col("only_left") + F.col("only_right")))
 
 
@@ -98,13 +101,24 @@ def covariance(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def omnibus_wald(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Equality of three matched means: contrasts to the first, the inverse of their 2 x 2 covariance, chi-square with 2 df."""
-    a, b, c = columns
-    d = frame.select((F.col(b) - F.col(a)).alias("u"), (F.col(c) - F.col(a)).alias("v"))
-    m = d.agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.var_samp("u").alias("uu"), F.var_samp("v").alias("vv"), F.covar_samp("u", "v").alias("uv"), F.count(F.lit(1)).alias("n"))
-    det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
-    stat = F.try_divide(F.col("n") * (F.col("vv") * F.col("u") * F.col("u") - 2 * F.col("uv") * F.col("u") * F.col("v") + F.col("uu") * F.col("v") * F.col("v")), det)
-    return m.select(F.col("n").alias("clusters"), stat.alias("statistic")).withColumn("p", chi_square_tail(F.col("statistic"), 2))
+    """Equality of k matched means: contrasts to the first, their covariance, chi-square with k - 1 df.
+
+    One aggregation gives means and covariances; the quadratic form with the inverse comes
+    from eliminating the (k - 1) x (k - 1) system column by column, as expressions.
+    A singular covariance gives a null statistic.
+    """
+    first, *others = columns
+    d = frame.select(*((F.col(c) - F.col(first)).alias(f"d{i}") for i, c in enumerate(others)))
+    k = len(others)
+    m = d.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"d{i}").alias(f"b{i}") for i in range(k)), *(F.covar_samp(f"d{i}", f"d{j}").alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)))
+    m = m.select("*", *(F.col(f"a{j}_{i}").alias(f"a{i}_{j}") for i in range(k) for j in range(i)), F.lit(0.0).alias("form"))
+    for p in range(k):
+        # form grows by b_p squared over the pivot; the rest of the system loses row p
+        scale = lambda i, p=p: F.try_divide(F.col(f"a{i}_{p}"), F.col(f"a{p}_{p}"))
+        rest = range(p + 1, k)
+        form = F.col("form") + F.try_divide(F.col(f"b{p}") * F.col(f"b{p}"), F.col(f"a{p}_{p}"))
+        m = m.select("n", form.alias("form"), *((F.col(f"b{i}") - scale(i) * F.col(f"b{p}")).alias(f"b{i}") for i in rest), *((F.col(f"a{i}_{j}") - scale(i) * F.col(f"a{p}_{j}")).alias(f"a{i}_{j}") for i in rest for j in rest))
+    return m.select(F.col("n").alias("clusters"), (F.col("n") * F.col("form")).alias("statistic")).withColumn("p", chi_square_tail(F.col("statistic"), k))
 
 
 def holm(tests: DataFrame, name: str, p: str, family: tuple[str, ...] = ()) -> DataFrame:
@@ -129,7 +143,8 @@ def mad_scale(frame: DataFrame, value: str) -> DataFrame:
 
 
 def gate(standardised_estimate: Column, standardised_p: Column, directional_estimate: Column, directional_p: Column, level: float = 0.05) -> Column:
-    """Whether two endpoints agree in sign and both, one or none stay below the level."""
-    both = (standardised_p < level) & (directional_p < level)
-    agree = F.signum(standardised_estimate) == F.signum(directional_estimate)
-    return F.when(both & agree, "robust").when((standardised_p < level) | (directional_p < level), "endpoint_dependent").otherwise("not_supported")
+    """The claim that two endpoints allow: they must point the same way, and both or one stay below the level."""
+    below = (standardised_p < level).cast("int") + (directional_p < level).cast("int")
+    agree = standardised_estimate * directional_estimate > 0
+    # fixed values: the names of the three claims
+    return F.when(agree & (below == 2), "bounded_scale_robust").when(agree & (below == 1), "qualitative_scale_robust").otherwise("fixed_protocol_descriptive")

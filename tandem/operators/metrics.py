@@ -13,9 +13,11 @@ def confusion(rows: DataFrame, gold: str, prediction: str, labels: list[str]) ->
     return checked.where("ok").groupBy(F.col(gold).alias("gold")).agg(*(F.count_if(F.col(prediction) == p).alias(f"pred_{p}") for p in labels))
 
 
-def balanced_accuracy(rows: DataFrame, gold: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+def balanced_accuracy(rows: DataFrame, gold: str, prediction: str, labels: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """The mean recall of the declared classes; a group that lacks one of them is an error."""
     recall = rows.groupBy(*by, gold).agg(F.avg((F.col(gold) == F.col(prediction)).cast("double")).alias("recall"))
-    return recall.groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"))
+    mean = F.when(F.count_if(F.col(gold).isin(labels)) == len(labels), F.avg("recall")).otherwise(F.raise_error(F.lit("a declared class has no rows")).cast("double"))
+    return recall.groupBy(*by).agg(mean.alias("balanced_accuracy"))
 
 
 def matthews(rows: DataFrame, gold: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:

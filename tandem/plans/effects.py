@@ -122,7 +122,7 @@ def confusion(spark, sf):
 @query("balanced_accuracy", f"""WITH {CELLS}, recalls AS (SELECT stratum, gold, avg(CASE WHEN gold = treat_pred THEN 1.0 ELSE 0.0 END) AS recall FROM cells GROUP BY ALL)
 SELECT stratum, round(avg(recall), 9) AS balanced_accuracy FROM recalls GROUP BY stratum""")
 def balanced_accuracy(spark, sf):
-    return r(M.balanced_accuracy(cells(spark, sf), "gold", "treat_pred", ("stratum",)), 9, "balanced_accuracy")
+    return r(M.balanced_accuracy(cells(spark, sf), "gold", "treat_pred", ["A", "N", "R"], ("stratum",)), 9, "balanced_accuracy")
 
 
 @query("matthews", f"""WITH {CELLS}, n AS (SELECT gold AS g, treat_pred AS p, count(*)::DOUBLE AS n FROM cells GROUP BY ALL),
@@ -252,7 +252,7 @@ def direction_summary(spark, sf):
 
 
 @query("mcnemar", f"""WITH {CELLS}, n AS (SELECT count(*) FILTER (WHERE base_pred = gold AND treat_pred <> gold) AS a, count(*) FILTER (WHERE base_pred <> gold AND treat_pred = gold) AS b FROM cells WHERE stratum = '1-URGENT' AND cell_index = 0)
-SELECT a AS only_left, b AS only_right, round(pow(greatest(abs(a - b) - 1, 0), 2) / (a + b), 6) AS statistic,
+SELECT a AS only_left, b AS only_right, round(pow(abs(a - b) - 1, 2) / (a + b), 6) AS statistic,
   round(least(1.0, 2 * list_sum(list_transform(range(0, least(a, b) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))), 6) AS p FROM n""")
 def mcnemar(spark, sf):
     c = cells(spark, sf).where("stratum = '1-URGENT' AND cell_index = 0")
@@ -309,7 +309,7 @@ def holm(spark, sf):
 @query("scale_robust_gate", f"""WITH {LONG}, sd AS (SELECT model, stddev_samp(value) AS sd FROM long GROUP BY model), c AS (SELECT l.model, l.cluster_id, avg(value / sd) AS s, avg((sign(value) + 1) / 2 - 0.5) AS d FROM long l JOIN sd ON l.model = sd.model GROUP BY ALL),
 w AS (SELECT model, avg(s) AS s, avg(s) / (stddev_samp(s) / sqrt(count(*))) AS zs, avg(d) AS d, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS zd FROM c GROUP BY model),
 p AS (SELECT model, round(s, 6) AS s, round(d, 6) AS d, round({_normal_sql('zs')}, 6) AS ps, round({_normal_sql('zd')}, 6) AS pd FROM w)
-SELECT model, s AS standardised, d AS directional, CASE WHEN ps < 0.05 AND pd < 0.05 AND sign(s) = sign(d) THEN 'robust' WHEN ps < 0.05 OR pd < 0.05 THEN 'endpoint_dependent' ELSE 'not_supported' END AS claim FROM p""")
+SELECT model, s AS standardised, d AS directional, CASE WHEN s * d > 0 AND ps < 0.05 AND pd < 0.05 THEN 'bounded_scale_robust' WHEN s * d > 0 AND (ps < 0.05 OR pd < 0.05) THEN 'qualitative_scale_robust' ELSE 'fixed_protocol_descriptive' END AS claim FROM p""")
 def scale_robust_gate(spark, sf):
     v = long_values(spark, sf)
     scale = v.groupBy("model").agg(F.stddev_samp("value").alias("sd"))

@@ -232,15 +232,18 @@ def rendered_prompts(spark, sf):
 
 # texts
 
-WORDS_SQL = r"list_transform(regexp_extract_all({t}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]'), lambda w: lower(w))"
+DIGITS = r"[0-9]+(?:[.,][0-9]+)*"
+PLAIN_NEGATIONS = ["no", "not", "never", "none", "nothing", "neither", "nor", "nobody", "nowhere", "without", "cannot"]
+WORDS_SQL = r"list_transform(regexp_extract_all({t}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]'), lambda w: replace(lower(w), 'ß', 'ss'))"
 
 
 @query("token_signatures", rf"""WITH w AS (SELECT doc_id, text, {WORDS_SQL.format(t='text')} AS words FROM documents)
 SELECT doc_id, len(words) AS tokens, sha256(array_to_string(words, ' ')) AS tokens_digest, array_to_string(list_sort(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')), ' ') AS numbers,
   array_to_string(list_sort(list_filter(words, lambda w: w IN ('no', 'not', 'never', 'none', 'nothing', 'neither', 'nor', 'nobody', 'nowhere', 'without', 'cannot') OR ends_with(w, 'n''t'))), ' ') AS negations FROM w""")
 def token_signatures(spark, sf):
+    """Digit runs and negating words as SQL can express them; ``edit_signatures_whole`` has the full definitions."""
     d = table(spark, sf, "documents").withColumn("words", X.tokens(F.col("text")))
-    return d.select("doc_id", F.size("words").cast("long").alias("tokens"), F.sha2(F.array_join("words", " "), 256).alias("tokens_digest"), F.array_join(X.signature(F.col("text"), X.NUMBER), " ").alias("numbers"), F.array_join(X.negations(F.col("words")), " ").alias("negations"))
+    return d.select("doc_id", F.size("words").cast("long").alias("tokens"), F.sha2(F.array_join("words", " "), 256).alias("tokens_digest"), F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit(DIGITS), F.lit(0))), " ").alias("numbers"), F.array_join(F.array_sort(F.filter("words", lambda w: w.isin(PLAIN_NEGATIONS))), " ").alias("negations"))
 
 
 @query("edit_features", r"""WITH w AS (SELECT doc_id, source, list_slice(list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]'), lambda w: lower(w)), 1, 30) AS words FROM documents),
@@ -278,7 +281,7 @@ QUARTET_ROWS = """rows AS (SELECT l_orderkey AS case_id, CASE WHEN l_orderkey %
   count(DISTINCT claim) AS nc, count(DISTINCT evidence) AS ne, count(DISTINCT page) AS np, count(DISTINCT claim || '-' || evidence) AS cells, count(*) FILTER (WHERE label = 'Y') AS yes,
   count(DISTINCT CASE WHEN label <> 'Y' THEN label END) AS nn, min(CASE WHEN label <> 'Y' THEN label END) AS neg, string_agg(CASE WHEN label = 'Y' THEN 'Y' ELSE 'n' END, '' ORDER BY claim, evidence, label) AS shape FROM rows GROUP BY case_id),
 x AS (SELECT case_id, rows, neg, CASE WHEN rows <> 4 THEN 'row_count' WHEN NOT all_real THEN 'non_real' WHEN NOT hc THEN 'invalid_claim' WHEN NOT he THEN 'invalid_evidence' WHEN nu <> 4 THEN 'duplicate_unique_id'
-  WHEN nc <> 2 OR ne <> 2 OR np <> 1 THEN 'dimensions' WHEN cells <> 4 THEN 'incomplete_cartesian' WHEN yes <> 2 OR nn <> 1 OR shape NOT IN ('YnnY', 'nYYn') THEN 'label_pattern' WHEN neg NOT IN ('N') THEN 'unsupported_label' END AS reason FROM g)
+  WHEN nc <> 2 OR ne <> 2 OR np <> 1 THEN 'dimensions' WHEN cells <> 4 THEN 'duplicate_cartesian_cell' WHEN yes <> 2 OR nn <> 1 OR shape NOT IN ('YnnY', 'nYYn') THEN 'label_pattern' WHEN neg NOT IN ('N') THEN 'unsupported_label' END AS reason FROM g)
 SELECT case_id, rows, reason, CASE WHEN reason IS NULL THEN neg END AS negative_label FROM x""")
 def quartet_audit(spark, sf):
     from ..sources.fixtures import ORDER

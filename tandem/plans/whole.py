@@ -46,6 +46,23 @@ def edit_features_whole(spark, sf):
     return edit_features_of(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
+@query
+def edit_signatures_whole(spark, sf):
+    """Numbers, dates and negations of every document, as sorted lists joined by spaces."""
+    text, joined = F.col("text"), lambda c: F.array_join(c, " ")
+    return table(spark, sf, "documents").select("doc_id", joined(X.signature(text, X.NUMBER)).alias("numbers"), joined(X.signature(text, X.DATE)).alias("dates"), joined(X.negations(text)).alias("negations"))
+
+
+@query
+def quartet_edit_features_whole(spark, sf):
+    """The whole feature row of two claims and two evidences: four consecutive turns of a conversation."""
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    four = table(spark, sf, "conversations").where("text IS NOT NULL").withColumn("n", turn).groupBy("conv_id", F.expr("n div 4").alias("quartet"))
+    four = four.agg(*(F.max(F.when(F.col("n") % 4 == i, F.col("text"))).alias(f"t{i}") for i in range(4))).where("t3 IS NOT NULL")
+    found = X.edit_features((F.col("t0"), F.col("t1")), (F.col("t2"), F.col("t3")))
+    return four.select("conv_id", "quartet", *(c.alias(n) for n, c in found.items()))
+
+
 # resampling
 
 
