@@ -2,10 +2,11 @@
 
 Base spans come from fixed patterns. Beyond them, candidate spans (secrets, titled names,
 national numbers, bank accounts, telephone numbers without a plus) are voted on by labelers
-that may abstain: regular expressions (strict shape, charset), gazetteers (known prefixes,
-names' titles, number ranges) and context (words before the span, words that speak against
-it). Expectation-maximisation over the counts of vote patterns, which Spark sums over all
-documents, estimates how reliable each labeler is and how likely each pattern is personal.
+that may abstain: regular expressions (strict shape and checksums, charset), gazetteers (known
+prefixes, given names, country codes, number ranges) and context (words on either side of the
+span, words that speak against it). Expectation-maximisation over the counts of vote patterns,
+which Spark sums over all documents, estimates for each kind how reliable each labeler is and
+how likely each pattern is personal.
 Those probabilities train the final span classifier, a logistic regression on votes, kind
 and hashed character shapes, on at most ``SAMPLE`` candidates. A candidate that it accepts
 becomes a span unless it overlaps a base span or an accepted span before it.
@@ -14,8 +15,8 @@ Only a narrow table of candidates without text is written between the passes.
 
 Defined results: a null text counts as the empty text and has no spans; with no candidates
 there is nothing to learn and base spans are all; repeated rows give repeated results; a
-null doc_id is carried along; further columns are ignored; an empty table gives an empty
-result.
+null doc_id is carried along; very long texts are searched whole; further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,22 @@ FOR = {
     "account": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
 }
+#: Words after a span that speak for it.
+AFTER = {
+    "secret": ("expires", "revoke", "rotate"),
+    "name": ("said", "wrote", "born", "md", "phd", "jr", "called", "lives"),
+    "national": ("ssn", "social", "issued"),
+    "account": ("bic", "swift", "bank", "iban"),
+    "local_phone": ("ext", "fax", "mobile", "cell"),
+}
+#: Given names that are frequent in the languages at hand, and capitalised words after a title that are no names.
+GIVEN = frozenset(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy Matthew Betty Anthony Sandra "
+    "Mark Margaret Paul Ashley Steven Emily Andrew Donna Peter Anna Hans Ursula Klaus Monika Wolfgang Petra Dieter Sabine Jürgen Karin Stefan Julia Jean Marie Pierre Nathalie Michel Isabelle Philippe Sylvie "
+    "Alain Catherine François Martine Antonio José Manuel Francisco Juan Javier Carlos Jesús Carmen Ana Isabel Laura Cristina Marta Pilar Lucía Elena Rosa Ali Mohammed Fatima Ivan Olga Maria Eva Max Alice Bob".split()
+)
+NO_NAMES = frozenset("President Minister Chairman Speaker Director Ambassador Doctor Professor Secretary General Judge Court House Strange Who Right Universe Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
+COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TR".split())
 AGAINST = ("sha", "md5", "commit", "checksum", "isbn", "issn", "version", "http", "www.", "href", "src=", "doi", "part no", "digest", "integrity")
 
 
@@ -111,11 +129,11 @@ def shape(span: str) -> str:
     return f"{s[:12]}|{min(9, len(span) // 8)}"
 
 
-def votes(kind: str, span: str, before: str) -> str:
-    """One vote of each labeler: + personal, - not, 0 abstains."""
-    before = before.lower()
+def votes(kind: str, span: str, before: str, after: str = "") -> str:
+    """One vote of each labeler (strict, charset, gazetteer, context, against): + personal, - not, 0 abstains."""
+    before, after = before.lower(), after.lower()
     digits = [c for c in span if "0" <= c <= "9"]
-    context = "+" if any(w in before for w in FOR[kind]) else "0"
+    context = "+" if any(w in before for w in FOR[kind]) or any(w in after for w in AFTER[kind]) else "0"
     against = "-" if any(w in before for w in AGAINST) else "0"
     if kind == "secret":
         hex_ = all(c in "0123456789abcdef" for c in span) or all(c in "0123456789ABCDEF" for c in span)
@@ -124,16 +142,18 @@ def votes(kind: str, span: str, before: str) -> str:
         charset = "+" if variety >= 0.6 and len(digits) >= 3 else "-"
         gazetteer = "+" if span.startswith(("sk_", "pk_", "ghp_", "AKIA", "xox", "eyJ")) else "-" if "/" in span or span.count("-") > 3 or span.count("_") > 3 else "0"
     elif kind == "name":
-        strict, charset = "0", "+" if len(span) > 3 else "-"
-        gazetteer = "+"  # a title stands before it
+        words = span.split(" ")
+        strict = "+" if len(words) == 2 and min(map(len, words)) > 2 else "0"
+        charset = "-" if len(span) < 3 else "0"
+        gazetteer = "-" if words[0] in NO_NAMES or words[-1] in NO_NAMES else "+" if words[0] in GIVEN else "0"
     elif kind == "national":
-        strict, charset = "+", "-" if len(set(digits)) < 3 else "0"
+        strict, charset = "0", "-" if len(set(digits)) < 3 else "0"
         gazetteer = "-" if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else "+"
     elif kind == "account":
         plain = span.replace(" ", "")
         number = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
-        strict = "+" if int(number[:34]) % 97 == 1 and len(number) <= 34 or sum(int(d) * pow(10, len(number) - 1 - i, 97) for i, d in enumerate(number)) % 97 == 1 else "-"
-        charset, gazetteer = "0", "+" if 15 <= len(plain) <= 34 else "-"
+        strict = "+" if int(number) % 97 == 1 else "-"  # the checksum of account numbers
+        charset, gazetteer = "+" if 15 <= len(plain) <= 34 and digits[2:] else "-", "+" if plain[:2] in COUNTRIES else "-"
     else:
         strict = "+" if span.startswith("(") or span[3] == span[7] else "-"
         charset = "-" if len(set(digits)) < 3 else "0"
@@ -156,26 +176,32 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         found += [("name", *m.span(1)) for m in NAME.finditer(text)]
     taken = sorted((a, z) for _, a, z in base)
     starts = [a for a, _ in taken]
+    reach = [*accumulate((z for _, z in taken), max)]  # the furthest end of the base spans up to each
     out = []
     for kind, a, z in found:
         i = bisect_right(starts, a)
-        if i and any(taken[j][1] > a for j in range(max(0, i - 4), i)) or i < len(starts) and starts[i] < z:
+        if i and reach[i - 1] > a or i < len(starts) and starts[i] < z:
             continue
-        out.append((kind, a, z, votes(kind, text[a:z], text[max(0, a - 24) : a]), shape(text[a:z])))
+        out.append((kind, a, z, votes(kind, text[a:z], text[max(0, a - 24) : a], text[z : z + 24]), shape(text[a:z])))
     return out
 
 
 def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 50) -> dict[tuple[str, str], float]:
     """P(personal) of each (kind, votes), by expectation-maximisation over their counts.
 
-    Each labeler has a chance of each vote given the truth; kinds have priors of their own.
+    For each kind on its own, each labeler has a chance of each vote given the truth.
     Pseudo-counts hold the labelers on the side of their votes when data are few.
     """
-    keys = [*patterns]
-    n = np.array([patterns[k] for k in keys], dtype=float)
-    vote = np.array([["-0+".index(v) for v in k[1]] for k in keys]).reshape(len(keys), LABELERS)
-    kinds = sorted({k[0] for k in keys})
-    kind = np.array([kinds.index(k[0]) for k in keys], dtype=int)
+    out: dict[tuple[str, str], float] = {}
+    for kind in sorted({k for k, _ in patterns}):
+        own = {v: n for (k, v), n in patterns.items() if k == kind}
+        out |= {(kind, v): p for v, p in zip(own, _estimated([*own], [*own.values()], rounds).tolist())}
+    return out
+
+
+def _estimated(keys: list[str], counts: list[int], rounds: int) -> np.ndarray:
+    n = np.array(counts, dtype=float)
+    vote = np.array([["-0+".index(v) for v in k] for k in keys]).reshape(len(keys), LABELERS)
     score = (vote - 1).sum(axis=1)
     p = 1 / (1 + np.exp(-score.astype(float)))
     weak = np.array([[3.0, 3.0, 1.0], [1.0, 3.0, 3.0]])  # pseudo-counts of -, 0, + given not personal, personal
@@ -185,15 +211,15 @@ def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 50) -> dic
             for j in range(LABELERS):
                 c = np.bincount(vote[:, j], weights=w, minlength=3) + weak[y]
                 chance[y, j] = c / c.sum()
-        prior = (np.bincount(kind, weights=p * n, minlength=len(kinds)) + 1) / (np.bincount(kind, weights=n, minlength=len(kinds)) + 2)
-        log = np.log(np.stack([1 - prior[kind], prior[kind]]))
+        prior = ((p * n).sum() + 1) / (n.sum() + 2)
+        log = np.log(np.repeat([[1 - prior], [prior]], len(keys), axis=1))
         for j in range(LABELERS):
             log += np.log(chance[:, j, vote[:, j]])
         new = 1 / (1 + np.exp(log[0] - log[1]))
         if np.abs(new - p).max() < 1e-6:
             break
         p = new
-    return dict(zip(keys, p.tolist()))
+    return p
 
 
 def features(kind: str, vote: str, form: str) -> list[int]:
