@@ -4,13 +4,14 @@ The payload of a document is its text in UTF-8, filled with zero bytes up to a p
 multiple of 64. It becomes the samples of a mono 8-bit WAV file (``wave`` module), is read
 back from the stored bytes, and short-time Fourier transforms of all of it give the peaks:
 the strongest bin of each frequency band where it tops the frames before and after. Each
-peak is paired with the next ``FAN`` peaks; a pair is one 64-bit integer, time in the high
-half, the two bins and the distance in time in the low half, and a document's pairs are an
-array in time order. A map over documents: nothing is shuffled, long texts are transformed
+peak is paired with the next ``FAN`` peaks of later frames; a pair is one 64-bit integer, time
+in the high half, the two bins and the distance in time in the low half, and a document's
+pairs are an array in time order. Frames overlap by half, so every sample counts. A map over documents: nothing is shuffled, long texts are transformed
 in blocks of frames.
 
 Defined results: a null text counts as the empty text (64 zero bytes, no fingerprint pairs
-beyond those of silence, which has no peaks); equal texts give equal values, repeated rows
+beyond those of silence, which has no peaks); distances of 65535 frames and more count as
+65535; a null doc_id is carried along; equal texts give equal values, repeated rows
 repeated ones; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import mapped
 
-RATE, FRAME, HOP, FAN = 8000, 256, 256, 3
+RATE, FRAME, HOP, FAN = 8000, 256, 128, 3
 #: Frequency bins of a frame, in bands of about an octave.
 BANDS = ((1, 9), (9, 17), (17, 33), (33, 65), (65, 129))
 BLOCK = 4096
@@ -80,18 +81,15 @@ def band_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(samples: bytes) -> np.ndarray:
-    """Time-coded peak pairs: time << 32 | first bin << 20 | second bin << 8 | frames between."""
+    """Time-coded peak pairs: time << 32 | first bin << 24 | second bin << 16 | frames between."""
     bins, power = band_peaks(samples)
     edge = np.full((1, power.shape[1]), -1, np.float32)
     peak = (power > np.concatenate([edge, power[:-1]])) & (power >= np.concatenate([power[1:], edge])) & (power > 1e-3)
     t, b = np.nonzero(peak)
     f = bins[t, b]
-    pairs = []
-    for ahead in range(1, FAN + 1):
-        gap = t[ahead:] - t[:-ahead]
-        near = gap < 256
-        pairs.append(((t[:-ahead] << 32) | (f[:-ahead] << 20) | (f[ahead:] << 8) | gap)[near])
-    out = np.concatenate(pairs)
+    later = np.searchsorted(t, t, side="right")[:, None] + np.arange(FAN)
+    first, second = np.broadcast_to(np.arange(len(t))[:, None], later.shape)[later < len(t)], later[later < len(t)]
+    out = (t[first] << 32) | (f[first] << 24) | (f[second] << 16) | np.minimum(t[second] - t[first], 65535)
     out.sort()
     return out
 

@@ -9,10 +9,10 @@ precedence. Components are found by distributed star steps (components.py); neit
 nor components reach the driver.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no aliases
-and is allowed; entities in links are decoded and relative links resolved against the page
-(RFC 3986, without a <base>); fragments name the same URL; repeated rows give repeated
-results; null html has no links; further columns are ignored; an empty table gives an
-empty result.
+and is allowed; comments, scripts and styles hold no links; entities in links are decoded and
+relative links resolved against the page or its <base> (RFC 3986); fragments name the same
+URL; repeated rows give repeated results; null html has no links; very long html is read
+whole; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ from .components import connected
 #: Fixed values: (verdict, host, path) of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+#: What a browser does not read as tags.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea|title)\b.*?(?:</\1\s*+>|\z)"
 #: Quoted values may hold ``>``.
-LINK = r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+REST = r"\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+LINK, BASE = rf"(?is)<(?:link|meta){REST}", rf"(?is)<base{REST}"
 CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 #: The whole value of an attribute, by its quotes: group 1, 2 or 3.
@@ -135,8 +138,10 @@ def decoded(text: pa.Array) -> pa.Array:
 
 def declared_links(pages: DataFrame) -> DataFrame:
     """Edges (a, b) from pages to their canonical URLs and refresh targets."""
-    tags = F.when(F.col("html").rlike("(?i)canonical|refresh"), F.regexp_extract_all("html", F.lit(LINK), F.lit(0)))
-    each = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(tags).alias("tag"))
+    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).select("url", F.regexp_replace("html", HIDDEN, " ").alias("html"))
+    base = decoded(_captured(F.regexp_extract("html", BASE, 0), VALUE % "href"))
+    some = some.withColumn("from", F.when(F.col("html").rlike(BASE), base)).select("url", "from", F.regexp_extract_all("html", F.lit(LINK), F.lit(0)).alias("tags"))
+    each = some.select("url", F.coalesce(whole_url(F.col("url"), F.col("from")), "url").alias("base"), F.explode("tags").alias("tag"))
     link, meta = F.col("tag").rlike("(?i)^<link"), F.col("tag").rlike("(?i)^<meta")
     names = F.lower(_captured(F.col("tag"), VALUE % "rel"))
     canonical = link & F.array_contains(F.split(F.trim(names), r"\s+"), "canonical")
@@ -145,7 +150,7 @@ def declared_links(pages: DataFrame) -> DataFrame:
     value = decoded(F.when(canonical, _captured(F.col("tag"), VALUE % "href")).otherwise(_captured(F.col("tag"), VALUE % "content")))
     target = F.when(link, F.col("value")).otherwise(_captured(F.col("value"), TARGET))
     link = each.withColumn("value", value).withColumn("to", target)
-    whole = whole_url(F.col("url"), F.col("to"))
+    whole = whole_url(F.col("base"), F.col("to"))
     return link.select(node(F.col("url")).alias("a"), node(whole).alias("b")).where("a <> b")
 
 

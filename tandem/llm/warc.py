@@ -15,6 +15,7 @@ responses; of pages with equal larger payloads those of the smallest page_id are
 responses and all others revisits that refer to it; rows with a null page_id are always
 responses and never referred to; a null URL leaves out the target header; control
 characters in a URL are percent-encoded in the header, the index keeps it as it is.
+Very long payloads are whole records; repeated rows are records of their own.
 An empty table gives an empty index.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, shared_folder, written
+from .common import by_key, mapped, possible_members, shared_folder, written
 
 SMALL, DATE = 100, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -117,8 +118,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     narrow = written(whole.select("page_id", "digest", (F.octet_length(F.coalesce("html", F.lit(""))) >= SMALL).alias("large")), "payload-digests")
     known = narrow.where(F.col("large") & F.col("page_id").isNotNull())
     firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = known.join(firsts, "digest").where(F.col("page_id") != F.col("first")).select("page_id", "digest", "first").distinct()
-    told = whole.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "digest", "html", "first")
+    revisits = by_key(known, firsts, ["digest"], "n").where(F.col("page_id") != F.col("first")).select("page_id", "digest", "first").distinct()
+    revisits = written(revisits, "revisits")
+    # only pages that may be revisits are moved
+    told = possible_members(whole, "page_id", revisits.select("page_id"))
+    columns = ("page_id", "url", "digest", "html", "first")
+    sure = told.where("NOT possible").withColumn("first", F.lit(None).cast("long")).select(*columns)
+    told = sure.unionByName(told.where("possible").join(revisits, ["page_id", "digest"], "left").select(*columns))
     return written(mapped(told, _write(folder), INDEX), "warc-index")
 
 

@@ -21,3 +21,15 @@ def test_links_are_whole_and_resolved(spark):
     rows += [(pages[0], '<link rel="icon" href="canonical.png">'), (pages[0], '<meta name="refresh" content="0;url=/no">'), (pages[0], None)]
     found = {tuple(r) for r in urlfilter.declared_links(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert found == expected
+
+
+def test_hidden_links_and_bases(spark):
+    page, to = "http://s.org/a/b", "http://s.org/x/2"
+    link = '<link rel="nofollow canonical" href="2">'
+    rows = [
+        (page, f'<base target=_top href="/x/y">{link}', to), (page + "1", f"<!-- {link} -->", None), (page + "2", f"<script>var a = '{link}'</script >", None), (page + "3", f"<style>{link}", None),
+        (page + "4", f"<!-- a --><link rel=canonical href='http://o.net/?a=1&amp;b=>'><!-- {link}", "http://o.net/?a=1&b=>"), (page + "5", "<link " + "x='>' " * 20_000 + ' rel=canonical href="/long">', "http://s.org/long"),
+        (page + "6", "<title>" + link + "</title>" + "y" * 300_000 + '<link rel=canonical href="/z">', "http://s.org/z"), (page + "7", "<link rel=canonical href", None),
+    ]
+    found = {tuple(r) for r in urlfilter.declared_links(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    assert found == {(a, b) for a, _, b in rows if b}
