@@ -50,7 +50,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = written(_lower(edges.where("a IS NOT NULL AND b IS NOT NULL")), "edges")
     while not _rests(edges):
-        busy = edges.count() > FREQUENT_ROWS
+        busy = edges.count() > 64 * FREQUENT_ROWS
         stars = written(_lower(_large_star(edges, busy)), "edges")
         edges = written(_lower(_small_star(stars, busy)), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

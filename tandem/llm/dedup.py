@@ -51,9 +51,9 @@ M, BAND, BASE, RATE, TOP = 128, 5, 1.1, 20.0, 255
 BANDS = M // BAND
 MARGIN = 0.15
 #: Documents of a bucket or family that one task compares at once.
-BUCKET_BLOCK, FAMILY_BLOCK, LEADERS = 2048, 1024, 16
+BUCKET_BLOCK, FAMILY_BLOCK, LEADERS = 2048, 256, 16
 #: Shingles of a block's rows together, about; rows of cells that a task has, about.
-BLOCK_SHINGLES, TASK_ROWS = 1 << 20, 8192
+BLOCK_SHINGLES, TASK_ROWS = 1 << 19, 8192
 WORD_BLOCK = 1 << 16
 
 SKETCH = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, registers binary"
@@ -268,7 +268,11 @@ def _forests(batches: Iterator[pa.RecordBatch], least: int = LEAST, exact: bool
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             return 100 * both >= least * (len(sets[x]) + len(sets[y]) - both)
 
-        pairs += [(reps[i], reps[j]) for i, j in _linked(regs, sizes, asks, parts, least, confirm if exact else None)]
+        found = _linked(regs, sizes, asks, parts, least, confirm if exact else None)
+        # each linked row to the smallest document of its tree: stars need fewer rounds to connect than chains
+        ends = sorted({i for pair in found for i in pair}, key=reps.__getitem__)
+        first: dict[int, int] = {}
+        pairs += [(reps[i], to) for i in ends if (to := first.setdefault(int(parts[i]), reps[i])) != reps[i]]
         if len(pairs) > 10_000:
             yield _edges(pairs)
             pairs = []
