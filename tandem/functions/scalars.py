@@ -97,3 +97,29 @@ def normal_text(text: Column) -> Column:
 
 def text_digest(text: Column) -> Column:
     return F.sha2(normal_text(text), 256)
+
+
+def target_label(kind: Column, query_label: Column, new_target: Column) -> Column:
+    """The label that counts as used: the query's own for irrelevant contexts, else the context's target."""
+    return F.when(kind == "irrelevant", query_label).otherwise(new_target)
+
+
+def identity(*columns: str) -> Column:
+    """The digest of the canonical JSON of text columns: keys in order, no spaces."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def signed(value: Column, digits: int) -> Column:
+    """A number with its sign and a fixed number of decimals."""
+    rounded = F.abs(F.round(value, digits)).cast(f"decimal(38,{digits})")
+    return F.concat(F.when(value < 0, "-").otherwise("+"), rounded.cast("string"))
+
+
+#: Characters that TeX reads as commands, and how they are written.
+TEX = (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"))
+
+
+def escaped(text: Column) -> Column:
+    """Every character that TeX would read as a command, written out; one pass over the characters."""
+    table = F.create_map(*(F.lit(x) for pair in TEX for x in pair))
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import effects, procedures
+from .plans import effects, exports, procedures
 
-QUERIES: dict = effects.QUERIES | procedures.QUERIES
-ORACLE: dict[str, str] = effects.ORACLE | procedures.ORACLE
+QUERIES: dict = effects.QUERIES | procedures.QUERIES | exports.QUERIES
+ORACLE: dict[str, str] = effects.ORACLE | procedures.ORACLE | exports.ORACLE
