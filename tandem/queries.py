@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import effects, exports, procedures
+from .plans import effects, exports, procedures, studies
 
-QUERIES: dict = effects.QUERIES | procedures.QUERIES | exports.QUERIES
-ORACLE: dict[str, str] = effects.ORACLE | procedures.ORACLE | exports.ORACLE
+QUERIES: dict = effects.QUERIES | procedures.QUERIES | exports.QUERIES | studies.QUERIES
+ORACLE: dict[str, str] = effects.ORACLE | procedures.ORACLE | exports.ORACLE | studies.ORACLE
