@@ -11,6 +11,8 @@ from ..operators import cases as C
 from ..operators import metrics as M
 from ..operators import units as U
 from ..sources.fixtures import CELLS, cells, table
+from ..sources.releases import CELL_FIELDS, aligned_records, context_records
+from ..streaming import store
 from .effects import CASES, case_values, r
 
 QUERIES: dict = {}
@@ -227,3 +229,38 @@ def shown_numbers(spark, sf):
     d = F.col("l_discount") - F.col("l_tax")
     text = F.concat(F.col("l_returnflag"), F.lit("_"), F.col("l_linestatus"), F.lit("&"), F.lit("10%"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.signed(d, 3).alias("signed"), F.signum(F.round(d, 6)).cast("int").alias("direction"), S.escaped(text).alias("escaped"))
+
+
+@query("released_records", f"""WITH {EXPORTS}, paired AS (SELECT owner_key FROM exports WHERE probability_ok GROUP BY owner_key HAVING count(*) = 2) SELECT condition, owner_key, control, case_id, cluster_id, cell_index, gold, prediction, round(score, 6) AS score FROM exports JOIN paired USING (owner_key)""")
+def released_records(spark, sf):
+    e = exports(spark, sf)
+    ids = C.aligned(e.where("probability_ok"), "owner_key", "condition", 2)
+    return r(aligned_records(e, 2, CELL_FIELDS, ids), 6, "score")
+
+
+@query("released_contexts", f"""WITH {CONTEXTS} SELECT l.sample_id, l.kind, l.use AS use_l, r.use AS use_r, v.n AS comparison FROM l JOIN r ON l.sample_id = r.sample_id, (VALUES ('first'), ('second')) v(n) WHERE l.query = r.query AND (l.kind = 'irrelevant' OR l.target = r.target)""")
+def released_contexts(spark, sf):
+    e = table(spark, sf, "events").withColumn("kind", F.when(F.col("event_type") == "view", "irrelevant").otherwise("gold")).where("value > 5 AND value <= 250 AND (event_type = 'view' OR value <= 50 OR value > 55)")
+    left = e.select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("query"), "kind", F.when(F.col("value") > 50, "yes").otherwise("no").alias("target"), F.col("value").alias("use"))
+    right = left.withColumn("use", F.col("use") / 2)
+    return context_records({"first": (left, right), "second": (left, right)}, ["query", "kind"], "target", "kind", ["use"])
+
+
+@query("rescored", f"""WITH {CELLS}, s AS (SELECT stratum, treat_pred, CASE WHEN base_score >= third_score AND base_score >= fourth_score THEN 'A' WHEN third_score >= fourth_score THEN 'N' ELSE 'R' END AS best FROM cells) SELECT stratum, count(*) AS rows, count(*) FILTER (WHERE best <> treat_pred) AS disagree FROM s GROUP BY stratum""")
+def rescored(spark, sf):
+    best = S.first_argmax([("A", F.col("base_score")), ("N", F.col("third_score")), ("R", F.col("fourth_score"))])
+    return cells(spark, sf).withColumn("best", best).groupBy("stratum").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("best") != F.col("treat_pred")).alias("disagree"))
+
+
+@query("run_completion", """WITH x AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS s, CASE WHEN embedding[2] > 0.3 THEN 'Z' ELSE 'A' END AS c FROM embeddings), g AS (SELECT label, count(*) AS rows, count(DISTINCT vec_id) AS units, bool_and(c IN ('A', 'B')) AS labels FROM x GROUP BY label) SELECT label, rows, units, TRUE AS finite, labels, rows = 50 AND units = 50 AND labels AS complete FROM g""")
+def run_completion(spark, sf):
+    runs = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("s"), F.when(F.col("embedding")[1] > 0.3, "Z").otherwise("A").alias("c"))
+    return store.completion(runs, ["label"], 50, "vec_id", "s", ("c", ["A", "B"]))
+
+
+@query("open_cells", """SELECT o AS stratum, i AS repeat FROM (SELECT DISTINCT o_orderpriority AS o FROM orders), range(1, 4) t(i) WHERE (o, i) NOT IN (SELECT o_orderpriority, 1 + o_orderkey % 3 FROM orders GROUP BY ALL HAVING count(*) > 100)""")
+def open_cells(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stratum"), (F.col("o_orderkey") % 3 + 1).alias("repeat"))
+    expected = orders.select("stratum").distinct().withColumn("repeat", F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))))
+    finished = orders.groupBy("stratum", "repeat").agg((F.count(F.lit(1)) > 100).alias("complete"))
+    return store.open_cells(expected, finished, ["stratum", "repeat"])

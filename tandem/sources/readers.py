@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import sqlite3
@@ -39,12 +40,43 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_serialised_tables(spark: SparkSession, path: str, separator: str = "#") -> DataFrame:
-    """Delimited tables, each as one text: ``Row i: a | b`` for every line, the first line being row 0."""
-    lines = F.filter(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), lambda x: x != "")
-    cells = lambda x: F.array_join(F.transform(F.split(x, F.lit(f"\\Q{separator}\\E")), F.trim), " | ")
-    text = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("Row "), i.cast("string"), F.lit(": "), cells(x))), "\n")
+    """Delimited tables, each as one text: ``Row i: a | b`` for every record, the first being row 0.
+
+    Cells stay as they are; quoted cells may hold separators and line breaks. A table without
+    rows, or with an empty row, fails.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = list(csv.reader(io.StringIO(value, newline=""), delimiter=separator))
+                if not rows or not all(rows):
+                    raise ValueError(f"{name} has no rows or an empty row")
+                texts.append("\n".join(f"Row {i}: " + " | ".join(row) for i, row in enumerate(rows)))
+                counts.append(len(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["file", "text", "rows"])
+
     files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
-    return files.select("file", text.alias("text"), F.size(lines).alias("rows"))
+    return files.mapInArrow(run, "file string, text string, rows int")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Claims of a line-wise manifest: the key must be table and claim number, and no path may leave the project."""
+    rows = read_jsonl(spark, path, "sample_id string, table_id string, claim_index int, label int, path string")
+    derived = F.col("sample_id").eqNullSafe(F.concat_ws(":", "table_id", "claim_index"))
+    inside = F.col("path").isNotNull() & ~F.col("path").rlike(r"^/|^[A-Za-z][A-Za-z0-9+.-]*:|(^|/)\.\.(/|$)")
+    message = F.concat(F.lit("a key that its row doesn't give, or a path that leaves the project: "), F.coalesce("sample_id", F.lit("null")))
+    guard = F.when(derived & inside, True).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.where(guard)
+
+
+def read_split(ids: DataFrame, quartets: DataFrame, expected: int, key: str = "case_id") -> DataFrame:
+    """The quartets of a named split, all of which must exist and be as many as expected."""
+    found = quartets.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+    if (n := ids.count()) != expected or found.count() != n:
+        raise ValueError("the split's ids and quartets differ in number")
+    return found
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +117,8 @@ def inventory_differences(now: DataFrame, recorded: DataFrame) -> DataFrame:
 def read_archive(spark: SparkSession, path: str, members: str = ".jsonl", forbidden: tuple[bytes, ...] = ()) -> DataFrame:
     """Lines of the members of tar.gz archives (archive, member, line_number, line).
 
-    Unsafe members (links, absolute paths, parent steps) and forbidden byte strings fail.
+    Unsafe members (links, absolute paths, parent steps) and forbidden byte strings fail. A
+    gzip stream can't be split: the task of an archive holds its compressed bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +151,7 @@ def _lines(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
-    """Rows of a query over each SQLite file under ``path``, opened from its bytes in the task that holds it."""
+    """Rows of a query over each SQLite file under ``path``, opened from its bytes in the task that holds it, whole."""
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
     arrow = {f.name: {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()] for f in T.StructType.fromDDL(schema).fields}
 
@@ -135,7 +168,7 @@ def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFr
 
 
 def canonical_json(column: Column) -> Column:
-    """A struct as JSON with sorted keys and no spaces, non-ASCII kept; not-a-number fails."""
+    """A struct as JSON in a fixed form: sorted keys, no spaces, non-ASCII kept; not-a-number fails."""
 
     @F.pandas_udf("string")
     def render(texts):

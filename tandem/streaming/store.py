@@ -70,3 +70,30 @@ def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hou
     """Tumbling-window counts with a watermark; works on streams and tables."""
     frame = events.withWatermark(time, late) if events.isStreaming else events
     return frame.groupBy(F.window(time, window).alias("w"), key).agg(F.count(F.lit(1)).alias("rows")).select(F.col("w.start").alias("start"), key, "rows")
+
+
+def bind_identity(spark: SparkSession, path: str, identity: dict[str, str]) -> str:
+    """Bind a store to its run once: ``bound``, or ``known`` if it is bound to the same; another identity is an error."""
+    wanted = sorted((str(k), str(v)) for k, v in identity.items())
+    try:
+        stored = sorted((r["key"], r["value"]) for r in spark.read.parquet(path).collect())  # a few fields
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        spark.createDataFrame(wanted, "key string, value string").coalesce(1).write.mode("errorifexists").parquet(path)
+        return "bound"
+    if stored != wanted:
+        raise ValueError("the store belongs to another run")
+    return "known"
+
+
+def open_cells(expected: DataFrame, finished: DataFrame, key: list[str], complete: str = "complete") -> DataFrame:
+    """Cells of a design that have no complete result yet: what a resumed run has to do, and nothing else."""
+    return expected.join(finished.where(complete).select(*key).distinct(), key, "left_anti")
+
+
+def completion(runs: DataFrame, key: list[str], units: int, unit: str, score: str, allowed: tuple[str, list[str]]) -> DataFrame:
+    """For each run: whether all units are there once, scores are finite and labels allowed."""
+    label, names = allowed
+    found = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(unit).alias("units"), F.bool_and(F.coalesce(~F.isnan(score) & (F.abs(score) < float("inf")), F.lit(False))).alias("finite"), F.bool_and(F.coalesce(F.col(label).isin(names), F.lit(False))).alias("labels"))
+    return found.withColumn("complete", (F.col("rows") == units) & (F.col("units") == units) & F.col("finite") & F.col("labels"))
