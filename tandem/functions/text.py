@@ -95,12 +95,13 @@ def _distances(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else edit_distance(x.as_py(), y.as_py()) for x, y in ((a if a.is_valid else None, b if b.is_valid else None) for a, b in zip(left, right))], pa.int32())
 
 
+#: The 6400 private-use characters, in order.
+PRIVATE = "".join(map(chr, range(0xE000, 0xF900)))
+
+
 def _private(n: Column) -> Column:
-    """The n-th private-use character: its three UTF-8 bytes built by arithmetic from U+E000."""
-    code = n + 0xE000 - 1
-    octet = lambda c: F.lpad(F.hex(c), 2, "0")
-    raw = F.concat(octet(224 + F.shiftright(code, 12)), octet(128 + F.shiftright(code, 6) % 64), octet(128 + code % 64))
-    return F.decode(F.unhex(raw), "UTF-8")
+    """The n-th private-use character."""
+    return F.substr(F.lit(PRIVATE), n.cast("int"), F.lit(1))
 
 
 def normalised_distance(distance: Column, left: Column, right: Column) -> Column:

@@ -231,11 +231,11 @@ def shown_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.signed(d, 3).alias("signed"), F.signum(F.round(d, 6)).cast("int").alias("direction"), S.escaped(text).alias("escaped"))
 
 
-@query("released_records", f"""WITH {EXPORTS}, paired AS (SELECT owner_key FROM exports WHERE probability_ok GROUP BY owner_key HAVING count(*) = 2) SELECT condition, owner_key, control, case_id, cluster_id, cell_index, gold, prediction, round(score, 6) AS score FROM exports JOIN paired USING (owner_key)""")
+@query("released_records", f"""WITH {EXPORTS}, paired AS (SELECT owner_key FROM exports WHERE probability_ok GROUP BY owner_key HAVING count(*) = 2) SELECT condition, owner_key, control, case_id, cluster_id, cell_index, gold, prediction, round(score, 9) AS score FROM exports JOIN paired USING (owner_key)""")
 def released_records(spark, sf):
     e = exports(spark, sf)
     ids = C.aligned(e.where("probability_ok"), "owner_key", "condition", 2)
-    return r(aligned_records(e, 2, CELL_FIELDS, ids), 6, "score")
+    return r(aligned_records(e, 2, CELL_FIELDS, ids), 9, "score")
 
 
 @query("released_contexts", f"""WITH {CONTEXTS} SELECT l.sample_id, l.kind, l.use AS use_l, r.use AS use_r, v.n AS comparison FROM l JOIN r ON l.sample_id = r.sample_id, (VALUES ('first'), ('second')) v(n) WHERE l.query = r.query AND (l.kind = 'irrelevant' OR l.target = r.target)""")

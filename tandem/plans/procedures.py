@@ -254,7 +254,9 @@ def edit_features(spark, sf):
     """Token edit distances of nearby documents of a source (its first 30 tokens, as the compared claims are short)."""
     w = table(spark, sf, "documents").select("doc_id", "source", F.slice(X.tokens(F.col("text")), 1, 30).alias("words"))
     a, b = w.select(F.col("doc_id").alias("left_id"), "source", F.col("words").alias("x")), w.select(F.col("doc_id").alias("right_id"), "source", F.col("words").alias("y"))
-    near = a.join(b, "source").where("left_id < right_id AND right_id - left_id <= 60 AND size(x) > 0 AND size(y) > 0")
+    # bands of 60 ids: a neighbour stands in the same band or in the next one
+    a, b = a.withColumn("band", F.expr("left_id div 60")), b.withColumn("band", F.explode(F.array(F.expr("right_id div 60"), F.expr("right_id div 60") - 1)))
+    near = a.join(b, ["source", "band"]).where("left_id < right_id AND right_id - left_id <= 60 AND size(x) > 0 AND size(y) > 0")
     near = near.where(F.size(F.array_distinct(F.concat("x", "y"))) < 94)
     d = X.token_distance(F.col("x"), F.col("y"))
     return near.select("left_id", "right_id", d.cast("long").alias("distance"), F.round(X.normalised_distance(d, F.col("x"), F.col("y")), 9).alias("normalised"))
