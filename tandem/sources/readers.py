@@ -178,3 +178,33 @@ def canonical_json(column: Column) -> Column:
         return texts.map(lambda t: None if t is None else json.dumps(json.loads(t, parse_constant=strict), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
     return render(F.to_json(column, {"ignoreNullFields": "false"}))
+
+
+def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A strict configuration: exactly the fields of the schema, none missing, none null, none beside them."""
+    fields = T.StructType.fromDDL(schema).names
+    raw = spark.read.text(path, wholetext=True)
+    keys = F.json_object_keys("value")
+    ok = F.array_sort(keys) == F.lit(sorted(fields))
+    told = read_object(spark, path, schema)
+    if not raw.select(F.coalesce(ok, F.lit(False))).first()[0] or told.where(" OR ".join(f"`{f}` IS NULL" for f in fields)).count():
+        raise ValueError(f"{path} has other fields than {', '.join(fields)}")
+    return told
+
+
+def read_contexts(spark: SparkSession, path: str) -> DataFrame:
+    """Context results of either schema version: fields of the first stage payload, or of the row itself in the older one."""
+    payload = "struct<analysis_context_type:string,bcu:boolean,context_identity_sha256:string,target_new:string>"
+    rows = read_jsonl(spark, path, f"sample_id string, query_identity_sha256 string, hard_status string, probability_status string, hard_payload {payload}, probability_payload struct<ccu:double,ccu_target_label:string>, analysis_context_type string, context_identity_sha256 string, target_new string")
+    both = lambda c: first_of(c, f"hard_payload.{c}").alias(c)
+    return rows.select("sample_id", "query_identity_sha256", both("analysis_context_type"), both("context_identity_sha256"), both("target_new"), F.col("hard_payload.bcu").alias("bcu"), F.col("probability_payload.ccu").alias("ccu"), F.col("probability_payload.ccu_target_label").alias("ccu_target_label"), (F.col("hard_status") == "ok").alias("hard_ok"), (F.col("probability_status") == "ok").alias("probability_ok"))
+
+
+def frozen(spark: SparkSession, root: str, recorded: DataFrame, denied: str) -> DataFrame:
+    """The inventory of a frozen tree; a denied path or any difference to the recorded inventory is an error."""
+    now = inventory(spark, root)
+    if bad := now.where(F.col("path").rlike(denied)).limit(1).collect():
+        raise ValueError(f"{bad[0].path} may not be here")
+    if bad := inventory_differences(now, recorded).limit(1).collect():
+        raise ValueError(f"{bad[0].path} is {bad[0].difference}")
+    return now

@@ -79,3 +79,14 @@ def unsealed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     if spark.read.text(f"{folder}/digest").first()[0] != now:
         raise ValueError("the result isn't what its digest says")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/result")
+
+
+def read_release(spark: SparkSession, folder: str, schema: str, conditions: list[str] | None = None) -> DataFrame:
+    """Records of a verified release; the conditions it must hold, if named, are checked."""
+    verify_release(spark, folder)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/records")
+    if conditions is not None:
+        present = sorted(r[0] for r in rows.select("condition").distinct().limit(len(conditions) + 1).collect())
+        if present != sorted(conditions):
+            raise ValueError(f"the release holds {', '.join(present)}")
+    return rows

@@ -102,6 +102,32 @@ def test_inventories(spark, tmp_path):
     assert found == {("a.txt", "changed"), ("gone", "removed"), ("new", "added")}
 
 
+def test_frozen_trees_configs_and_context_versions(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.txt").write_bytes(b"one")
+    recorded = spark.createDataFrame([("a.txt", hashlib.sha256(b"one").hexdigest())], "path string, sha256 string")
+    assert readers.frozen(spark, str(root), recorded, r"\.key$").count() == 1
+    (root / "b.key").write_bytes(b"k")
+    with pytest.raises(ValueError, match="may not be here"):
+        readers.frozen(spark, str(root), recorded, r"\.key$")
+    with pytest.raises(ValueError, match="is added"):
+        readers.frozen(spark, str(root), recorded, r"\.pem$")
+    (tmp_path / "c.json").write_text('{"seed": 7, "name": "x"}')
+    assert tuple(readers.read_config(spark, str(tmp_path / "c.json"), "seed int, name string").first()) == (7, "x")
+    for text in ('{"seed": 7}', '{"seed": 7, "name": "x", "more": 1}', '{"seed": 7, "name": null}'):
+        (tmp_path / "d.json").write_text(text)
+        with pytest.raises(ValueError, match="other fields"):
+            readers.read_config(spark, str(tmp_path / "d.json"), "seed int, name string")
+    new = {"sample_id": "1", "query_identity_sha256": "q", "hard_status": "ok", "probability_status": "error", "hard_payload": {"analysis_context_type": "gold", "bcu": True, "context_identity_sha256": "c", "target_new": "True"}}
+    old = {"sample_id": "2", "query_identity_sha256": "q", "hard_status": "ok", "probability_status": "ok", "analysis_context_type": "irrelevant", "context_identity_sha256": "d", "probability_payload": {"ccu": 0.5, "ccu_target_label": "False"}}
+    found = {r.sample_id: r for r in readers.read_contexts(spark, lines(tmp_path / "x.jsonl", [new, old])).collect()}
+    assert (found["1"].analysis_context_type, found["1"].bcu, found["1"].probability_ok) == ("gold", True, False)
+    assert (found["2"].analysis_context_type, found["2"].ccu, found["2"].target_new, found["2"].hard_ok) == ("irrelevant", 0.5, None, True)
+    with pytest.raises(Exception, match="differ"):
+        readers.read_contexts(spark, lines(tmp_path / "y.jsonl", [new | {"target_new": "False"}])).collect()
+
+
 def archive(path, members):
     with tarfile.open(path, "w:gz") as tar:
         for name, data in members.items():
@@ -187,6 +213,10 @@ def test_paired_release(spark, tmp_path):
     rows = [json.loads(line) for p in (tmp_path / "r" / "records").glob("part-*") for line in p.read_text().splitlines()]
     assert len(rows) == 10 and set(rows[0]) <= set(releases.CELL_FIELDS) and "secret" not in json.dumps(rows)
     releases.verify_release(spark, folder, sources)
+    read = releases.read_release(spark, folder, "condition string, owner_key string, case_id int, cell_index int, score double", ["f", "q"])
+    assert sorted((r.condition, r.owner_key, r.score) for r in read.collect())[0] == ("f", "full:0", 0.1) and read.count() == 10
+    with pytest.raises(ValueError, match="the release holds"):
+        releases.read_release(spark, folder, "condition string", ["f"])
     with pytest.raises(ValueError, match="may not leave"):
         releases.aligned_records(a.unionByName(b), 2, [*releases.CELL_FIELDS, "claim"])
     with pytest.raises(ValueError, match="owner_set"):
