@@ -6,7 +6,8 @@ together over contiguous rank arrays (bpe.py). Nothing is shuffled: a map over d
 
 Defined results: a null text counts as the empty text, which has no ids; the strings of
 special tokens inside a text become their ids, as the library does by default; repeated
-rows give repeated results; further input columns are ignored.
+rows give repeated results; a null doc_id is carried along; very long texts are encoded whole; an
+empty table gives an empty result; further input columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,14 +4,17 @@ A text is the mean of the embeddings of its letter n-grams (1 to 3, words bounde
 into ``BUCKETS`` rows; a linear softmax over that mean names the language. Both are trained
 by stochastic gradient descent in numpy on a bounded sample of labelled documents
 (``sample_rows``, spread over the languages; only their hashed counts reach the driver).
-A part of the sample that is not trained on sets the softmax temperature, so that scores
-are calibrated, and the score below which a prediction is rejected. Prediction is a map
+At most ``LANGUAGES`` values of lang, the most frequent, are learned. Every fifth row of each
+language isn't trained on: these rows set the softmax temperature, so that scores are
+calibrated, and the score below which a prediction is rejected. Prediction is a map
 over whole texts with the product of the two matrices, buckets x languages, broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; when nothing can be learned every document is; a null doc_id is not held out and
 is never learned from; documents without lang are predicted but not learned from; repeated
-rows give repeated results; further columns are ignored; an empty table gives an empty result.
+rows give repeated results; very long texts are read whole, in blocks that overlap by the
+two letters that an n-gram may reach back; further columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BUCKET_BITS, DIM, BLOCK = 14, 16, 1 << 20
 BUCKETS = 1 << BUCKET_BITS
 #: At most this many labelled rows are fitted (expected number; the languages share it evenly).
 SAMPLE_ROWS = 2400
+#: At most this many languages are learned, the most frequent; a sample holds OVERDRAWN times its rows at most.
+LANGUAGES, OVERDRAWN = 512, 2
 #: The part of right predictions that rejection may cost on the calibration rows.
 REJECT = 0.001
 
@@ -42,18 +47,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def _grams(codes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the 1-, 2- and 3-grams of letters (0: no letter), each by the place where it ends."""
+    one = codes * np.uint32(0x9E3779B1)
+    two = (one[:-1] ^ (codes[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+    three = ((two[:-1] ^ codes[2:]) * np.uint32(0x27D4EB2F)) ^ np.uint32(0x165667B1)
+    return [one[codes != 0], two, (three * np.uint32(0x9E3779B1))[codes[1:-1] != 0]]
+
+
 def subwords(text: str) -> np.ndarray:
-    """Bucket of every letter n-gram of the text."""
+    """Bucket of every letter n-gram of the text; runs of other characters count as one."""
     out = [np.empty(0, np.uint32)]
+    before = np.zeros(1, np.uint32)  # the last two letters of the block before
     for at in range(0, len(text), BLOCK):
         codes = np.frombuffer(text[at : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes = np.where(_letters()[codes], codes, np.uint32(0))
-        full = np.concatenate([np.zeros(1, np.uint32), codes, np.zeros(1, np.uint32)])
+        last = at + BLOCK >= len(text)
+        full = np.concatenate([before, codes, np.zeros(int(last), np.uint32)])
         full = full[np.concatenate([[True], (full[1:] != 0) | (full[:-1] != 0)])]
-        one = full * np.uint32(0x9E3779B1)
-        two = (one[:-1] ^ (full[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-        three = ((two[:-1] ^ full[2:]) * np.uint32(0x27D4EB2F)) ^ np.uint32(0x165667B1)
-        out += [one[full != 0], two, (three * np.uint32(0x9E3779B1))[full[1:-1] != 0]]
+        one, two, three = _grams(full)
+        # n-grams within the letters carried over were counted with their block
+        carried = len(before)
+        out += [one[int((before != 0).sum()) :], two[max(0, carried - 1) :], three]
+        before = full[-2:]
     return np.concatenate(out) >> np.uint32(32 - BUCKET_BITS)
 
 
@@ -87,7 +103,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
         return None
     languages = sorted({r[0] for r in rows})
     number = {lang: i for i, lang in enumerate(languages)}
-    fit = [r for i, r in enumerate(rows) if i % 5] or rows
+    # the first row of a language trains, every fifth after it calibrates
+    nth: dict[str, int] = {}
+    place = [nth.update({r[0]: nth.get(r[0], -1) + 1}) or nth[r[0]] for r in rows]
+    fit = [r for n, r in zip(place, rows) if n % 5 != 4]
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(languages)), np.float32)
@@ -112,7 +131,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
             # shares are small numbers spread over many rows: the step of a row is raised by their norm
             embed[b] -= np.outer(share / max(1e-6, float(share @ share)) * 0.05, back)
     model = Model(languages, (embed @ out).astype(np.float64), bias.astype(np.float64))
-    held = [r for i, r in enumerate(rows) if not i % 5 and r[0] in number] or rows
+    held = [r for n, r in zip(place, rows) if n % 5 == 4] or rows
     gold = np.array([number[r[0]] for r in held])
     logits = np.array([model.logits(b, c) for _, b, c in held])
     loss = []
@@ -144,14 +163,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model learned from text and lang of documents that are not held out."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     quota = max(1, sample_rows // len(sizes))
     spark = docs.sparkSession
     rates = spark.createDataFrame([(g, min(1.0, quota / n)) for g, n in sizes.items()], "lang string, rate double")
     drawn = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < F.col("rate") * 1_000_003)
-    rows = mapped(drawn.where(F.col("text").isNotNull()).select("lang", "text"), _counts, "lang string, buckets binary, counts binary").collect()
+    drawn = drawn.where(F.col("text").isNotNull()).limit(OVERDRAWN * max(sample_rows, len(sizes)))  # rows of one doc_id are drawn together
+    rows = mapped(drawn.select("lang", "text"), _counts, "lang string, buckets binary, counts binary").collect()
     rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows)  # the order of training doesn't depend on partitions
     return train([(g, np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for g, b, c in rows])
 

@@ -13,7 +13,7 @@
 
 Defined results: a null text counts as the empty text, which is one piece holding the end
 id alone; a null doc_id packs like any other; repeated rows are packed once for each row;
-an empty table gives an empty result; further columns are ignored.
+very long texts are many pieces; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
