@@ -99,7 +99,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def runs(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` of about ``limit`` characters, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):
