@@ -1,11 +1,9 @@
-"""What the operators share: the cluster's shared folder, written intermediates, text batches."""
+"""What the operators share: written intermediates, text batches, bounded joins."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 from functools import lru_cache
@@ -15,31 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset and the master is local (tests) a temporary folder is made and
-    registered as the session's checkpoint folder; on a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
-
-    Cuts the lineage: a lost executor costs a reread, never a recomputation, and the
-    rows stay the same for every later reader.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import shared_folder, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

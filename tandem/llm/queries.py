@@ -5,11 +5,16 @@ from __future__ import annotations
 from .dedup import op3_setsketch_dedup
 from .encoding import op7_rank_array_bpe
 from .langid import op6_subword_language
+from .manifest import ORACLE as MANIFEST_ORACLE
+from .manifest import op13_peak_manifest
 from .media import op4_wav_peaks
+from .mixing import ORACLE as MIXING_ORACLE
+from .mixing import op12_hash_thresholds
 from .neighbours import op10_multi_index_hashing
 from .packing import op1_column_generation
 from .pii import op2_weak_supervision
 from .sharding import op9_histogram_sort
+from .spelling import op11_halves_automata
 from .urlfilter import ORACLE as URL_ORACLE
 from .urlfilter import op5_redirect_equivalence
 from .warc import op8_indexed_warc
@@ -25,8 +30,13 @@ QUERIES = {
     "op8_indexed_warc": op8_indexed_warc,
     "op9_histogram_sort": op9_histogram_sort,
     "op10_multi_index_hashing": op10_multi_index_hashing,
+    "op11_halves_automata": op11_halves_automata,
+    "op12_hash_thresholds": op12_hash_thresholds,
+    "op13_peak_manifest": op13_peak_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op5_redirect_equivalence": URL_ORACLE,
+    "op12_hash_thresholds": MIXING_ORACLE,
+    "op13_peak_manifest": MANIFEST_ORACLE,
 }
