@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .text import folded
 
+#: What counts as white space in texts, as the inside of a character class.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+
 
 def margin(scores: dict[str, Column], positive: str, negative: Column) -> Column:
     """Score of the positive label minus that of the row's negative label; null for an unknown label."""
@@ -41,9 +49,12 @@ def log_softmax(scores: list[Column]) -> list[Column]:
 
 
 def binary_use(kind: Column, without: Column, with_: Column, target: Column) -> Column:
-    """Whether a context was used: for irrelevant contexts an unchanged answer, else the target, case aside."""
-    plain = lambda c: folded(F.trim(c))
-    return F.when(kind == "irrelevant", plain(without) == plain(with_)).otherwise(plain(with_) == plain(target))
+    """Whether a context was used: for irrelevant contexts an unchanged answer, else the target, case aside.
+
+    White space around answers is no part of them; a target stands as it is.
+    """
+    plain = lambda c: folded(stripped(c))
+    return F.when(kind == "irrelevant", plain(without) == plain(with_)).otherwise(plain(with_) == folded(target))
 
 
 def continuous_use(before: Column, after: Column) -> Column:
@@ -70,11 +81,11 @@ def stable_probe(values: Column, tolerance: float) -> Column:
 
 
 def parse_choice(raw: Column, letters: list[str]) -> tuple[Column, Column]:
-    """(letter, reason of failure): the stripped, upper-cased text must be one of the letters."""
-    text = F.upper(F.trim(F.coalesce(raw, F.lit(""))))
-    ok = text.isin(letters)
-    reason = F.when(ok, None).when(text == "", "empty").when(F.length(text) > 1, "not_single_letter").otherwise("unknown_letter")
-    return F.when(ok, text), reason
+    """(letter, reason of failure): the text, stripped of white space and upper-cased, must be one of the letters."""
+    text = F.upper(stripped(raw))
+    # fixed values: the reasons
+    reason = F.when(raw.isNull(), "invalid_response_type").when(text == "", "empty_response").when(F.char_length(text) != 1, "not_single_choice").when(~text.isin(letters), "disallowed_choice")
+    return F.when(reason.isNull(), text), reason
 
 
 def choice_grammar(letters: list[str]) -> Column:
@@ -92,7 +103,8 @@ def stable_rank(seed: int, namespace: str, value: Column) -> Column:
 
 
 def normal_text(text: Column) -> Column:
-    return folded(F.regexp_replace(F.trim(text), r"\s+", " "))
+    """Case folded, stripped, every run of white space one space; a null text is an empty one."""
+    return folded(F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), f"[{WHITE}]+", " "))
 
 
 def text_digest(text: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,34 +42,46 @@ def negations(text: Column) -> Column:
     return F.array_sort(F.concat(words, signature(text, CONTRACTION)))
 
 
-def edit_features(claims: tuple[Column, Column], evidences: tuple[Column, Column]) -> dict[str, Column]:
-    """All edit features of two claims and two evidences: distances, token counts, and what changed."""
+def edit_features(claims: tuple[Column, Column], evidences: tuple[Column, Column], words: tuple[tuple[Column, Column], tuple[Column, Column]] | None = None) -> dict[str, Column]:
+    """All edit features of two claims and two evidences: distances, token counts, and what changed.
+
+    ``words``: their tokens, if they are columns already; ``with_edit_features`` makes them once.
+    """
     out: dict[str, Column] = {}
-    for name, (a, b) in (("claim", claims), ("evidence", evidences)):
-        x, y = tokens(a), tokens(b)
+    for i, (name, (a, b)) in enumerate((("claim", claims), ("evidence", evidences))):
+        x, y = words[i] if words else (tokens(a), tokens(b))
         distance = token_distance(x, y).cast("long")
         out |= {f"{name}_distance": distance, f"{name}_distance_normalised": normalised_distance(distance, x, y), f"{name}_left_tokens": F.size(x), f"{name}_right_tokens": F.size(y)}
         out |= {f"{name}_numeric_change": signature(a, NUMBER) != signature(b, NUMBER), f"{name}_date_change": signature(a, DATE) != signature(b, DATE), f"{name}_negation_change": negations(a) != negations(b)}
     return out
 
 
-def token_distance(left: Column, right: Column) -> Column:
-    """Exact edit distance of two token arrays, without a join or a loop in Python.
+def with_edit_features(frame: DataFrame, claims: tuple[str, str], evidences: tuple[str, str]) -> DataFrame:
+    """``frame`` with all edit features; the tokens of its four texts are made in one step and used in the next."""
+    texts = [*claims, *evidences]
+    split = frame.withColumns({f"__words_{i}": tokens(F.col(t)) for i, t in enumerate(texts)})
+    w = [F.col(f"__words_{i}") for i in range(4)]
+    pair = lambda names: tuple(F.col(n) for n in names)
+    return split.withColumns(edit_features(pair(claims), pair(evidences), ((w[0], w[1]), (w[2], w[3])))).drop(*(f"__words_{i}" for i in range(4)))
 
-    Each distinct token of the pair becomes one private-use character, so the built-in
-    character distance counts tokens. Arrays of more than 6400 distinct tokens in all have
-    no such code; only they go through ``edit_distance``.
-    """
-    codes = F.array_distinct(F.concat(left, right))
-    many = F.size(codes) > 6400
-    as_text = lambda words: F.array_join(F.transform(words, lambda w: _private(F.array_position(codes, w))), "")
-    return F.coalesce(F.when(~many, F.levenshtein(as_text(left), as_text(right))), _distances(F.when(many, left), F.when(many, right)))
+
+def token_distance(left: Column, right: Column) -> Column:
+    """Exact edit distance of two token arrays of any length; null where either is null."""
+    return _distances(left, right)
 
 
 def edit_distance(left: list, right: list) -> int:
-    """Exact edit distance of two sequences: a rolling row over what lies between their common ends."""
+    """Exact edit distance of two sequences of hashable items."""
     codes: dict = {}
-    a, b = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (left, right))
+    return coded_distance(*(np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (left, right)))
+
+
+def coded_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two arrays of codes: what lies between their common ends, column by column in bits.
+
+    A column of differences of the distance table (Myers, 1999; Hyyrö, 2003) is two whole
+    numbers of as many bits as the longer side has items, so a step costs a few long additions.
+    """
     n = min(len(a), len(b))
     differs = np.flatnonzero(a[:n] != b[:n])
     at = int(differs[0]) if len(differs) else n
@@ -77,31 +90,55 @@ def edit_distance(left: list, right: list) -> int:
     differs = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
     end = int(differs[0]) if len(differs) else n
     a, b = a[: len(a) - end], b[: len(b) - end]
-    if len(a) > len(b):
+    if len(a) < len(b):
         a, b = b, a
-    places = np.arange(len(b) + 1)
-    row = places
-    for i, code in enumerate(a.tolist(), 1):
-        step = np.empty_like(row)
-        step[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + (b != code), out=step[1:])
-        # insertions: the least of what stands before, one more for each place passed
-        row = np.minimum.accumulate(step - places) + places
-    return int(row[-1])
+    if not len(b):
+        return len(a)
+    at_code: dict[int, int] = {}
+    order = np.argsort(a, kind="stable")
+    for code, places in zip(*_runs(a, order), strict=True):
+        bits = np.zeros(len(a) + 7, np.uint8)
+        bits[places] = 1
+        at_code[code] = int.from_bytes(np.packbits(bits[: len(a) // 8 * 8 + 8], bitorder="little").tobytes(), "little")
+    full = (1 << len(a)) - 1
+    top = 1 << (len(a) - 1)
+    more, less, score = full, 0, len(a)
+    for code in b.tolist():
+        same = at_code.get(code, 0)
+        vertical = same | less
+        level = (((same & more) + more) ^ more) | same
+        up = less | (full & ~(level | more))
+        down = more & level
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        up = (up << 1 | 1) & full
+        down = down << 1 & full
+        more = down | (full & ~(vertical | up))
+        less = up & vertical
+    return score
+
+
+def _runs(a: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct codes and the places of each."""
+    cuts = np.flatnonzero(np.diff(a[order])) + 1
+    return a[order[np.concatenate([[0], cuts])]].tolist(), np.split(order, cuts)
 
 
 @F.arrow_udf(T.IntegerType())
 def _distances(left: pa.Array, right: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else edit_distance(x.as_py(), y.as_py()) for x, y in ((a if a.is_valid else None, b if b.is_valid else None) for a, b in zip(left, right))], pa.int32())
-
-
-#: The 6400 private-use characters, in order.
-PRIVATE = "".join(map(chr, range(0xE000, 0xF900)))
-
-
-def _private(n: Column) -> Column:
-    """The n-th private-use character."""
-    return F.substr(F.lit(PRIVATE), n.cast("int"), F.lit(1))
+    codes = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    sides = []
+    at = 0
+    for side in (left, right):
+        lengths = side.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = at + np.cumsum(lengths)
+        sides.append((ends - lengths, ends))
+        at += int(lengths.sum())
+    known = pc.and_(left.is_valid(), right.is_valid()).to_pylist()
+    (la, lz), (ra, rz) = sides
+    return pa.array([coded_distance(codes[la[i] : lz[i]], codes[ra[i] : rz[i]]) if ok else None for i, ok in enumerate(known)], pa.int32())
 
 
 def normalised_distance(distance: Column, left: Column, right: Column) -> Column:

@@ -2,17 +2,29 @@
 
 A draw is a table of multiplicities (draw, cluster, times), made once and shared by every
 metric: a metric never sees draws x slots rows. The index of a slot is a number cut from
-the MD5 of seed, draw and slot.
+the MD5 of seed, draw and slot. Signs of flips are the bits of the MD5 of seed, draw and
+block, one block for every 128 clusters.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..sources.shared import written
+from .ranks import ranked
+
+#: Fixed value: the seed of all draws.
 SEED = 20260711
 
+#: Clusters whose signs one digest holds; draws whose sums a task holds at once.
+SIGNS, CHUNK = 128, 4096
+
 
 def hashed(*parts: Column) -> Column:
     """A whole number below 2 ** 48 from the parts, joined by ``|``."""
@@ -20,20 +32,47 @@ def hashed(*parts: Column) -> Column:
 
 
 def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
-    """Clusters with place 0, 1, ... in their own order; only names pass through the one ordering task."""
-    return clusters.select(cluster).distinct().withColumn("place", F.row_number().over(Window.orderBy(cluster)).cast("long") - 1)
+    """Clusters with place 0, 1, ... in their own order; no task sorts all names."""
+    return ranked(clusters.select(cluster).distinct(), [cluster])
 
 
-def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int = SEED) -> DataFrame:
-    """(draw, cluster, times): how often each cluster is drawn with replacement."""
-    spark = clusters.sparkSession
-    names = numbered(clusters, cluster)
-    n = names.count()
-    slots = spark.range(draws * n).select(F.expr(f"id div {n}").alias("draw"), F.expr(f"id % {n}").alias("slot"))
+def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int = SEED, first: int = 0, names: DataFrame | None = None) -> DataFrame:
+    """(draw, cluster, times): how often each cluster is drawn with replacement, for ``draws`` draws from number ``first`` on."""
+    names = numbered(clusters, cluster) if names is None else names
+    n = max(1, names.count())
+    slots = clusters.sparkSession.range(first * n, (first + draws) * n).select(F.expr(f"id div {n}").alias("draw"), F.expr(f"id % {n}").alias("slot"))
     index = hashed(F.lit(seed), F.col("draw"), F.col("slot")) % n
     return slots.groupBy("draw", index.alias("place")).agg(F.count(F.lit(1)).alias("times")).join(names, "place").select("draw", cluster, "times")
 
 
+def redrawn(clusters: DataFrame, cluster: str, draws: int, valid: Callable[[DataFrame], DataFrame], most_rejected: int, seed: int = SEED) -> DataFrame:
+    """The first ``draws`` valid draws, in order of their numbers; rejected ones are made up for by further draws.
+
+    ``valid`` takes multiplicities and returns a row for each draw (column ``draw``) that is not
+    to be rejected. Draws are numbered on, so the same ones are accepted however many are made
+    at a time. More than ``most_rejected`` rejections before the last accepted draw are an error.
+    """
+    names = numbered(clusters, cluster)
+    found: DataFrame | None = None
+    made = accepted = 0
+    more = draws
+    while True:
+        part = written(valid(multiplicities(clusters, cluster, more, seed, made, names)), "draws")
+        found = part if found is None else found.unionByName(part)
+        accepted, made = accepted + part.count(), made + more
+        if accepted < draws and made - accepted > most_rejected:
+            raise ValueError(f"{made - accepted} of {made} draws were rejected")
+        if accepted >= draws:
+            break
+        # as many as the share accepted so far suggests, and no more than may still be rejected
+        more = min(max(1024, (draws - accepted) * made // max(1, accepted)), most_rejected + draws - made + 1)
+    kept = found.orderBy("draw").limit(draws)
+    last = kept.agg(F.max("draw")).first()[0]
+    if last is not None and last + 1 - draws > most_rejected:
+        raise ValueError(f"{last + 1 - draws} of {last + 1} draws were rejected")
+    return kept
+
+
 def bootstrap_interval(effects: DataFrame, cluster: str, times: DataFrame, by: tuple[str, ...] = (), value: str = "effect", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of the balanced mean; metrics (``by``) share the drawn clusters.
 
@@ -55,21 +94,66 @@ def balanced_accuracy_bootstrap(rows: DataFrame, cluster: str, gold: str, left:
     return each.agg(F.percentile("difference", F.lit(0.025)).alias("lower"), F.percentile("difference", F.lit(0.975)).alias("upper"), F.count(F.lit(1)).alias("valid_draws"))
 
 
+def _signs(draws: range, block: int, seed: int | None) -> np.ndarray:
+    """draws x SIGNS of +1 and -1; without a seed the bits of the draw itself, so that all flips come."""
+    if seed is None:
+        bits = (np.arange(draws.start, draws.stop)[:, None] >> np.arange(SIGNS).clip(max=62)[None, :]) & 1
+    else:
+        digests = b"".join(hashlib.md5(f"{seed}|{draw}|{block}".encode(), usedforsecurity=False).digest() for draw in draws)
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1)
+    return 1.0 - 2.0 * bits
+
+
+def _partial_sums(draws: int, seed: int | None):
+    """Of all clusters of a task the signed sum for each draw, as one array for each CHUNK of draws."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list] = {}
+        for batch in batches:
+            for place, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks.setdefault(place // SIGNS, []).append((place % SIGNS, x or 0.0))
+        for at in range(0, draws if blocks else 0, CHUNK):
+            chunk = range(at, min(at + CHUNK, draws))
+            sums = np.zeros(len(chunk))
+            for block, members in blocks.items():
+                effects = np.zeros(SIGNS)
+                for place, x in members:
+                    effects[place] = x
+                sums += _signs(chunk, block, seed) @ effects
+            yield pa.record_batch([pa.array([at // CHUNK], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["chunk", "sums"])
+
+    return run
+
+
+def _extreme(observed: float):
+    """How many summed draws of a chunk are as far from zero as what was observed."""
+
+    def run(chunk: pa.Table) -> pa.Table:
+        total = np.zeros(0)
+        for part in chunk.column("sums").iterchunks():
+            for row in range(len(part)):
+                values = part[row].values.to_numpy()
+                total = values.copy() if not len(total) else total + values
+        return pa.table([pa.array([int((np.abs(total) >= observed - 1e-9).sum())], pa.int64()), pa.array([len(total)], pa.int64())], ["k", "draws"])
+
+    return run
+
+
 def sign_flip(effects: DataFrame, cluster: str, draws: int, value: str = "effect", seed: int = SEED, exact_up_to: int = 20) -> DataFrame:
-    """Two-sided sign-flip test of the mean: all flips for few clusters, (k + 1) / (draws + 1) otherwise."""
-    spark = effects.sparkSession
-    places = effects.join(numbered(effects, cluster), cluster).select("place", F.col(value).alias("x"))
-    n = places.count()
-    exact = n <= exact_up_to
-    flips = spark.range(2**n if exact else draws).withColumnRenamed("id", "draw")
-    # every draw flips every cluster: few clusters against draws, or a broadcast side of draws
-    both = places.join(F.broadcast(flips))
-    sign = F.expr("CASE WHEN shiftright(draw, CAST(place AS INT)) % 2 = 1 THEN -1 ELSE 1 END") if exact else F.when(hashed(F.lit(seed), F.col("draw"), F.col("place")) % 2 == 1, -1).otherwise(1)
-    sums = both.groupBy("draw").agg(F.abs(F.sum(sign * F.col("x"))).alias("s"))
-    seen = places.agg(F.abs(F.sum("x")).alias("observed"))
-    counts = sums.crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("s") >= F.col("observed") - 1e-9).alias("k"), F.count(F.lit(1)).alias("draws"))
-    p = F.col("k") / F.col("draws") if exact else (F.col("k") + 1) / (F.col("draws") + 1)
-    return counts.select(p.alias("p"), "draws", F.lit(n).cast("long").alias("clusters"))
+    """Two-sided sign-flip test of the mean: all flips for few clusters, (k + 1) / (draws + 1) otherwise.
+
+    A task sums its clusters for every draw into arrays, which are added up by chunks of draws:
+    what is moved is a number for each draw and task, never a row for each draw and cluster.
+    """
+    each = effects.select(cluster, F.col(value).cast("double").alias("x"))
+    places = written(ranked(each, [cluster]).select("place", "x"), "effects")
+    told = places.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.abs(F.sum("x")), F.lit(0.0)).alias("observed")).first()
+    exact = told.n <= exact_up_to
+    made = 2**told.n if exact else draws
+    sums = places.repartition(F.expr(f"place div {SIGNS}")).mapInArrow(_partial_sums(made, None if exact else seed), "chunk int, sums array<double>")
+    counts = sums.groupBy("chunk").applyInArrow(_extreme(told.observed), "k long, draws long").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("draws"), F.lit(0)).alias("draws"))
+    p = F.try_divide(F.col("k"), F.col("draws")) if exact else (F.col("k") + 1) / (F.col("draws") + 1)
+    return counts.select(p.alias("p"), "draws", F.lit(told.n).cast("long").alias("clusters"))
 
 
 def condition_swap(rows: DataFrame, cluster: str, gold: str, left: str, right: str, draws: int, seed: int = SEED) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import stable_rank
+from .ranks import ranges, ranked
 
 
 def quotas(rows: DataFrame, stratum: str, total: int) -> DataFrame:
@@ -15,20 +20,37 @@ def quotas(rows: DataFrame, stratum: str, total: int) -> DataFrame:
     return counts.withColumn("quota", F.bround(F.lit(total) * F.col("n") / F.sum("n").over(Window.partitionBy()), 0).cast("long")).drop("n")
 
 
+#: Up to so many rows a stratum a window keeps no more than those; a quota beyond is ranked over ranges.
+FEW = 1000
+
+
+def _first(rows: DataFrame, by: list[str], order: list[str], place: str, most: int) -> DataFrame:
+    """At least the first ``most`` rows of each group, with their place from 1; small quotas cost no more state than their rows in each task."""
+    if most <= FEW:
+        return rows.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(place) <= most)
+    return ranked(rows, order, tuple(by), place).withColumn(place, F.col(place) + 1).where(F.col(place) <= most)
+
+
 def round_robin(rows: DataFrame, key: str, cluster: str, seed: int, quota: Column | None = None, stratum: str | None = None, total: int = 0) -> DataFrame:
     """Cluster-first selection: the first case of every cluster, then the second of every one, until the quota.
 
     Clusters and cases within them go by hash rank. ``place`` is the order of selection
-    within the stratum. Ranking is by (pass, cluster hash), so a window over a stratum
-    needs no state beyond one sort.
+    within the stratum. The largest quota bounds what a cluster, and then a stratum, may give,
+    so a task keeps no more rows of either than that.
     """
     by = [stratum] if stratum else []
-    hashed = rows.withColumn("cluster_hash", stable_rank(seed, "cluster", F.col(cluster))).withColumn("case_hash", stable_rank(seed, "case", F.col(key)))
-    passes = hashed.withColumn("turn", F.row_number().over(Window.partitionBy(*by, cluster).orderBy("case_hash", key)))
-    placed = passes.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("turn", "cluster_hash", key)).cast("long"))
+    most = total
     if stratum:
-        return placed.join(F.broadcast(quotas(rows, stratum, total)), stratum).where("place <= quota").select(key, cluster, stratum, "place")
-    return placed.where(F.col("place") <= total).select(key, cluster, "place")
+        shares = quotas(rows, stratum, total)
+        most = shares.agg(F.max("quota")).first()[0] or 0
+    hashed = rows.select(key, cluster, *by).withColumn("cluster_hash", stable_rank(seed, "cluster", F.col(cluster))).withColumn("case_hash", stable_rank(seed, "case", F.col(key)))
+    passes = _first(hashed, [*by, cluster], ["case_hash", key], "turn", most)
+    if not stratum:
+        lead = passes.orderBy("turn", "cluster_hash", key).limit(total)
+        return _first(lead, [], ["turn", "cluster_hash", key], "place", total).select(key, cluster, "place")
+    placed = _first(passes, by, ["turn", "cluster_hash", key], "place", most)
+    shares = shares.withColumnRenamed(stratum, "__stratum")
+    return placed.join(shares, F.col(stratum).eqNullSafe(F.col("__stratum"))).where("place <= quota").select(key, cluster, stratum, "place")
 
 
 def lowest_ranked(rows: DataFrame, key: str, seed: int, namespace: str, k: int, stratum: str | None = None) -> DataFrame:
@@ -42,9 +64,9 @@ def lowest_ranked(rows: DataFrame, key: str, seed: int, namespace: str, k: int,
 def split_clusters(rows: DataFrame, cluster: str, seed: int, share: float) -> DataFrame:
     """Every row with ``part``: recovery for the share of clusters of lowest hash rank (rounded half to even), else main."""
     names = rows.select(cluster).distinct().withColumn("hash", stable_rank(seed, "split", F.col(cluster)))
-    placed = names.withColumn("place", F.row_number().over(Window.orderBy("hash", cluster))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    part = F.when(F.col("place") <= F.bround(F.col("n") * share, 0), "recovery").otherwise("main")
-    return rows.join(placed.select(cluster, part.alias("part")), cluster)
+    dealt = ranges(names, ["hash", cluster])
+    part = F.when(F.col("place") < F.bround(F.col("n") * share, 0), "recovery").otherwise("main")
+    return rows.join(dealt.placed("place", "n").select(cluster, part.alias("part")), cluster)
 
 
 def greedy_disjoint(rows: DataFrame, key: str, cluster: str, kind: str, kinds: list, seed: int, k: int) -> DataFrame:
@@ -75,6 +97,42 @@ def missing_cells(found: DataFrame, dimensions: dict[str, list]) -> DataFrame:
     return design.join(found.select(*dimensions).distinct(), [*dimensions], "left_anti")
 
 
+def _streamed(groups: list[str]):
+    """The digest of each group's ids, fed one by one: rows come sorted by group and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, ids = None, hashlib.sha256(), 0
+        kept: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            columns = [kept[0].column(c) for c in groups]
+            yield pa.record_batch([*columns, pa.array([ids], pa.int64()), pa.array([state.hexdigest()])], [*groups, "ids", "digest"])
+
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in groups), strict=True)) if groups else [()] * batch.num_rows
+            for i, (name, value) in enumerate(zip(names, batch.column("id").to_pylist(), strict=True)):
+                if not kept or name != last:
+                    if kept:
+                        yield from told()
+                    last, state, ids, kept = name, hashlib.sha256(), 0, [batch.slice(i, 1)]
+                if value is not None:
+                    state.update(value.encode() + b"\n")
+                    ids += 1
+        if kept:
+            yield from told()
+
+    return run
+
+
 def id_digest(rows: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Number of ids and the digest of their sorted, newline-ended list. One list for each group: for manifests, not for facts."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("ids"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), F.lit("\n")), 256).alias("digest"))
+    """Number of ids and the digest of their sorted list, each ended by a newline; null ids are left out.
+
+    A digest of one list is made in order, so a group is one task's work, but a stream in it:
+    Spark sorts (and spills) the narrow ids, and the state of a digest is all that is held.
+    """
+    narrow = rows.select(*by, F.col(key).cast("string").alias("id"))
+    dealt = narrow.repartition(*by) if by else narrow.coalesce(1)
+    schema = ", ".join([*(f"`{c}` {dict(narrow.dtypes)[c]}" for c in by), "ids long", "digest string"])
+    return dealt.sortWithinPartitions(*by, "id").mapInArrow(_streamed(list(by)), schema)
+
+

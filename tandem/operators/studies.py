@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from . import inference as I
+from . import resampling as R
 
 
 def linear_contrasts(frame: DataFrame, key: str, cluster: str, contrasts: dict[str, dict[str, float]]) -> DataFrame:
@@ -23,8 +25,7 @@ def contrast_report(values: DataFrame, cluster: str, primary: list[str]) -> Data
     pages = values.groupBy("contrast", cluster).agg(F.avg("value").alias("effect"))
     told = I.wald(pages, by=("contrast",)).withColumn("family", F.when(F.col("contrast").isin(primary), "primary").otherwise("secondary"))
     signs = I.direction_summary(pages, by=("contrast",)).select("contrast", F.col("median"), F.col("p").alias("sign_p"))
-    # p-values are rounded before they are ranked, so that the order of sums does not show in ties
-    return I.holm(told.withColumn("p", F.round("p", 6)), "contrast", "p", ("family",)).join(signs, "contrast")
+    return I.holm(told, "contrast", "p", ("family",)).join(signs, "contrast")
 
 
 def page_sums(values: DataFrame, cluster: str, effect: str, reference: str) -> DataFrame:
@@ -36,38 +37,49 @@ def page_sums(values: DataFrame, cluster: str, effect: str, reference: str) -> D
     )
 
 
-def scale_bootstrap(sums: DataFrame, cluster: str, times: DataFrame, draws: int) -> DataFrame:
+def scale_bootstrap(sums: DataFrame, cluster: str, draws: int, seed: int = R.SEED) -> DataFrame:
     """Standardised and directional effects whose reference deviation is estimated anew in each draw; cluster- and case-weighted.
 
-    Draws without a deviation are rejected; of the others the first ``draws`` count. ``times``
-    should hold more draws than are wanted.
+    Draws without a deviation are rejected and drawn again, up to ten times ``draws`` (1000 at
+    least); more are an error. Intervals rest on ``draws`` valid ones.
     """
     w = F.col("times")
-    each = times.join(sums, cluster).groupBy("draw").agg(
-        F.sum(w).alias("k"), *(F.sum(w * F.col(c)).alias(c) for c in ("n", "delta_sum", "delta_mean", "up_sum", "up_mean", "reference_sum", "reference_squares")),
-    )
     variance = (F.col("reference_squares") - F.col("reference_sum") * F.col("reference_sum") / F.col("n")) / (F.col("n") - 1)
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.round(variance, 12)))
-    valid = each.withColumn("sd", sd).where("n > 1 AND sd > 0").withColumn("place", F.row_number().over(Window.orderBy("draw"))).where(F.col("place") <= draws)  # one narrow row for each draw
+
+    def valid(times: DataFrame) -> DataFrame:
+        each = times.join(sums, cluster).groupBy("draw").agg(
+            F.sum(w).alias("k"), *(F.sum(w * F.col(c)).alias(c) for c in ("n", "delta_sum", "delta_mean", "up_sum", "up_mean", "reference_sum", "reference_squares")),
+        )
+        return each.where("n > 1").withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.round(variance, 12)))).where("sd > 0")
+
+    kept = R.redrawn(sums, cluster, draws, valid, max(1000, 10 * draws), seed)
     long = F.explode(F.array(
         F.struct(F.lit("balanced").alias("weighting"), (F.col("delta_mean") / F.col("k") / F.col("sd")).alias("standardised"), (F.col("up_mean") / F.col("k")).alias("directional")),
         F.struct(F.lit("cases").alias("weighting"), (F.col("delta_sum") / F.col("n") / F.col("sd")).alias("standardised"), (F.col("up_sum") / F.col("n")).alias("directional")),
     ))
     ends = lambda c: (F.percentile(c, F.lit(0.025)).alias(f"{c}_lower"), F.percentile(c, F.lit(0.975)).alias(f"{c}_upper"), F.stddev_samp(c).alias(f"{c}_error"))
-    return valid.select(long.alias("x")).select("x.*").groupBy("weighting").agg(*ends("standardised"), *ends("directional"), F.count(F.lit(1)).alias("valid_draws"))
+    return kept.select(long.alias("x")).select("x.*").groupBy("weighting").agg(*ends("standardised"), *ends("directional"), F.count(F.lit(1)).alias("valid_draws"))
 
 
-def joint_bootstrap(rows: DataFrame, cluster: str, gold: str, predictions: dict[str, str], times: DataFrame, labels: int, draws: int) -> DataFrame:
-    """Intervals of the accuracy and balanced accuracy of several conditions over the same drawn clusters.
+def joint_bootstrap(rows: DataFrame, cluster: str, gold: str, predictions: dict[str, str], labels: int, draws: int, effects: dict[str, dict[str, int]] | None = None, seed: int = R.SEED) -> DataFrame:
+    """Intervals of the accuracy and balanced accuracy of several conditions, and of their differences, over the same drawn clusters.
 
-    A draw that lacks a class is rejected for all conditions; of the others the first ``draws`` count.
+    ``effects``: weights of conditions by name ({"effect": {"b": 1, "a": -1}}), so a difference
+    of differences is the heterogeneity of two effects. A draw that lacks a class is rejected for
+    all conditions and drawn again; with a hundred times ``draws`` attempts it is an error.
     """
-    counts = rows.groupBy(cluster, gold).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(p) == F.col(gold)).alias(f"r_{c}") for c, p in predictions.items()))
-    drawn = times.join(counts, cluster).groupBy("draw", gold).agg(*(F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in ("n", *(f"r_{c}" for c in predictions))))
+    counts = written(rows.groupBy(cluster, gold).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(p) == F.col(gold)).alias(f"r_{c}") for c, p in predictions.items())), "counts")
     metrics = [m for c in predictions for m in ((F.sum(f"r_{c}") / F.sum("n")).alias(f"{c}|accuracy"), F.avg(F.col(f"r_{c}") / F.col("n")).alias(f"{c}|balanced"))]
-    each = drawn.groupBy("draw").agg(F.count(F.lit(1)).alias("classes"), *metrics).where(F.col("classes") == labels)
-    kept = each.withColumn("place", F.row_number().over(Window.orderBy("draw"))).where(F.col("place") <= draws)  # one narrow row for each draw
-    names = [f"{c}|{m}" for c in predictions for m in ("accuracy", "balanced")]
+
+    def valid(times: DataFrame) -> DataFrame:
+        drawn = times.join(counts, cluster).groupBy("draw", gold).agg(*(F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in ("n", *(f"r_{c}" for c in predictions))))
+        return drawn.groupBy("draw").agg(F.count(F.lit(1)).alias("classes"), *metrics).where(F.col("classes") == labels)
+
+    kept = R.redrawn(counts, cluster, draws, valid, 99 * draws, seed)
+    for name, weights in (effects or {}).items():
+        for m in ("accuracy", "balanced"):
+            kept = kept.withColumn(f"{name}|{m}", reduce(lambda a, b: a + b, (F.col(f"{c}|{m}") * w for c, w in weights.items())))
+    names = [f"{c}|{m}" for c in (*predictions, *(effects or {})) for m in ("accuracy", "balanced")]
     long = kept.unpivot(["draw"], names, "metric", "value")
     told = long.groupBy(F.substring_index("metric", "|", 1).alias("condition"), F.substring_index("metric", "|", -1).alias("metric"))
     return told.agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"), F.count(F.lit(1)).alias("valid_draws"))

@@ -81,14 +81,14 @@ def case_summary(spark, sf):
     return r(C.summarise_cases(cells(spark, sf), "treat_score", "treat_pred", ok="treat_ok"), 10, "interaction")
 
 
-@query("paired_cases", f"""WITH {CASES}, l AS (SELECT case_id, stratum, base AS x FROM summary WHERE case_id % 5 <> 1), q AS (SELECT case_id, stratum, treat AS x FROM summary WHERE case_id % 7 <> 1)
+@query("paired_cases", f"""WITH {CASES}, l AS (SELECT case_id, stratum, base AS x FROM summary WHERE base IS NOT NULL), q AS (SELECT case_id, stratum, treat AS x FROM summary WHERE treat IS NOT NULL)
 SELECT coalesce(l.case_id, q.case_id) AS case_id, round(l.x, 10) AS x_left, round(q.x, 10) AS x_right, round(q.x - l.x, 10) AS x_effect,
   CASE WHEN q.case_id IS NULL THEN 'only_left' WHEN l.case_id IS NULL THEN 'only_right' WHEN l.stratum IS DISTINCT FROM q.stratum THEN 'differs' ELSE 'ok' END AS status
 FROM l FULL JOIN q ON l.case_id = q.case_id""")
 def paired_cases(spark, sf):
+    """A side is missing where its condition has no complete case."""
     v = case_values(spark, sf)
-    left = v.where("case_id % 5 <> 1").select("case_id", "stratum", F.col("base").alias("x"))
-    right = v.where("case_id % 7 <> 1").select("case_id", "stratum", F.col("treat").alias("x"))
+    left, right = (v.where(F.col(c).isNotNull()).select("case_id", "stratum", F.col(c).alias("x")) for c in ("base", "treat"))
     return r(C.pair(left, right, "case_id", ["x"], ("stratum",)), 10, "x_left", "x_right", "x_effect").select("case_id", "x_left", "x_right", "x_effect", "status")
 
 
@@ -231,11 +231,12 @@ def interaction_contrast(spark, sf):
     return r(case_values(spark, sf).agg(F.avg(d).alias("effect"), F.count(F.lit(1)).alias("cases")), 6, "effect")
 
 
-NORMAL = "greatest(0.0, 1 - list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-pow({a} * i / 400, 2) / 2))) * {a} / 400 / 3 * 2 / sqrt(2 * pi()))"
-
-
 def _normal_sql(z: str) -> str:
-    return NORMAL.replace("{a}", f"least(abs({z}), 12.0)")
+    """Two-sided normal tail: the series of erf below 2, a continued fraction of erfc above."""
+    x = f"(abs({z}) / sqrt(2))"
+    series = f"list_reduce(list_prepend(1.0::DOUBLE, range(60, 0, -1)::DOUBLE[]), lambda s, n: 1 + s * 2 * {x} * {x} / (2 * n + 1))"
+    fraction = f"list_reduce(list_prepend({x}::DOUBLE, range(120, 0, -1)::DOUBLE[]), lambda f, n: {x} + n / 2 / f)"
+    return f"(CASE WHEN {x} < 2 THEN 1 - 2 * exp(-{x} * {x}) / sqrt(pi()) * {x} * {series} ELSE exp(-{x} * {x}) / sqrt(pi()) / {fraction} END)"
 
 
 @query("wald", f"""WITH {CLUSTERS}, w AS (SELECT avg(effect) AS estimate, stddev_samp(effect) / sqrt(count(*)) AS se, count(*) AS clusters FROM clusters)
@@ -251,12 +252,11 @@ def direction_summary(spark, sf):
     return r(I.direction_summary(clusters(spark, sf)), 6, "median", "p")
 
 
-@query("mcnemar", f"""WITH {CELLS}, n AS (SELECT count(*) FILTER (WHERE base_pred = gold AND treat_pred <> gold) AS a, count(*) FILTER (WHERE base_pred <> gold AND treat_pred = gold) AS b FROM cells WHERE stratum = '1-URGENT' AND cell_index = 0)
+@query("mcnemar", f"""WITH {CELLS}, n AS (SELECT count(*) FILTER (WHERE base_pred = gold AND treat_pred <> gold) AS a, count(*) FILTER (WHERE base_pred <> gold AND treat_pred = gold) AS b FROM cells)
 SELECT a AS only_left, b AS only_right, round(pow(abs(a - b) - 1, 2) / (a + b), 6) AS statistic,
   round(least(1.0, 2 * list_sum(list_transform(range(0, least(a, b) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))), 6) AS p FROM n""")
 def mcnemar(spark, sf):
-    c = cells(spark, sf).where("stratum = '1-URGENT' AND cell_index = 0")
-    return r(I.mcnemar(c, F.col("base_pred") == F.col("gold"), F.col("treat_pred") == F.col("gold")), 6, "statistic", "p")
+    return r(I.mcnemar(cells(spark, sf), F.col("base_pred") == F.col("gold"), F.col("treat_pred") == F.col("gold")), 6, "statistic", "p")
 
 
 @query("cochran_q", f"""WITH {LONG}, x AS (SELECT case_id, model, (value < 0)::INT AS x FROM long), rr AS (SELECT case_id, sum(x) AS r FROM x GROUP BY case_id HAVING count(*) = 4),
@@ -319,11 +319,11 @@ def scale_robust_gate(spark, sf):
     return s.join(d, "model").select("model", "standardised", "directional", I.gate(F.col("standardised"), F.col("ps"), F.col("directional"), F.col("pd")).alias("claim"))
 
 
-@query("repeat_spans", """WITH x AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
-s AS (SELECT label, greatest(a, b, c) - least(a, b, c) AS span, (sign(a) = sign(b) AND sign(b) = sign(c)) AS steady FROM x)
+@query("repeat_spans", """WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT label, list_max(v) - list_min(v) AS span, len(list_distinct(list_transform(v, lambda a: sign(a)))) = 1 AS steady FROM x)
 SELECT label, round(max(span), 6) AS most, round(quantile_cont(span, 0.99), 6) AS p99, round(median(span), 6) AS median, count(*) FILTER (WHERE steady) AS steady, count(*) AS rows FROM s GROUP BY label""")
 def repeat_spans(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
+    e = table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     s = e.select("label", (F.array_max("v") - F.array_min("v")).alias("span"), (F.size(F.array_distinct(F.transform("v", F.signum))) == 1).alias("steady"))
     found = s.groupBy("label").agg(F.max("span").alias("most"), F.percentile("span", F.lit(0.99)).alias("p99"), F.median("span").alias("median"), F.count_if("steady").alias("steady"), F.count(F.lit(1)).alias("rows"))
     return r(found, 6, "most", "p99", "median")

@@ -77,8 +77,8 @@ def label_strata(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), U.label_stratum(negative).alias("stratum"))
 
 
-@query("export_rows", f"""WITH {EXPORTS} SELECT o.owner_key, o.control, h.score AS hard_score, p.prediction AS probability_prediction FROM exports o JOIN exports h USING (condition, owner_key) JOIN exports p USING (condition, owner_key)
-WHERE condition = 'treat' AND h.hard_ok AND p.probability_ok""")
+@query("export_rows", f"""WITH {EXPORTS}, treat AS MATERIALIZED (SELECT owner_key, control, score, prediction, hard_ok, probability_ok FROM exports WHERE condition = 'treat')
+SELECT o.owner_key, o.control, h.score AS hard_score, p.prediction AS probability_prediction FROM treat o JOIN (SELECT owner_key, score FROM treat WHERE hard_ok) h USING (owner_key) JOIN (SELECT owner_key, prediction FROM treat WHERE probability_ok) p USING (owner_key)""")
 def export_rows(spark, sf):
     e = exports(spark, sf).where("condition = 'treat'")
     return U.export_rows(e.select("owner_key", "control"), {"hard": e.where("hard_ok").select("owner_key", "score"), "probability": e.where("probability_ok").select("owner_key", "prediction")})
@@ -195,11 +195,14 @@ def family_differences(spark, sf):
     return r(C.pair(a, b, "cluster_id", ["effect"]).select("cluster_id", F.col("effect_effect").alias("difference"), "status"), 12, "difference")
 
 
-@query("backend_pages", f"""WITH {CELLS}, p AS (SELECT cluster_id, avg(base_score) AS s, avg((base_pred = gold)::INT) AS h, avg(treat_score) AS t, avg((treat_pred = gold)::INT) AS g FROM cells GROUP BY cluster_id)
-SELECT cluster_id, round(t - s, 6) AS score_difference, round(g - h, 6) AS accuracy_difference FROM p""")
+@query("backend_pages", f"""WITH {CELLS}, p AS (SELECT cluster_id, sum(CAST(round((treat_score - base_score) * 1e9) AS HUGEINT)) AS d, sum((treat_pred = gold)::INT - (base_pred = gold)::INT) AS h, count(*) AS n FROM cells GROUP BY cluster_id)
+SELECT cluster_id, CAST(d AS DOUBLE) / n / 1e9 AS score_difference, CAST(h AS DOUBLE) / n AS accuracy_difference FROM p""")
 def backend_pages(spark, sf):
-    p = cells(spark, sf).groupBy("cluster_id").agg(F.avg(F.col("treat_score")).alias("t"), F.avg("base_score").alias("s"), F.avg((F.col("treat_pred") == F.col("gold")).cast("int")).alias("g"), F.avg((F.col("base_pred") == F.col("gold")).cast("int")).alias("h"))
-    return r(p.select("cluster_id", (F.col("t") - F.col("s")).alias("score_difference"), (F.col("g") - F.col("h")).alias("accuracy_difference")), 6, "score_difference", "accuracy_difference")
+    """Mean paired difference of each page; sums of whole billionths don't depend on their order."""
+    right = lambda c: (F.col(c) == F.col("gold")).cast("int")
+    units = F.sum(F.round((F.col("treat_score") - F.col("base_score")) * 1e9).cast("decimal(20,0)"))
+    p = cells(spark, sf).groupBy("cluster_id").agg(units.cast("double").alias("d"), F.sum(right("treat_pred") - right("base_pred")).cast("double").alias("h"), F.count(F.lit(1)).alias("n"))
+    return p.select("cluster_id", (F.col("d") / F.col("n") / 1e9).alias("score_difference"), (F.col("h") / F.col("n")).alias("accuracy_difference"))
 
 
 @query("endpoint_summary", f"""WITH {CELLS} SELECT stratum, count(*) AS units, round(avg((base_pred = treat_pred)::INT), 9) AS agreement, round(avg((base_pred = gold)::INT), 9) AS left_accuracy, round(avg((treat_pred = gold)::INT), 9) AS right_accuracy,

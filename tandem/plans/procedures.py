@@ -17,7 +17,8 @@ from .effects import CASES, CLUSTERS, case_values, clusters, long_values, r
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-DRAWS, SEED = 200, R.SEED
+#: Bootstrap draws, sign flips, and clusters up to which all flips are tried.
+DRAWS, FLIPS, EXACT, SEED = 10_000, 100_000, 20, R.SEED
 
 
 def query(name: str, sql: str | None = None):
@@ -32,11 +33,16 @@ def query(name: str, sql: str | None = None):
 
 # resampling
 
-TIMES = CLUSTERS + f""", named AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS place FROM clusters), size AS (SELECT count(*) AS n FROM named),
-slots AS (SELECT d AS draw, s AS slot FROM range({DRAWS}) t(d), range((SELECT n FROM size)) u(s)),
+def _times(draws: int) -> str:
+    return CLUSTERS + f""", named AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS place FROM clusters), size AS (SELECT count(*) AS n FROM named),
+slots AS (SELECT d AS draw, s AS slot FROM range({draws}) t(d), range((SELECT n FROM size)) u(s)),
 times AS (SELECT draw, cluster_id, count(*) AS times FROM (SELECT draw, ('0x' || substr(md5('{SEED}|' || draw || '|' || slot), 1, 12))::BIGINT % n AS place FROM slots, size) JOIN named USING (place) GROUP BY ALL)"""
 
 
+#: With the draws that are wanted, and with some more to make up for rejected ones.
+TIMES, MORE_TIMES = _times(DRAWS), _times(DRAWS + DRAWS // 20)
+
+
 @query("bootstrap_interval", f"""WITH {TIMES}, m AS (SELECT draw, sum(times * effect) / sum(times) AS mean FROM times JOIN clusters USING (cluster_id) GROUP BY draw)
 SELECT round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper, count(*) AS valid_draws FROM m""")
 def bootstrap_interval(spark, sf):
@@ -62,28 +68,25 @@ def balanced_accuracy_bootstrap(spark, sf):
     return r(R.balanced_accuracy_bootstrap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", times, 3), 6, "lower", "upper")
 
 
-FLIPS = f"""named AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, x FROM effects), flips AS (SELECT d AS draw FROM range({DRAWS}) t(d)),
-sums AS (SELECT draw, abs(sum(CASE WHEN ('0x' || substr(md5('{SEED}|' || draw || '|' || place), 1, 12))::BIGINT % 2 = 1 THEN -x ELSE x END)) AS s FROM flips, named GROUP BY draw),
-o AS (SELECT abs(sum(x)) AS observed FROM effects)"""
+FLIPPED = f"""size AS (SELECT count(*) AS n FROM effects), named AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, x FROM effects),
+flips AS (SELECT d AS draw FROM range((SELECT CASE WHEN n <= {EXACT} THEN pow(2, n)::BIGINT ELSE {FLIPS} END FROM size)) t(d)),
+digests AS (SELECT draw, b AS block, md5('{SEED}|' || draw || '|' || b) AS h FROM flips, range((SELECT CASE WHEN n <= {EXACT} THEN 0 ELSE (n + 127) // 128 END FROM size)) u(b)),
+signed AS (SELECT draw, CASE WHEN (('0x' || substr(h, 1 + (place % 128)::INT // 4, 1))::INT >> (3 - (place % 4)::INT)) % 2 = 1 THEN -x ELSE x END AS y FROM digests JOIN named ON place // 128 = block
+  UNION ALL SELECT draw, CASE WHEN (draw >> place::INT) % 2 = 1 THEN -x ELSE x END FROM flips, named, size WHERE n <= {EXACT}),
+sums AS (SELECT draw, abs(sum(y)) AS s FROM signed GROUP BY draw), o AS (SELECT abs(sum(x)) AS observed FROM effects), c AS (SELECT count(*) FILTER (WHERE s >= observed - 1e-9) AS k, count(*) AS draws FROM sums, o)
+SELECT round(CASE WHEN n <= {EXACT} THEN k / draws ELSE (k + 1) / (draws + 1) END, 9) AS p, draws, n AS clusters"""
 
 
-@query("sign_flip", f"""WITH {CONTEXT}, effects AS (SELECT query_id AS k, avg(hit_treat::INT - hit_base::INT) AS x FROM context WHERE kind = 'gold' GROUP BY query_id), size AS (SELECT count(*) AS n FROM effects),
-named AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, x FROM effects),
-flips AS (SELECT d AS draw FROM range((SELECT CASE WHEN n <= 14 THEN pow(2, n)::BIGINT ELSE {DRAWS} END FROM size)) t(d)),
-sums AS (SELECT draw, abs(sum(CASE WHEN (CASE WHEN n <= 14 THEN (draw >> place::INT) % 2 ELSE ('0x' || substr(md5('{SEED}|' || draw || '|' || place), 1, 12))::BIGINT % 2 END) = 1 THEN -x ELSE x END)) AS s FROM flips, named, size GROUP BY draw),
-o AS (SELECT abs(sum(x)) AS observed FROM effects), c AS (SELECT count(*) FILTER (WHERE s >= observed - 1e-9) AS k, count(*) AS draws FROM sums, o)
-SELECT round(CASE WHEN n <= 14 THEN k / draws ELSE (k + 1) / (draws + 1) END, 9) AS p, draws, n AS clusters FROM c, size""")
+@query("sign_flip", f"""WITH {CONTEXT}, effects AS (SELECT query_id AS k, avg(hit_treat::INT - hit_base::INT) AS x FROM context WHERE kind = 'gold' GROUP BY query_id), {FLIPPED} FROM c, size""")
 def sign_flip(spark, sf):
     each = context(spark, sf).where("kind = 'gold'").groupBy("query_id").agg(F.avg(F.col("hit_treat").cast("int") - F.col("hit_base").cast("int")).alias("effect"))
-    return r(R.sign_flip(each, "query_id", DRAWS, exact_up_to=14), 9, "p")
+    return r(R.sign_flip(each, "query_id", FLIPS, exact_up_to=EXACT), 9, "p")
 
 
-@query("condition_swap", f"""WITH {CELLS}, size AS (SELECT gold, count(*) AS n FROM cells GROUP BY gold), k AS (SELECT count(*) AS classes FROM size),
-effects AS (SELECT cluster_id AS k, sum(((treat_pred = gold)::INT - (base_pred = gold)::INT)::DOUBLE / n / classes) AS x FROM cells JOIN size USING (gold), k GROUP BY cluster_id), {FLIPS},
-c AS (SELECT count(*) FILTER (WHERE s >= observed - 1e-9) AS k, count(*) AS draws FROM sums, o)
-SELECT round((k + 1) / (draws + 1), 9) AS p, draws, (SELECT count(*) FROM effects) AS clusters, round((SELECT sum(x) FROM effects), 6) AS difference FROM c""")
+@query("condition_swap", f"""WITH {CELLS}, sizes AS (SELECT gold, count(*) AS m FROM cells GROUP BY gold), kinds AS (SELECT count(*) AS classes FROM sizes),
+effects AS (SELECT cluster_id AS k, sum(((treat_pred = gold)::INT - (base_pred = gold)::INT)::DOUBLE / m / classes) AS x FROM cells JOIN sizes USING (gold), kinds GROUP BY cluster_id), {FLIPPED}, round((SELECT sum(x) FROM effects), 6) AS difference FROM c, size""")
 def condition_swap(spark, sf):
-    return r(r(R.condition_swap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", DRAWS), 9, "p"), 6, "difference")
+    return r(r(R.condition_swap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", FLIPS), 9, "p"), 6, "difference")
 
 
 # selection
@@ -214,12 +217,15 @@ def context_use(spark, sf):
     return e.select("event_id", S.binary_use(kind, F.col("a"), F.col("b"), F.lit("yes")).alias("used"), F.round(S.continuous_use(F.col("p"), F.col("q")), 9).alias("share"), F.round(S.without_bias(F.col("p"), F.lit(0.5)), 9).alias("unbiased"))
 
 
-@query("parse_choice", """WITH x AS (SELECT conv_id, turn, upper(trim(left(text, 1 + turn % 2))) AS t FROM conversations)
-SELECT conv_id, turn, CASE WHEN t IN ('A', 'T', 'E') THEN t END AS choice, CASE WHEN t IN ('A', 'T', 'E') THEN NULL WHEN t = '' THEN 'empty' WHEN length(t) > 1 THEN 'not_single_letter' ELSE 'unknown_letter' END AS reason FROM x""")
+#: White space as a character class of DuckDB's patterns.
+WHITE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query("parse_choice", rf"""WITH x AS (SELECT conv_id, turn, upper(regexp_replace(text, '\A{WHITE_SQL}+|{WHITE_SQL}+\z', '', 'g')) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN t IN ('A', 'T', 'E') THEN t END AS choice, CASE WHEN t IS NULL THEN 'invalid_response_type' WHEN t = '' THEN 'empty_response' WHEN length(t) > 1 THEN 'not_single_choice' WHEN t NOT IN ('A', 'T', 'E') THEN 'disallowed_choice' END AS reason FROM x""")
 def parse_choice(spark, sf):
-    c = table(spark, sf, "conversations")
-    choice, reason = S.parse_choice(F.substring(F.col("text"), F.lit(1), (1 + F.col("turn") % 2).cast("int")), ["A", "T", "E"])
-    return c.select("conv_id", "turn", choice.alias("choice"), reason.alias("reason"))
+    choice, reason = S.parse_choice(F.col("text"), ["A", "T", "E"])
+    return table(spark, sf, "conversations").select("conv_id", "turn", choice.alias("choice"), reason.alias("reason"))
 
 
 @query("rendered_prompts", """SELECT conv_id, count(*) AS messages, sha256(string_agg(role || ': ' || trim(text), chr(10) || chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id""")
@@ -246,23 +252,10 @@ def token_signatures(spark, sf):
     return d.select("doc_id", F.size("words").cast("long").alias("tokens"), F.sha2(F.array_join("words", " "), 256).alias("tokens_digest"), F.array_join(F.array_sort(F.regexp_extract_all("text", F.lit(DIGITS), F.lit(0))), " ").alias("numbers"), F.array_join(F.array_sort(F.filter("words", lambda w: w.isin(PLAIN_NEGATIONS))), " ").alias("negations"))
 
 
-@query("edit_features", r"""WITH w AS (SELECT doc_id, source, list_slice(list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]'), lambda w: lower(w)), 1, 30) AS words FROM documents),
-p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.words AS x, b.words AS y, list_distinct(list_concat(a.words, b.words)) AS codes FROM w a JOIN w b ON a.source = b.source AND a.doc_id < b.doc_id AND b.doc_id - a.doc_id <= 60),
-d AS (SELECT left_id, right_id, x, y, levenshtein(list_aggregate(list_transform(x, lambda t: chr(32 + list_position(codes, t)::INT)), 'string_agg', ''), list_aggregate(list_transform(y, lambda t: chr(32 + list_position(codes, t)::INT)), 'string_agg', '')) AS distance FROM p WHERE len(codes) < 94 AND len(x) > 0 AND len(y) > 0)
-SELECT left_id, right_id, distance, round(distance / greatest(len(x), len(y), 1), 9) AS normalised FROM d""")
-def edit_features(spark, sf):
-    """Token edit distances of nearby documents of a source (its first 30 tokens, as the compared claims are short)."""
-    w = table(spark, sf, "documents").select("doc_id", "source", F.slice(X.tokens(F.col("text")), 1, 30).alias("words"))
-    a, b = w.select(F.col("doc_id").alias("left_id"), "source", F.col("words").alias("x")), w.select(F.col("doc_id").alias("right_id"), "source", F.col("words").alias("y"))
-    # bands of 60 ids: a neighbour stands in the same band or in the next one
-    a, b = a.withColumn("band", F.expr("left_id div 60")), b.withColumn("band", F.explode(F.array(F.expr("right_id div 60"), F.expr("right_id div 60") - 1)))
-    near = a.join(b, ["source", "band"]).where("left_id < right_id AND right_id - left_id <= 60 AND size(x) > 0 AND size(y) > 0")
-    near = near.where(F.size(F.array_distinct(F.concat("x", "y"))) < 94)
-    d = X.token_distance(F.col("x"), F.col("y"))
-    return near.select("left_id", "right_id", d.cast("long").alias("distance"), F.round(X.normalised_distance(d, F.col("x"), F.col("y")), 9).alias("normalised"))
+NORMAL_TEXT_SQL = rf"sha256(replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '\A{WHITE_SQL}+|{WHITE_SQL}+\z', '', 'g'), '{WHITE_SQL}+', ' ', 'g')), 'ß', 'ss'))"
 
 
-@query("text_overlap", r"""WITH d AS (SELECT DISTINCT sha256(lower(regexp_replace(trim(text), '\s+', ' ', 'g'))) AS v FROM documents), b AS (SELECT DISTINCT sha256(lower(regexp_replace(trim(text), '\s+', ' ', 'g'))) AS v FROM benchmark),
+@query("text_overlap", rf"""WITH d AS (SELECT DISTINCT {NORMAL_TEXT_SQL} AS v FROM documents), b AS (SELECT DISTINCT {NORMAL_TEXT_SQL} AS v FROM benchmark),
 i AS (SELECT DISTINCT doc_id::VARCHAR AS v FROM documents), j AS (SELECT DISTINCT item_id::VARCHAR AS v FROM benchmark)
 SELECT 'text' AS level, (SELECT count(*) FROM d) AS left_values, (SELECT count(*) FROM b) AS right_values, (SELECT count(*) FROM d JOIN b USING (v)) AS shared
 UNION ALL SELECT 'id', (SELECT count(*) FROM i), (SELECT count(*) FROM j), (SELECT count(*) FROM i JOIN j USING (v))""")

@@ -11,7 +11,8 @@ from ..operators import resampling as R
 from ..operators import studies as D
 from ..sources.fixtures import CONTEXT, cells, context, table
 from .effects import CASES, CLUSTERS, LONG, _normal_sql, case_values, clusters, long_values, r
-from .procedures import DRAWS, TIMES
+from ..sources.shared import written
+from .procedures import DRAWS, MORE_TIMES, TIMES
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,13 +34,13 @@ def _report_sql(values: str, primary: list[str]) -> str:
     names = ", ".join(f"'{p}'" for p in primary)
     return f"""WITH {CASES}, v AS ({values}), p AS (SELECT contrast, cluster_id, avg(value) AS e FROM v WHERE value IS NOT NULL GROUP BY ALL),
 w AS (SELECT contrast, avg(e) AS estimate, stddev_samp(e) / sqrt(count(*)) AS se, count(*) AS clusters, median(e) AS med, count(*) FILTER (WHERE e < 0) AS neg, count(*) FILTER (WHERE e > 0) AS pos, CASE WHEN contrast IN ({names}) THEN 'primary' ELSE 'secondary' END AS family FROM p GROUP BY contrast),
-t AS (SELECT *, round({_normal_sql('estimate / se')}, 6) AS pv FROM w), h AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY pv, contrast) + 1) * pv AS raised FROM t)
-SELECT contrast, family, round(estimate, 6) AS estimate, round(se, 6) AS se, clusters, pv AS p, round(least(1.0, max(raised) OVER (PARTITION BY family ORDER BY pv, contrast ROWS UNBOUNDED PRECEDING)), 6) AS adjusted, round(med, 6) AS median, round({SIGN_P}, 6) AS sign_p FROM h"""
+t AS (SELECT *, {_normal_sql('estimate / se')} AS pv FROM w), h AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY pv, contrast) + 1) * pv AS raised FROM t)
+SELECT contrast, family, round(estimate, 6) AS estimate, round(se, 6) AS se, clusters, round(pv, 6) AS p, round(least(1.0, max(raised) OVER (PARTITION BY family ORDER BY pv, contrast ROWS UNBOUNDED PRECEDING)), 6) AS adjusted, round(med, 6) AS median, round({SIGN_P}, 6) AS sign_p FROM h"""
 
 
 def _report(spark, sf, contrasts, primary):
     values = D.linear_contrasts(case_values(spark, sf), "case_id", "cluster_id", contrasts)
-    return r(D.contrast_report(values, "cluster_id", primary), 6, "estimate", "se", "adjusted", "median", "sign_p").select("contrast", "family", "estimate", "se", "clusters", "p", "adjusted", "median", "sign_p")
+    return r(D.contrast_report(values, "cluster_id", primary), 6, "estimate", "se", "p", "adjusted", "median", "sign_p").select("contrast", "family", "estimate", "se", "clusters", "p", "adjusted", "median", "sign_p")
 
 
 def _values_sql(contrasts: dict[str, dict[str, float]]) -> str:
@@ -74,25 +75,35 @@ def pair_report(spark, sf):
     return _report(spark, sf, STUDY, ["effect"])
 
 
-@query("scale_bootstrap", f"""WITH {TIMES}, s AS (SELECT cluster_id, count(*) AS n, sum(treat_all - base) AS ds, avg(treat_all - base) AS dm, sum((sign(treat_all - base) + 1) / 2 - 0.5) AS us, avg((sign(treat_all - base) + 1) / 2 - 0.5) AS um, sum(base) AS rs, sum(base * base) AS rq FROM summary GROUP BY cluster_id),
+def _first(rows: str) -> str:
+    """The first DRAWS valid draws of a SELECT that may have more."""
+    return f"SELECT * FROM ({rows}) ORDER BY draw LIMIT {DRAWS}"
+
+
+@query("scale_bootstrap", f"""WITH {MORE_TIMES}, s AS (SELECT cluster_id, count(*) AS n, sum(treat_all - base) AS ds, avg(treat_all - base) AS dm, sum((sign(treat_all - base) + 1) / 2 - 0.5) AS us, avg((sign(treat_all - base) + 1) / 2 - 0.5) AS um, sum(base) AS rs, sum(base * base) AS rq FROM summary GROUP BY cluster_id),
 e AS (SELECT draw, sum(times) AS k, sum(times * n) AS n, sum(times * ds) AS ds, sum(times * dm) AS dm, sum(times * us) AS us, sum(times * um) AS um, sum(times * rs) AS rs, sum(times * rq) AS rq FROM times JOIN s USING (cluster_id) GROUP BY draw),
-v AS (SELECT *, sqrt(greatest(0, (rq - rs * rs / n) / (n - 1))) AS sd FROM e), x AS (SELECT 'balanced' AS weighting, dm / k / sd AS s, um / k AS d FROM v WHERE sd > 0 UNION ALL SELECT 'cases', ds / n / sd, us / n FROM v WHERE sd > 0)
+v AS ({_first("SELECT *, sqrt(greatest(0, round((rq - rs * rs / n) / (n - 1), 12))) AS sd FROM e WHERE n > 1 AND round((rq - rs * rs / n) / (n - 1), 12) > 0")}), x AS (SELECT 'balanced' AS weighting, dm / k / sd AS s, um / k AS d FROM v UNION ALL SELECT 'cases', ds / n / sd, us / n FROM v)
 SELECT weighting, round(quantile_cont(s, 0.025), 6) AS standardised_lower, round(quantile_cont(s, 0.975), 6) AS standardised_upper, round(stddev_samp(s), 6) AS standardised_error, round(quantile_cont(d, 0.025), 6) AS directional_lower, round(quantile_cont(d, 0.975), 6) AS directional_upper, round(stddev_samp(d), 6) AS directional_error, count(*) AS valid_draws FROM x GROUP BY weighting""")
 def scale_bootstrap(spark, sf, draws=DRAWS):
     v = case_values(spark, sf).withColumn("effect", F.col("treat_all") - F.col("base"))
-    times = R.multiplicities(clusters(spark, sf), "cluster_id", draws)
-    found = D.scale_bootstrap(D.page_sums(v, "cluster_id", "effect", "base"), "cluster_id", times, draws)
+    found = D.scale_bootstrap(written(D.page_sums(v, "cluster_id", "effect", "base"), "page-sums"), "cluster_id", draws)
     return r(found, 6, *(c for c in found.columns if c.startswith(("standardised", "directional"))))
 
 
-@query("joint_bootstrap", f"""WITH {TIMES}, n AS (SELECT cluster_id, gold, count(*) AS n, count(*) FILTER (WHERE base_pred = gold) AS l, count(*) FILTER (WHERE treat_pred = gold) AS r FROM cells GROUP BY ALL),
-d AS (SELECT draw, gold, sum(times * n)::DOUBLE AS n, sum(times * l)::DOUBLE AS l, sum(times * r)::DOUBLE AS r FROM times JOIN n USING (cluster_id) GROUP BY ALL),
-e AS (SELECT draw, sum(l) / sum(n) AS la, avg(l / n) AS lb, sum(r) / sum(n) AS ra, avg(r / n) AS rb FROM d GROUP BY draw HAVING count(*) = 3),
-x AS (SELECT 'base' AS condition, 'accuracy' AS metric, la AS v FROM e UNION ALL SELECT 'base', 'balanced', lb FROM e UNION ALL SELECT 'treat', 'accuracy', ra FROM e UNION ALL SELECT 'treat', 'balanced', rb FROM e)
+JOINT_EFFECTS = {"effect": {"treat": 1, "base": -1}, "other": {"fourth": 1, "third": -1}, "heterogeneity": {"treat": 1, "base": -1, "fourth": -1, "third": 1}}
+#: Two further predictions of a cell, by thresholds on its other scores.
+THIRD, FOURTH = "CASE WHEN third_score < 0.4 THEN gold WHEN third_score < 0.7 THEN 'R' ELSE 'A' END", "CASE WHEN fourth_score < 4 THEN gold ELSE 'N' END"
+
+
+@query("joint_bootstrap", f"""WITH {MORE_TIMES}, four AS (SELECT cluster_id, gold, base_pred AS base, treat_pred AS treat, {THIRD} AS third, {FOURTH} AS fourth FROM cells),
+n AS (SELECT cluster_id, gold, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {c} = gold) AS {c}" for c in ("base", "treat", "third", "fourth"))} FROM four GROUP BY ALL),
+d AS (SELECT draw, gold, sum(times * n)::DOUBLE AS n, {", ".join(f"sum(times * {c})::DOUBLE AS {c}" for c in ("base", "treat", "third", "fourth"))} FROM times JOIN n USING (cluster_id) GROUP BY ALL),
+e AS ({_first("SELECT draw, " + ", ".join(f"sum({c}) / sum(n) AS {c}_a, avg({c} / n) AS {c}_b" for c in ("base", "treat", "third", "fourth")) + " FROM d GROUP BY draw HAVING count(*) = 3")}),
+x AS ({" UNION ALL ".join(f"SELECT '{c}' AS condition, '{m}' AS metric, {' + '.join(f'{k}_{m[0]} * {w}' for k, w in weights.items())} AS v FROM e" for c, weights in ({k: {k: 1} for k in ("base", "treat", "third", "fourth")} | JOINT_EFFECTS).items() for m in ("accuracy", "balanced"))})
 SELECT condition, metric, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper, count(*) AS valid_draws FROM x GROUP BY ALL""")
 def joint_bootstrap(spark, sf, draws=DRAWS):
-    times = R.multiplicities(clusters(spark, sf), "cluster_id", draws)
-    return r(D.joint_bootstrap(cells(spark, sf), "cluster_id", "gold", {"base": "base_pred", "treat": "treat_pred"}, times, 3, draws), 6, "lower", "upper")
+    c = cells(spark, sf).withColumns({"third_pred": F.expr(THIRD), "fourth_pred": F.expr(FOURTH)})
+    return r(D.joint_bootstrap(c, "cluster_id", "gold", {"base": "base_pred", "treat": "treat_pred", "third": "third_pred", "fourth": "fourth_pred"}, 3, draws, JOINT_EFFECTS), 6, "lower", "upper")
 
 
 @query("accuracy_interval", f"""WITH {TIMES}, a AS (SELECT cluster_id, avg(acc) AS e FROM (SELECT case_id, min(cluster_id) AS cluster_id, avg((treat_pred = gold)::INT) AS acc FROM cells GROUP BY case_id) GROUP BY cluster_id),
@@ -124,10 +135,10 @@ def table_counts(spark, sf):
     return t.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("tables"), F.max("n").alias("largest"), F.max("labels").alias("labels"))
 
 
-@query("context_report", f"""WITH {CONTEXT}, q AS (SELECT kind, query_id, avg(hit_treat::INT - hit_base::INT) AS e, count(*) AS n FROM context GROUP BY ALL)
+@query("context_hits", f"""WITH {CONTEXT}, q AS (SELECT kind, query_id, avg(hit_treat::INT - hit_base::INT) AS e, count(*) AS n FROM context GROUP BY ALL)
 SELECT kind, round(avg(e), 9) AS effect, count(*) AS queries, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (WHERE e > 0) AS up, count(*) FILTER (WHERE e < 0) AS down FROM q WHERE kind <> 'irrelevant' GROUP BY kind
 UNION ALL SELECT kind, round(avg(hit_treat::INT - hit_base::INT), 9), NULL, count(*), NULL, NULL FROM context WHERE kind = 'irrelevant' GROUP BY kind""")
-def context_report(spark, sf):
+def context_hits(spark, sf):
     c = context(spark, sf).withColumn("d", F.col("hit_treat").cast("int") - F.col("hit_base").cast("int"))
     each = c.where("kind <> 'irrelevant'").groupBy("kind", "query_id").agg(F.avg("d").alias("e"), F.count(F.lit(1)).alias("n"))
     told = each.groupBy("kind").agg(F.avg("e").alias("effect"), F.count(F.lit(1)).alias("queries"), F.sum("n").alias("rows"), F.count_if(F.col("e") > 0).alias("up"), F.count_if(F.col("e") < 0).alias("down"))
@@ -142,10 +153,10 @@ def identity_gate(spark, sf):
     return D.identity_gate(e, ["parity", "prompt"], spark.createDataFrame([("view",), ("click",), ("none",)], "condition string"))
 
 
-@query("population_flow", """WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels), c AS (SELECT doc_id FROM labels WHERE toxic = 0 UNION ALL SELECT -1)
+@query("population_subsets", """WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels), c AS (SELECT doc_id FROM labels WHERE toxic = 0 UNION ALL SELECT -1)
 SELECT 'all' AS population, (SELECT count(DISTINCT doc_id) FROM a) AS size, CAST(0 AS BIGINT) AS gone, TRUE AS subset UNION ALL SELECT 'labelled', (SELECT count(DISTINCT doc_id) FROM b), (SELECT count(DISTINCT doc_id) FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)), (SELECT count(*) = 0 FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a))
 UNION ALL SELECT 'clean', (SELECT count(DISTINCT doc_id) FROM c), (SELECT count(DISTINCT doc_id) FROM b WHERE doc_id NOT IN (SELECT doc_id FROM c)), (SELECT count(*) = 0 FROM c WHERE doc_id NOT IN (SELECT doc_id FROM b))""")
-def population_flow(spark, sf):
+def population_subsets(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
     clean = labels.where("toxic = 0").select("doc_id").union(spark.createDataFrame([(-1,)], "doc_id long"))
     return D.flow({"all": table(spark, sf, "documents"), "labelled": labels, "clean": clean}, "doc_id")

@@ -1,28 +1,17 @@
-"""Queries over all rows, cells and draws, where the SQL twins of effects and procedures take fewer.
-
-They have no SQL; tests compare them with brute force on small fixtures.
-"""
+"""Queries over whole texts that SQL can't express; tests compare them with brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import cases as C
-from ..operators import inference as I
-from ..operators import resampling as R
-from ..sources.fixtures import cells, context, table
-from .effects import case_values, clusters, r
+from ..operators.ranks import ranked
+from ..sources.fixtures import table
+from . import effects, procedures
 
 QUERIES: dict = {}
 
-#: Fixed values of the reference: bootstrap draws, sign flips, and clusters up to which all flips are tried.
-DRAWS, FLIPS, EXACT = 10_000, 100_000, 20
-
-
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -32,10 +21,17 @@ def query(f):
 
 
 def edit_features_of(texts: DataFrame, group: str, order: str) -> DataFrame:
-    """Token edit distances, over whole texts, of each text to the next one of its group."""
-    following = Window.partitionBy(group).orderBy(order)
-    pairs = texts.withColumn("next", F.lead(order).over(following)).withColumn("y", F.lead("text").over(following)).where(F.col("text").isNotNull() & F.col("y").isNotNull())
-    words = pairs.select(group, F.col(order).alias("left_id"), F.col("next").alias("right_id"), X.tokens(F.col("text")).alias("x"), X.tokens(F.col("y")).alias("y"))
+    """Token edit distances, over whole texts, of each text to the next one of its group.
+
+    Places in a group are counted over ranges, and each neighbourhood is a key of its own, so
+    a group of any size is dealt over all tasks.
+    """
+    placed = ranked(texts.select(group, order, "text"), [order, "text"], (group,))
+    left, right = (placed.select(group, (F.col("place") - i).alias("at"), F.lit(i).alias("side"), order, "text") for i in (0, 1))
+    side = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
+    pairs = left.unionByName(right).groupBy(group, "at").agg(side(0, order).alias("left_id"), side(1, order).alias("right_id"), side(0, "text").alias("a"), side(1, "text").alias("b"))
+    pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    words = pairs.select(group, "left_id", "right_id", X.tokens(F.col("a")).alias("x"), X.tokens(F.col("b")).alias("y"))
     told = words.withColumn("distance", X.token_distance(F.col("x"), F.col("y")).cast("long"))
     return told.select(group, "left_id", "right_id", "distance", F.round(X.normalised_distance(F.col("distance"), F.col("x"), F.col("y")), 9).alias("normalised"))
 
@@ -56,63 +52,16 @@ def edit_signatures_whole(spark, sf):
 @query
 def quartet_edit_features_whole(spark, sf):
     """The whole feature row of two claims and two evidences: four consecutive turns of a conversation."""
-    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
-    four = table(spark, sf, "conversations").where("text IS NOT NULL").withColumn("n", turn).groupBy("conv_id", F.expr("n div 4").alias("quartet"))
-    four = four.agg(*(F.max(F.when(F.col("n") % 4 == i, F.col("text"))).alias(f"t{i}") for i in range(4))).where("t3 IS NOT NULL")
-    found = X.edit_features((F.col("t0"), F.col("t1")), (F.col("t2"), F.col("t3")))
-    return four.select("conv_id", "quartet", *(c.alias(n) for n, c in found.items()))
-
-
-# resampling
-
-
-@query
-def bootstrap_interval_whole(spark, sf):
-    effects = clusters(spark, sf)
-    return r(R.bootstrap_interval(effects, "cluster_id", R.multiplicities(effects, "cluster_id", DRAWS)), 6, "lower", "upper")
-
-
-@query
-def stratified_bootstrap_whole(spark, sf):
-    v = case_values(spark, sf).withColumn("d", F.col("treat_all") - F.col("base"))
-    times = R.multiplicities(C.cluster_means(v, "cluster_id", "d"), "cluster_id", DRAWS)
-    return r(R.bootstrap_interval(C.cluster_means(v, "cluster_id", "d", ("stratum",)), "cluster_id", times, ("stratum",)), 6, "lower", "upper")
-
-
-@query
-def balanced_accuracy_bootstrap_whole(spark, sf):
-    times = R.multiplicities(clusters(spark, sf), "cluster_id", DRAWS)
-    return r(R.balanced_accuracy_bootstrap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", times, 3), 6, "lower", "upper")
+    turns = table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "role", "text")
+    placed = ranked(turns, ["turn", "role", "text"], ("conv_id",), "n")
+    four = placed.groupBy("conv_id", F.expr("n div 4").alias("quartet")).agg(*(F.max(F.when(F.col("n") % 4 == i, F.col("text"))).alias(f"t{i}") for i in range(4))).where("t3 IS NOT NULL")
+    return X.with_edit_features(four, ("t0", "t1"), ("t2", "t3")).drop("t0", "t1", "t2", "t3")
 
 
-@query
-def sign_flip_whole(spark, sf):
-    each = context(spark, sf).where("kind = 'gold'").groupBy("query_id").agg(F.avg(F.col("hit_treat").cast("int") - F.col("hit_base").cast("int")).alias("effect"))
-    return r(R.sign_flip(each, "query_id", FLIPS, exact_up_to=EXACT), 9, "p")
-
-
-@query
-def condition_swap_whole(spark, sf):
-    return r(r(R.condition_swap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", FLIPS), 9, "p"), 6, "difference")
-
-
-# paired tests and choices
-
+# The plain names of these took fewer rows or draws once; now either name takes all.
 
-@query
-def mcnemar_whole(spark, sf):
-    return r(I.mcnemar(cells(spark, sf), F.col("base_pred") == F.col("gold"), F.col("treat_pred") == F.col("gold")), 6, "statistic", "p")
-
-
-@query
-def paired_cases_whole(spark, sf):
-    """A side is missing where its condition has no complete case."""
-    v = case_values(spark, sf)
-    left, right = (v.where(F.col(c).isNotNull()).select("case_id", "stratum", F.col(c).alias("x")) for c in ("base", "treat"))
-    return r(C.pair(left, right, "case_id", ["x"], ("stratum",)), 10, "x_left", "x_right", "x_effect").select("case_id", "x_left", "x_right", "x_effect", "status")
-
-
-@query
-def parse_choice_whole(spark, sf):
-    choice, reason = S.parse_choice(F.col("text"), ["A", "T", "E"])
-    return table(spark, sf, "conversations").select("conv_id", "turn", choice.alias("choice"), reason.alias("reason"))
+ORACLE: dict[str, str] = {}
+for _plans, _names in ((procedures, ("bootstrap_interval", "stratified_bootstrap", "balanced_accuracy_bootstrap", "sign_flip", "condition_swap", "parse_choice")), (effects, ("mcnemar", "paired_cases"))):
+    for _name in _names:
+        QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = _plans.QUERIES[_name], _plans.ORACLE[_name]
+QUERIES["edit_features"] = edit_features_whole

@@ -4,5 +4,17 @@ from __future__ import annotations
 
 from .plans import effects, exports, procedures, studies
 
-QUERIES: dict = effects.QUERIES | procedures.QUERIES | exports.QUERIES | studies.QUERIES
-ORACLE: dict[str, str] = effects.ORACLE | procedures.ORACLE | exports.ORACLE | studies.ORACLE
+
+def merged(*tables: dict) -> dict:
+    """One table of all names; a name that comes twice is an error."""
+    out: dict = {}
+    for table in tables:
+        if twice := out.keys() & table.keys():
+            raise ValueError(f"registered twice: {', '.join(sorted(twice))}")
+        out |= table
+    return out
+
+
+PLANS = (effects, procedures, exports, studies)
+QUERIES: dict = merged(*(p.QUERIES for p in PLANS))
+ORACLE: dict[str, str] = merged(*(p.ORACLE for p in PLANS))

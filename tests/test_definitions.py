@@ -134,3 +134,66 @@ def test_reasons_of_quartets(spark):
     assert set(turned) == {"ok", "turned"} and all(r.labels == ["Y", "N", "N", "Y"] for r in turned.values())
     assert turned["ok"].evidences == ["e0", "e1"] and turned["turned"].evidences == ["e1", "e0"] and turned["turned"].units[0] == "turnedc0e1"
     assert Counter(len(r.claims) for r in turned.values()) == {2: 2} and sys.version_info
+
+
+def test_tails_keep_their_relative_error(spark):
+    z = [i / 8 for i in range(0, 297)] + [1.9999, 2.8284, 2.82843, -3.5, -12.0]
+    frame = spark.createDataFrame([(x,) for x in z], "z double")
+    for x, p in ((r.z, r.p) for r in frame.select("z", inference.normal_tail(F.col("z")).alias("p")).collect()):
+        expected = math.erfc(abs(x) / math.sqrt(2))
+        assert abs(p - expected) <= 1e-10 * expected, x
+    assert spark.range(1).select(inference.normal_tail(F.lit(None))).first()[0] is None
+
+
+def test_chi_square_tails_of_small_p(spark):
+    def tail(x, df):
+        p = math.erfc(math.sqrt(x / 2)) if df % 2 else math.exp(-x / 2)
+        term, k = (math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 3) if df % 2 else (x / 2 * math.exp(-x / 2), 4)
+        for _ in range(k, df + 1, 2):
+            p, term, k = p + term, term * x / k, k + 2
+        return p
+
+    frame = spark.createDataFrame([(float(x),) for x in (0, 0.5, 3.84, 30, 99.56, 700, 1320)], "x double")
+    for df in (1, 2, 3, 4, 7):
+        for r in frame.select("x", inference.chi_square_tail(F.col("x"), df).alias("p")).collect():
+            assert abs(r.p - tail(r.x, df)) <= 1e-10 * tail(r.x, df)
+    # a published p of a statistic of one degree of freedom
+    assert f"{spark.range(1).select(inference.normal_tail(F.lit(36.3017))).first()[0]:.1e}" == f"{math.erfc(36.3017 / math.sqrt(2)):.1e}"
+
+
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def test_white_space_is_that_of_unicode(spark):
+    texts = [None, "", "A", "A\n", " a\t", "\xa0b ", "\x1cA\x85", "　 ", "ab", "a b", "ß", "Z", "\x00a", "​a", WHITE, WHITE + "a" + WHITE, "a\n\n"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    choice, reason = S.parse_choice(F.col("t"), ["A", "B"])
+    for r in frame.select("k", choice.alias("c"), reason.alias("r"), S.stripped(F.col("t")).alias("s"), S.normal_text(F.col("t")).alias("n")).collect():
+        t = texts[r.k]
+        assert r.s == (None if t is None else t.strip())
+        assert r.n == re.sub(r"\s+", " ", (t or "").strip()).casefold()
+        plain = None if t is None else t.strip().upper()
+        expected = "invalid_response_type" if t is None else "empty_response" if not plain else "not_single_choice" if len(plain) != 1 else None if plain in "AB" else "disallowed_choice"
+        assert r.r == expected and r.c == (plain if expected is None else None)
+
+
+def test_use_of_a_context_ignores_white_space_of_answers(spark):
+    rows = [("irrelevant", " Yes\n", "yes\xa0", None, True), ("irrelevant", "yes", "no", None, False), ("gold", "x", "\tTRUE ", "True", True), ("gold", "x", "true", " True", False)]
+    frame = spark.createDataFrame(rows, "kind string, a string, b string, target string, expected boolean")
+    assert all(r[0] == r[1] for r in frame.select(S.binary_use(*(F.col(c) for c in ("kind", "a", "b", "target"))), "expected").collect())
+
+
+def test_names_are_registered_once():
+    from tandem import queries
+
+    assert len(queries.QUERIES) == sum(len(p.QUERIES) for p in queries.PLANS)
+    with pytest.raises(ValueError, match="registered twice: a"):
+        queries.merged({"a": 1}, {"b": 2}, {"a": 3})
+
+
+def test_reports_keep_small_p_values(spark):
+    from tandem.operators import studies
+
+    values = spark.createDataFrame([("x", i, 5 + (i % 2) * 1e-3) for i in range(40)] + [("y", i, float(i % 7 - 3)) for i in range(40)], "contrast string, page int, value double")
+    found = {r.contrast: r for r in studies.contrast_report(values, "page", ["x", "y"]).collect()}
+    assert 0 <= found["x"].p < 1e-200 and found["x"].adjusted == 2 * found["x"].p and found["y"].p > 1e-3
