@@ -24,13 +24,13 @@ class Ranges:
 
     def placed(self, place: str = "place", total: str | None = None) -> DataFrame:
         """The rows with their gapless place from 0 in their group, and if named the group's size."""
-        runs = self.runs.select(F.col("part").alias("__part"), "first", "start", F.col("total").alias("__total"), *(F.col(c).alias(f"__{c}") for c in self.within))
+        runs = self.runs.select(F.col("part").alias("__part"), F.col("first").alias("__first"), F.col("start").alias("__start"), F.col("total").alias("__total"), *(F.col(c).alias(f"__{c}") for c in self.within))
         same = F.col("part") == F.col("__part")
         for c in self.within:
             same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-        out = self.rows.join(runs, same).withColumn(place, F.col("start") + F.col("at") - F.col("first"))
+        out = self.rows.join(runs, same).withColumn(place, F.col("__start") + F.col("at") - F.col("__first"))
         out = out.withColumn(total, F.col("__total")) if total else out
-        return out.drop("__part", "first", "start", "__total", *(f"__{c}" for c in self.within))
+        return out.drop("__part", "__first", "__start", "__total", *(f"__{c}" for c in self.within))
 
 
 def ranges(rows: DataFrame, by: list[str | Column], within: tuple[str, ...] = ()) -> Ranges:
