@@ -207,9 +207,20 @@ def classes(rows: DataFrame, label: str) -> DataFrame:
 
 
 def some_of(frame: DataFrame, n: int, wanted: int) -> DataFrame:
-    """About ``wanted`` of the n classes, the same in every run over the same vectors."""
+    """The ``wanted`` of the n classes with the smallest hashes, in their order: the same however the rows are dealt."""
+    bits = 1 << 30
     rate = min(1.0, 1.1 * wanted / max(n, 1))
-    return frame.where(F.pmod(F.xxhash64("first", "embedding"), F.lit(1 << 30)) < int(rate * (1 << 30))).limit(wanted)
+    hashed = frame.withColumn("hash", F.pmod(F.xxhash64("first", "embedding"), F.lit(bits)))
+    return hashed.where(F.col("hash") < int(rate * bits)).orderBy("hash", "first", "embedding").limit(wanted).drop("hash")
+
+
+def top(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, equal ones by name."""
+    if len(score) > k:
+        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    else:
+        some = np.arange(len(score))
+    return some[np.lexsort((names[some], -score[some]))[:k]]
 
 
 def true_neighbours(index: DataFrame, queries: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,23 +229,22 @@ def true_neighbours(index: DataFrame, queries: np.ndarray, dim: int, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = told.value
-        best, names = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1, np.int64)
+        best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in asked]
         for batch in batches:
-            x = matrix(batch.column(1), dim)
+            x = matrix(batch.column(2), dim)
+            numbers, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             score = asked @ x.T
             for i, vector in enumerate(asked):
-                score[i, (x == vector).all(axis=1)] = -np.inf
-            score = np.concatenate([best, score], axis=1)
-            all_names = np.concatenate([names, np.tile(batch.column(0).to_numpy(), (len(asked), 1))], axis=1)
-            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            best, names = np.take_along_axis(score, top, axis=1), np.take_along_axis(all_names, top, axis=1)
-        i, j = np.nonzero(best > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(names[i, j]), pa.array(best[i, j])], names=["q", "number", "score"])
-
-    found = mapped(index.select("number", "embedding"), run, "q int, number long, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "number")
-    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    rows = found.join(index.select("number", "embedding"), "number").select("q", "embedding").collect()  # TRUTH * k rows at most
+                other = np.flatnonzero(~(x == vector).all(axis=1))
+                joined = [np.concatenate([old, new[other]]) for old, new in zip(best[i], (score[i], names, numbers), strict=True)]
+                lead = top(joined[0], joined[1], k)
+                best[i] = tuple(c[lead] for c in joined)
+        for i, (score, _, numbers) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), i, np.int32)), pa.array(numbers), pa.array(score)], names=["q", "number", "score"])
+
+    found = mapped(index.select("number", "first", "embedding"), run, "q int, number long, score double").join(index.select("number", "first", "embedding"), "number")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "first")
+    rows = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("q", "place", "embedding").orderBy("q", "place").collect()  # TRUTH * k rows at most
     near = matrix(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())), dim)
     return queries[[r["q"] for r in rows]], near
 
@@ -300,8 +310,16 @@ def retrieved(index: DataFrame, asked: DataFrame, coder, dim: int, n: int) -> Da
     return rows.groupBy("cell", "i", "j").cogroup(queries.groupBy("cell", "i", "j")).applyInArrow(cell, PAIRS)
 
 
+def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products whose terms are added one after the other, as ``product`` does."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[d]
+    return out
+
+
 def compared(index: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> DataFrame:
-    """Pairs (q, c) of each query and its best k + 1 classes of every block of rows: the exact way."""
+    """Pairs (q, c) of each query and its best k + 1 classes of every block of rows, no more: the exact way."""
     rows, queries = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -311,17 +329,22 @@ def compared(index: DataFrame, asked: DataFrame, n: int, m: int, k: int) -> Data
             dim = max(int(np.max(s.value_lengths().to_numpy(zero_copy_only=False))) for s in sides)
             x, asking = (matrix(s, dim) for s in sides)
             c, q = (t.column("number").to_numpy() for t in (left, right))
+            names = left.column("first").to_numpy()
             for at in range(0, len(q), 256):
                 score = asking[at : at + 256] @ x.T
                 least = np.partition(score, max(0, score.shape[1] - k - 1), axis=1)[:, max(0, score.shape[1] - k - 1)]
-                i, j = np.nonzero(score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
-                out[0].append(q[at + i])
-                out[1].append(c[j])
+                close = score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None]
+                for i in range(len(score)):
+                    some = np.flatnonzero(close[i])
+                    if len(some) > k + 1:  # ties: the exact score decides, then the smaller id
+                        some = some[top(in_order(x[some], asking[at + i]), names[some], k + 1)]
+                    out[0].append(np.full(len(some), q[at + i]))
+                    out[1].append(c[some])
         return pa.table({name: pa.array(np.concatenate(x or [np.empty(0, np.int64)]), pa.int64()) for name, x in zip(("q", "c"), out)})
 
     block = lambda of: F.pmod(F.xxhash64("number"), F.lit(of)).cast("int")
     spread = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = index.select("number", "embedding").withColumn("i", block(rows)).withColumn("j", spread(queries))
+    left = index.select("number", "first", "embedding").withColumn("i", block(rows)).withColumn("j", spread(queries))
     right = asked.select("number", "embedding").withColumn("j", block(queries)).withColumn("i", spread(rows))
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, PAIRS)
 

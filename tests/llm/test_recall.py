@@ -34,3 +34,37 @@ def test_recall_and_probed_share_with_uneven_norms(spark):
         share.append((neighbours.distances(coder.queries(x[q : q + 1]), codes) <= coder.reach).any(axis=1).mean())
     assert np.mean(hits) >= 0.9
     assert np.mean(share) < 0.25
+
+
+def answers(spark, rows, parts, sample=None):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts, "vec_id")
+    more = {} if sample is None else {"sample": sample}
+    return sorted(tuple(r) for r in neighbours.nearest(frame, frame.where("vec_id % 20 = 0"), **more).collect())
+
+
+def test_answers_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 16)))]
+    assert answers(spark, rows, 3, 400) == answers(spark, rows[::-1], 7, 400)
+
+
+def test_ties_give_no_flood_of_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(1200):
+        v = np.zeros(128)
+        v[rng.choice(128, 2, replace=False)] = rng.integers(1, 3, 2)
+        rows.append((i, v.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = neighbours.classes(neighbours.usable(frame), "vectors")
+    asked = neighbours.classes(neighbours.usable(frame.where("vec_id % 20 = 0")), "queries")
+    n, m = index.count(), asked.count()
+    pairs = neighbours.compared(index, asked, n, m, 20)
+    assert pairs.count() <= 21 * m * max(1, -(-n // neighbours.BLOCK))
+    found = neighbours.ranked(pairs, index, asked, neighbours.usable(frame), neighbours.usable(frame.where("vec_id % 20 = 0")), 20)
+    got = sorted(tuple(r) for r in found.collect())
+    x = np.array([v for _, v in rows])
+    for q in range(0, 1200, 20):
+        score = x @ x[q]
+        order = [j for j in sorted(range(1200), key=lambda j: (-score[j], j)) if j != q][:20]
+        assert [(g[2], g[3]) for g in got if g[0] == q] == [(j, score[j]) for j in order]
