@@ -8,8 +8,8 @@
    column generation: a knapsack dynamic program prices new patterns at the current duals.
    Solutions are rounded down, then up while a whole pattern still fits the demand; what
    remains (at most a few sequences for each class) is packed first-fit by class.
-4. Pieces are ranked within their class (in salted parts, so that a class with a third of
-   all pieces is many tasks) and rank ranges are mapped to pattern slots.
+4. Pieces are ranked within their class over counted ranges (a class with a third of all
+   pieces is as many ranges as it fills) and rank ranges are mapped to pattern slots.
 
 Defined results: a null text counts as the empty text, which is one piece holding the end
 id alone; a null doc_id packs like any other; repeated rows are packed once for each row;
@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranks import ranges
 from .bpe import IDS, PairRanks, byte_characters, tokenizer_json, vocabulary_path
-from .common import Memo, kept_for_a_stage, mapped, runs, written
+from .common import Memo, kept_for_a_stage, mapped, runs
 
-CAPACITY, GRAIN, SALTS = 4096, 16, 32
+CAPACITY, GRAIN = 4096, 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 #: Fixed value: the pre-tokenization pattern of the word vocabulary.
@@ -241,14 +242,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     """``pieces`` (at most ``capacity`` long) with sequence_id and offset."""
     spark = pieces.sparkSession
     units = -(-capacity // grain)
-    kind = F.ceil(F.col("length") / grain).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
-    dealt = pieces.withColumn("kind", kind).withColumn("salt", salt)
-    counts = {(r.kind, r.salt): r["count"] for r in dealt.groupBy("kind", "salt").count().collect()}  # units * SALTS rows at most
-    demand, before = np.zeros(units, dtype=np.int64), []
-    for (k, s), n in sorted(counts.items()):
-        before.append((k, s, int(demand[k - 1])))
-        demand[k - 1] += n
+    dealt = ranges(pieces.withColumn("kind", F.ceil(F.col("length") / grain).cast("int")), ["doc_id", "start", "ids_crc32", "doc_tokens"], ("kind",))
+    demand = np.zeros(units, dtype=np.int64)
+    for r in dealt.runs.groupBy("kind").agg(F.max("total").alias("total")).collect():  # units rows at most
+        demand[r.kind - 1] = r.total
     slots, sequence = [], 0
     used = np.zeros(units, dtype=np.int64)
     for copies, times in rounded(demand, *column_generation(demand, units), units) if demand.any() else []:
@@ -259,12 +256,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
             used[c] += a * times
             slot += a
         sequence += times
-    starts = spark.createDataFrame(before, "kind int, salt int, before long")
     # rank ranges of each class: a row for each class of each pattern, independent of the number of documents
     patterns = spark.createDataFrame(slots, "kind int, low long, high long, copies int, base long, slot int")
-    ranked = dealt.withColumn("n", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")))
-    ranked = ranked.join(F.broadcast(starts), ["kind", "salt"]).withColumn("rank", F.col("before") + F.col("n") - 1)
-    placed = ranked.join(F.broadcast(patterns), "kind").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    placed = dealt.placed("rank").join(F.broadcast(patterns.withColumnRenamed("kind", "of")), (F.col("kind") == F.col("of")) & inside)
     placed = placed.withColumn("sequence_id", F.expr("base + (rank - low) div copies")).withColumn("slot", F.col("slot") + F.expr("(rank - low) % copies"))
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).select(*pieces.columns, "sequence_id", "offset")
@@ -273,7 +268,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """All documents in sequences of ``capacity`` tokens: a row for each piece."""
     pieces = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pieces(vocabulary, end_id, capacity), PIECES)
-    return pack(written(pieces, "pieces"), capacity, grain)
+    return pack(pieces, capacity, grain)
 
 
 def op1_column_generation(spark, sf_dir: str) -> DataFrame:
