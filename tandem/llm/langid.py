@@ -32,10 +32,10 @@ from .common import bound_batches, mapped, small
 
 BUCKET_BITS, DIM, BLOCK = 14, 16, 1 << 20
 BUCKETS = 1 << BUCKET_BITS
-#: At most this many labelled rows are fitted (expected number; the languages share it evenly).
+#: At most this many labelled rows are fitted (expected number; the languages share it evenly, each has one at least).
 SAMPLE_ROWS = 2400
-#: At most this many languages are learned, the most frequent; a sample holds OVERDRAWN times its rows at most.
-LANGUAGES, OVERDRAWN = 512, 2
+#: A sample holds OVERDRAWN times its rows at most.
+OVERDRAWN = 2
 #: The part of right predictions that rejection may cost on the calibration rows.
 REJECT = 0.001
 
@@ -151,7 +151,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, n = np.unique(subwords(text), return_counts=True)
-            rows.append((lang, found.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
+            rows.append((lang, found.astype("<u2").tobytes(), n.astype("<u4").tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary()))], names=["lang", "buckets", "counts"])
 
@@ -163,7 +163,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model learned from text and lang of documents that are not held out."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # the classes of the model
     if not sizes:
         return None
     quota = max(1, sample_rows // len(sizes))
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     drawn = drawn.where(F.col("text").isNotNull()).limit(OVERDRAWN * max(sample_rows, len(sizes)))  # rows of one doc_id are drawn together
     rows = mapped(drawn.select("lang", "text"), _counts, "lang string, buckets binary, counts binary").collect()
     rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows)  # the order of training doesn't depend on partitions
-    return train([(g, np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for g, b, c in rows])
+    return train([(g, np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4")) for g, b, c in rows])
 
 
 def judge(model: Model | None, text: str | None) -> tuple[str, float, bool]:
