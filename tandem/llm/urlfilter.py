@@ -165,7 +165,9 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
     blocked = verdicts.where("blocked AND NOT coalesce(allowed, false)").select("component")
     aliases = members.join(blocked, "component").select("node").distinct().withColumn("alias_verdict", F.lit("block"))
     told = judged(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), "url", rules).withColumn("node", node(F.col("url")))
-    found = told.join(aliases, "node", "left")
+    # urls that are no node have no aliases; together they would be one key of the join
+    other = told.where("node IS NULL").withColumn("alias_verdict", F.lit(None).cast("string"))
+    found = told.where("node IS NOT NULL").join(aliases, "node", "left").unionByName(other)
     return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 
