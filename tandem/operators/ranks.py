@@ -39,6 +39,7 @@ def ranges(rows: DataFrame, by: list[str | Column], within: tuple[str, ...] = ()
     A group of any size is spread over as many ranges as it fills, so no task sorts or ranks
     a whole group; what is summed up afterwards is a row for each range and group. Rows that
     tie in all of ``by`` stay in one range: give a column that tells them apart if they may be many.
+    Ranges are cut from a sample, for which ``rows`` is run once more: write costly rows first.
     """
     order = [*within, *by]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
