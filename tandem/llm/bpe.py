@@ -17,8 +17,12 @@ import os
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
-#: Words above this many bytes are merged by heap.
+#: Words above this many bytes are merged by heap; others together with words of up to the next of these widths.
 SHORT = 64
+STEPS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 65)
+WIDTHS = [min(w for w in STEPS if w >= n) for n in range(SHORT + 2)]
+#: Fills rows of shorter words; no id of a vocabulary.
+PAD = np.int32(2**31 - 2)
 
 
 def vocabulary_path(name: str) -> str:
@@ -97,13 +101,14 @@ class PairRanks:
         return out.reshape(keys.shape)
 
     def merge_rows(self, ids: np.ndarray) -> list[bytes]:
-        """The merged ids of each row, packed; all rows hold words of one length."""
+        """The merged ids of each row, packed; shorter words end in PAD, which has no rank with anything."""
         out: list[bytes] = [b""] * len(ids)
         rows = np.arange(len(ids))
 
         def ready(which: np.ndarray, parts: np.ndarray) -> None:
-            for r, word in zip(which.tolist(), packed(parts)):
-                out[r] = word
+            sizes = (4 * (parts != PAD).sum(axis=1)).tolist()
+            for r, word, size in zip(which.tolist(), packed(parts), sizes):
+                out[r] = word[:size]
 
         ranks = self.of(ids[:, :-1], ids[:, 1:])
         while True:
@@ -162,21 +167,28 @@ class PairRanks:
     def merge(self, words: list[bytes], byte_ids: np.ndarray, last_ids: np.ndarray | None = None) -> list[bytes]:
         """Merged ids of many words, packed. byte_ids: the part id of each byte; last_ids: of a word's last byte, where it differs."""
         out: list = [None] * len(words)
-        by_length: dict[int, list[int]] = {}
+        by_width: dict[int, list[int]] = {}
         for k, word in enumerate(words):
-            by_length.setdefault(len(word), []).append(k)
-        for n, which in by_length.items():
-            step = max(1, 500_000 // max(n, 1))
+            by_width.setdefault(WIDTHS[min(len(word), SHORT + 1)], []).append(k)
+        for width, which in by_width.items():
+            if width > SHORT:
+                for k in which:
+                    row = byte_ids[np.frombuffer(words[k], dtype=np.uint8)]
+                    if last_ids is not None:
+                        row[-1] = last_ids[words[k][-1]]
+                    out[k] = np.array(self.merge_long(row.tolist()), dtype=IDS).tobytes()
+                continue
+            step = max(1, 500_000 // max(width, 1))
             for at in range(0, len(which), step):
                 some = which[at : at + step]
-                raw = np.frombuffer(b"".join([words[k] for k in some]), dtype=np.uint8).reshape(len(some), n)
-                rows = byte_ids[raw]
-                if last_ids is not None and n:
-                    rows[:, -1] = last_ids[raw[:, -1]]
-                if n > SHORT:
-                    done = [np.array(self.merge_long(row.tolist()), dtype=IDS).tobytes() for row in rows]
-                else:
-                    done = self.merge_rows(rows) if n > 1 else packed(rows)
-                for k, word in zip(some, done):
+                chosen = [words[k] for k in some]
+                sizes = np.array([len(w) for w in chosen])
+                raw = np.frombuffer(b"".join(chosen), dtype=np.uint8)
+                rows = np.full((len(some), width), PAD, dtype=np.int32)
+                rows[np.arange(width)[None, :] < sizes[:, None]] = byte_ids[raw]
+                if last_ids is not None and width:
+                    full = np.flatnonzero(sizes)
+                    rows[full, sizes[full] - 1] = last_ids[raw[np.cumsum(sizes)[full] - 1]]
+                for k, word in zip(some, self.merge_rows(rows)):
                     out[k] = word
         return out

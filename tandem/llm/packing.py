@@ -40,6 +40,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of printable ASCII and Latin-1 letters are normal forms whose lower case is one character each.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+#: Of lower-cased bytes the pattern above is this, if all are printable ASCII.
+ASCII, ASCII_WORDS = re.compile(rb"[!-~]*"), re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 MEMO_ENTRIES, MEMO_BYTES = 250_000, 48
 
 
@@ -88,6 +90,11 @@ class WordIds:
         for c in new:
             if c.isalpha():
                 continue
+            if c.isascii() and ASCII.fullmatch(c) and not (self.mark in c if self.mark else any(m in c for m in self.marks)):
+                cut.append((c, parts := ASCII_WORDS.findall(c.lower())))
+                for p in parts:
+                    words[p] = memo.get(p)
+                continue
             text = c.decode()
             if not PLAIN.fullmatch(text) or (self.mark in c if self.mark else any(m in c for m in self.marks)):
                 other.append((c, text))
