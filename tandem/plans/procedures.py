@@ -68,23 +68,25 @@ def balanced_accuracy_bootstrap(spark, sf):
     return r(R.balanced_accuracy_bootstrap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", times, 3), 6, "lower", "upper")
 
 
-FLIPPED = f"""size AS (SELECT count(*) AS n FROM effects), named AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, x FROM effects),
-flips AS (SELECT d AS draw FROM range((SELECT CASE WHEN n <= {EXACT} THEN pow(2, n)::BIGINT ELSE {FLIPS} END FROM size)) t(d)),
-digests AS (SELECT draw, b AS block, md5('{SEED}|' || draw || '|' || b) AS h FROM flips, range((SELECT CASE WHEN n <= {EXACT} THEN 0 ELSE (n + 127) // 128 END FROM size)) u(b)),
-signed AS (SELECT draw, CASE WHEN (('0x' || substr(h, 1 + (place % 128)::INT // 4, 1))::INT >> (3 - (place % 4)::INT)) % 2 = 1 THEN -x ELSE x END AS y FROM digests JOIN named ON place // 128 = block
-  UNION ALL SELECT draw, CASE WHEN (draw >> place::INT) % 2 = 1 THEN -x ELSE x END FROM flips, named, size WHERE n <= {EXACT}),
-sums AS (SELECT draw, abs(sum(y)) AS s FROM signed GROUP BY draw), o AS (SELECT abs(sum(x)) AS observed FROM effects), c AS (SELECT count(*) FILTER (WHERE s >= observed - 1e-9) AS k, count(*) AS draws FROM sums, o)
+#: Flips of a relation effects (k, x): each hexadecimal digit of a digest decides four signs, whose sums are made beforehand.
+FLIPPED = f"""f_size AS (SELECT count(*) AS n FROM effects), f_named AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, x FROM effects),
+f_flips AS (SELECT d AS draw FROM range((SELECT CASE WHEN n <= {EXACT} THEN pow(2, n)::BIGINT ELSE {FLIPS} END FROM f_size)) t(d)),
+f_digits AS MATERIALIZED (SELECT place // 128 AS block, (place % 128) // 4 AS digit, lower(to_hex(v)) AS hex, sum(CASE WHEN (v >> (3 - (place % 4)::INT)) % 2 = 1 THEN -x ELSE x END) AS y FROM f_named, range(16) t(v) GROUP BY ALL),
+f_digests AS (SELECT draw, b AS block, md5('{SEED}|' || draw || '|' || b) AS h FROM f_flips, range((SELECT CASE WHEN n <= {EXACT} THEN 0 ELSE (n + 127) // 128 END FROM f_size)) u(b)),
+f_signed AS (SELECT draw, y FROM (SELECT draw, block, i AS digit, substr(h, i::INT + 1, 1) AS hex FROM f_digests, range(32) t(i)) JOIN f_digits USING (block, digit, hex)
+  UNION ALL SELECT draw, CASE WHEN (draw >> place::INT) % 2 = 1 THEN -x ELSE x END FROM f_flips, f_named, f_size WHERE n <= {EXACT}),
+f_sums AS (SELECT draw, abs(sum(y)) AS s FROM f_signed GROUP BY draw), f_seen AS (SELECT abs(sum(x)) AS observed FROM effects), f_counts AS (SELECT count(*) FILTER (WHERE s >= observed - 1e-9) AS k, count(*) AS draws FROM f_sums, f_seen)
 SELECT round(CASE WHEN n <= {EXACT} THEN k / draws ELSE (k + 1) / (draws + 1) END, 9) AS p, draws, n AS clusters"""
 
 
-@query("sign_flip", f"""WITH {CONTEXT}, effects AS (SELECT query_id AS k, avg(hit_treat::INT - hit_base::INT) AS x FROM context WHERE kind = 'gold' GROUP BY query_id), {FLIPPED} FROM c, size""")
+@query("sign_flip", f"""WITH {CONTEXT}, effects AS (SELECT query_id AS k, avg(hit_treat::INT - hit_base::INT) AS x FROM context WHERE kind = 'gold' GROUP BY query_id), {FLIPPED} FROM f_counts, f_size""")
 def sign_flip(spark, sf):
     each = context(spark, sf).where("kind = 'gold'").groupBy("query_id").agg(F.avg(F.col("hit_treat").cast("int") - F.col("hit_base").cast("int")).alias("effect"))
     return r(R.sign_flip(each, "query_id", FLIPS, exact_up_to=EXACT), 9, "p")
 
 
 @query("condition_swap", f"""WITH {CELLS}, sizes AS (SELECT gold, count(*) AS m FROM cells GROUP BY gold), kinds AS (SELECT count(*) AS classes FROM sizes),
-effects AS (SELECT cluster_id AS k, sum(((treat_pred = gold)::INT - (base_pred = gold)::INT)::DOUBLE / m / classes) AS x FROM cells JOIN sizes USING (gold), kinds GROUP BY cluster_id), {FLIPPED}, round((SELECT sum(x) FROM effects), 6) AS difference FROM c, size""")
+effects AS (SELECT cluster_id AS k, sum(((treat_pred = gold)::INT - (base_pred = gold)::INT)::DOUBLE / m / classes) AS x FROM cells JOIN sizes USING (gold), kinds GROUP BY cluster_id), {FLIPPED}, round((SELECT sum(x) FROM effects), 6) AS difference FROM f_counts, f_size""")
 def condition_swap(spark, sf):
     return r(r(R.condition_swap(cells(spark, sf), "cluster_id", "gold", "base_pred", "treat_pred", FLIPS), 9, "p"), 6, "difference")
 

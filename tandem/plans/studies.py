@@ -10,7 +10,7 @@ from ..operators import inference as I
 from ..operators import resampling as R
 from ..operators import studies as D
 from ..sources.fixtures import CONTEXT, cells, context, table
-from .effects import CASES, CLUSTERS, LONG, _normal_sql, case_values, clusters, long_values, r
+from .effects import CASES, LONG, _normal_sql, case_values, clusters, long_values, r
 from ..sources.shared import written
 from .procedures import DRAWS, MORE_TIMES, TIMES
 
@@ -211,12 +211,3 @@ def claim_guards(spark, sf):
     told = I.holm(I.wald(pages, by=("model",)).withColumn("p", F.round("p", 6)), "model", "p").select("model", "estimate", "adjusted")
     claims = spark.createDataFrame([("base", 1, False), ("treat", -1, False), ("third", 1, True), ("absent", 1, True)], "model string, sign int, significant boolean")
     return D.claim_guard(told, claims, ["model"])
-
-
-@query("recomputed", f"""WITH {CLUSTERS} SELECT CAST(NULL AS VARCHAR) AS path, CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS expected WHERE FALSE UNION ALL SELECT 'missing', NULL, 1.0 UNION ALL SELECT 'moved', 2.0, 2.5""")
-def recomputed(spark, sf):
-    """Published numbers against those computed anew: one lacks, one moved, those of the report agree within 1e-12."""
-    found = C.balanced_mean(clusters(spark, sf)).select(F.explode(F.map_from_arrays(F.array(F.lit("balanced"), F.lit("weighted")), F.array("balanced", "weighted"))).alias("path", "value"))
-    again = C.balanced_mean(clusters(spark, sf)).select(F.explode(F.map_from_arrays(F.array(F.lit("balanced"), F.lit("weighted")), F.array("balanced", "weighted"))).alias("path", "value"))
-    published = again.unionByName(spark.createDataFrame([("missing", 1.0), ("moved", 2.5)], "path string, value double"))
-    return D.equivalent(found.unionByName(spark.createDataFrame([("moved", 2.0)], "path string, value double")), published, tolerance=1e-12)

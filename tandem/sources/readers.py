@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
+import os
 import sqlite3
 import tarfile
 from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scan_lines(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
+    """Line-wise JSON objects of a fixed schema in one scan: a blank line, or one that isn't such an object, fails."""
+    line = F.col("value")
+    fails = lambda why: F.raise_error(F.lit(why)).cast("string")
+    told = F.when(F.trim(line) == "", fails("blank line in a line file")).when(~line.rlike(r"^\s*\{"), fails("a line is no object")).otherwise(line)
+    return spark.read.text(path).select(F.from_json(told, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, blank_lines: bool = False) -> DataFrame:
-    """Line-wise JSON of a fixed schema; a broken line fails the read, and so does a blank one unless allowed."""
+    """Line-wise JSON of a fixed schema; a broken line fails the read, and so does a blank one unless allowed.
+
+    Blank lines are looked for at once; ``scan_lines`` finds them in the one scan that reads the rows.
+    """
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if not blank_lines and spark.read.text(path).where(F.trim("value") == "").limit(1).count():
         raise ValueError("blank line in a line file")
@@ -100,11 +115,57 @@ def first_of(*columns: str) -> Column:
     return F.when(a.isNull() | b.isNull() | a.eqNullSafe(b), F.coalesce(a, b)).otherwise(F.raise_error(F.lit("duplicated fields differ")))
 
 
-def inventory(spark: SparkSession, root: str, exclude: str = r"(^|/)(\.git|__pycache__)(/|$)") -> DataFrame:
-    """path (below ``root``), bytes and sha256 of every file; Spark reads them, so any store will do."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+#: Files below WHOLE bytes are digested by Spark's own reader; larger ones in pieces of CHUNK bytes.
+WHOLE, CHUNK = 1 << 30, 8 << 20
+
+
+def inventory(spark: SparkSession, root: str, exclude: str = r"(^|/)(\.git|__pycache__)(/|$)", whole: int = WHOLE, chunk: int = CHUNK) -> DataFrame:
+    """path (below ``root``), bytes and sha256 of every file of any size; symbolic links are an error.
+
+    Spark lists and reads the files, so any store will do. Its reader holds a file as one value
+    and stops at 2 GB, so files from ``whole`` bytes on are streamed in their task instead, in
+    constant memory, through pyarrow's file systems (local, HDFS, and the object stores it knows).
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.expr(f"substring_index(path, '{root.rstrip('/').rsplit('/', 1)[-1]}/', -1)")
-    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").rlike(exclude))
+    named = listed.select(below.alias("below"), "path", F.col("length").alias("bytes"), "content").where(~F.col("below").rlike(exclude))
+    linked = F.when(_is_link("path", "below"), F.raise_error(F.concat(F.lit("a symbolic link: "), F.col("below"))).cast("string"))
+    small = named.where(F.col("bytes") < whole).select("below", "bytes", F.coalesce(linked, F.sha2("content", 256)).alias("sha256"))
+    large = named.where(F.col("bytes") >= whole).select("below", "path", "bytes").repartition("path")
+    streamed = large.select("below", "bytes", F.coalesce(linked, _streamed(chunk)("path")).alias("sha256"))
+    # Spark gives no task an empty file; its list of files has them
+    every = spark.createDataFrame([(unquote(f).replace("file:///", "file:/"),) for f in listed.inputFiles()], "path string")
+    empty = every.join(listed.select("path"), "path", "left_anti").select(below.alias("below"), "path").where(~F.col("below").rlike(exclude))
+    empty = empty.select("below", F.lit(0).cast("long").alias("bytes"), F.coalesce(linked, F.sha2(F.lit(""), 256)).alias("sha256"))
+    return small.unionByName(streamed).unionByName(empty).withColumnRenamed("below", "path")
+
+
+@F.arrow_udf(T.BooleanType())
+def _is_link(paths: pa.Array, below: pa.Array) -> pa.Array:
+    """Whether a local file, or a folder between it and the root, is a symbolic link; other stores have none."""
+    out = []
+    for path, name in zip(paths.to_pylist(), below.to_pylist(), strict=True):
+        local = path.removeprefix("file://").removeprefix("file:") if urlsplit(path).scheme in ("", "file") else None
+        steps = name.count("/") + 1
+        out.append(local is not None and any(os.path.islink(local.rsplit("/", k)[0] if k else local) for k in range(steps)))
+    return pa.array(out, pa.bool_())
+
+
+def _streamed(chunk: int):
+    @F.arrow_udf(T.StringType())
+    def digest(paths: pa.Array) -> pa.Array:
+        out = []
+        for path in paths.to_pylist():
+            uri = quote(path, safe=":/")
+            store, name = pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///"))
+            state = hashlib.sha256()
+            with store.open_input_stream(name) as file:
+                while piece := file.read(chunk):
+                    state.update(piece)
+            out.append(state.hexdigest())
+        return pa.array(out, pa.string())
+
+    return digest
 
 
 def inventory_differences(now: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -167,17 +228,19 @@ def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFr
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
-def canonical_json(column: Column) -> Column:
-    """A struct as JSON in a fixed form: sorted keys, no spaces, non-ASCII kept; not-a-number fails."""
+@F.arrow_udf(T.StringType())
+def canonical_text(texts: pa.Array) -> pa.Array:
+    """JSON text in a fixed form: sorted keys, no spaces, non-ASCII kept; not-a-number fails."""
 
-    @F.pandas_udf("string")
-    def render(texts):
-        def strict(name):
-            raise ValueError(f"{name} is not allowed")
+    def strict(name):
+        raise ValueError(f"{name} is not allowed")
 
-        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t, parse_constant=strict), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    return pa.array([None if t is None else json.dumps(json.loads(t, parse_constant=strict), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for t in texts.to_pylist()], pa.string())
 
-    return render(F.to_json(column, {"ignoreNullFields": "false"}))
+
+def canonical_json(column: Column) -> Column:
+    """A struct as canonical JSON."""
+    return canonical_text(F.to_json(column, {"ignoreNullFields": "false"}))
 
 
 def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
