@@ -82,6 +82,12 @@ def overlap(left: DataFrame, right: DataFrame, levels: dict[str, tuple[Column, C
     return each.groupBy("level").agg(F.count_if(F.col("seen") != 2).alias("left_values"), F.count_if(F.col("seen") != 1).alias("right_values"), F.count_if(F.col("seen") == 3).alias("shared"))
 
 
+def layered(frame: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """Every row once in each dimension, with that dimension's label; dimensions overlap, labels of one don't."""
+    each = F.array(*(F.struct(F.lit(n).alias("dimension"), label.cast("string").alias("label")) for n, label in dimensions.items()))
+    return frame.withColumn("__layer", F.explode(each)).select("*", "__layer.*").drop("__layer")
+
+
 def violations(frame: DataFrame, checks: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
     """How many rows break each named check (a check that is null is broken)."""
     counts = frame.groupBy(*by).agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in checks.items()))

@@ -61,6 +61,31 @@ def lowest_ranked(rows: DataFrame, key: str, seed: int, namespace: str, k: int,
     return hashed.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("hash", key))).where(F.col("place") <= k).drop("hash", "place")
 
 
+def two_sets(rows: DataFrame, key: str, cluster: str, stratum: str, quotas: tuple[dict[str, int], dict[str, int]], seed: int, names: tuple[str, str] = ("pilot", "discovery")) -> DataFrame:
+    """(key, cluster, stratum, part): two sets by hash rank in each stratum, the second from clusters that the first doesn't touch.
+
+    A stratum with fewer free rows than its quota is an error.
+    """
+    out: DataFrame | None = None
+    for name, wanted in zip(names, quotas, strict=True):
+        free = rows.select(key, cluster, stratum).where(F.col(stratum).isin(*wanted))
+        free = free if out is None else without_exposed(free, out, cluster)
+        hashed = free.withColumn("hash", stable_rank(seed, name, F.col(key)))
+        placed = _first(hashed, [stratum], ["hash", key], "place", max(wanted.values()))
+        quota = F.element_at(F.create_map(*(F.lit(x) for item in wanted.items() for x in item)), F.col(stratum))
+        picked = placed.where(F.col("place") <= quota).select(key, cluster, stratum, F.lit(name).alias("part"))
+        found = {r[stratum]: r["count"] for r in picked.groupBy(stratum).count().collect()}  # a row for each stratum with a quota
+        if short := [s for s, n in wanted.items() if found.get(s, 0) < n]:
+            raise ValueError(f"{name}: stratum {short[0]} has {found.get(short[0], 0)} free rows, not {wanted[short[0]]}")
+        out = picked if out is None else out.unionByName(picked)
+    return out
+
+
+def of_roles(rows: DataFrame, roles: list[str], role: str = "source_role", order: tuple[str, ...] = ("model_key", "route", "scope")) -> DataFrame:
+    """Ledger rows of some roles, sorted by three keys; a missing key counts as empty."""
+    return rows.where(F.col(role).isin(roles)).orderBy(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
+
+
 def split_clusters(rows: DataFrame, cluster: str, seed: int, share: float) -> DataFrame:
     """Every row with ``part``: recovery for the share of clusters of lowest hash rank (rounded half to even), else main."""
     names = rows.select(cluster).distinct().withColumn("hash", stable_rank(seed, "split", F.col(cluster)))

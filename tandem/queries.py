@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import effects, exports, nested, procedures, programmes, studies
+from .plans import effects, exports, gating, nested, procedures, programmes, studies
 
 
 def merged(*tables: dict) -> dict:
@@ -15,6 +15,6 @@ def merged(*tables: dict) -> dict:
     return out
 
 
-PLANS = (effects, procedures, exports, studies, nested, programmes)
+PLANS = (effects, procedures, exports, studies, nested, programmes, gating)
 QUERIES: dict = merged(*(p.QUERIES for p in PLANS))
 ORACLE: dict[str, str] = merged(*(p.ORACLE for p in PLANS))

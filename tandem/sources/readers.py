@@ -109,6 +109,24 @@ def agreeing(frame: DataFrame, key: str, content: Column, file: Column, files: i
     return each.groupBy(key).agg((F.countDistinct("file") == files).alias("everywhere"), (F.countDistinct("content") == 1).alias("same"))
 
 
+def scan_files(spark: SparkSession, glob: str, schema: str, key: str, files: int, rows_each: int | None = None) -> DataFrame:
+    """The rows that all line files of a glob hold alike, once: only the fields of ``schema`` are read and compared.
+
+    The number of files, the rows of each, and a key that a file lacks, holds twice or with other
+    content than the others are errors.
+    """
+    names = T.StructType.fromDDL(schema).names
+    rows = spark.read.text(glob).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("file", "r.*")
+    content = F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("files"), F.min("n").alias("least"), F.max("n").alias("most")).first()
+    if sizes.files != files or (rows_each is not None and (sizes.least != rows_each or sizes.most != rows_each)):
+        raise ValueError(f"{sizes.files} files of {sizes.least} to {sizes.most} rows, not {files}" + ("" if rows_each is None else f" of {rows_each}"))
+    each = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.countDistinct("file").alias("__files"), F.countDistinct(content).alias("__contents"), *(F.first(c).alias(c) for c in names if c != key))
+    whole = F.col(key).isNotNull() & (F.col("__n") == files) & (F.col("__files") == files) & (F.col("__contents") == 1)
+    guard = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("the files differ at "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
+    return each.where(guard).select(*names)
+
+
 def first_of(*columns: str) -> Column:
     """Duplicated fields of two stages as one: they must agree where both are present."""
     a, b = (F.col(c) for c in columns)
