@@ -112,11 +112,9 @@ def _stats(cube_: DataFrame, conditions: list[str], models: list[str], contrasts
     return cube_.groupBy("page").agg(*sums)
 
 
-def _estimates(stats: DataFrame, times: DataFrame, models: list[str], contrasts: dict[str, tuple[str, str]], pairs: list[tuple[str, str]]) -> DataFrame:
+def _estimates(stats: DataFrame, times, models: list[str], contrasts: dict[str, tuple[str, str]], pairs: list[tuple[str, str]]) -> DataFrame:
     """draw and ``found``: (weighting, pair, contrast, standardised, directional) of every draw whose reference scales are all above 0."""
-    w = F.col("times")
-    names = [c for c in stats.columns if c not in ("page", "n")]
-    each = times.join(stats, "page").groupBy("draw").agg(F.sum(w).alias("k"), F.sum(w * F.col("n")).alias("n"), *(F.sum(w * F.col(f"`{c}`")).alias(c) for c in names))
+    each = times.sums(stats.withColumn("k", F.lit(1)), ["k", *(c for c in stats.columns if c != "page")])
     of = lambda k, m, c: F.col(f"`{k}|{m}|{c}`")
     each = each.where("n > 1")
     for m in models:
@@ -145,7 +143,7 @@ def scale_report(cube_: DataFrame, conditions: list[str], models: list[str], con
     estimates = lambda times: _estimates(stats, times, models, contrasts, pairs)
     long = lambda frame: frame.select("draw", F.explode("found").alias("f")).select("draw", "f.*").unpivot(["draw", "weighting", "pair", "contrast"], ["standardised", "directional"], "endpoint", "value")
     keys = ["weighting", "pair", "contrast", "endpoint"]
-    seen = long(estimates(stats.select("page", F.lit(-1).alias("draw"), F.lit(1).alias("times")))).select(*keys, F.col("value").alias("estimate"))
+    seen = long(estimates(R.Whole)).select(*keys, F.col("value").alias("estimate"))
     drawn = long(R.redrawn(stats, "page", draws, estimates, max(1000, 10 * draws), seed)).groupBy(*keys)
     ends = drawn.agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"), F.count(F.lit(1)).alias("draws"))
     p = F.when(F.col("se") > 0, I.normal_tail(F.col("estimate") / F.col("se"))).when(F.col("estimate") == 0, 1.0).otherwise(0.0)

@@ -1,20 +1,25 @@
 """Resampling by seeded hashes, so that results depend neither on partitions nor on the engine.
 
-A draw is a table of multiplicities (draw, cluster, times), made once and shared by every
-metric: a metric never sees draws x slots rows. The index of a slot is a number cut from
-the MD5 of seed, draw and slot. Signs of flips are the bits of the MD5 of seed, draw and
-block, one block for every 128 clusters.
+A draw says how often each cluster is taken, the same for every metric. The index of a slot
+is a number of 32 bits cut from the MD5 of seed, draw and four slots together. What a metric
+needs of a draw are sums over clusters: while the clusters' values fit a bounded array
+(``HELD``, checked), every task gets it and makes whole draws, and a row for each draw is all
+that is moved; beyond that, multiplicities (draw, cluster, times) are joined and summed. Signs
+of flips are the bits of the MD5 of seed, draw and block, one block for every 128 clusters.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import written
 from .ranks import ranked
@@ -22,13 +27,10 @@ from .ranks import ranked
 #: Fixed value: the seed of all draws.
 SEED = 20260711
 
-#: Clusters whose signs one digest holds; draws whose sums a task holds at once.
-SIGNS, CHUNK = 128, 4096
-
-
-def hashed(*parts: Column) -> Column:
-    """A whole number below 2 ** 48 from the parts, joined by ``|``."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+#: Clusters whose signs one digest holds; draws whose sums a task holds at once; slots of one digest.
+SIGNS, CHUNK, SLOTS = 128, 4096, 4
+#: Values (clusters times columns) that every task may be given: 32 MB; groups that are columns rather than rows.
+HELD, WIDE = 1 << 22, 64
 
 
 def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
@@ -36,19 +38,82 @@ def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
     return ranked(clusters.select(cluster).distinct(), [cluster])
 
 
-def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int = SEED, first: int = 0, names: DataFrame | None = None) -> DataFrame:
-    """(draw, cluster, times): how often each cluster is drawn with replacement, for ``draws`` draws from number ``first`` on."""
+def slot_index(seed: Column, draw: Column, slot: Column, n: int) -> Column:
+    """The place that a slot of a draw takes, below n."""
+    digest = F.md5(F.concat_ws("|", seed, draw, F.floor(slot / SLOTS).cast("long")))
+    return F.conv(F.substring(digest, (slot % SLOTS * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("long") % n
+
+
+@dataclass(frozen=True)
+class Draws:
+    """Numbered draws, with replacement, of as many clusters as there are."""
+
+    names: DataFrame
+    n: int
+    cluster: str
+    draws: int
+    seed: int
+    first: int = 0
+
+    def rows(self) -> DataFrame:
+        """(draw, cluster, times): how often each cluster is drawn."""
+        n = max(1, self.n)
+        slots = self.names.sparkSession.range(self.first * n, (self.first + self.draws) * n).select(F.expr(f"id div {n}").alias("draw"), F.expr(f"id % {n}").alias("slot"))
+        index = slot_index(F.lit(self.seed), F.col("draw"), F.col("slot"), n)
+        return slots.groupBy("draw", index.alias("place")).agg(F.count(F.lit(1)).alias("times")).join(self.names, "place").select("draw", self.cluster, "times")
+
+    def sums(self, frame: DataFrame, columns: list[str]) -> DataFrame:
+        """draw and, for each column of ``frame`` (a row for each cluster at most), the sum of its values times how often they are drawn."""
+        number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c)
+        values = frame.select(self.cluster, *map(number, columns))
+        if self.n * len(columns) > HELD:
+            joined = self.rows().join(values, self.cluster)
+            return joined.groupBy("draw").agg(*(F.sum(F.col("times") * F.col(f"`{c}`")).alias(c) for c in columns))
+        spark = frame.sparkSession
+        held = np.zeros((max(1, self.n), len(columns)))
+        told = self.names.join(values, self.cluster).select("place", *(F.col(f"`{c}`") for c in columns)).toArrow()
+        held[told.column(0).to_numpy()] = np.column_stack([told.column(i + 1).to_numpy() for i in range(len(columns))]) if told.num_rows else 0.0
+        schema = T.StructType([T.StructField("draw", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
+        draws = spark.range(self.first, self.first + (self.draws if self.n else 0), 1, max(1, min(self.draws // 64, 4 * spark.sparkContext.defaultParallelism)))
+        return draws.mapInArrow(_summed(spark.sparkContext.broadcast(held), self.n, self.seed, ["draw", *columns]), schema)
+
+
+def _summed(held, n: int, seed: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = held.value
+        blocks = -(-n // SLOTS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                draws = batch.column(0).slice(at, 256).to_pylist()
+                out = np.empty((len(draws), values.shape[1]))
+                for i, draw in enumerate(draws):
+                    head = f"{seed}|{draw}|"
+                    digests = b"".join([hashlib.md5(f"{head}{b}".encode(), usedforsecurity=False).digest() for b in range(blocks)])
+                    index = np.frombuffer(digests, ">u4")[:n].astype(np.int64) % n
+                    out[i] = np.bincount(index, minlength=n) @ values
+                yield pa.record_batch([pa.array(draws, pa.int64()), *(pa.array(c) for c in out.T)], names)
+
+    return run
+
+
+class Whole:
+    """Every cluster once, as draw -1: what was observed."""
+
+    @staticmethod
+    def sums(frame: DataFrame, columns: list[str]) -> DataFrame:
+        return frame.agg(*(F.sum(F.col(f"`{c}`").cast("double")).alias(c) for c in columns)).select(F.lit(-1).cast("long").alias("draw"), "*")
+
+
+def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int = SEED, first: int = 0, names: DataFrame | None = None) -> Draws:
+    """``draws`` draws of the clusters of a table, from number ``first`` on."""
     names = numbered(clusters, cluster) if names is None else names
-    n = max(1, names.count())
-    slots = clusters.sparkSession.range(first * n, (first + draws) * n).select(F.expr(f"id div {n}").alias("draw"), F.expr(f"id % {n}").alias("slot"))
-    index = hashed(F.lit(seed), F.col("draw"), F.col("slot")) % n
-    return slots.groupBy("draw", index.alias("place")).agg(F.count(F.lit(1)).alias("times")).join(names, "place").select("draw", cluster, "times")
+    return Draws(names, names.count(), cluster, draws, seed, first)
 
 
-def redrawn(clusters: DataFrame, cluster: str, draws: int, valid: Callable[[DataFrame], DataFrame], most_rejected: int, seed: int = SEED) -> DataFrame:
+def redrawn(clusters: DataFrame, cluster: str, draws: int, valid: Callable[[Draws], DataFrame], most_rejected: int, seed: int = SEED) -> DataFrame:
     """The first ``draws`` valid draws, in order of their numbers; rejected ones are made up for by further draws.
 
-    ``valid`` takes multiplicities and returns a row for each draw (column ``draw``) that is not
+    ``valid`` takes draws and returns a row for each draw (column ``draw``) that is not
     to be rejected. Draws are numbered on, so the same ones are accepted however many are made
     at a time. More than ``most_rejected`` rejections before the last accepted draw are an error.
     """
@@ -73,23 +138,46 @@ def redrawn(clusters: DataFrame, cluster: str, draws: int, valid: Callable[[Data
     return kept
 
 
-def bootstrap_interval(effects: DataFrame, cluster: str, times: DataFrame, by: tuple[str, ...] = (), value: str = "effect", low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_interval(effects: DataFrame, cluster: str, times: Draws, by: tuple[str, ...] = (), value: str = "effect", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of the balanced mean; metrics (``by``) share the drawn clusters.
 
     A metric that lacks some clusters uses those it has; draws without any are left out and
-    ``valid_draws`` says how many remain.
+    ``valid_draws`` says how many remain. Up to WIDE metrics are columns of one sum.
     """
-    each = times.join(effects, cluster).groupBy("draw", *by).agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+    rows = effects.where(F.col(value).isNotNull())
+    groups = rows.select(*by).distinct().limit(WIDE + 1).collect() if by else [()]
+    if len(groups) > WIDE:
+        each = times.rows().join(rows, cluster).groupBy("draw", *by).agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+    else:
+        of = lambda g: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, g, strict=True)), F.lit(True))
+        wide = rows.groupBy(cluster).agg(*(f.alias(n) for i, g in enumerate(groups) for n, f in ((f"v{i}", F.sum(F.when(of(g), F.col(value)))), (f"w{i}", F.count_if(of(g))))))
+        drawn = times.sums(wide, [f"{x}{i}" for i in range(len(groups)) for x in "vw"]) if groups else None
+        if drawn is None:
+            return rows.groupBy(*by).agg(F.first(value).alias("lower"), F.first(value).alias("upper"), F.count(F.lit(1)).alias("valid_draws"))
+        kinds = dict(rows.dtypes)
+        long = F.explode(F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, g, strict=True)), F.try_divide(F.col(f"v{i}"), F.col(f"w{i}")).alias("mean")) for i, g in enumerate(groups))))
+        each = drawn.select("draw", long.alias("x")).select("draw", "x.*").where("mean IS NOT NULL")
     return each.groupBy(*by).agg(F.percentile("mean", F.lit(low)).alias("lower"), F.percentile("mean", F.lit(high)).alias("upper"), F.count(F.lit(1)).alias("valid_draws"))
 
 
-def balanced_accuracy_bootstrap(rows: DataFrame, cluster: str, gold: str, left: str, right: str, times: DataFrame, labels: int) -> DataFrame:
+def class_sums(counts: DataFrame, cluster: str, gold: str, columns: list[str], times: Draws) -> DataFrame:
+    """draw, gold and the drawn sums of count columns by class; classes that a draw lacks have no row."""
+    classes = [r[0] for r in counts.select(gold).distinct().limit(WIDE + 1).collect()]
+    if len(classes) > WIDE:
+        raise ValueError(f"more than {WIDE} classes")
+    wide = counts.groupBy(cluster).agg(*(F.sum(F.when(F.col(gold).eqNullSafe(F.lit(g)), F.col(c))).alias(f"{c}_{i}") for i, g in enumerate(classes) for c in columns))
+    drawn = times.sums(wide, [f"{c}_{i}" for i in range(len(classes)) for c in columns])
+    each = F.explode(F.array(*(F.struct(F.lit(g).alias(gold), *(F.col(f"{c}_{i}").alias(c) for c in columns)) for i, g in enumerate(classes))))
+    return drawn.select("draw", each.alias("x")).select("draw", "x.*").where(F.col(columns[0]) > 0)
+
+
+def balanced_accuracy_bootstrap(rows: DataFrame, cluster: str, gold: str, left: str, right: str, times: Draws, labels: int) -> DataFrame:
     """Interval of the difference of balanced accuracies over resampled cluster counts.
 
     Draws in which a class is missing are rejected.
     """
     counts = rows.groupBy(cluster, gold).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(left) == F.col(gold)).alias("l"), F.count_if(F.col(right) == F.col(gold)).alias("r"))
-    drawn = times.join(counts, cluster).groupBy("draw", gold).agg(*(F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in ("n", "l", "r")))
+    drawn = class_sums(written(counts, "counts"), cluster, gold, ["n", "l", "r"], times)
     each = drawn.groupBy("draw").agg(F.avg((F.col("r") - F.col("l")) / F.col("n")).alias("difference"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") == labels)
     return each.agg(F.percentile("difference", F.lit(0.025)).alias("lower"), F.percentile("difference", F.lit(0.975)).alias("upper"), F.count(F.lit(1)).alias("valid_draws"))
 

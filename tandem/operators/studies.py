@@ -43,13 +43,12 @@ def scale_bootstrap(sums: DataFrame, cluster: str, draws: int, seed: int = R.SEE
     Draws without a deviation are rejected and drawn again, up to ten times ``draws`` (1000 at
     least); more are an error. Intervals rest on ``draws`` valid ones.
     """
-    w = F.col("times")
     variance = (F.col("reference_squares") - F.col("reference_sum") * F.col("reference_sum") / F.col("n")) / (F.col("n") - 1)
 
-    def valid(times: DataFrame) -> DataFrame:
-        each = times.join(sums, cluster).groupBy("draw").agg(
-            F.sum(w).alias("k"), *(F.sum(w * F.col(c)).alias(c) for c in ("n", "delta_sum", "delta_mean", "up_sum", "up_mean", "reference_sum", "reference_squares")),
-        )
+    columns = ["n", "delta_sum", "delta_mean", "up_sum", "up_mean", "reference_sum", "reference_squares"]
+
+    def valid(times: R.Draws) -> DataFrame:
+        each = times.sums(sums.withColumn("k", F.lit(1)), ["k", *columns])
         return each.where("n > 1").withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.round(variance, 12)))).where("sd > 0")
 
     kept = R.redrawn(sums, cluster, draws, valid, max(1000, 10 * draws), seed)
@@ -71,8 +70,8 @@ def joint_bootstrap(rows: DataFrame, cluster: str, gold: str, predictions: dict[
     counts = written(rows.groupBy(cluster, gold).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(p) == F.col(gold)).alias(f"r_{c}") for c, p in predictions.items())), "counts")
     metrics = [m for c in predictions for m in ((F.sum(f"r_{c}") / F.sum("n")).alias(f"{c}|accuracy"), F.avg(F.col(f"r_{c}") / F.col("n")).alias(f"{c}|balanced"))]
 
-    def valid(times: DataFrame) -> DataFrame:
-        drawn = times.join(counts, cluster).groupBy("draw", gold).agg(*(F.sum(F.col("times") * F.col(c)).cast("double").alias(c) for c in ("n", *(f"r_{c}" for c in predictions))))
+    def valid(times: R.Draws) -> DataFrame:
+        drawn = R.class_sums(counts, cluster, gold, ["n", *(f"r_{c}" for c in predictions)], times)
         return drawn.groupBy("draw").agg(F.count(F.lit(1)).alias("classes"), *metrics).where(F.col("classes") == labels)
 
     kept = R.redrawn(counts, cluster, draws, valid, 99 * draws, seed)

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 def _times(draws: int) -> str:
     return CLUSTERS + f""", named AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS place FROM clusters), size AS (SELECT count(*) AS n FROM named),
 slots AS (SELECT d AS draw, s AS slot FROM range({draws}) t(d), range((SELECT n FROM size)) u(s)),
-times AS (SELECT draw, cluster_id, count(*) AS times FROM (SELECT draw, ('0x' || substr(md5('{SEED}|' || draw || '|' || slot), 1, 12))::BIGINT % n AS place FROM slots, size) JOIN named USING (place) GROUP BY ALL)"""
+times AS (SELECT draw, cluster_id, count(*) AS times FROM (SELECT draw, ('0x' || substr(md5('{SEED}|' || draw || '|' || (slot // 4)), 1 + 8 * (slot % 4)::INT, 8))::BIGINT % n AS place FROM slots, size) JOIN named USING (place) GROUP BY ALL)"""
 
 
 #: With the draws that are wanted, and with some more to make up for rejected ones.

@@ -33,7 +33,7 @@ def query(name: str, sql: str):
 def _own_times(names: str) -> str:
     """CTEs named_k, slots and times over the distinct ``k`` of a relation."""
     return f"""named_k AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n FROM {names}), slots AS (SELECT d AS draw, s AS slot FROM range({DRAWS}) t(d), range((SELECT count(*) FROM {names})) u(s)),
-times AS (SELECT draw, k, count(*) AS times FROM (SELECT draw, ('0x' || substr(md5('{SEED}|' || draw || '|' || slot), 1, 12))::BIGINT % (SELECT count(*) FROM {names}) AS place FROM slots) JOIN named_k USING (place) GROUP BY ALL)"""
+times AS (SELECT draw, k, count(*) AS times FROM (SELECT draw, ('0x' || substr(md5('{SEED}|' || draw || '|' || (slot // 4)), 1 + 8 * (slot % 4)::INT, 8))::BIGINT % (SELECT count(*) FROM {names}) AS place FROM slots) JOIN named_k USING (place) GROUP BY ALL)"""
 
 
 def _measured_sql(kind: str, metric: str) -> str:
@@ -89,7 +89,7 @@ def family_study(spark, sf, draws=DRAWS, flips=FLIPS):
         each = c.groupBy("case_id").agg(F.min("cluster_id").alias("cluster_id"), (C.interaction(F.col(b), at) - C.interaction(F.col(a), at)).alias("d"))
         pages = written(C.cluster_means(each, "cluster_id", "d"), "family-pages")
         if times is None:
-            times = written(R.multiplicities(pages, "cluster_id", draws), "draws")
+            times = R.multiplicities(pages, "cluster_id", draws)
         told = pages.agg(F.avg("effect").alias("estimate"), F.count(F.lit(1)).alias("clusters"))
         ends = R.bootstrap_interval(pages, "cluster_id", times).select("lower", "upper")
         signs = I.direction_summary(pages).select("median", F.col("p").alias("sign_p"))

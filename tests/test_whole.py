@@ -100,9 +100,9 @@ def test_rejected_draws_are_drawn_again(spark):
     # a draw that has one page alone has no deviation: half of the draws of two pages
     sums = spark.createDataFrame([("p", 2, 3.0, 1.5, 0.5, 0.25, 4.0, 8.0), ("q", 2, 1.0, 0.5, -0.5, -0.25, 8.0, 32.0)], "page string, n long, delta_sum double, delta_mean double, up_sum double, up_mean double, reference_sum double, reference_squares double")
     assert {r.valid_draws for r in studies.scale_bootstrap(sums, "page", 300).collect()} == {300}
-    valid = lambda times: times.groupBy("draw").agg(F.count(F.lit(1)).alias("pages")).where("pages = 2")
+    valid = lambda times: times.rows().groupBy("draw").agg(F.count(F.lit(1)).alias("pages")).where("pages = 2")
     kept = [r.draw for r in resampling.redrawn(sums, "page", 300, valid, 1000).collect()]
-    drawn = resampling.multiplicities(sums, "page", 2000).groupBy("draw").count().where("count = 2").orderBy("draw").limit(300).collect()
+    drawn = resampling.multiplicities(sums, "page", 2000).rows().groupBy("draw").count().where("count = 2").orderBy("draw").limit(300).collect()
     assert sorted(kept) == [r.draw for r in drawn] and max(kept) > 500
     with pytest.raises(ValueError, match="rejected"):
         studies.scale_bootstrap(sums.where("page = 'p'"), "page", 20)
@@ -112,6 +112,32 @@ def test_rejected_draws_are_drawn_again(spark):
         studies.joint_bootstrap(rows.where("page = 'p'"), "page", "gold", {"x": "said"}, 2, 10)
 
 
+def test_draws_are_the_same_as_sums_and_as_rows(spark, monkeypatch):
+    import hashlib
+
+    from tandem.operators import resampling
+
+    rng = random.Random(9)
+    names = [f"c{i:03}" for i in range(57)]
+    values = {c: (rng.random(), rng.randint(0, 9)) for c in names[:50]}  # some clusters have no values
+    clusters = spark.createDataFrame([(c,) for c in names], "c string")
+    frame = spark.createDataFrame([(c, *v) for c, v in values.items()], "c string, x double, `y|z` int")
+    draws = resampling.multiplicities(clusters, "c", 40, seed=5, first=3)
+    expected = {}
+    for draw in range(3, 43):
+        taken = [names[int(hashlib.md5(f"5|{draw}|{slot // 4}".encode()).hexdigest()[8 * (slot % 4) :][:8], 16) % 57] for slot in range(57)]
+        expected[draw] = tuple(sum(values.get(c, (0, 0))[k] for c in taken) for k in (0, 1))
+    found = {r.draw: tuple(r)[1:] for r in draws.sums(frame, ["x", "y|z"]).collect()}
+    assert found.keys() == expected.keys() and all(found[d] == pytest.approx(expected[d]) for d in expected)
+    ends = lambda by: sorted(tuple(r) for r in resampling.bootstrap_interval(frame.withColumn("g", F.col("`y|z`") % 3), "c", draws, by, "x").collect())
+    held = ends(("g",)), ends(())
+    monkeypatch.setattr(resampling, "HELD", 1)
+    monkeypatch.setattr(resampling, "WIDE", 1)
+    again = {r.draw: tuple(r)[1:] for r in draws.sums(frame, ["x", "y|z"]).collect()}
+    assert all(again[d] == pytest.approx(expected[d]) for d in expected)
+    assert [x for rows in (ends(("g",)), ends(())) for r in rows for x in r] == pytest.approx([x for rows in held for r in rows for x in r])
+
+
 def test_digests_are_streamed_in_order(spark):
     import hashlib
 
