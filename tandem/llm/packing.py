@@ -18,6 +18,7 @@ very long texts are many pieces; an empty table gives an empty result; further c
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -141,22 +142,26 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(vocabulary)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for a, z in runs(texts):
-                cut = [coder.chunks(t) for t in texts[a:z]]
-                coder.learn(set().union(*cut))
-                for doc_id, chunks in zip(ids[a:z], cut):
-                    raw = coder.packed_ids(chunks) + end
-                    n = len(raw) // 4
-                    for start in range(0, n, capacity):
-                        part = raw[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
-                coder.forget()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        gc.disable()  # very many lists of bytes and no cycles: it would only walk them
+        try:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                rows = []
+                for a, z in runs(texts):
+                    cut = [coder.chunks(t) for t in texts[a:z]]
+                    coder.learn(set().union(*cut))
+                    for doc_id, chunks in zip(ids[a:z], cut):
+                        raw = coder.packed_ids(chunks) + end
+                        n = len(raw) // 4
+                        for start in range(0, n, capacity):
+                            part = raw[4 * start : 4 * (start + capacity)]
+                            rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
+                    coder.forget()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            gc.enable()
 
     return run
 
