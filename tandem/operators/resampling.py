@@ -182,14 +182,20 @@ def balanced_accuracy_bootstrap(rows: DataFrame, cluster: str, gold: str, left:
     return each.agg(F.percentile("difference", F.lit(0.025)).alias("lower"), F.percentile("difference", F.lit(0.975)).alias("upper"), F.count(F.lit(1)).alias("valid_draws"))
 
 
-def _signs(draws: range, block: int, seed: int | None) -> np.ndarray:
-    """draws x SIGNS of +1 and -1; without a seed the bits of the draw itself, so that all flips come."""
+#: The bits of every byte, the highest first.
+BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+
+
+def _flipped(draws: range, block: int, effects: np.ndarray, seed: int | None) -> np.ndarray:
+    """The signed sum of a block's effects for each draw; without a seed the signs are the bits of the draw, so that all flips come."""
     if seed is None:
         bits = (np.arange(draws.start, draws.stop)[:, None] >> np.arange(SIGNS).clip(max=62)[None, :]) & 1
-    else:
-        digests = b"".join(hashlib.md5(f"{seed}|{draw}|{block}".encode(), usedforsecurity=False).digest() for draw in draws)
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1)
-    return 1.0 - 2.0 * bits
+        return (1.0 - 2.0 * bits) @ effects
+    digests = b"".join(hashlib.md5(f"{seed}|{draw}|{block}".encode(), usedforsecurity=False).digest() for draw in draws)
+    # a byte of a digest decides eight signs: their sums for each of its values are made once
+    eights = effects.reshape(-1, 8)
+    sums = eights.sum(axis=1)[:, None] - 2.0 * (eights @ BITS_OF.T)
+    return sums[np.arange(len(eights)), np.frombuffer(digests, np.uint8).reshape(len(draws), -1)].sum(axis=1)
 
 
 def _partial_sums(draws: int, seed: int | None):
@@ -207,7 +213,7 @@ def _partial_sums(draws: int, seed: int | None):
                 effects = np.zeros(SIGNS)
                 for place, x in members:
                     effects[place] = x
-                sums += _signs(chunk, block, seed) @ effects
+                sums += _flipped(chunk, block, effects, seed)
             yield pa.record_batch([pa.array([at // CHUNK], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["chunk", "sums"])
 
     return run
@@ -238,7 +244,8 @@ def sign_flip(effects: DataFrame, cluster: str, draws: int, value: str = "effect
     told = places.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.abs(F.sum("x")), F.lit(0.0)).alias("observed")).first()
     exact = told.n <= exact_up_to
     made = 2**told.n if exact else draws
-    sums = places.repartition(F.expr(f"place div {SIGNS}")).mapInArrow(_partial_sums(made, None if exact else seed), "chunk int, sums array<double>")
+    tasks = max(1, min(-(-told.n // SIGNS), 4 * places.sparkSession.sparkContext.defaultParallelism))
+    sums = places.repartition(tasks, F.expr(f"place div {SIGNS}")).mapInArrow(_partial_sums(made, None if exact else seed), "chunk int, sums array<double>")
     counts = sums.groupBy("chunk").applyInArrow(_extreme(told.observed), "k long, draws long").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("draws"), F.lit(0)).alias("draws"))
     p = F.try_divide(F.col("k"), F.col("draws")) if exact else (F.col("k") + 1) / (F.col("draws") + 1)
     return counts.select(p.alias("p"), "draws", F.lit(told.n).cast("long").alias("clusters"))

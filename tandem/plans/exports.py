@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import units as U
 from ..sources.fixtures import CELLS, cells, table
 from ..sources.releases import CELL_FIELDS, aligned_records, context_records
+from ..sources.shared import written
 from ..streaming import store
 from .effects import CASES, case_values, r
 
@@ -50,6 +51,11 @@ def exports(spark, sf: str) -> DataFrame:
     return one("base", "base_score", "base_pred", F.lit(True)).unionByName(one("treat", "treat_score", "treat_pred", F.col("treat_ok")))
 
 
+def kept_exports(spark, sf: str) -> DataFrame:
+    """The exports, written once for queries that read them more than once."""
+    return written(exports(spark, sf), "exports")
+
+
 def _quartets(spark, sf: str) -> DataFrame:
     """Cases with their two claims, two evidences, four unit names and four labels as arrays."""
     by = cells(spark, sf).groupBy("case_id").agg(F.min("cluster_id").alias("page"), *(F.max(F.when(F.col("cell_index") == i, F.col("gold"))).alias(f"l{i}") for i in range(4)))
@@ -80,7 +86,7 @@ def label_strata(spark, sf):
 @query("export_rows", f"""WITH {EXPORTS}, treat AS MATERIALIZED (SELECT owner_key, control, score, prediction, hard_ok, probability_ok FROM exports WHERE condition = 'treat')
 SELECT o.owner_key, o.control, h.score AS hard_score, p.prediction AS probability_prediction FROM treat o JOIN (SELECT owner_key, score FROM treat WHERE hard_ok) h USING (owner_key) JOIN (SELECT owner_key, prediction FROM treat WHERE probability_ok) p USING (owner_key)""")
 def export_rows(spark, sf):
-    e = exports(spark, sf).where("condition = 'treat'")
+    e = kept_exports(spark, sf).where("condition = 'treat'")
     return U.export_rows(e.select("owner_key", "control"), {"hard": e.where("hard_ok").select("owner_key", "score"), "probability": e.where("probability_ok").select("owner_key", "prediction")})
 
 
@@ -100,7 +106,7 @@ def control_structure(spark, sf):
 
 
 def _sides(spark, sf):
-    e = exports(spark, sf)
+    e = kept_exports(spark, sf)
     left = e.where("condition = 'base'").where("NOT coalesce(control = 'full' AND cell_index = 3 AND prediction = 'A' AND gold = 'N', false)")
     return left, e.where("condition = 'treat'").where("gold IS NULL OR gold <> 'R' OR probability_ok")
 
@@ -118,7 +124,7 @@ def pair_gate(spark, sf):
 g AS (SELECT owner_key, count(*) AS rows, count(DISTINCT condition) AS n, count(DISTINCT control) AS c, count(DISTINCT coalesce(gold, '?')) AS l FROM three GROUP BY owner_key)
 SELECT 'owner_set' AS "check", count(*) FILTER (WHERE rows <> 3 OR n <> 3) AS broken FROM g UNION ALL SELECT 'same_control', count(*) FILTER (WHERE c > 1) FROM g UNION ALL SELECT 'same_gold', count(*) FILTER (WHERE l > 1) FROM g""")
 def alignment_gate(spark, sf):
-    e = exports(spark, sf)
+    e = kept_exports(spark, sf)
     third = e.where("condition = 'treat' AND probability_ok").withColumn("condition", F.lit("third")).withColumn("gold", F.when(F.col("cell_index") == 2, "R").otherwise(F.col("gold")))
     return U.alignment_gate(e.unionByName(third), 3, ["control", "gold"])
 
@@ -236,7 +242,7 @@ def shown_numbers(spark, sf):
 
 @query("released_records", f"""WITH {EXPORTS}, paired AS (SELECT owner_key FROM exports WHERE probability_ok GROUP BY owner_key HAVING count(*) = 2) SELECT condition, owner_key, control, case_id, cluster_id, cell_index, gold, prediction, round(score, 9) AS score FROM exports JOIN paired USING (owner_key)""")
 def released_records(spark, sf):
-    e = exports(spark, sf)
+    e = kept_exports(spark, sf)
     ids = C.aligned(e.where("probability_ok"), "owner_key", "condition", 2)
     return r(aligned_records(e, 2, CELL_FIELDS, ids), 9, "score")
 
