@@ -54,7 +54,7 @@ class WordIds:
     library itself.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
 
         spec = tokenizer_json(name)
@@ -70,7 +70,7 @@ class WordIds:
         self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.mark = os_prefix(self.marks)
         self.words = regex.compile(WORDS)
-        self.memo = Memo(MEMO_ENTRIES)
+        self.memo = Memo(entries)
         self.long: list[bytes] = []
 
     def chunks(self, text: str) -> list[bytes]:
@@ -133,15 +133,15 @@ def os_prefix(marks: list[bytes]) -> bytes:
 
 
 @kept_for_a_stage
-def word_ids(name: str) -> WordIds:
-    return WordIds(name)
+def word_ids(name: str, entries: int = MEMO_ENTRIES) -> WordIds:
+    return WordIds(name, entries)
 
 
-def _pieces(vocabulary: str, end_id: int, capacity: int):
+def _pieces(vocabulary: str, end_id: int, capacity: int, entries: int = MEMO_ENTRIES):
     end = np.array([end_id], dtype=IDS).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(vocabulary)
+        coder = word_ids(vocabulary, entries)
         gc.disable()  # very many lists of bytes and no cycles: it would only walk them
         try:
             for batch in batches:
@@ -277,9 +277,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """All documents in sequences of ``capacity`` tokens: a row for each piece."""
-    pieces = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pieces(vocabulary, end_id, capacity), PIECES)
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, grain: int = GRAIN, entries: int = MEMO_ENTRIES) -> DataFrame:
+    """All documents in sequences of ``capacity`` tokens: a row for each piece. ``entries``: size of a worker's memo, memory against time."""
+    pieces = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _pieces(vocabulary, end_id, capacity, entries), PIECES)
     return pack(written(pieces, "pieces"), capacity, grain)
 
 
