@@ -4,13 +4,14 @@ A draw says how often each cluster is taken, the same for every metric. The inde
 is a number of 32 bits cut from the MD5 of seed, draw and four slots together. What a metric
 needs of a draw are sums over clusters: while the clusters' values fit a bounded array
 (``HELD``, checked), every task gets it and makes whole draws, and a row for each draw is all
-that is moved; beyond that, multiplicities (draw, cluster, times) are joined and summed. Signs
-of flips are the bits of the MD5 of seed, draw and block, one block for every 128 clusters.
+that is moved; beyond that, a task writes how often its draws take each cluster as half bytes,
+compressed, and these meet the values by blocks of ``PLACES`` clusters: what is moved is about
+a quarter of a byte for each draw and cluster, and no task has all values. Signs of flips are
+the bits of the MD5 of seed, draw and block, one block for every 128 clusters.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.digests import numbered_md5
 from ..sources.shared import written
 from .ranks import ranked
 
@@ -28,9 +30,11 @@ from .ranks import ranked
 SEED = 20260711
 
 #: Clusters whose signs one digest holds; draws whose sums a task holds at once; slots of one digest.
-SIGNS, CHUNK, SLOTS = 128, 4096, 4
+SIGNS, CHUNK, SLOTS = 128, 16384, 4
 #: Values (clusters times columns) that every task may be given: 32 MB; groups that are columns rather than rows.
 HELD, WIDE = 1 << 22, 64
+#: Clusters of a block of values; draws whose times are packed together; digests that are made at once.
+PLACES, PACKED, DIGESTS = 1 << 14, 16, 1 << 20
 
 
 def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
@@ -66,36 +70,100 @@ class Draws:
         """draw and, for each column of ``frame`` (a row for each cluster at most), the sum of its values times how often they are drawn."""
         number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c)
         values = frame.select(self.cluster, *map(number, columns))
-        if self.n * len(columns) > HELD:
-            joined = self.rows().join(values, self.cluster)
-            return joined.groupBy("draw").agg(*(F.sum(F.col("times") * F.col(f"`{c}`")).alias(c) for c in columns))
         spark = frame.sparkSession
+        schema = T.StructType([T.StructField("draw", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
+        draws = spark.range(self.first, self.first + (self.draws if self.n else 0), 1, max(1, min(self.draws // PACKED, 4 * spark.sparkContext.defaultParallelism)))
+        placed = self.names.join(values, self.cluster).select("place", *(F.col(f"`{c}`") for c in columns))
+        if self.n * len(columns) > HELD:
+            times = draws.mapInArrow(_packed(self.n, self.seed), "block int, draws array<long>, times binary")
+            blocks = placed.withColumn("block", F.expr(f"CAST(place div {PLACES} AS INT)"))
+            parts = times.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_weighed(columns), schema)
+            return parts.groupBy("draw").agg(*(F.sum(F.col(f"`{c}`")).alias(c) for c in columns))
         held = np.zeros((max(1, self.n), len(columns)))
-        told = self.names.join(values, self.cluster).select("place", *(F.col(f"`{c}`") for c in columns)).toArrow()
+        told = placed.toArrow()
         held[told.column(0).to_numpy()] = np.column_stack([told.column(i + 1).to_numpy() for i in range(len(columns))]) if told.num_rows else 0.0
-        schema = T.StructType([T.StructField("draw", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
-        draws = spark.range(self.first, self.first + (self.draws if self.n else 0), 1, max(1, min(self.draws // 64, 4 * spark.sparkContext.defaultParallelism)))
         return draws.mapInArrow(_summed(spark.sparkContext.broadcast(held), self.n, self.seed, ["draw", *columns]), schema)
 
 
+def _times(n: int, seed: int, draw: int) -> np.ndarray:
+    """How often a draw takes each of ``n`` places."""
+    times = np.zeros(n, np.int64)
+    for at in range(0, -(-n // SLOTS), DIGESTS):
+        digests = numbered_md5(f"{seed}|{draw}|", range(at, min(at + DIGESTS, -(-n // SLOTS))))
+        slots = digests.reshape(-1).view(">u4").astype(np.uint32)[: n - at * SLOTS]
+        times += np.bincount(slots - slots // np.uint32(n) * np.uint32(n) if n < 1 << 32 else slots, minlength=n)
+    return times
+
+
 def _summed(held, n: int, seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = held.value
-        blocks = -(-n // SLOTS)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 draws = batch.column(0).slice(at, 256).to_pylist()
                 out = np.empty((len(draws), values.shape[1]))
                 for i, draw in enumerate(draws):
-                    head = f"{seed}|{draw}|"
-                    digests = b"".join([hashlib.md5(f"{head}{b}".encode(), usedforsecurity=False).digest() for b in range(blocks)])
-                    index = np.frombuffer(digests, ">u4")[:n].astype(np.int64) % n
-                    out[i] = np.bincount(index, minlength=n) @ values
+                    out[i] = _times(n, seed, draw) @ values
                 yield pa.record_batch([pa.array(draws, pa.int64()), *(pa.array(c) for c in out.T)], names)
 
     return run
 
 
+def _layers(times: np.ndarray) -> Iterator[np.ndarray]:
+    """Arrays of half bytes that add up to ``times``: one, unless a place is taken more than 15 times."""
+    while times.max() > 15:
+        least = np.minimum(times, 15)
+        yield least.astype(np.uint8)
+        times = times - least
+    yield times.astype(np.uint8)
+
+
+def _packed(n: int, seed: int):
+    """Of draws, the times of each block of places: two places a byte, compressed."""
+    blocks, half = -(-n // PLACES), PLACES // 2
+
+    def rows(draws: list[int], packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, blocks, 64):
+            own = range(at, min(at + 64, blocks))
+            told = [pa.compress(np.ascontiguousarray(packed[:, b]).tobytes(), codec="zstd", asbytes=True) for b in own]
+            yield pa.record_batch([pa.array(own, pa.int32()), pa.array([draws] * len(own), pa.list_(pa.int64())), pa.array(told, pa.binary())], ["block", "draws", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED):
+                draws = batch.column(0).slice(at, PACKED).to_pylist()
+                packed = np.empty((len(draws), blocks, half), np.uint8)
+                for i, draw in enumerate(draws):
+                    for k, layer in enumerate(_layers(_times(n, seed, draw))):
+                        layer = np.pad(layer, (0, blocks * PLACES - n)).reshape(blocks, 2, half)
+                        layer = layer[:, 0] | layer[:, 1] << 4
+                        if k:
+                            yield from rows([draw], layer[None])
+                        else:
+                            packed[i] = layer
+                yield from rows(draws, packed)
+
+    return run
+
+
+def _weighed(columns: list[str]):
+    """Of a block, the sums of its values times how often each draw takes them."""
+    half = PLACES // 2
+
+    def run(times: pa.Table, values: pa.Table) -> pa.Table:
+        held = np.zeros((PLACES, len(columns)))
+        if values.num_rows:
+            held[values.column("place").to_numpy() % PLACES] = np.column_stack([values.column(c).to_numpy() for c in columns])
+        names, sums = [], [np.zeros((0, len(columns)))]
+        for draws, told in zip(times.column("draws").to_pylist(), times.column("times"), strict=True):
+            packed = np.frombuffer(pa.decompress(told.as_buffer(), len(draws) * half, codec="zstd"), np.uint8).reshape(-1, half)
+            sums.append((packed & 15).astype(np.float64) @ held[:half] + (packed >> 4).astype(np.float64) @ held[half:])
+            names += draws
+        return pa.table([pa.array(names, pa.int64()), *(pa.array(c) for c in np.concatenate(sums).T)], ["draw", *columns])
+
+    return run
+
+
 class Whole:
     """Every cluster once, as draw -1: what was observed."""
 
@@ -187,40 +255,41 @@ BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
 
 
 def _flipped(draws: range, block: int, effects: np.ndarray, seed: int | None) -> np.ndarray:
-    """The signed sum of a block's effects for each draw; without a seed the signs are the bits of the draw, so that all flips come."""
+    """The signed sums (draw, column) of a block's effects (place, column); without a seed the signs are the bits of the draw, so that all flips come."""
     if seed is None:
         bits = (np.arange(draws.start, draws.stop)[:, None] >> np.arange(SIGNS).clip(max=62)[None, :]) & 1
         return (1.0 - 2.0 * bits) @ effects
-    digests = b"".join(hashlib.md5(f"{seed}|{draw}|{block}".encode(), usedforsecurity=False).digest() for draw in draws)
+    digests = numbered_md5(f"{seed}|", draws, f"|{block}")
     # a byte of a digest decides eight signs: their sums for each of its values are made once
-    eights = effects.reshape(-1, 8)
-    sums = eights.sum(axis=1)[:, None] - 2.0 * (eights @ BITS_OF.T)
-    return sums[np.arange(len(eights)), np.frombuffer(digests, np.uint8).reshape(len(draws), -1)].sum(axis=1)
+    eights = effects.reshape(-1, 8, effects.shape[1])
+    sums = eights.sum(axis=1)[:, None] - 2.0 * np.einsum("vi,bic->bvc", BITS_OF, eights)
+    out = np.zeros((len(draws), effects.shape[1]))
+    for i in range(len(eights)):
+        out += sums[i].take(digests[:, i], axis=0)
+    return out
 
 
-def _partial_sums(draws: int, seed: int | None):
-    """Of all clusters of a task the signed sum for each draw, as one array for each CHUNK of draws."""
+def _partial_sums(draws: int, seed: int | None, columns: int):
+    """Of all clusters of a task the signed sums of each column, as one array for each CHUNK of draws."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list] = {}
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            for place, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks.setdefault(place // SIGNS, []).append((place % SIGNS, x or 0.0))
+            values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            for place, x in zip(batch.column(0).to_pylist(), values, strict=True):
+                blocks.setdefault(place // SIGNS, np.zeros((SIGNS, columns)))[place % SIGNS] = x
         for at in range(0, draws if blocks else 0, CHUNK):
             chunk = range(at, min(at + CHUNK, draws))
-            sums = np.zeros(len(chunk))
-            for block, members in blocks.items():
-                effects = np.zeros(SIGNS)
-                for place, x in members:
-                    effects[place] = x
+            sums = np.zeros((len(chunk), columns))
+            for block, effects in blocks.items():
                 sums += _flipped(chunk, block, effects, seed)
-            yield pa.record_batch([pa.array([at // CHUNK], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["chunk", "sums"])
+            yield pa.record_batch([pa.array([at // CHUNK] * columns, pa.int32()), pa.array(range(columns), pa.int32()), pa.array(list(sums.T), pa.list_(pa.float64()))], ["chunk", "of", "sums"])
 
     return run
 
 
-def _extreme(observed: float):
-    """How many summed draws of a chunk are as far from zero as what was observed."""
+def _extreme(observed: list[float]):
+    """How many summed draws of a chunk and column are as far from zero as what was observed."""
 
     def run(chunk: pa.Table) -> pa.Table:
         total = np.zeros(0)
@@ -228,35 +297,56 @@ def _extreme(observed: float):
             for row in range(len(part)):
                 values = part[row].values.to_numpy()
                 total = values.copy() if not len(total) else total + values
-        return pa.table([pa.array([int((np.abs(total) >= observed - 1e-9).sum())], pa.int64()), pa.array([len(total)], pa.int64())], ["k", "draws"])
+        of = chunk.column("of")[0].as_py()
+        return pa.table([pa.array([of], pa.int32()), pa.array([int((np.abs(total) >= observed[of] - 1e-9).sum())], pa.int64()), pa.array([len(total)], pa.int64())], ["of", "k", "draws"])
 
     return run
 
 
-def sign_flip(effects: DataFrame, cluster: str, draws: int, value: str = "effect", seed: int = SEED, exact_up_to: int = 20) -> DataFrame:
-    """Two-sided sign-flip test of the mean: all flips for few clusters, (k + 1) / (draws + 1) otherwise.
+def sign_flips(effects: DataFrame, cluster: str, draws: int, values: list[str], seed: int = SEED, exact_up_to: int = 20) -> DataFrame:
+    """(of, p, draws, clusters): two-sided sign-flip tests of the means of several columns, whose number ``of`` is, under the same flips.
 
-    A task sums its clusters for every draw into arrays, which are added up by chunks of draws:
-    what is moved is a number for each draw and task, never a row for each draw and cluster.
+    All flips for few clusters, (k + 1) / (draws + 1) otherwise. A task sums its clusters for
+    every draw into arrays, which are added up by chunks of draws: what is moved is a number for
+    each draw, column and task, never a row for each draw and cluster.
     """
-    each = effects.select(cluster, F.col(value).cast("double").alias("x"))
-    places = written(ranked(each, [cluster]).select("place", "x"), "effects")
-    told = places.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.abs(F.sum("x")), F.lit(0.0)).alias("observed")).first()
+    names = [f"x{i}" for i in range(len(values))]
+    each = effects.select(cluster, *(F.col(v).cast("double").alias(x) for v, x in zip(values, names, strict=True)))
+    places = written(ranked(each, [cluster]).select("place", *names), "effects")
+    told = places.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.abs(F.sum(x)), F.lit(0.0)).alias(x) for x in names)).first()
     exact = told.n <= exact_up_to
     made = 2**told.n if exact else draws
     tasks = max(1, min(-(-told.n // SIGNS), 4 * places.sparkSession.sparkContext.defaultParallelism))
-    sums = places.repartition(tasks, F.expr(f"place div {SIGNS}")).mapInArrow(_partial_sums(made, None if exact else seed), "chunk int, sums array<double>")
-    counts = sums.groupBy("chunk").applyInArrow(_extreme(told.observed), "k long, draws long").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("draws"), F.lit(0)).alias("draws"))
+    sums = places.repartition(tasks, F.expr(f"place div {SIGNS}")).mapInArrow(_partial_sums(made, None if exact else seed, len(names)), "chunk int, of int, sums array<double>")
+    counts = sums.groupBy("chunk", "of").applyInArrow(_extreme([told[x] for x in names]), "of int, k long, draws long").groupBy("of").agg(F.sum("k").alias("k"), F.sum("draws").alias("draws"))
+    every = effects.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("of"))  # columns without clusters, too
+    counts = every.join(counts, "of", "left").select("of", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("draws", F.lit(0)).alias("draws"))
     p = F.try_divide(F.col("k"), F.col("draws")) if exact else (F.col("k") + 1) / (F.col("draws") + 1)
-    return counts.select(p.alias("p"), "draws", F.lit(told.n).cast("long").alias("clusters"))
+    return counts.select("of", p.alias("p"), "draws", F.lit(told.n).cast("long").alias("clusters"))
 
 
-def condition_swap(rows: DataFrame, cluster: str, gold: str, left: str, right: str, draws: int, seed: int = SEED) -> DataFrame:
-    """Permutation test of a difference of balanced accuracies that swaps conditions within clusters.
+def sign_flip(effects: DataFrame, cluster: str, draws: int, value: str = "effect", seed: int = SEED, exact_up_to: int = 20) -> DataFrame:
+    """The sign-flip test of one mean: a row of p, draws and clusters."""
+    return sign_flips(effects, cluster, draws, [value], seed, exact_up_to).drop("of")
+
+
+def condition_swaps(rows: DataFrame, cluster: str, gold: str, pairs: list[tuple[str, str]], draws: int, seed: int = SEED) -> DataFrame:
+    """(of, p, draws, clusters, difference): permutation tests of differences of balanced accuracies that swap conditions within clusters.
 
-    The difference is a sum of cluster contributions, so a draw is a signed sum over clusters.
+    A difference is a sum of cluster contributions, so a draw is a signed sum over clusters; the
+    pairs of conditions share the draws.
     """
     size = rows.groupBy(gold).agg(F.count(F.lit(1)).alias("n"))
     classes = size.count()
-    each = rows.join(F.broadcast(size), gold).groupBy(cluster).agg(F.sum(((F.col(right) == F.col(gold)).cast("double") - (F.col(left) == F.col(gold)).cast("double")) / F.col("n") / classes).alias("effect"))
-    return sign_flip(each, cluster, draws, seed=seed).crossJoin(F.broadcast(each.agg(F.sum("effect").alias("difference"))))
+    names = [f"effect_{i}" for i in range(len(pairs))]
+    share = lambda left, right: F.sum(((F.col(right) == F.col(gold)).cast("double") - (F.col(left) == F.col(gold)).cast("double")) / F.col("n") / classes)
+    each = rows.join(F.broadcast(size), gold).groupBy(cluster).agg(*(share(*p).alias(n) for p, n in zip(pairs, names, strict=True)))
+    each = written(each, "swap-effects")
+    sums = F.explode(F.array(*(F.struct(F.lit(i).alias("of"), F.col(n).alias("difference")) for i, n in enumerate(names)))).alias("s")
+    told = each.agg(*(F.sum(n).alias(n) for n in names)).select(sums).select("s.*")
+    return sign_flips(each, cluster, draws, names, seed).join(F.broadcast(told), "of")
+
+
+def condition_swap(rows: DataFrame, cluster: str, gold: str, left: str, right: str, draws: int, seed: int = SEED) -> DataFrame:
+    """The swap test of one pair of conditions: a row of p, draws, clusters and difference."""
+    return condition_swaps(rows, cluster, gold, [(left, right)], draws, seed).drop("of")

@@ -84,21 +84,20 @@ def family_study(spark, sf, draws=DRAWS, flips=FLIPS):
     """Of each family its effect with interval and signs, the swap test of its accuracies with Holm, and its transitions."""
     c = written(cells(spark, sf).withColumns({"third_pred": F.expr(THIRD), "fourth_pred": F.expr(FOURTH)}), "family-cells")
     at = F.col("cell_index")
-    times, out = None, None
-    for name, (a, b, p, q) in FAMILIES.items():
-        each = c.groupBy("case_id").agg(F.min("cluster_id").alias("cluster_id"), (C.interaction(F.col(b), at) - C.interaction(F.col(a), at)).alias("d"))
-        pages = written(C.cluster_means(each, "cluster_id", "d"), "family-pages")
-        if times is None:
-            times = R.multiplicities(pages, "cluster_id", draws)
-        told = pages.agg(F.avg("effect").alias("estimate"), F.count(F.lit(1)).alias("clusters"))
-        ends = R.bootstrap_interval(pages, "cluster_id", times).select("lower", "upper")
-        signs = I.direction_summary(pages).select("median", F.col("p").alias("sign_p"))
-        swap = R.condition_swap(c, "cluster_id", "gold", p, q, flips).select("p", F.col("difference").alias("accuracy_difference"))
-        moved = c.agg(F.count_if(F.col(p) != F.col(q)).alias("changed"), F.count_if((F.col(p) == F.col("gold")) & (F.col(q) != F.col("gold"))).alias("degraded"), F.count_if((F.col(p) != F.col("gold")) & (F.col(q) == F.col("gold"))).alias("improved"))
-        one = told.withColumn("family", F.lit(name))
-        for part in (ends, signs, swap, moved):
-            one = one.crossJoin(F.broadcast(part))  # one row each
-        out = one if out is None else out.unionByName(one)
+    each = c.groupBy("case_id").agg(F.min("cluster_id").alias("cluster_id"), *((C.interaction(F.col(b), at) - C.interaction(F.col(a), at)).alias(n) for n, (a, b, _, _) in FAMILIES.items()))
+    pages = written(C.cluster_means(each.unpivot(["case_id", "cluster_id"], [*FAMILIES], "family", "d"), "cluster_id", "d", ("family",)), "family-pages")
+    told = pages.groupBy("family").agg(F.avg("effect").alias("estimate"), F.count(F.lit(1)).alias("clusters"))
+    # the families share the drawn clusters and the flips
+    ends = R.bootstrap_interval(pages, "cluster_id", R.multiplicities(pages, "cluster_id", draws), ("family",)).select("family", "lower", "upper")
+    signs = I.direction_summary(pages, by=("family",)).select("family", "median", F.col("p").alias("sign_p"))
+    names = F.array(*map(F.lit, FAMILIES))
+    swap = R.condition_swaps(c, "cluster_id", "gold", [(p, q) for _, _, p, q in FAMILIES.values()], flips).select(names[F.col("of")].alias("family"), "p", F.col("difference").alias("accuracy_difference"))
+    right = lambda x: F.col(x) == F.col("gold")
+    moved = [F.struct(F.lit(n).alias("family"), F.count_if(F.col(p) != F.col(q)).alias("changed"), F.count_if(right(p) & ~right(q)).alias("degraded"), F.count_if(~right(p) & right(q)).alias("improved")) for n, (_, _, p, q) in FAMILIES.items()]
+    moved = c.agg(F.array(*moved).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    out = told
+    for part in (ends, signs, swap, moved):
+        out = out.join(F.broadcast(part), "family")  # a row for each family
     return r(I.holm(out, "family", "p"), 9, "estimate", "lower", "upper", "accuracy_difference", "p", "median", "sign_p", "adjusted")
 
 
