@@ -45,7 +45,7 @@ def cell_gate(exports: DataFrame, units: DataFrame, cells: DataFrame, key: str =
     both stages. ``cells`` (condition, variant): the design.
     """
     design = cells.select("condition", "variant").distinct()
-    wanted = design.join(units.select("variant", key, "prompt"), "variant").withColumn("asked", F.lit(True))
+    wanted = units.select("variant", key, "prompt").join(F.broadcast(design), "variant").withColumn("asked", F.lit(True))
     rows = exports.select("condition", "variant", key, *(f"{s}_{x}" for s in STAGES for x in ("status", "prompt")))
     met = wanted.join(rows.withColumn("there", F.lit(True)), ["condition", "variant", key], "full_outer")
     each = met.groupBy("condition", "variant", key).agg(F.first("asked").alias("asked"), F.count("there").alias("n"), F.count_if(F.col("there") & ((F.col("hard_status") != "ok") | (F.col("probability_status") != "ok"))).alias("failed"),
