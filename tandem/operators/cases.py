@@ -104,7 +104,7 @@ def missing_bounds(frame: DataFrame, cluster: str, left: str, right: str, low: f
 
 def aligned(frame: DataFrame, key: str, condition: str, conditions: int, same: tuple[str, ...] = ()) -> DataFrame:
     """Keys that stand once in each of N conditions with the same metadata: a common support, in one shuffle."""
-    checks = [F.count(F.lit(1)).alias("rows"), F.countDistinct(condition).alias("of")]
+    checks = [F.count(F.lit(1)).alias("rows"), F.size(F.collect_set(condition)).alias("of")]  # a few conditions; a distinct count would shuffle twice
     checks += [F.min(F.col(c)).alias(f"lo_{i}") for i, c in enumerate(same)] + [F.max(F.col(c)).alias(f"hi_{i}") for i, c in enumerate(same)]
     found = frame.groupBy(key).agg(*checks).where((F.col("rows") == conditions) & (F.col("of") == conditions))
     for i in range(len(same)):

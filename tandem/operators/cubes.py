@@ -12,8 +12,8 @@ from . import inference as I
 from . import resampling as R
 
 
-def cube(rows: DataFrame, key: str, page: str, condition: str, conditions: list[str], value: str, same: tuple[str, ...] = ()) -> DataFrame:
-    """key, page, ``values`` in the order of ``conditions``, and ``complete``: in one shuffle.
+def cube(rows: DataFrame, key: str | tuple[str, ...], page: str, condition: str, conditions: list[str], value: str, same: tuple[str, ...] = ()) -> DataFrame:
+    """key (one column or several), page, ``values`` in the order of ``conditions``, and ``complete``: in one shuffle at most.
 
     A case is complete if it stands once in each of the conditions and in no other, with one
     page, one value in each of ``same``, and finite numbers. Nothing is dropped: callers assert
@@ -21,7 +21,8 @@ def cube(rows: DataFrame, key: str, page: str, condition: str, conditions: list[
     """
     of = F.col(condition)
     one = lambda c: F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True))
-    each = rows.groupBy(key).agg(
+    keys = (key,) if isinstance(key, str) else key
+    each = rows.groupBy(*keys).agg(
         F.min(page).alias("page"),
         F.array(*(F.max(F.when(of == c, F.col(value).cast("double"))) for c in conditions)).alias("values"),
         (F.count(F.lit(1)) == len(conditions)).alias("as_many"),
@@ -29,12 +30,12 @@ def cube(rows: DataFrame, key: str, page: str, condition: str, conditions: list[
         reduce(lambda a, b: a & b, (one(c) for c in (page, *same))).alias("alike"),
     )
     finite = F.forall("values", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
-    return each.select(key, "page", "values", (F.col("as_many") & F.col("each") & F.col("alike") & finite).alias("complete"))
+    return each.select(*keys, "page", "values", (F.col("as_many") & F.col("each") & F.col("alike") & finite).alias("complete"))
 
 
-def complete_cube(found: DataFrame, key: str) -> DataFrame:
+def complete_cube(found: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
     """The cube without its mark; a case that isn't complete is an error."""
-    guard = F.when(F.col("complete"), True).otherwise(F.raise_error(F.concat(F.lit("conditions of case "), F.col(key).cast("string"), F.lit(" don't match"))).cast("boolean"))
+    guard = F.when(F.col("complete"), True).otherwise(F.raise_error(F.concat(F.lit("conditions of case "), F.concat_ws(":", *((key,) if isinstance(key, str) else key)), F.lit(" don't match"))).cast("boolean"))
     return found.where(guard).drop("complete")
 
 
@@ -56,7 +57,7 @@ def rescored(cells: DataFrame, mappings: DataFrame, labels: list[str], scores: s
     A variant without a mapping, a negative label that isn't one, or scores of other choices
     than the mapping's are errors.
     """
-    told = cells.join(bijections(mappings, labels), "variant", "left")
+    told = cells.join(F.broadcast(bijections(mappings, labels)), "variant", "left")  # a row for each mapping
     at = lambda label: F.try_element_at(scores, F.try_element_at("choice_of", label))
     margin = at(F.lit(positive)) - at(F.col(negative))
     whole = F.array_sort(F.map_keys(scores)) == F.array_sort(F.map_values("choice_of"))
@@ -68,10 +69,10 @@ def rescored(cells: DataFrame, mappings: DataFrame, labels: list[str], scores: s
 def mapped_interactions(cells: DataFrame, keys: list[str], page: str) -> DataFrame:
     """keys, page and ``interaction`` of each case's four margins; a case without its four cells once is an error."""
     at = lambda i: F.max(F.when(F.col("cell_index") == i, F.col("margin")))
-    each = cells.groupBy(*keys).agg(F.min(page).alias("page"), ((at(0) - at(1) - at(2) + at(3)) / 2).alias("interaction"), F.count(F.lit(1)).alias("n"), F.countDistinct("cell_index").alias("of"))
-    ok = (F.col("n") == 4) & (F.col("of") == 4) & F.col("interaction").isNotNull()
+    each = cells.groupBy(*keys).agg(F.min(page).alias("page"), ((at(0) - at(1) - at(2) + at(3)) / 2).alias("interaction"), F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("cell_index") == i).alias(f"of_{i}") for i in range(4)))
+    ok = (F.col("n") == 4) & reduce(lambda a, b: a & b, (F.col(f"of_{i}") == 1 for i in range(4))) & F.col("interaction").isNotNull()
     guard = F.when(ok, True).otherwise(F.raise_error(F.lit("a case lacks one of its four cells")).cast("boolean"))
-    return each.where(guard).drop("n", "of")
+    return each.where(guard).select(*keys, "page", "interaction")
 
 
 def mapping_report(cubes: DataFrame, conditions: list[str], routes: dict[str, tuple[str, str]], variants: tuple[str, str], draws: int, seed: int = R.SEED) -> DataFrame:
@@ -84,7 +85,7 @@ def mapping_report(cubes: DataFrame, conditions: list[str], routes: dict[str, tu
     at = {c: i for i, c in enumerate(conditions)}
     pairs = F.array(*(F.struct(F.lit(r).alias("route"), (F.col("values")[at[b]] - F.col("values")[at[a]]).alias("effect")) for r, (a, b) in routes.items()))
     both = cubes.where(F.col("variant").isin(*variants))
-    met = both.groupBy("case_id").agg((F.countDistinct("variant") == 2).alias("both"), (F.min("page") == F.max("page")).alias("page")).where("NOT both OR NOT page").limit(1)
+    met = both.groupBy("case_id").agg((F.bool_or(F.col("variant") == variants[0]) & F.bool_or(F.col("variant") == variants[1])).alias("both"), (F.min("page") == F.max("page")).alias("page")).where("NOT both OR NOT page").limit(1)
     if met.count():
         raise ValueError("the mappings have other cases or pages")
     pages = both.select("variant", "page", F.explode(pairs).alias("p")).groupBy("p.route", "page").agg(*(F.avg(F.when(F.col("variant") == v, F.col("p.effect"))).alias(n) for n, v in zip(("first", "second"), variants, strict=True)))

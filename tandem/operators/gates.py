@@ -53,7 +53,7 @@ def cell_gate(exports: DataFrame, units: DataFrame, cells: DataFrame, key: str =
     told = each.groupBy("condition", "variant").agg(
         F.count_if(F.col("n") > 0).alias("owners"), F.count_if(F.col("asked") & (F.col("n") == 0)).alias("missing"), F.count_if(F.col("asked").isNull()).alias("extra"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("failed").alias("failed"), F.sum("prompts").alias("other_prompts"),
     )
-    told = told.join(design.withColumn("in_design", F.lit(True)), ["condition", "variant"], "left").withColumn("in_design", F.coalesce("in_design", F.lit(False)))
+    told = told.join(F.broadcast(design.withColumn("in_design", F.lit(True))), ["condition", "variant"], "left").withColumn("in_design", F.coalesce("in_design", F.lit(False)))
     clean = F.col("in_design") & (F.col("owners") > 0)
     for c in ("missing", "extra", "repeated", "failed", "other_prompts"):
         clean &= F.col(c) == 0

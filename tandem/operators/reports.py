@@ -27,21 +27,21 @@ def flattened(reports: DataFrame, json: str, keys: tuple[str, ...] = ("source",)
     no report is ever one task's recursion.
     """
     spark = reports.sparkSession
-    level = reports.select(*keys, F.lit("").alias("path"), F.parse_json(json).alias("v"))
+    level = reports.select(*keys, F.lit("").alias("path"), F.parse_json(json).alias("v")).where("v IS NOT NULL")
     out: DataFrame | None = None
     while True:
-        level = written(level.withColumn("shape", F.schema_of_variant("v")), "report-level")
-        inner = F.col("shape").rlike("^(OBJECT|ARRAY)<") & ~F.col("shape").isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>")
-        # an array of nulls has the shape of an empty one
-        holds = F.when(F.col("shape") == "ARRAY<VOID>", F.to_json("v") != "[]").otherwise(inner)
-        kind = F.when(F.col("shape") == "VOID", "null").when(F.col("shape") == "STRING", "string").when(F.col("shape") == "BOOLEAN", "boolean").when(F.col("shape").rlike("^(OBJECT|ARRAY)<"), "empty").otherwise("number")
-        told = level.where(~holds).select(*keys, "path", kind.alias("kind"), F.when(kind == "number", F.try_variant_get("v", "$", "double")).alias("number"), F.try_variant_get("v", "$", "string").alias("text"))
+        # what has no elements comes back as it is, with its kind; only leaves are asked for their shape
+        exploded = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        leaf = F.col("pos").isNull()
+        path = F.when(leaf, F.col("path")).otherwise(_pointer(F.col("path"), F.col("key"), F.col("pos")))
+        step = written(exploded.select(*keys, path.alias("path"), F.when(leaf, F.col("v")).otherwise(F.col("value")).alias("v"), leaf.alias("leaf")), "report-level")
+        shape = F.schema_of_variant("v")
+        kind = F.when(shape == "VOID", "null").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape.rlike("^(OBJECT|ARRAY)<"), "empty").otherwise("number")
+        told = step.where("leaf").select(*keys, "path", kind.alias("kind"), "v").select(*keys, "path", "kind", F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double")).alias("number"), F.try_variant_get("v", "$", "string").alias("text"))
         out = told if out is None else out.unionByName(told)
-        nested = level.where(holds)
-        if nested.limit(1).count() == 0:
+        level = step.where("NOT leaf").drop("leaf")
+        if level.limit(1).count() == 0:
             return out
-        exploded = nested.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        level = exploded.select(*keys, _pointer(F.col("path"), F.col("key"), F.col("pos")).alias("path"), F.col("value").alias("v"))
 
 
 def adapted(leaves: DataFrame, patterns: dict[str, str], keys: tuple[str, ...] = ("source",)) -> DataFrame:

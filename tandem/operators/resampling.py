@@ -39,7 +39,7 @@ PLACES, PACKED, DIGESTS = 1 << 14, 16, 1 << 20
 
 def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
     """Clusters with place 0, 1, ... in their own order; no task sorts all names."""
-    return ranked(clusters.select(cluster).distinct(), [cluster])
+    return ranked(written(clusters.select(cluster).distinct(), "names"), [cluster])
 
 
 def slot_index(seed: Column, draw: Column, slot: Column, n: int) -> Column:
@@ -312,7 +312,7 @@ def sign_flips(effects: DataFrame, cluster: str, draws: int, values: list[str],
     """
     names = [f"x{i}" for i in range(len(values))]
     each = effects.select(cluster, *(F.col(v).cast("double").alias(x) for v, x in zip(values, names, strict=True)))
-    places = written(ranked(each, [cluster]).select("place", *names), "effects")
+    places = written(ranked(written(each, "flipped"), [cluster]).select("place", *names), "effects")
     told = places.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.abs(F.sum(x)), F.lit(0.0)).alias(x) for x in names)).first()
     exact = told.n <= exact_up_to
     made = 2**told.n if exact else draws

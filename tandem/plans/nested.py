@@ -95,7 +95,7 @@ RELEASED = "condition string, owner_key string, control string, case_id long, cl
 
 def released_cells(spark, sf: str, folder: str) -> DataFrame:
     """The full cells of both conditions, released under ``folder`` with a manifest, verified and read back."""
-    full = exports(spark, sf).where("control = 'full'")
+    full = exports(spark, sf, ("full",))
     records = L.aligned_records(written(full, "exports"), 2, L.CELL_FIELDS)
     sources = spark.createDataFrame([], "source string, bytes long, sha256 string")
     L.release(records, folder, ["condition", "owner_key"], sources)
@@ -133,10 +133,10 @@ def nine(spark, sf: str, folder: str | None = None) -> DataFrame:
     """The cube of nine conditions, from a release that is written, verified and read."""
     at = F.col("cell_index")
     each = cells(spark, sf).withColumns({c: F.expr(s) for c, s in SCORES.items()}).groupBy("case_id").agg(F.min("cluster_id").alias("cluster_id"), *(C.interaction(F.col(c), at).alias(c) for c in CONDITIONS))
-    rows = each.unpivot(["case_id", "cluster_id"], CONDITIONS, "condition", "interaction")
+    rows = written(each, "nine").unpivot(["case_id", "cluster_id"], CONDITIONS, "condition", "interaction")
     folder = folder or f"{shared_folder(spark)}/release-{uuid.uuid4().hex}"
-    L.release(rows, folder, ["condition", "case_id"], spark.createDataFrame([], "source string, bytes long, sha256 string"))
-    back = L.read_release(spark, folder, "case_id long, cluster_id long, condition string, interaction double", CONDITIONS)
+    L.release(rows, folder, ["condition", "case_id"], spark.createDataFrame([], "source string, bytes long, sha256 string"), "parquet")
+    back = L.read_release(spark, folder, "case_id long, cluster_id long, condition string, interaction double", CONDITIONS, "parquet")
     return written(Q.complete_cube(Q.cube(back, "case_id", "cluster_id", "condition", CONDITIONS, "interaction"), "case_id"), "cube")
 
 
@@ -210,9 +210,7 @@ def mapped_cube(spark, sf: str) -> DataFrame:
     c = c.withColumn("scores", F.create_map(*(x for name, e in CHOICES.items() for x in (F.lit(name), F.expr(e)))))
     mappings = spark.createDataFrame(MAPPINGS, "variant string, choice string, label string")
     each = Q.mapped_interactions(Q.rescored(c, mappings, LABELS), ["variant", "condition", "case_id"], "cluster_id")
-    keyed = each.withColumn("key", F.struct("variant", "case_id"))
-    found = Q.complete_cube(Q.cube(keyed.withColumn("key", F.concat_ws(":", "variant", "case_id")), "key", "page", "condition", list(RUNS), "interaction", ("variant", "case_id")), "key")
-    return written(found.select(F.substring_index("key", ":", 1).alias("variant"), F.substring_index("key", ":", -1).cast("long").alias("case_id"), "page", "values"), "mapped-cube")
+    return written(Q.complete_cube(Q.cube(each, ("variant", "case_id"), "page", "condition", list(RUNS), "interaction"), ("variant", "case_id")), "mapped-cube")
 
 
 @query("mapping_routes", f"""WITH {TIMES}, {MAPPED}, p AS (SELECT r.route, a.cluster_id, avg(b.x - a.x) FILTER (WHERE a.v = 0) AS f, avg(b.x - a.x) FILTER (WHERE a.v = 1) AS s FROM mapped a JOIN mapped b ON a.v = b.v AND a.case_id = b.case_id AND a.k = 0 JOIN (VALUES ('q4', 1), ('gptq', 2), ('awq', 3)) r(route, k) ON b.k = r.k GROUP BY r.route, a.cluster_id),

@@ -15,6 +15,7 @@ CELL_FIELDS = ["condition", "owner_key", "control", "case_id", "cluster_id", "ce
 
 def aligned_records(exports: DataFrame, conditions: int, columns: list[str], ids: DataFrame | None = None, same: tuple[str, ...] = ("control", "case_id", "gold")) -> DataFrame:
     """The allowed fields of N conditions whose owners must be the same with the same metadata; of an id list only, if given."""
+    exports = exports.select(*dict.fromkeys((*only_fields(exports, columns).columns, "condition", "owner_key", *same)))
     if ids is not None:
         exports = subset(exports, ids, ids.columns[0])
     broken = alignment_gate(exports, conditions, [*same]).where("broken > 0").collect()  # a row for each check
@@ -40,9 +41,9 @@ def source_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def release(records: DataFrame, folder: str, keys: list[str], sources: DataFrame) -> DataFrame:
-    """Records under ``folder``/records, their files and sources under ``folder``/manifest, written last; returns the manifest."""
-    files = publish(records, f"{folder}/records", keys)
+def release(records: DataFrame, folder: str, keys: list[str], sources: DataFrame, kind: str = "json") -> DataFrame:
+    """Records (lines of JSON, or Parquet) under ``folder``/records, their files and sources under ``folder``/manifest, written last; returns the manifest."""
+    files = publish(records, f"{folder}/records", keys, kind=kind)
     told = files.select(F.lit("record").alias("kind"), F.col("file").alias("name"), "bytes", "sha256").unionByName(sources.select(F.lit("source").alias("kind"), F.col("source").alias("name"), "bytes", "sha256"))
     told.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
     return read_release_manifest(records.sparkSession, folder)
@@ -81,10 +82,10 @@ def unsealed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/result")
 
 
-def read_release(spark: SparkSession, folder: str, schema: str, conditions: list[str] | None = None) -> DataFrame:
+def read_release(spark: SparkSession, folder: str, schema: str, conditions: list[str] | None = None, kind: str = "json") -> DataFrame:
     """Records of a verified release; the conditions it must hold, if named, are checked."""
     verify_release(spark, folder)
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/records")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").format(kind).load(f"{folder}/records")
     if conditions is not None:
         present = sorted(r[0] for r in rows.select("condition").distinct().limit(len(conditions) + 1).collect())
         if present != sorted(conditions):

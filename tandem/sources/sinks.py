@@ -9,6 +9,8 @@ from ..functions.schema import only_fields, reject_fields
 
 #: Fields that a released table may not hold at any depth.
 TEXT_FIELDS = {"text", "claim", "evidence", "prompt", "html", "messages"}
+#: Rows of a published file at most: the manifest reads each file as one value.
+FILE_ROWS = 1 << 17
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,12 +29,12 @@ def content_digest(frame: DataFrame) -> DataFrame:
 def publish(frame: DataFrame, folder: str, keys: list[str], columns: list[str] | None = None, kind: str = "json") -> DataFrame:
     """Write once: the allowed columns, without texts, in key order by ranges; returns the manifest.
 
-    An existing folder is an error. Spark's committer makes the folder appear whole, with
+    Files hold ``FILE_ROWS`` rows at most. An existing folder is an error. Spark's committer makes the folder appear whole, with
     ``_SUCCESS`` last.
     """
     released = reject_fields(only_fields(frame, columns or frame.columns), TEXT_FIELDS)
     ordered = released.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.mode("errorifexists").format(kind).save(folder)
+    ordered.write.mode("errorifexists").option("maxRecordsPerFile", FILE_ROWS).format(kind).save(folder)
     return manifest(frame.sparkSession, folder)
 
 
