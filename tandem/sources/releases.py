@@ -45,7 +45,7 @@ def release(records: DataFrame, folder: str, keys: list[str], sources: DataFrame
     """Records (lines of JSON, or Parquet) under ``folder``/records, their files and sources under ``folder``/manifest, written last; returns the manifest."""
     files = publish(records, f"{folder}/records", keys, kind=kind)
     told = files.select(F.lit("record").alias("kind"), F.col("file").alias("name"), "bytes", "sha256").unionByName(sources.select(F.lit("source").alias("kind"), F.col("source").alias("name"), "bytes", "sha256"))
-    told.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+    told.repartition(1).write.mode("errorifexists").json(f"{folder}/manifest")  # one file of names; the digests are made by many tasks
     return read_release_manifest(records.sparkSession, folder)
 
 
