@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.digests import numbered_md5
+from ..functions.digests import numbered_md5, numbered_words
 from ..sources.shared import written
 from .ranks import ranked
 
@@ -30,11 +30,11 @@ from .ranks import ranked
 SEED = 20260711
 
 #: Clusters whose signs one digest holds; draws whose sums a task holds at once; slots of one digest.
-SIGNS, CHUNK, SLOTS = 128, 16384, 4
+SIGNS, CHUNK, SLOTS = 128, 20_000, 4
 #: Values (clusters times columns) that every task may be given: 32 MB; groups that are columns rather than rows.
 HELD, WIDE = 1 << 22, 64
-#: Clusters of a block of values; draws whose times are packed together; digests that are made at once.
-PLACES, PACKED, DIGESTS = 1 << 14, 16, 1 << 20
+#: Clusters of a block of values; draws whose times are packed together; draws that are summed together; digests that are asked for at once.
+PLACES, PACKED, TOGETHER, DIGESTS = 1 << 14, 16, 8, 10**6
 
 
 def numbered(clusters: DataFrame, cluster: str) -> DataFrame:
@@ -85,25 +85,28 @@ class Draws:
         return draws.mapInArrow(_summed(spark.sparkContext.broadcast(held), self.n, self.seed, ["draw", *columns]), schema)
 
 
-def _times(n: int, seed: int, draw: int) -> np.ndarray:
-    """How often a draw takes each of ``n`` places."""
-    times = np.zeros(n, np.int64)
-    for at in range(0, -(-n // SLOTS), DIGESTS):
-        digests = numbered_md5(f"{seed}|{draw}|", range(at, min(at + DIGESTS, -(-n // SLOTS))))
-        slots = digests.reshape(-1).view(">u4").astype(np.uint32)[: n - at * SLOTS]
-        times += np.bincount(slots - slots // np.uint32(n) * np.uint32(n) if n < 1 << 32 else slots, minlength=n)
-    return times
+def _times(n: int, seed: int, draw: int, kind: type = np.uint8) -> np.ndarray:
+    """How often a draw takes each of ``n`` places; a byte each, unless one is taken too often for that."""
+    times = np.zeros(n, kind)
+    one, whole = kind(1), -(-n // SLOTS)
+    for made in range(0, whole, DIGESTS):
+        for at, words in numbered_words(f"{seed}|{draw}|", range(made, min(made + DIGESTS, whole))):
+            for i, word in enumerate(words):
+                slots = word[: -(-(n - i) // SLOTS) - at].byteswap()  # the last digest may have fewer
+                if n < 1 << 32:  # what % gives, by operations that numpy does on several at once
+                    slots -= slots // np.uint32(n) * np.uint32(n)
+                np.add.at(times, slots.astype(np.intp), one)
+    return times if kind is not np.uint8 or times.sum(dtype=np.int64) == n else _times(n, seed, draw, np.int64)
 
 
 def _summed(held, n: int, seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                draws = batch.column(0).slice(at, 256).to_pylist()
-                out = np.empty((len(draws), values.shape[1]))
-                for i, draw in enumerate(draws):
-                    out[i] = _times(n, seed, draw) @ values
+            for at in range(0, batch.num_rows, TOGETHER):
+                draws = batch.column(0).slice(at, TOGETHER).to_pylist()
+                times = np.stack([_times(n, seed, draw) for draw in draws])
+                out = sum((times[:, p : p + PLACES].astype(np.float64) @ values[p : p + PLACES] for p in range(0, n, PLACES)), np.zeros((len(draws), values.shape[1])))
                 yield pa.record_batch([pa.array(draws, pa.int64()), *(pa.array(c) for c in out.T)], names)
 
     return run

@@ -111,8 +111,8 @@ m AS (SELECT draw, sum(times * e) / sum(times) AS mean FROM times JOIN a USING (
 SELECT round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper, count(*) AS valid_draws, round(quantile_cont(mean, 0.025), 6) > 0.5 AS passes FROM m""")
 def accuracy_interval(spark, sf):
     each = cells(spark, sf).groupBy("case_id").agg(F.min("cluster_id").alias("cluster_id"), F.avg((F.col("treat_pred") == F.col("gold")).cast("int")).alias("a"))
-    pages = C.cluster_means(each, "cluster_id", "a")
-    times = R.multiplicities(clusters(spark, sf), "cluster_id", DRAWS)
+    pages = written(C.cluster_means(each, "cluster_id", "a"), "pages")  # a row for each cluster there is: the names come from it, too
+    times = R.multiplicities(pages, "cluster_id", DRAWS)
     return D.threshold_gate(r(R.bootstrap_interval(pages, "cluster_id", times), 6, "lower", "upper"), "lower", 0.5)
 
 
