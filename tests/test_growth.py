@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tandem.operators import cases, cubes, gates, units
-from tandem.plans import exports, nested
+from tandem.operators import audit, cases, cubes, gates, units
+from tandem.plans import exports, nested, procedures
 from tandem.sources import sinks
 
 
@@ -50,3 +50,10 @@ def test_conditions_of_an_owner_are_counted_in_one_shuffle(spark):
 
 def test_exports_read_their_cells_once(spark, sf_dir):
     assert exports.exports(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("l_linenumber") and planned(exports.exports(spark, sf_dir)).count("FileScan") == 2  # lineitem and orders
+
+
+def test_values_of_an_overlap_are_made_once_for_each_row(spark, sf_dir):
+    assert procedures.text_overlap(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2  # documents and benchmark
+    left = spark.createDataFrame([("a", None), ("a", None), ("", None), (None, ""), ("b", None)], "x string, y string")
+    found = audit.overlap(left, left.where("x = 'b' OR x IS NULL"), {n: (F.col(n), F.col(n)) for n in "xy"})
+    assert [tuple(r) for r in found.collect()] == [("x", 2, 1, 1)]  # neither null nor empty values count, and a level without others has no row
