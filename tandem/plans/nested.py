@@ -13,8 +13,8 @@ from ..operators import metrics as M
 from ..operators import reports as P
 from ..sources import releases as L
 from ..sources.fixtures import CELLS, cells, table
-from ..sources.shared import shared_folder, written
-from .effects import CLUSTERS, _normal_sql, clusters, r
+from ..sources.shared import shared_folder, shuffles_dropped, written
+from .effects import CLUSTERS, _normal_sql, r
 from .exports import exports
 from .procedures import DRAWS, MORE_TIMES, TIMES
 
@@ -80,10 +80,19 @@ SELECT '/primary/estimate' AS path, round(avg(effect), 9) AS recomputed, TRUE AS
 UNION ALL SELECT '/population/pages', CAST(count(*) AS DOUBLE), TRUE FROM clusters UNION ALL SELECT '/balanced_accuracy/base', round(avg(b), 9), TRUE FROM acc UNION ALL SELECT '/balanced_accuracy/treat', round(avg(t), 9), TRUE FROM acc"""
 
 
-def published_report(spark, sf: str) -> DataFrame:
-    """source and JSON of the study's numbers, computed from cells side by side."""
-    told = C.balanced_mean(clusters(spark, sf))
-    accuracy = [M.balanced_accuracy(cells(spark, sf), "gold", p, ["A", "N", "R"]).withColumnRenamed("balanced_accuracy", n) for n, p in (("base", "base_pred"), ("treat", "treat_pred"))]
+def study_cells(spark, sf: str) -> DataFrame:
+    """What a release and its published numbers take of the cells, written once for both."""
+    with shuffles_dropped(spark):
+        return written(cells(spark, sf).select("case_id", "cluster_id", "control", "cell_index", "gold", "base_score", "treat_score", "base_pred", "treat_pred", "treat_ok"), "cells")
+
+
+def published_report(spark, sf: str, kept: DataFrame | None = None) -> DataFrame:
+    """source and JSON of the study's numbers, computed from cells side by side; ``kept``: the cells, if they are written."""
+    c = cells(spark, sf) if kept is None else kept
+    at = F.col("cell_index")
+    each = c.groupBy("case_id").agg(F.min("cluster_id").alias("cluster_id"), (C.interaction(F.col("treat_score"), at) - C.interaction(F.col("base_score"), at)).alias("d"))
+    told = C.balanced_mean(C.cluster_means(each, "cluster_id", "d"))
+    accuracy = [M.balanced_accuracy(c, "gold", p, ["A", "N", "R"]).withColumnRenamed("balanced_accuracy", n) for n, p in (("base", "base_pred"), ("treat", "treat_pred"))]
     one = told.crossJoin(F.broadcast(accuracy[0])).crossJoin(F.broadcast(accuracy[1]))  # one row each
     primary = F.struct(F.col("balanced").alias("estimate"), F.col("weighted").alias("case_weighted"))
     population = F.struct(F.col("cases"), F.col("clusters").alias("pages"))
@@ -93,20 +102,23 @@ def published_report(spark, sf: str) -> DataFrame:
 RELEASED = "condition string, owner_key string, control string, case_id long, cluster_id long, cell_index int, gold string, prediction string, score double"
 
 
-def released_cells(spark, sf: str, folder: str) -> DataFrame:
-    """The full cells of both conditions, released under ``folder`` with a manifest, verified and read back."""
-    full = exports(spark, sf, ("full",))
-    records = L.aligned_records(written(full, "exports"), 2, L.CELL_FIELDS)
+def released_cells(spark, sf: str, folder: str, kind: str = "json", kept: DataFrame | None = None) -> DataFrame:
+    """The full cells of both conditions, released under ``folder`` with a manifest, verified and read back; ``kept``: the cells, if they are written."""
+    full = exports(spark, sf, ("full",), study_cells(spark, sf) if kept is None else kept)
     sources = spark.createDataFrame([], "source string, bytes long, sha256 string")
-    L.release(records, folder, ["condition", "owner_key"], sources)
-    return L.read_release(spark, folder, RELEASED, ["base", "treat"])
+    with shuffles_dropped(spark):
+        records = L.aligned_records(full, 2, L.CELL_FIELDS)
+        L.release(records, folder, ["condition", "owner_key"], sources, kind)
+    return L.read_release(spark, folder, RELEASED, ["base", "treat"], kind)
 
 
 @query("recomputed", NUMBERS_SQL)
 def recomputed(spark, sf):
     """The published numbers, flattened from their report, against those recomputed from the verified release."""
-    rows = released_cells(spark, sf, f"{shared_folder(spark)}/release-{uuid.uuid4().hex}")
-    published = P.flattened(published_report(spark, sf), "json").where("kind = 'number'")
+    kept = study_cells(spark, sf)
+    rows = released_cells(spark, sf, f"{shared_folder(spark)}/release-{uuid.uuid4().hex}", "parquet", kept)
+    with shuffles_dropped(spark):
+        published = P.flattened(published_report(spark, sf, kept), "json").where("kind = 'number'")
     found = P.recomputed(published, P.released_numbers(rows, ("base", "treat"), ["A", "N", "R"]))
     return r(found.select("path", "recomputed", "agrees"), 9, "recomputed")
 

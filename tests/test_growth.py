@@ -1,12 +1,13 @@
 """Steps whose work once grew faster than their input: what is dealt, by which keys, and how large a file may be."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from tandem.operators import audit, cases, cubes, gates, units
+from tandem.operators import audit, cases, cubes, gates, reports, units
 from tandem.plans import exports, nested, procedures
-from tandem.sources import sinks
+from tandem.sources import shared, sinks
 
 
 def planned(frame) -> str:
@@ -57,3 +58,36 @@ def test_values_of_an_overlap_are_made_once_for_each_row(spark, sf_dir):
     left = spark.createDataFrame([("a", None), ("a", None), ("", None), (None, ""), ("b", None)], "x string, y string")
     found = audit.overlap(left, left.where("x = 'b' OR x IS NULL"), {n: (F.col(n), F.col(n)) for n in "xy"})
     assert [tuple(r) for r in found.collect()] == [("x", 2, 1, 1)]  # neither null nor empty values count, and a level without others has no row
+
+
+def test_cells_of_a_release_are_sent_once(spark):
+    rows = spark.createDataFrame([], nested.RELEASED)
+    plan = planned(reports.released_numbers(rows, ("base", "treat"), ["A", "N", "R"]))
+    assert plan.count("Exchange hashpartitioning(case_id") == 1  # two with a distinct count
+
+
+def test_recomputed_keeps_its_cells_and_a_release_in_columns(spark, sf_dir, tmp_path, monkeypatch):
+    for module in (nested, shared):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path))
+    found = nested.recomputed(spark, sf_dir).collect()
+    assert len(found) == 6 and all(r.agrees for r in found)
+    kept = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert kept == {"cells", "release", "report-level"}  # no second copy of both conditions
+    parts = [p for p in tmp_path.glob("release-*/records/part-*")]
+    assert parts and all(p.name.endswith(".parquet") for p in parts)
+
+
+def test_shuffles_of_a_written_step_are_dropped(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" "))}
+    before = files()
+    shared.written(spark.range(1000).repartition(3, "id"), "left")
+    assert files() - before
+    before = files()
+    with shared.shuffles_dropped(spark):
+        df = shared.written(spark.range(1000).repartition(3, "id"), "dropped")
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and df.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
