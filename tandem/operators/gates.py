@@ -36,22 +36,33 @@ def full_pair_gate(left: DataFrame, right: DataFrame, metadata: list[str], align
     return told.unpivot([], told.columns, "check", "broken")
 
 
-def cell_gate(exports: DataFrame, units: DataFrame, cells: DataFrame, key: str = "owner_key") -> DataFrame:
+def cell_gate(exports: DataFrame, units: DataFrame, cells: DataFrame, key: str = "owner_key", by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each expected or present cell (condition, variant): what is wrong with it, in numbers, and whether it passes.
 
     ``units`` (key, variant, prompt): every owner and the digest of its prompt under each variant.
     ``exports``: rows with condition, variant, key, <stage>_status and <stage>_prompt. A cell
     must hold exactly the owners of its variant, once, complete, asked by their own prompt in
     both stages. ``cells`` (condition, variant): the design.
+
+    ``by``: columns of units and exports that an owner has only one value of, such as its case, by
+    which both are dealt to the same number of parts; all rows of an owner then stay where they
+    are. Else they are sent once, by owner. Counts are summed first by prompt and then without it,
+    so nothing is sorted, and no list of an owner's rows is held.
     """
     design = cells.select("condition", "variant").distinct()
-    wanted = units.select("variant", key, "prompt").join(F.broadcast(design), "variant").withColumn("asked", F.lit(True))
-    rows = exports.select("condition", "variant", key, *(f"{s}_{x}" for s in STAGES for x in ("status", "prompt")))
-    met = wanted.join(rows.withColumn("there", F.lit(True)), ["condition", "variant", key], "full_outer")
-    each = met.groupBy("condition", "variant", key).agg(F.first("asked").alias("asked"), F.count("there").alias("n"), F.count_if(F.col("there") & ((F.col("hard_status") != "ok") | (F.col("probability_status") != "ok"))).alias("failed"),
-        F.count_if(F.col("there") & F.col("asked") & ~(F.col("hard_prompt").eqNullSafe(F.col("prompt")) & F.col("probability_prompt").eqNullSafe(F.col("prompt")))).alias("prompts"))
+    names = [*by, key, "condition", "variant"]
+    failed = (F.col("hard_status") != "ok") | (F.col("probability_status") != "ok")
+    told_as = lambda *n: [F.lit(x).alias(c) if isinstance(x, int) else F.coalesce(x.cast("int"), F.lit(0)).alias(c) for c, x in zip(("asked", "n", "failed", "alike"), n)]
+    wanted = units.select(*by, key, "variant", "prompt").join(F.broadcast(design), "variant").select(*names, "prompt", *told_as(1, 0, 0, 0))
+    rows = exports.select(*names, F.col("hard_prompt").alias("prompt"), *told_as(0, 1, failed, F.col("hard_prompt").eqNullSafe(F.col("probability_prompt"))))
+    both = wanted.unionByName(rows)
+    both = both if by else both.repartition(key)
+    prompts = both.groupBy(*names, "prompt").agg(*(F.sum(c).alias(c) for c in ("asked", "n", "failed", "alike")))
+    each = prompts.groupBy(*names).agg(*(F.sum(c).alias(c) for c in ("asked", "n", "failed")), F.sum(F.col("asked") * F.col("alike")).alias("own"))
+    times = F.greatest("asked", F.lit(1))  # a unit that stands twice counts its rows twice
     told = each.groupBy("condition", "variant").agg(
-        F.count_if(F.col("n") > 0).alias("owners"), F.count_if(F.col("asked") & (F.col("n") == 0)).alias("missing"), F.count_if(F.col("asked").isNull()).alias("extra"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("failed").alias("failed"), F.sum("prompts").alias("other_prompts"),
+        F.count_if(F.col("n") > 0).alias("owners"), F.count_if((F.col("asked") > 0) & (F.col("n") == 0)).alias("missing"), F.count_if(F.col("asked") == 0).alias("extra"), F.count_if(F.col("n") * times > 1).alias("repeated"),
+        F.sum(F.col("failed") * times).alias("failed"), F.sum(F.col("n") * F.col("asked") - F.col("own")).alias("other_prompts"),
     )
     told = told.join(F.broadcast(design.withColumn("in_design", F.lit(True))), ["condition", "variant"], "left").withColumn("in_design", F.coalesce("in_design", F.lit(False)))
     clean = F.col("in_design") & (F.col("owners") > 0)

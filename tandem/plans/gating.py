@@ -8,11 +8,14 @@ from ..functions import scalars as S
 from ..operators import audit as A
 from ..operators import gates as G
 from ..operators import selection as W
-from ..sources.fixtures import CELLS, cells, table
+from ..sources.fixtures import CELLS, case_ids, table
 from .effects import CASES, case_values, r
 from .exports import EXPORTS, exports
 from .procedures import _rank
 
+#: Orders of a part at most, on average, where their cells are made in place.
+DEALT = 1 << 15
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -60,16 +63,20 @@ SELECT condition, variant, count(r.owner_key) AS owners, count(*) - count(r.owne
 FROM (SELECT condition, variant, case_id || ':' || cell_index AS owner_key FROM cells, v, k) d LEFT JOIN rows r USING (condition, variant, owner_key) GROUP BY condition, variant""")
 def cell_gate(spark, sf):
     """Six cells of three conditions and two variants; one is absent, and rows of others lack, failed or were asked otherwise."""
-    c = cells(spark, sf).select("case_id", F.concat_ws(":", "case_id", "cell_index").alias("owner_key"))
+    # cases are dealt once, so many to a part that what is made of them fits a task; their cells, units and rows stay there
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf, "orders").count() // DEALT))
+    parts += parts == int(spark.conf.get("spark.sql.shuffle.partitions"))  # else the shuffle before is taken for it, and its parts are merged by their few bytes
+    c = case_ids(spark, sf).repartition(parts, "case_id").select("case_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cell_index"))
+    c = c.select("case_id", F.concat_ws(":", "case_id", "cell_index").alias("owner_key"))
     variants = spark.createDataFrame([("original", 0), ("reversed", 1)], "variant string, k int")
     conditions = spark.createDataFrame([("high", 0), ("q4", 1), ("gptq", 2)], "condition string, j int")
     of = lambda names, n: F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.lit(i).alias("i")) for i, x in enumerate(names)))).alias(n)
-    prompt = F.md5(F.concat_ws("|", "variant", "owner_key"))
-    units = c.select("owner_key", "case_id", of(("original", "reversed"), "v")).select("owner_key", "case_id", F.col("v.name").alias("variant"), F.col("v.i").alias("k"))
+    prompt = F.col("prompt")
+    units = c.select("owner_key", "case_id", of(("original", "reversed"), "v")).select("owner_key", "case_id", F.col("v.name").alias("variant"), F.col("v.i").alias("k"), F.md5(F.concat_ws("|", "v.name", "owner_key")).alias("prompt"))
     rows = units.select("*", of(("high", "q4", "gptq"), "c")).select("*", F.col("c.name").alias("condition"), F.col("c.i").alias("j")).where("NOT (j = 1 AND k = 1 AND case_id % 9 = 0) AND NOT (j = 2 AND k = 1)")
     asked = F.when((F.col("j") == 2) & (F.col("case_id") % 10 == 0), "other").otherwise(prompt)
-    rows = rows.select("condition", "variant", "owner_key", F.lit("ok").alias("hard_status"), F.expr("CASE WHEN j = 0 AND k = 1 AND case_id % 8 = 0 THEN 'failed' ELSE 'ok' END").alias("probability_status"), prompt.alias("hard_prompt"), asked.alias("probability_prompt"))
-    return G.cell_gate(rows, units.select("owner_key", "variant", prompt.alias("prompt")), conditions.join(variants).select("condition", "variant"))
+    rows = rows.select("condition", "variant", "case_id", "owner_key", F.lit("ok").alias("hard_status"), F.expr("CASE WHEN j = 0 AND k = 1 AND case_id % 8 = 0 THEN 'failed' ELSE 'ok' END").alias("probability_status"), prompt.alias("hard_prompt"), asked.alias("probability_prompt"))
+    return G.cell_gate(rows, units.select("case_id", "owner_key", "variant", "prompt"), conditions.join(variants).select("condition", "variant"), by=("case_id",))
 
 
 # layers, sets and overlaps

@@ -1,13 +1,15 @@
 """Steps whose work once grew faster than their input: what is dealt, by which keys, and how large a file may be."""
 
+import random
 import re
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tandem.operators import audit, cases, cubes, gates, reports, units
-from tandem.plans import exports, nested, procedures
-from tandem.sources import shared, sinks
+from tandem.plans import exports, gating, nested, procedures
+from tandem.sources import fixtures, shared, sinks
 
 
 def planned(frame) -> str:
@@ -91,3 +93,43 @@ def test_shuffles_of_a_written_step_are_dropped(spark):
         time.sleep(0.2)
     assert not left and df.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_owners_of_a_gate_stay_with_their_case(spark, sf_dir):
+    plan = planned(gating.cell_gate(spark, sf_dir))
+    assert "owner_key" not in " ".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", plan)) and "row_number" not in plan and not re.search(r"SortMergeJoin \[[^]]*owner_key", plan)
+    assert plan.count("REPARTITION_BY_NUM") == 2  # the same one for units and rows
+
+
+def test_cases_are_those_of_the_cells(spark, sf_dir, tmp_path):
+    found = lambda sf: (sorted(r[0] for r in fixtures.case_ids(spark, sf).collect() for _ in range(4)), sorted(r[0] for r in fixtures.cells(spark, sf).select("case_id").collect()))
+    assert len(set(map(tuple, found(sf_dir)))) == 1
+    lines = fixtures.table(spark, sf_dir, "lineitem").limit(1).drop("l_orderkey")
+    spark.createDataFrame([(k,) for k, n in ((1, 3), (2, 4), (3, 9), (4, 5), (None, 6)) for _ in range(n)], "l_orderkey long").crossJoin(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (3,), (3,), (5,), (None,)], "o_orderkey long").selectExpr("o_orderkey", "1L AS o_custkey", "'' AS o_orderpriority", "'' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    ours, theirs = found(str(tmp_path))
+    assert ours == theirs == [2] * 4 + [3] * 8  # four equal lines, an order that stands twice; neither too few lines nor an absent order
+
+
+def test_a_gate_counts_the_same_with_and_without_cases(spark):
+    rng = random.Random(5)
+    owners = [(i, f"o{i}") for i in range(60)]
+    told = [(k, o, v, None if rng.random() < 0.1 else f"{v}{o}") for k, o in owners for v in "ab" if rng.random() < 0.9]
+    told += told[:3]
+    prompts = {(o, v): p for _, o, v, p in told}
+    odd = lambda good, bad: bad if rng.random() < 0.1 else good
+    rows = [(c, v, k, o, odd("ok", "failed"), odd("ok", "failed"), odd(prompts.get((o, v)), None), odd(prompts.get((o, v)), "x")) for c in "xyz" for v in "ab" for k, o in owners for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+    design = [(c, v) for c in "xyw" for v in "ab" if (c, v) != ("y", "b")]
+    stands, of = Counter((o, v) for _, o, v, _ in told), {}
+    for c, v, _, o, hs, ps, hp, pp in rows:
+        of.setdefault((c, v), {}).setdefault(o, []).append(("failed" in (hs, ps), hp == pp == prompts.get((o, v))))
+    expected = {}
+    for c, v in {*of, *design}:
+        here, asked = of.get((c, v), {}), {o: n for (o, w), n in stands.items() if w == v and (c, v) in design}
+        times = {o: max(asked.get(o, 0), 1) for o in here}
+        expected[c, v] = (len(here), len(asked.keys() - here.keys()), len(here.keys() - asked.keys()), sum(len(x) * times[o] > 1 for o, x in here.items()), sum(f * times[o] for o, x in here.items() for f, _ in x), sum((not ok) * asked[o] for o, x in here.items() if o in asked for _, ok in x))
+    units = spark.createDataFrame(told, "case_id int, owner_key string, variant string, prompt string")
+    exported = spark.createDataFrame(rows, "condition string, variant string, case_id int, owner_key string, hard_status string, probability_status string, hard_prompt string, probability_prompt string")
+    cells = spark.createDataFrame(design, "condition string, variant string")
+    for gate in (gates.cell_gate(exported, units, cells), gates.cell_gate(exported.repartition(3, "case_id"), units.repartition(3, "case_id"), cells, by=("case_id",)), gates.cell_gate(exported, units.repartition(3, "case_id"), cells, by=("case_id",))):
+        assert {(r.condition, r.variant): (r.owners, r.missing, r.extra, r.repeated, r.failed, r.other_prompts) for r in gate.collect()} == expected
